@@ -1,0 +1 @@
+"""Operators on metered time series and on vector updates of many clients, as Spark plans."""
