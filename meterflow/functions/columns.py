@@ -67,9 +67,9 @@ def slot_clock(slot: str | Column, per_hour: int = 4, style: str = "24h") -> Col
     hour = F.pmod(F.floor(s / per_hour), F.lit(24)).cast("int")
     minute = (F.pmod(s, F.lit(per_hour)) * (60 // per_hour)).cast("int")
     if style == "24h":
-        return F.format_string("%02d:%02d", hour, minute)
+        return F.when(s.isNotNull(), F.format_string("%02d:%02d", hour, minute))
     twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("int")
-    return F.format_string("%d:%02d %s", twelve, minute, F.when(hour < 12, "AM").otherwise("PM"))
+    return F.when(s.isNotNull(), F.format_string("%d:%02d %s", twelve, minute, F.when(hour < 12, "AM").otherwise("PM")))
 
 
 def huber(error: Column, delta: float = 1.0) -> Column:

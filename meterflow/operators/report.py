@@ -84,7 +84,7 @@ def run_rollup(a: DataFrame, b: DataFrame) -> DataFrame:
 def latest_run(runs: DataFrame, keys: tuple[str, ...] = ("run_group",)) -> DataFrame:
     """The newest run of each group by completion, or else by its directory's time."""
     when = F.coalesce("done_ts", "dir_ts")
-    return runs.groupBy(*keys).agg(F.max_by(F.struct("run_id", when.alias("at")), F.struct(when, F.col("run_id"))).alias("last")).select(*keys, "last.*")
+    return runs.groupBy(*keys).agg(F.max_by(F.struct("run_id", when.alias("finished_at")), F.struct(when, F.col("run_id"))).alias("last")).select(*keys, "last.*")
 
 
 def sweep_table(spark: SparkSession, configs: list[dict], runner: Callable[[dict], dict]) -> DataFrame:

@@ -815,11 +815,11 @@ def federation_ticks(spark: SparkSession, d: str) -> DataFrame:
     return control.federation_ticks(v.imputed(spark, d)).select("household_id", "ts", F.col("tick").cast("long").alias("tick"), "uploads", "advises")
 
 
-_DAY = {"day_slots": "select household_id, ts::date as day, hour(ts) * 4 + minute(ts) // 15 as slot, kwh from imputed", "peaks": "select household_id, day, arg_min(slot, (-kwh, slot)) as peak_slot, greatest(0, arg_min(slot, (-kwh, slot)) - 4) as precool_slot from day_slots group by 1, 2"}
+_DAY = {"day_slots": "select household_id, ts::date as day, hour(ts) * 4 + minute(ts) // 15 as slot, kwh from slots", "peaks": "select household_id, day, arg_min(slot, (-kwh, slot)) as peak_slot, greatest(0, arg_min(slot, (-kwh, slot)) - 4) as precool_slot from day_slots group by 1, 2"}
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
-    return control.day_slots(v.imputed(spark, d))
+    return control.day_slots(v.slots(spark, d))
 
 
 @query("select household_id, day, peak_slot::int as peak_slot, precool_slot::int as precool_slot from peaks", more=_DAY)
@@ -992,7 +992,7 @@ def run_latency_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.run_latency_summary(v.run_log(spark, d))
 
 
-@query("select run_group, arg_max(run_id, (at, run_id)) as run_id, max(at) as at from (select *, case when status = 'P' then done_ts - interval 1 day else done_ts end as at from run_log) group by 1")
+@query("select run_group, arg_max(run_id, (finished_at, run_id)) as run_id, max(finished_at) as finished_at from (select *, case when status = 'P' then done_ts - interval 1 day else done_ts end as finished_at from run_log) group by 1")
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
     r = v.run_log(spark, d)
     return report.latest_run(r.withColumn("dir_ts", F.expr("done_ts - interval 1 day")).withColumn("done_ts", F.when(F.col("status") != "P", F.col("done_ts"))))
