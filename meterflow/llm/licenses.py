@@ -66,7 +66,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit:
     grams = {k: sorted(bigrams(v)) for k, v in templates.items()}
     bounds = {k: _bounds(len(v), limit) for k, v in grams.items()}
     longest = max(hi for _, hi in bounds.values()) + 1
-    line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    line = numbered.select("doc_id", "row", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
     signs = sorted({w for g in grams.values() for w in telling(g, limit)})
     hopeful = line.where(reduce(or_, [F.col("line").contains(w) for w in signs]))
     words = hopeful.withColumn("words", F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != ""))

@@ -1,0 +1,541 @@
+"""Each operator against a plain computation, over rows with nulls, empties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from meterflow.llm import bpe, components, fingerprints, html, jaccard, langid, licenses, packing, quality, substring, toxicity
+from meterflow.llm.grams import Words, minhash, sliding_min, unique_shingles
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, k long, place int"
+GAP = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in GAP.split(text or "") if w]
+
+
+def some_texts(seed=5, n=60):
+    """Texts with copies, near copies, shared passages, one long, nulls, empties and odd characters."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    prose = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passage, out = prose(70), []
+    for i in range(n):
+        kind = i % 6
+        if kind == 0 or not out:
+            text = prose(rng.randint(1, 120))
+        elif kind == 1:
+            text = rng.choice([t for t in out if t])
+        elif kind == 2:
+            w = (rng.choice([t for t in out if t])).split(" ")
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            text = " ".join(w)
+        elif kind == 3:
+            text = prose(rng.randint(0, 30)) + "\n" + passage + "\n" + prose(rng.randint(0, 30))
+        elif kind == 4:
+            text = prose(20) + ".\n" + prose(15) + "! " + prose(9)
+        else:
+            text = rng.choice([None, "", "  \n\t ", "a", "\x1f x\x85y z", prose(60) + " " + passage[:200], " ".join(["rep eat"] * 60)])
+        out.append(text)
+    out.append(prose(4000) + " " + passage)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], f"s{i % 4}", None, "r", 7, 1) for i, t in enumerate(some_texts())]
+    return spark.createDataFrame(rows, COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+# --- helpers
+
+
+def test_words_and_windows():
+    texts = ["a bb  c\td\x0be", "", " x ", "  nbsp stays"]
+    w = Words(texts)
+    assert np.diff(w.first).tolist() == [5, 0, 1, 3]
+    assert w.starts(2).tolist() == [0, 1, 2, 3, 6, 7]
+    again = Words(["zz a bb c d e"])
+    assert w.rolling().of(np.array([0]), np.array([5]))[0] == again.rolling().of(np.array([1]), np.array([6]))[0]
+    x = np.array([5, 3, 9, 1, 7, 2, 8], dtype=np.uint64)
+    for k in range(1, 8):
+        assert sliding_min(x, k).tolist() == [min(x[i : i + k]) for i in range(len(x) - k + 1)]
+
+
+def test_minhash_estimates_similarity():
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base[:320] + [f"v{i}" for i in range(80)]), ""]
+    doc, shingle = unique_shingles(Words(texts), 1, 3)
+    values = minhash(doc, shingle, 3, 2048)
+    assert abs((values[0] == values[1]).mean() - 320 / 480) < 0.05
+    assert (values[2] == 2**32 - 1).all()
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (3, 4), (20, 20), (5, 9), (4, 1)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 8: 5, 9: 5}
+
+
+# --- substring dedup
+
+
+def expected_cuts(rows, width):
+    first, out = {}, {}
+    for i, t in sorted(r for r in rows if r[0] is not None):
+        w = words(t)
+        for p in range(len(w) - width + 1):
+            first.setdefault(tuple(w[p : p + width]), i)
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[p : p + width])] < i:
+                gone[p : p + width] = [True] * width
+        kept = [x for x, g in zip(w, gone, strict=True) if not g]
+        out[i, t] = (len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup(docs, rows, spark, nothing):
+    want = expected_cuts(rows, 50)
+    got = substring.digest(substring.dedup_substrings(docs)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, text[r.doc_id]] for r in got)
+    assert sum(r.n_removed for r in got) > 500
+    again = substring.digest(substring.dedup_substrings(docs, 12, 5)).collect()
+    want = expected_cuts(rows, 12)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, text[r.doc_id]] for r in again)
+    assert substring.digest(substring.dedup_substrings(nothing)).count() == 0
+
+
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    q = " ".join(f"q{i}" for i in range(55))
+    odd = spark.createDataFrame([(None, p), (3, p), (3, f"{q} {p}"), (3, p), (5, f"x {p} y"), (6, q), (None, q)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.digest(substring.dedup_substrings(odd)).collect())
+    assert got == Counter({(None, 60, 0): 1, (3, 60, 0): 2, (3, 115, 0): 1, (5, 62, 60): 1, (6, 55, 55): 1, (None, 55, 0): 1})
+
+
+# --- near copies
+
+
+def expected_groups(rows):
+    sets, links = {}, Counter()
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = list(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (links[i], find(i)) for i in ids}
+
+
+def test_similar_groups(docs, rows, nothing):
+    want = expected_groups(rows)
+    got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.similar_groups(docs).collect()}
+    assert got == want
+    assert sum(n for n, _ in got.values()) > 30
+    assert jaccard.similar_groups(nothing).count() == 0
+
+
+def test_large_sets_are_judged_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected_groups(rows)
+
+
+def test_pruning_bound():
+    least = jaccard.least_matches(0.8, 1e-9)
+    assert list(least) == list(range(32, 257, 32))
+    assert all(0 < m < 0.8 * h for h, m in least.items())
+
+
+# --- bpe
+
+
+def test_bpe_equals_the_library(docs, rows, nothing):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    text = dict(rows)
+    got = bpe.round_trips(docs, path, with_ids=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = t.encode(text[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.round_trips(nothing, path).count() == 0
+
+
+ODD = [" ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "a", "Z", "é", "É", "é", "ß", "1", "²", "!", "'s", "'LL", "<|endoftext|>", "😀", "日本", "Σ", "İ", "$", ".", ",", "...", "_", "the", "ab" * 60]
+
+
+def test_encoders_on_random_strings():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["a" * 3000, "ab" * 700 + "!" * 500]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, mine = Tokenizer.from_file(path), bpe.ByteBpe(path)
+    for text, (ids, decoded) in zip(texts, mine.batch(texts), strict=True):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids == ",".join(map(str, want)) and decoded == t.decode(want, skip_special_tokens=False)
+        assert mine.decode(want) == decoded
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, other = Tokenizer.from_file(path), packing.WordIds(path)
+    for text, ids in zip(texts, other.batch(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# --- packing
+
+
+def test_packing(docs, rows, nothing):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = packing.pack(docs, path).collect()
+    by_doc, bins = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append(r)
+    text = dict(rows)
+    assert by_doc.keys() == text.keys()
+    for i, parts in by_doc.items():
+        ids = [*t.encode(text[i] or "", add_special_tokens=False).ids, 0]
+        parts.sort(key=lambda r: r.piece)
+        assert [p.piece for p in parts] == list(range(len(parts))) and sum(p.length for p in parts) == len(ids)
+        for p in parts:
+            assert p.start == 2048 * p.piece
+            piece = np.asarray(ids[p.start : p.start + p.length], dtype="<u4").tobytes()
+            assert p.ids_crc32 == zlib.crc32(piece)
+        assert all(p.length == 2048 for p in parts[:-1])
+    for parts in bins.values():
+        place = 0
+        for p in sorted(parts, key=lambda r: r.offset):
+            assert p.offset == place
+            place += p.length
+        assert place <= 2048
+    assert len(bins) <= sum(r.length for r in got) // 2048 + 2
+    assert packing.pack(nothing, path).count() == 0
+
+
+def test_equal_rows_are_packed_each(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    same = spark.createDataFrame([(1, "same words here")] * 700 + [(None, None)] * 3, "doc_id long, text string")
+    got = packing.pack(same, path).collect()
+    assert len(got) == 703 and len({(r.sequence_id, r.offset) for r in got}) == 703
+    assert len({r.sequence_id for r in got}) == -(-(700 * 4 + 3) // 2048)
+
+
+def test_fullest_combination():
+    rng = random.Random(6)
+    for _ in range(100):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(5)}
+        room = rng.randint(1, 60)
+        sums = {0}
+        for k, n in counts.items():
+            for _ in range(n):
+                sums |= {s + k for s in sums}
+        best = max(s for s in sums if s <= room)
+        found = packing.fullest(room, sorted(counts, reverse=True), counts)
+        assert sum(k * n for k, n in found) == best and all(n <= counts[k] for k, n in found)
+    bins = packing.minimum_slack({7: 5, 5: 3, 3: 10, 2: 1}, 10)
+    used = Counter()
+    for times, inside in bins:
+        assert sum(k * n for k, n in inside) <= 10
+        used.update({k: n * times for k, n in inside})
+    assert used == Counter({7: 5, 5: 3, 3: 10, 2: 1})
+
+
+# --- quality
+
+
+def test_quality_counts(docs, rows, nothing):
+    text = dict(rows)
+    got = quality.judge(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = text[r.doc_id] or ""
+        w = words(t)
+        lines = [x for x in t.split("\n") if words(x)]
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        inside = set()
+        for i in range(len(w) - 7):
+            if seen[tuple(w[i : i + 8])] > 1:
+                inside.update(range(i, i + 8))
+        failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside), failed)
+        assert not (failed and r.kept)
+    assert quality.judge(nothing).count() == 0
+    carried = quality.judge(docs, carry=True).select("row.*")
+    assert carried.columns == docs.columns and carried.count() == len(rows)
+
+
+def test_divergence():
+    p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.5, 0.5])
+    assert quality.divergence(p, p) == 0 and abs(quality.divergence(np.array([1.0, 0]), np.array([0, 1.0])) - 1) < 1e-12
+    m = (p + q) / 2
+    kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    assert abs(quality.divergence(p, q) - np.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+
+
+def test_quality_rejects_signs_and_keeps_prose(spark):
+    rng = random.Random(8)
+    v = ["the", "of", "and", "to", *["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8))) for _ in range(300)]]
+    prose = lambda: " ".join(rng.choice(v[:4]) if rng.random() < 0.3 else rng.choice(v) for _ in range(150)) + "."
+    good = [(i, prose(), "en") for i in range(60)]
+    bad = [(100 + i, prose().replace(" ", "*** "), "en") for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(3))
+
+
+# --- toxicity and language
+
+
+def labelled(spark, n=900):
+    rng = random.Random(9)
+    bad = ["grobnik", "stuplet", "vexor", "mudwit"]
+    plain = ["".join(rng.choice("aeioustrnl") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(plain) for _ in range(rng.randint(10, 60))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(rng.randint(2, 4)):
+                w[rng.randrange(len(w))] = rng.choice(bad)
+        rows.append((i, " ".join(w), "x", "en"))
+        labels.append((i, int(toxic), 1))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = labelled(spark)
+    extra = spark.createDataFrame([(5000, None, "x", "en"), (5001, "", "x", None), (None, "vexor you stuplet", "x", "en")], docs.schema)
+    got = toxicity.score_toxicity(docs.union(extra), labels).collect()
+    assert len(got) == 903 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
+    assert {r.doc_id for r in held} == {i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.97
+
+
+def test_toxicity_without_labels(spark, nothing):
+    docs, labels = labelled(spark, 40)
+    assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(nothing, labels).count() == 0
+
+
+def test_toxicity_features():
+    f = toxicity.Featurizer({"widiot": 0.5, "sidiot": 0.4})
+    names = dict(zip(toxicity.FEATURES, f.of("you are an 1d1ot SHOUTING!!"), strict=True))
+    assert names["density"] == 1 / 5 and names["hidden"] == 1 / 5 and names["near_you"] == 1 / 5 and names["loud"] == 1 / 5
+    assert f.of(None) == f.of("  ") == [0.0] * len(toxicity.FEATURES)
+
+
+def test_language(spark, nothing):
+    rng = random.Random(10)
+    alphabet = {"aa": "abcdef", "bb": "uvwxyz", "cc": "мнопрс"}
+    rows = []
+    for i in range(600):
+        lang = sorted(alphabet)[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(4)) for _ in range(rng.randint(1, 30))), lang, "s"))
+    rows += [(700, None, "aa", "s"), (701, "12 !?", "aa", "s"), (702, "", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert len(got) == 603 and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == rows[i][2] for i in range(600))
+    assert {got[i].lang_pred for i in (700, 701, 702)} == {"und"}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    assert langid.identify(nothing).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+# --- licences
+
+
+def test_licenses(spark, nothing):
+    texts = [
+        (1, "intro\nLicensed under the Apache License, Version 2.0.\nmore"),
+        (2, "licensed UNDER the apache license version 2.0\nReleased under the MIT License"),
+        (3, "Licensed under"), (4, None), (5, ""), (6, "Released under the MIT License.\nReleased under the MIT License."),
+        (6, "Released under the MIT License."), (7, "This work is licensed under the GNU General Public License, version 3. " * 3),
+    ]
+    docs = spark.createDataFrame([(*t, "apache", 1) for t in texts], "doc_id long, text string, license string, row int")
+    want = Counter()
+    for i, t in texts:
+        best = {}
+        for line in (t or "").lower().split("\n"):
+            mine = licenses.bigrams(line)
+            for name, body in licenses.TEMPLATES.items():
+                other = licenses.bigrams(body)
+                dice = 2 * len(mine & other) / max(1, len(mine) + len(other))
+                if dice >= 0.8 - 1e-9:
+                    n, d = best.get(name, (0, 0))
+                    best[name] = (n + 1, max(d, round(dice, 6)))
+        want.update((i, k, *v) for k, v in best.items())
+    got = Counter((r.doc_id, r.license, r.n_lines, r.dice) for r in licenses.scan_licenses(docs).collect())
+    assert got == want and len(want) >= 5
+    assert licenses.scan_licenses(nothing).count() == 0
+
+
+def test_telling_words_lose_nothing():
+    for body in licenses.TEMPLATES.values():
+        grams = sorted(licenses.bigrams(body))
+        signs = licenses.telling(grams, 0.8)
+        spared = [g for g in grams if not set(g.split()) & set(signs)]
+        assert 2 * len(spared) / (len(spared) + len(grams)) < 0.8
+
+
+# --- fingerprints
+
+
+def lanes(text):
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
+        return seed
+
+    wide, signed = [0] * 8, [0] * 128
+    for p in re.split(r"\n|(?<=[.!?]) ", text or ""):
+        if p:
+            for i in range(4):
+                x = h(f"u{i}", p)
+                wide[2 * i] += x & 0xFFFFFFFF
+                wide[2 * i + 1] += x >> 32
+            for i in range(2):
+                x = h(f"s{i}", p)
+                for b in range(64):
+                    signed[64 * i + b] += 1 if x >> b & 1 else -1
+    return "".join(f"{x % 2**32:08x}" for x in wide) + "".join(f"{x % 2**16:04x}" for x in signed), np.array(signed, float)
+
+
+def near(a, b):
+    if (a == b).all():
+        return 1.0
+    size = np.sqrt((a @ a) * (b @ b))
+    return 0.0 if size == 0 else min(1.0, max(0.0, a @ b / size))
+
+
+def test_fingerprints(docs, rows, nothing):
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}
+    assert len(got) == len(rows)
+    for n, (i, t) in enumerate(order):
+        t, other = t or "", order[(n + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + other[:half]
+        (f, a), (g, b), (_, c) = lanes(t), lanes(edited), lanes(other)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g)
+        assert abs(r.near_edited - near(a, b)) < 1e-9 and abs(r.near_next - near(a, c)) < 1e-9
+    assert fingerprints.compare_edits(nothing).count() == 0
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    odd = spark.createDataFrame([(1, "a.\nb"), (1, "a.\nb"), (1, "c"), (None, "d e"), (9, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_chars, r.fingerprint) for r in fingerprints.compare_edits(odd).collect())
+    assert got == Counter({(1, 4, lanes("a.\nb")[0]): 2, (1, 1, lanes("c")[0]): 1, (None, 3, lanes("d e")[0]): 1, (9, 0, lanes("")[0]): 1})
+    one = fingerprints.compare_edits(spark.createDataFrame([(4, "x. y")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0
+
+
+def test_multiset_is_homomorphic(spark):
+    df = lambda *t: spark.createDataFrame([(1, x) for x in t], "doc_id long, text string")
+    show = lambda d: [tuple(r.wide) + tuple(r.signed) for r in d.collect()]
+    a, b = fingerprints.fingerprint(df("one\ntwo")), fingerprints.fingerprint(df("three"))
+    whole = fingerprints.fingerprint(df("three\ntwo\none"))
+    assert show(fingerprints.combined(a, b)) == show(whole)
+    assert show(fingerprints.combined(whole, b, sign=-1)) == show(fingerprints.fingerprint(df("two\none")))
+
+
+# --- html
+
+
+def page(body, nav="Home|About"):
+    links = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in nav.split("|"))
+    return f"<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul>{links}</ul></nav><!-- x --><div class=\"ad\">Buy now</div>{body}<footer>&copy; us</footer></body></html>"
+
+
+def test_html_extraction(spark):
+    cases = [
+        (1, "http://h.example/en/1", page("<article><h1>A &amp; B</h1><p>One\n  two<br>three</p><p><b>four<p>five</article>"), "A & B\n\nOne two three\n\nfour\n\nfive"),
+        (2, "http://h.example/en/2", page("<article><p>Same</p><p>x &lt; y</p><div class='comments'><p>first!</p></div><form>q</form></article>"), "Same\n\nx < y"),
+        (3, "http://h.example/en/3", page("<article><p>Same</p><aside>side</aside></article>"), "Same"),
+        (4, "http://p.example/a", "<div>Shared top</div><p>Mine 4</p><p>Shared end</p>", "Mine 4"),
+        (5, "http://p.example/b", "<div>Shared top</div><p>Mine 5</p><p>Shared end</p>", "Mine 5"),
+        (6, None, None, ""),
+        (7, "no url", "", ""),
+        (8, "http://alone.example/", "<p>Only &#233;&nbsp;x", "Only é x"),
+    ]
+    df = spark.createDataFrame([c[:3] + ("shell",) for c in cases], "page_id long, url string, html string, shell string")
+    got = {r.page_id: r for r in html.extract(df.union(df.where("page_id = 5"))).collect()}
+    assert {i: r.text for i, r in got.items()} == {c[0]: c[3] for c in cases}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(12)
+    for _ in range(300):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        b = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = sorted(html.shared(a, b))
+        assert len(found) == table[-1][-1]
+        at = 0
+        for i in found:
+            at = b.index(a[i], at) + 1
+
+
+def test_neighbours_stay_on_the_host_over_ranges(spark):
+    rows = [(i, f"http://h{i % 3}.example/en/{i:04d}?x=1", "") for i in range(300)] + [(999, "http://single.example/x", "")]
+    near = {r.page_id: r.near_id for r in html.nearest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert 999 not in near and len(near) == 300
+    assert all(i % 3 == j % 3 and abs(i - j) == 3 for i, j in near.items())
