@@ -34,7 +34,7 @@ THRESHOLD = 0.7
 #: Second-person words of the supported languages.
 SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os vuestro".split())
 #: Letters that signs and digits stand for.
-LOOKALIKE = str.maketrans("013457@$!|", "oleastasil")
+LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»…-–—*#%&|"
 FEATURES = ("density", "hits", "kinds", "stem_density", "stem_kinds", "hidden", "weight", "near_you", "you", "capitals", "loud", "exclaim", "punctuation", "obfuscated", "length", "stretched")
