@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from meterflow.llm.base import fields, per_batch, prepare, settle
 
-#: At most so many lexicon entries are kept, those of the highest score; each must be in so
-#: many toxic documents of the fold, be in such a share of them, and reach such a z score.
-LEXICON, SUPPORT, SHARE, Z = 4096, 3, 0.004, 2.5
+#: At most so many lexicon entries are kept, those of the highest log-likelihood ratio; each must be
+#: in so many toxic documents of the fold and reach such a ratio; from STRONG on an entry is beyond
+#: what a few near copies of one toxic document can cause.
+LEXICON, SUPPORT, LEAST, STRONG = 4096, 4, 20.0, 60.0
 STEM = 5
 NEAR = 6
 THRESHOLD = 0.7
@@ -37,7 +38,7 @@ SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine i
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»…-–—*#%&|"
-FEATURES = ("density", "hits", "kinds", "stem_density", "stem_kinds", "hidden", "weight", "near_you", "you", "capitals", "loud", "exclaim", "punctuation", "obfuscated", "length", "stretched")
+FEATURES = ("density", "hits", "kinds", "best", "second", "strong", "strong_density", "stem_density", "stem_kinds", "stem_best", "stem_second", "stem_strong", "hidden", "near_you", "you", "capitals", "loud", "exclaim", "punctuation", "obfuscated", "length", "stretched")
 _UPPER = np.zeros(256)
 _UPPER[65:91] = 1
 _PUNCT = np.zeros(256)
@@ -73,17 +74,34 @@ def _entries(rows: dict[str, list]) -> dict[str, list]:
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """entry -> share of toxic documents that hold it; bounded by LEXICON."""
-    totals = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    """entry -> log-likelihood ratio of its being in toxic documents more often; bounded by LEXICON.
+
+    A text that occurs often teaches once.
+    """
+    once = labelled.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text"))
+    once = settle(once.select("text", "toxic"))
+    totals = once.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     a_all, b_all = float(totals[0] or 0), float(totals[1] or 0)
     if not a_all or not b_all:
         return {}
-    counts = per_batch(labelled.select("text", "toxic"), "entry string, toxic long, clean long", _entries).groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = per_batch(once, "entry string, toxic long, clean long", _entries).groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b = F.col("a"), F.col("b")
-    odds = F.log((a + 0.5) / (a_all - a + 0.5)) - F.log((b + 0.5) / (b_all - b + 0.5))
-    scored = counts.where((a >= SUPPORT) & (a >= SHARE * a_all)).withColumn("z", odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("z") >= Z)
-    best = scored.orderBy(F.desc("z"), "entry").limit(LEXICON).collect()
-    return {r["entry"]: r["a"] / a_all for r in best}
+
+    def part(x: Any, n: float, p: Any) -> Any:  # x of n at the rate p, against its own rate
+        own = x / n
+        return F.when(x > 0, x * F.log(own / p)).otherwise(0.0) + F.when(x < n, (n - x) * F.log((1 - own) / (1 - p))).otherwise(0.0)
+
+    rate = F.least(F.lit(1 - 1e-9), (a + b) / (a_all + b_all))
+    ratio = 2 * (part(a, a_all, rate) + part(b, b_all, rate))
+    scored = counts.where((a >= SUPPORT) & (a / a_all > b / b_all)).withColumn("g", ratio).where(F.col("g") >= LEAST)
+    best = scored.orderBy(F.desc("g"), "entry").limit(LEXICON).collect()
+    return {r["entry"]: float(r["g"]) for r in best}
+
+
+def _top(ratios: list[float]) -> tuple[float, float]:
+    """Logarithms of the two largest ratios, 0 where there are fewer."""
+    best = sorted(ratios, reverse=True)[:2] + [0.0, 0.0]
+    return float(np.log1p(best[0])), float(np.log1p(best[1]))
 
 
 class Featurizer:
@@ -119,7 +137,9 @@ class Featurizer:
         flags = np.fromiter((known[t] if t in known else self.flags(t) for t in tokens), dtype=np.uint8, count=n)
         hit, stem = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
         you = np.flatnonzero(flags & 8)
-        words = [normal(tokens[i])[1] for i in hit]
+        words = [self.words[w] for w in {normal(tokens[i])[1] for i in hit}]
+        stems = [self.stems[w] for w in {normal(tokens[i])[1][:STEM] for i in stem}]
+        strong = sum(self.words[normal(tokens[i])[1]] >= STRONG for i in hit)
         near = 0
         if len(hit) and len(you):
             at = np.searchsorted(you, hit)
@@ -128,9 +148,9 @@ class Featurizer:
         raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
         size = max(1, int(raw.sum()))
         return [
-            len(hit) / n, float(np.log1p(len(hit))), float(np.log1p(len(set(words)))), len(stem) / n,
-            float(np.log1p(len({normal(tokens[i])[1][:STEM] for i in stem}))), float((flags & 4 > 0).sum()) / n,
-            sum(self.words[w] for w in set(words)), near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
+            len(hit) / n, float(np.log1p(len(hit))), float(np.log1p(len(words))), *_top(words), float(np.log1p(strong)), strong / n,
+            len(stem) / n, float(np.log1p(len(stems))), *_top(stems), float(np.log1p(sum(g >= STRONG for g in stems))),
+            float((flags & 4 > 0).sum()) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
             float((flags & 16 > 0).mean()), raw[33] / size, float(raw @ _PUNCT) / size, float((flags & 32 > 0).mean()), float(np.log1p(n)),
             len(_STRETCH.findall(text)) / n if "aaaa" in text or _STRETCH.search(text) else 0.0,
         ]

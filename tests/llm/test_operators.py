@@ -368,9 +368,9 @@ def test_toxicity_without_labels(spark, nothing):
 
 
 def test_toxicity_features():
-    f = toxicity.Featurizer({"widiot": 0.5, "sidiot": 0.4})
+    f = toxicity.Featurizer({"widiot": 90.0, "sidiot": 40.0})
     names = dict(zip(toxicity.FEATURES, f.of("you are an 1d1ot SHOUTING!!"), strict=True))
-    assert names["density"] == 1 / 5 and names["hidden"] == 1 / 5 and names["near_you"] == 1 / 5 and names["loud"] == 1 / 5
+    assert names["density"] == 1 / 5 and names["hidden"] == 1 / 5 and names["near_you"] == 1 / 5 and names["loud"] == 1 / 5 and names["strong_density"] == 1 / 5 and names["stem_strong"] == 0
     assert f.of(None) == f.of("  ") == [0.0] * len(toxicity.FEATURES)
 
 
