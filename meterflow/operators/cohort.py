@@ -77,11 +77,14 @@ def assign_districts(cohort: DataFrame, k: int) -> DataFrame:
     return cohort.withColumn("district_id", F.concat(F.lit("D"), (r % k + 1).cast("string")))
 
 
-def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """in_val: the first 8 bytes of a seeded SHA-256 of the key lie under the fraction of 2**64."""
+def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, prefix: str = "split") -> DataFrame:
+    """in_val: the first 8 bytes of SHA-256 of ``prefix:seed:key`` lie under the fraction of 2**64.
+
+    With another program's prefix its splits are met exactly.
+    """
     if not 0 <= fraction < 1:
         raise ValueError("the fraction must be in [0, 1)")
-    digest = F.sha2(F.concat(F.lit(f"ismc_split_v2:{seed}:"), F.col(key).cast("string")), 256)
+    digest = F.sha2(F.concat(F.lit(f"{prefix}:{seed}:"), F.col(key).cast("string")), 256)
     return df.withColumn("in_val", F.substring(digest, 1, 16) < f"{int(fraction * 2**64):016x}")
 
 

@@ -344,7 +344,7 @@ def assign_districts(spark: SparkSession, d: str) -> DataFrame:
     return cohort.assign_districts(_picked(spark, d), 4)
 
 
-@query("select household_id, substr(sha256('ismc_split_v2:3:' || household_id), 1, 16) < '3333333333333400' as in_val from (select distinct household_id from meter)")
+@query("select household_id, substr(sha256('split:3:' || household_id), 1, 16) < '3333333333333400' as in_val from (select distinct household_id from meter)")
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return cohort.hash_split(v.meter(spark, d).select("household_id").distinct(), "household_id", 0.2, 3)
 
