@@ -73,5 +73,16 @@ kept as (select doc_id, len(w) as n, case when qs is null then w else list_trans
 select doc_id, n::bigint as n_words, (n - len(k))::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept"""
 
 
+_JACCARD = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from d),
+size as (select doc_id, count(*) as n from g group by 1),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y, c = a.n and c = b.n as same from pair join size a on a.doc_id = x join size b on b.doc_id = y where c >= 0.8 * (a.n + b.n - c) - 1e-9),
+near as (select x, y, same from link union all select y, x, same from link),
+reach as (select x as doc_id, y as other from near union select r.doc_id, b.y from reach r join near b on r.other = b.x)
+select d.doc_id, least(d.doc_id, coalesce((select min(y) from near where x = d.doc_id and same), d.doc_id)) as class_id, (select count(*) from near where x = d.doc_id) as n_links, least(d.doc_id, coalesce((select min(other) from reach r where r.doc_id = d.doc_id), d.doc_id)) as group_id from d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _SUBSTRING, "op6_licenses": licenses.oracle()}
+    return {"op5_ngram_jaccard": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op6_licenses": licenses.oracle()}
