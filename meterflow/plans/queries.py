@@ -313,15 +313,15 @@ def _proportional(source: str, n: int) -> dict[str, str]:
 
 
 _SPLIT = (
-    {"ranked": _RANKED} | _proportional("ranked", 9) | {"rest1": "select * from ranked where household_id not in (select household_id from ranked_pick)"} | _proportional("rest1", 10) | {
-        "rest2": "select household_id, cluster from rest1 where household_id not in (select household_id from rest1_pick) order by cluster, household_id::varchar limit 60",
+    {"ranked": _RANKED} | _proportional("ranked", 3) | {"rest1": "select * from ranked where household_id not in (select household_id from ranked_pick)"} | _proportional("rest1", 3) | {
+        "rest2": "select household_id, cluster from rest1 where household_id not in (select household_id from rest1_pick) order by cluster, household_id::varchar limit 6",
         "splits": "select household_id, cluster, 'val' as split from ranked_pick union all select household_id, cluster, 'test' from rest1_pick union all select household_id, cluster, 'train' from rest2",
     }
 )
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.stratified_split(v.assignments(spark, d), 60, 9, 10, 7)
+    return cohort.stratified_split(v.assignments(spark, d), 6, 3, 3, 7)
 
 
 @query("select household_id, cluster, splits.split from splits", more=_SPLIT)

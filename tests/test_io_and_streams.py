@@ -170,3 +170,14 @@ def test_outbox_delivers_each_batch_once(spark, tmp_path):
     for _ in range(2):
         jobs.stream_outbox(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 30
+
+
+def test_sampling_job_writes_profiles_and_manifest(spark, tmp_path):
+    from meterflow.plans.etl import sampling_job
+
+    rows = [(h, T0 + dt.timedelta(minutes=15 * i), float(h % 3) * 5 + i % 2) for h in range(24) for i in range(8)]
+    meter = spark.createDataFrame(rows, "household_id long, ts timestamp_ntz, kwh double")
+    chosen = sampling_job(spark, meter, 9, 3, 1, str(tmp_path)).collect()
+    assert len(chosen) == 9 and {r.cluster for r in chosen} == {0, 1, 2}
+    assert readers.read_manifest(spark, f"{tmp_path}/manifest").count() == 9
+    assert spark.read.parquet(f"{tmp_path}/profiles").count() == 24
