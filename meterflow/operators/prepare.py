@@ -92,12 +92,17 @@ def time_bounds(df: DataFrame) -> DataFrame:
 
 
 def gap_fill(slots: DataFrame, step: str = "15 minutes") -> DataFrame:
-    """Every slot between a household's first and last one; the weather id is matched null-safely."""
-    span = slots.groupBy(HOUSEHOLD, "weather_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
-    grid = span.select(HOUSEHOLD, "weather_id", F.explode(F.expr(f"sequence(a, z, interval {step})")).alias("ts"))
-    seen = slots.select(F.col(HOUSEHOLD).alias("h"), F.col("weather_id").alias("w"), F.col("ts").alias("t"), "kwh")
-    same = (grid[HOUSEHOLD] == seen["h"]) & (grid["ts"] == seen["t"]) & grid["weather_id"].eqNullSafe(seen["w"])
-    return grid.join(seen, same, "left").select(HOUSEHOLD, "weather_id", "ts", "kwh")
+    """Every slot between the first and last one of a household and weather id, a null id too.
+
+    Each slot fills the gap up to the next one, so that no grid is joined, and rows stay
+    partitioned by household for the windows that follow.
+    """
+    order = Window.partitionBy(HOUSEHOLD).orderBy("weather_id", "ts")
+    follows = F.when(F.lead("weather_id").over(order).eqNullSafe(F.col("weather_id")), F.lead("ts").over(order))
+    ahead = slots.select(HOUSEHOLD, "weather_id", "ts", "kwh", follows.alias("next_ts"))
+    run = F.expr(f"sequence(ts, coalesce(next_ts - interval {step}, ts), interval {step})")
+    filled = ahead.select(HOUSEHOLD, "weather_id", "kwh", F.posexplode(run).alias("place", "ts"))
+    return filled.select(HOUSEHOLD, "weather_id", "ts", F.when(F.col("place") == 0, F.col("kwh")).alias("kwh"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,6 +170,13 @@ def winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy:
     return source.groupBy(HOUSEHOLD).agg(q.alias("q")).select(HOUSEHOLD, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
+def with_winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy: int = 10000) -> DataFrame:
+    """The rows with their own household's bounds, from one pass over its partition."""
+    whole = Window.partitionBy(HOUSEHOLD)
+    q = F.percentile_approx("kwh", [lo, hi], accuracy).over(whole)
+    return df.withColumn("q", q).withColumns({"lo": F.col("q")[0], "hi": F.col("q")[1]}).drop("q")
+
+
 def winsor_exact(df: DataFrame, lo: float = 0.001, hi: float = 0.999, min_n: int = 10) -> DataFrame:
     """Interpolated quantiles, null for households of fewer than min_n finite values."""
     x = finite("kwh")

@@ -23,7 +23,7 @@ def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manife
     hourly = prepare.dedupe_avg(weather, ["weather_id", "ts"], list(prepare.WEATHER))
     joined = prepare.missing_flags(prepare.null_nonfinite(prepare.weather_hour_join(slots, hourly), ["kwh", *prepare.WEATHER]))
     filled = prepare.fill_defaults(prepare.causal_impute(joined), dict.fromkeys(prepare.WEATHER, 0.0))
-    bounded = prepare.clip_bounds(prepare.quantile_join(filled, prepare.winsor_bounds(filled)), "kwh", "lo", "hi")
+    bounded = prepare.clip_bounds(prepare.with_winsor_bounds(filled), "kwh", "lo", "hi")
     return prepare.rolling_features(prepare.lag_features(prepare.calendar_features(bounded))).select(prepare.HOUSEHOLD, "weather_id", "ts", *EXTENDED)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.operators import report, updates
+from meterflow.plans.lineage import settle
 from meterflow.sources import writers
 
 
@@ -36,9 +37,9 @@ def district_deltas(rows: DataFrame, meta: DataFrame, config: RoundConfig) -> tu
     coords = rows.select("pos").distinct()
     valid = updates.validate_updates(rows, coords, config.max_parameters).where("reason is null").select("district_id", "agent_id")
     kept = rows.join(valid, ["district_id", "agent_id"], "left_semi")
-    clipped = updates.clip_updates(kept, config.clip)
+    clipped = settle(updates.clip_updates(kept, config.clip))
     plain = clipped.select("district_id", "agent_id", "pos", "value")
-    chosen = updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain), config.f), config.f)
+    chosen = settle(updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain), config.f), config.f))
     accepted = plain.join(chosen.where("accepted").select("district_id", "agent_id"), ["district_id", "agent_id"], "left_semi")
     norms = clipped.groupBy("district_id", "agent_id").agg(F.first("l2").alias("original_l2"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("clipped_l2"))
     audit = chosen.withColumnRenamed("score", "krum_score").join(norms, ["district_id", "agent_id"]).join(meta, ["district_id", "agent_id"], "left")
@@ -55,13 +56,13 @@ def city_delta(districts: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def federated_round(rows: DataFrame, meta: DataFrame, w: DataFrame, config: RoundConfig | None = None, validator: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> RoundResult:
-    """One round over fixed updates (district_id, agent_id, pos, value); all frames are lazy.
+    """One round over fixed updates (district_id, agent_id, pos, value); what is used more than once is settled.
 
     The validator takes (weights, candidate) and returns the candidate to use.
     """
     config = config or RoundConfig()
     districts, audit = district_deltas(rows, meta, config)
-    delta = city_delta(districts, audit)
+    delta = settle(city_delta(districts, audit))
     gate = updates.relative_update_gate(w, delta.where("contributed"), config.limit)
     candidate = updates.apply_global_delta(w, delta)
     if validator is not None:
