@@ -6,7 +6,8 @@ a document is read, so that a row stands for many edges.  Joins on the minimiser
 that two documents share.  A repeated path whose words are equal everywhere does not branch and
 is settled as a whole; where paths of one minimiser differ, the graph branches and their
 edges are compared one by one.  Source coordinates (document, first word) of the earliest
-occurrence decide what goes.  Words are compared by two independent 64-bit hashes.
+occurrence decide what goes.  Paths are compared by minimiser and path hash, edges by two hashes, of
+64 bits each and independent.
 
 Cases: null or empty text has no words and loses none; a null doc_id is neither a source nor
 later than one; rows that repeat a doc_id are judged each on its own text, and are not
@@ -18,6 +19,7 @@ from __future__ import annotations
 from itertools import compress
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,21 @@ WINDOW = 50
 INNER = 25
 
 
+def _squeezed(rows: dict[str, list]) -> dict[str, list]:
+    """Texts as compressed bytes, since they go through two shuffles."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return {k: v for k, v in rows.items() if k != "text"} | {"packed": [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]}
+
+
+def _plain(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _paths(window: int, inner: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out = {k: [] for k in ("m", "h1", "h2", "doc_id", "loc", "n")}
+        out = {k: [] for k in ("m", "h", "doc_id", "loc", "n")}
         for texts, at in batches(rows["text"], np.arange(len(rows["text"]))):
-            words = Words(texts, second=True)
+            words = Words(texts)
             begin = words.starts(window)
             if not len(begin):
                 continue
@@ -45,7 +57,7 @@ def _paths(window: int, inner: int):
             lo = begin[fresh]
             doc = words.doc[lo]
             where = np.asarray(rows["th"], dtype=np.int64)[at][doc] << 32 | (lo - words.first[doc])
-            for name, column in (("m", least[fresh]), ("h1", words.rolling(0).of(lo, lo + count + window - 1)), ("h2", words.rolling(1).of(lo, lo + count + window - 1)), ("doc_id", np.asarray(rows["doc_id"], dtype=np.int64)[at][doc]), ("loc", where), ("n", count)):
+            for name, column in (("m", least[fresh]), ("h", words.rolling(0).of(lo, lo + count + window - 1)), ("doc_id", np.asarray(rows["doc_id"], dtype=np.int64)[at][doc]), ("loc", where), ("n", count)):
                 out[name].append(column.astype(np.int64) if column.dtype != np.uint64 else column.view(np.int64))
         return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
@@ -55,8 +67,8 @@ def _paths(window: int, inner: int):
 def _edges(window: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in ("w1", "w2", "doc_id", "loc")}
-        for text, doc_id, th, paths in zip(rows["text"], rows["doc_id"], rows["th"], rows["paths"], strict=True):
-            words = Words([text], second=True)
+        for packed, doc_id, th, paths in zip(rows["packed"], rows["doc_id"], rows["th"], rows["paths"], strict=True):
+            words = Words([_plain(packed).decode("utf-8", "surrogatepass")], second=True)
             at = np.unique(np.concatenate([np.arange(p["lo"], p["lo"] + p["n"]) for p in paths]))
             out["w1"].append(words.rolling(0).of(at, at + window, 3).view(np.int64))
             out["w2"].append(words.rolling(1).of(at, at + window, 3).view(np.int64))
@@ -69,8 +81,8 @@ def _edges(window: int):
 
 def _cut(rows: dict[str, list]) -> dict[str, list]:
     out = {k: [] for k in ("row", "doc_id", "n_words", "n_removed", "kept")}
-    for row, doc_id, text, spans in zip(rows["row"], rows["doc_id"], rows["text"], rows["spans"], strict=True):
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+    for row, doc_id, packed, spans in zip(rows["row"], rows["doc_id"], rows["packed"], rows["spans"], strict=True):
+        words = _plain(packed).split()
         n = len(words)
         if spans:
             change = np.zeros(n + 1, dtype=np.int64)
@@ -85,18 +97,20 @@ def _cut(rows: dict[str, list]) -> dict[str, list]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
     """(doc_id, th, lo, len): words lo..lo+len of a document that an earlier one has too."""
     texts = documents(docs).where("doc_id is not null and text is not null").withColumn("th", text_hash())
-    paths = per_batch(texts, "m long, h1 long, h2 long, doc_id long, loc long, n long", _paths(window, inner))
+    paths = per_batch(texts, "m long, h long, doc_id long, loc long, n long", _paths(window, inner))
     shared = paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
     found = settle(paths.join(shared, "m"))
-    distinct = settle(found.groupBy("m", "h1", "h2").agg(F.min("doc_id").alias("source")))
+    distinct = settle(found.groupBy("m", "h").agg(F.min("doc_id").alias("source")))
     branching = distinct.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m", F.lit(True).alias("branches"))
     known = distinct.join(branching, "m", "left")
-    placed = settle(found.join(known, ["m", "h1", "h2"]).where("source < doc_id or branches").select("doc_id", "loc", "n", "source"))
+    placed = settle(found.join(known, ["m", "h"]).where("source < doc_id or branches").select("doc_id", "loc", "n", "source"))
     lo, th = F.col("loc").bitwiseAND(2**32 - 1), F.shiftright("loc", 32)
     whole = placed.where("source < doc_id").select("doc_id", th.alias("th"), lo.alias("lo"), (F.col("n") + window - 1).alias("len"))
     first = placed.where("source = doc_id").groupBy("doc_id", th.alias("th")).agg(F.collect_list(F.struct(lo.alias("lo"), "n")).alias("paths"))
-    edges = settle(per_batch(texts.join(first, ["doc_id", "th"]), "w1 long, w2 long, doc_id long, loc long", _edges(window)))
-    earliest = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    packed = per_batch(texts, "doc_id long, th long, packed binary", _squeezed)
+    edges = settle(per_batch(packed.join(first, ["doc_id", "th"]), "w1 long, w2 long, doc_id long, loc long", _edges(window)))
+    # Kept apart from the join below, so that Spark may split the rows of a very common edge.
+    earliest = settle(edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last"))
     single = edges.join(earliest, ["w1", "w2"]).where("source < doc_id").select("doc_id", th.alias("th"), lo.alias("lo"), F.lit(window).cast("long").alias("len"))
     return whole.unionByName(single)
 
@@ -111,7 +125,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).withColumn("th", text_hash())
-    joined = texts.join(spans, ["doc_id", "th"], "left").select("row", "doc_id", "text", "spans")
+    packed = per_batch(texts, fields(texts, ["row", "doc_id", "th"], "packed binary"), _squeezed)
+    joined = packed.join(spans, ["doc_id", "th"], "left").select("row", "doc_id", "packed", "spans")
     return per_batch(joined, fields(joined, ["row"], "doc_id long, n_words long, n_removed long, kept string"), _cut)
 
 
