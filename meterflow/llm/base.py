@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -56,9 +57,13 @@ def per_batch(df: DataFrame, schema: str | StructType, work: Callable[[dict[str,
     arrow = to_arrow_schema(out_schema)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            if batch.num_rows:
-                out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        gc.disable()  # lists of many short strings, without cycles, are traversed again and again
+        try:
+            for batch in them:
+                if batch.num_rows:
+                    out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            gc.enable()
 
     return df.mapInArrow(run, out_schema)

@@ -44,25 +44,34 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """A vocabulary with its merge ranks."""
+    """A vocabulary with its merge ranks.
+
+    A part is its bytes and whether it ends a word in a vocabulary that tells such parts apart.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = _byte_letters()
-        self.id_of: dict[bytes, int] = {}
-        for word, number in spec["model"]["vocab"].items():
-            self.id_of[bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()] = number
-        self.rank: dict[tuple[bytes, bytes], int] = {}
+        letters, end = _byte_letters(), spec["model"].get("end_of_word_suffix") or ""
+        special = {t["content"] for t in spec["added_tokens"]}
+
+        def part(text: str) -> tuple[bytes, bool]:
+            last = bool(end) and text.endswith(end)
+            return bytes(letters[c] for c in (text.removesuffix(end) if last else text)), last
+
+        self.id_of = {part(w): n for w, n in spec["model"]["vocab"].items() if w not in special}
+        self.rank: dict[tuple[tuple[bytes, bool], tuple[bytes, bool]], int] = {}
         for i, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank[bytes(letters[c] for c in a), bytes(letters[c] for c in b)] = i
-        self.byte_id = np.array([self.id_of[bytes([b])] for b in range(256)], dtype=np.int64)
+            self.rank[part(a), part(b)] = i
+        self.ends = bool(end)
+        self.byte_id = np.array([self.id_of[bytes([b]), False] for b in range(256)], dtype=np.int64)
+        self.last_id = np.array([self.id_of[bytes([b]), self.ends] for b in range(256)], dtype=np.int64)
         pairs = sorted((self.id_of[a] << 32 | self.id_of[b], i) for (a, b), i in self.rank.items())
         self.pair_key, self.pair_rank = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
-        self.made = np.array([self.id_of[a + b] for a, b in self.rank], dtype=np.int64)
+        self.made = np.array([self.id_of[a[0] + b[0], b[1]] for a, b in self.rank], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {n: w for w, n in self.id_of.items()} | {n: t.encode() for t, n in self.special.items()}
+        self.bytes_of = {n: w[0] for w, n in self.id_of.items()} | {n: t.encode() for t, n in self.special.items()}
         self.name_of = [str(i) for i in range(max(self.bytes_of) + 1)]
         strict = PATTERN.replace(r"[^\s", f"[^{_SPACES}").replace(r"\s+(?!\S)|\s+", f"[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
         self.pattern = regex.compile(strict)
@@ -83,7 +92,9 @@ class ByteBpe:
         for size, at in by_size.items():
             if size:
                 raw = np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(len(at), size)
-                self._short(self.byte_id[raw], np.asarray(at), out)
+                parts = self.byte_id[raw]
+                parts[:, -1] = self.last_id[raw[:, -1]]
+                self._short(parts, np.asarray(at), out)
         return out
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,7 +127,7 @@ class ByteBpe:
                 r, c = row[ok], side[ok]
                 ranks[r, c] = self._ranks(parts[r, c], parts[r, c + 1])
 
-    def _long(self, word: bytes) -> list[bytes]:
+    def _long(self, word: bytes) -> list[tuple[bytes, bool]]:
         n = len(word)
         end, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, int, int]] = []
@@ -124,7 +135,7 @@ class ByteBpe:
         def push(i: int) -> None:
             j = end[i]
             if j < n:
-                r = self.rank.get((word[i:j], word[j : end[j]]))
+                r = self.rank.get(((word[i:j], False), (word[j : end[j]], self.ends and end[j] == n)))
                 if r is not None:
                     heapq.heappush(heap, (r, i, j, end[j]))
 
@@ -140,7 +151,7 @@ class ByteBpe:
             push(i)
             if before[i] >= 0:
                 push(before[i])
-        return [word[i : end[i]] for i in range(n) if live[i]]
+        return [(word[i : end[i]], self.ends and end[i] == n) for i in range(n) if live[i]]
 
     def _learn(self, pieces: set[str]) -> None:
         """Encodes and decodes pieces that are cut alike in any place."""

@@ -17,47 +17,76 @@ from __future__ import annotations
 import re
 import zlib
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterflow.llm.base import documents, per_batch, settle
+from meterflow.llm.bpe import ByteBpe
 
 CAPACITY = 2048
 #: The token that closes a document.
 CLOSING = 0
 SALTS = 64
-KEEP = 500_000
-#: U+001C..U+001F are white space for str.split but not for the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
+KEEP = 800_000
+#: Fixed value: the pattern that cuts lower-case text into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Signs that are set apart before a text is cut, so that fewer different words are left.
+APART = ".,"
+#: Where such a sign stands beside another one, both are one pre-token and must stay together.
+_TOGETHER = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
+#: U+001C..U+001F are white space for str.split but not for the tokenizer; the lower case of some
+#: letters hangs on their place for str.lower; special tokens are matched before anything else.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "\u03a3", "\u0130")
 
 
 class WordIds:
-    """Token ids of texts; words between white space are encoded once and kept."""
+    """Token ids of texts; words between white space are encoded once and kept.
+
+    Texts that need more than lower case and such a cut go to the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bpe = ByteBpe(path)
+        self.pattern = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def words(self, text: str) -> list[str] | None:
+        """Words that are encoded each by itself; none if the tokenizer must see the text."""
+        if not text.isascii() and not is_normalized("NFC", text) or any(x in text for x in _ODD):
+            return None
+        text = text.lower()
+        if not _TOGETHER.search(text):
+            for sign in APART:
+                text = text.replace(sign, f" {sign} ")
+        return text.split()
+
+    def learn(self, words: list[str]) -> None:
+        cut = [(w,) if w.isalpha() else self.pattern.findall(w) for w in words]
+        tokens = list(set(chain.from_iterable(cut)))
+        ids = dict(zip(tokens, (np.array(x, dtype="<u4").tobytes() for x in self.bpe.merge([t.encode() for t in tokens])), strict=True))
+        self.known.update(zip(words, (ids[c[0]] if len(c) == 1 else b"".join([ids[t] for t in c]) for c in cut), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [None if _ODD.search(t) else t.split() for t in texts]
+        cut = [self.words(t) for t in texts]
         wanted = set(chain.from_iterable(c for c in cut if c))
         fresh = wanted.difference(self.known)
         if len(self.known) + len(fresh) > KEEP:
             self.known.clear()
             fresh = wanted
-        words = list(fresh)
-        for i in range(0, len(words), 20_000):
-            self.known.update(zip(words[i : i + 20_000], self.whole(words[i : i + 20_000]), strict=True))
-        return [self.whole([t])[0] if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        self.learn(list(fresh))
+        return [self.whole(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def _pieces(path: str, capacity: int):
