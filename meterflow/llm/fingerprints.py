@@ -26,6 +26,8 @@ from meterflow.llm.base import settle
 
 UNIFORM, SIGNED = 8, 128
 RANGES = 256
+#: Stands for a null doc_id, before all others.
+NULL_ID = -(2**63)
 #: Paragraphs end at a line break, or after a sentence sign and a blank.
 PARAGRAPH = r"\n|(?<=[.!?]) "
 
@@ -94,33 +96,51 @@ def next_ids(ids: DataFrame, ranges: int = RANGES) -> DataFrame:
     return inside.join(F.broadcast(linked), "k", "left").select("k", F.coalesce("before", "far").alias("next_k"))
 
 
-def edited_texts(docs: DataFrame) -> DataFrame:
-    """k, place, doc_id, text, n_chars, edited, next_k: one per row, (k, place) unique.
+def placed_texts(docs: DataFrame) -> DataFrame:
+    """k, text, place, first: one per row, (k, place) unique; a null doc_id has the least k.
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many
-    of the next document.
+    Every use of it asks for the same columns, so that the texts are shuffled once; a limit on
+    ``place`` would be applied before the shuffle and make another one of it, so ``first`` is
+    told by the row before.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("n_chars", F.char_length("text").cast("long"))
-    sizes = settle(texts.groupBy("k").agg(F.expr("max(n_chars) div 2").alias("half")))
-    asks = sizes.join(next_ids(sizes.select("k")), "k").select(F.col("k").alias("asker"), F.col("next_k").alias("k"), "half")
-    placed = texts.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("text")))
-    # The first row of the next document knows who asks, and for how much.
-    given = placed.where("place = 1").join(asks, "k").select(F.col("asker").alias("k"), F.col("k").alias("next_k"), F.expr("substring(text, 1, int(half))").alias("head"))
-    half = F.expr("int(n_chars div 2)")
-    return placed.join(given, "k").withColumn("cut", half).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars) - cut), substring(head, 1, cut))")).drop("cut", "head")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("k").orderBy("text")
+    return texts.withColumns({"place": F.row_number().over(order), "first": F.lag("k").over(order).isNull()})
+
+
+def asks(docs: DataFrame) -> DataFrame:
+    """(k, asker, half): the document that is next to the asker, and how much of it is asked for."""
+    sizes = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k")).agg(F.floor(F.max(F.char_length(F.coalesce("text", F.lit("")))) / 2).cast("int").alias("half"))
+    sizes = settle(sizes)
+    return settle(sizes.join(next_ids(sizes.select("k")), "k").select(F.col("next_k").alias("k"), F.col("k").alias("asker"), "half"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    texts = edited_texts(docs)
-    keys = ["k", "place", "doc_id", "n_chars", "next_k", "edited_sha256"]
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many
+    of the next document.  Only heads of texts and lanes travel to the document before.
+    """
+    placed, asked = placed_texts(docs), asks(docs)
+    first = placed.where("first")
+    heads = first.join(asked, "k").select(F.col("asker").alias("k"), F.expr("substring(text, 1, half)").alias("head"))
+    whole = first.select("k", F.explode_outer(paragraphs("text")).alias("p"))
+    lanes = summed(whole, ["k"]).join(asked, "k").select(F.col("asker").alias("k"), F.col("signed").alias("next_signed"))
+    texts = placed.join(heads, "k").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+    edited = F.expr("concat(substring(text, 1, int(n_chars) - half), substring(head, 1, half))")
     both = F.concat(F.transform(paragraphs("text"), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("p"))), F.transform(paragraphs("edited"), lambda p: F.struct(F.lit(1).alias("kind"), p.alias("p"))))
-    cut = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode_outer(both).alias("one")).select(*keys, F.coalesce("one.kind", F.lit(0)).alias("kind"), "one.p")
+    keys = ["k", "place", "n_chars", "edited_sha256"]
+    cut = texts.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode_outer(both).alias("one")).select(*keys, F.coalesce("one.kind", F.lit(0)).alias("kind"), "one.p")
     sums = summed(cut, [*keys, "kind"])
     none = F.array_repeat(F.lit(0).cast("long"), UNIFORM), F.array_repeat(F.lit(0).cast("short"), SIGNED)
     pick = lambda c, kind, empty: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), empty)
-    wide = sums.groupBy(*keys).agg(*[pick(c, i, e).alias(f"{c}{i}") for c, e in zip(("wide", "signed"), none, strict=True) for i in (0, 1)])
-    own = settle(wide.select(*keys, as_text(F.col("wide0"), F.col("signed0")).alias("fingerprint"), as_text(F.col("wide1"), F.col("signed1")).alias("edited_fingerprint"), likeness(F.col("signed0"), F.col("signed1")).alias("near_edited"), F.col("signed0").alias("signed")))
-    other = own.where("place = 1").select(F.col("k").alias("next_k"), F.col("signed").alias("next_signed"))
-    return own.join(other, "next_k").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("signed"), F.col("next_signed")).alias("near_next"))
+    own = sums.groupBy(*keys).agg(*[pick(c, i, e).alias(f"{c}{i}") for c, e in zip(("wide", "signed"), none, strict=True) for i in (0, 1)])
+    return own.join(lanes, "k").select(
+        F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("wide0"), F.col("signed0")).alias("fingerprint"),
+        as_text(F.col("wide1"), F.col("signed1")).alias("edited_fingerprint"),
+        likeness(F.col("signed0"), F.col("signed1")).alias("near_edited"),
+        likeness(F.col("signed0"), F.col("next_signed")).alias("near_next"),
+    )
