@@ -30,10 +30,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
-    groups = jaccard.similar_groups(docs).where("group_id = doc_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi")
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """A row of each group of near copies: that of the smallest doc_id."""
+    return jaccard.firsts(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

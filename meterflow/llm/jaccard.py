@@ -1,6 +1,6 @@
 """N-gram Jaccard join: which documents share at least ``THRESHOLD`` of their word shingles.
 
-1. Documents of equal shingle sets form one class; its smallest doc_id stands for it.
+1. Documents of equal shingle sets form one class, known by the number of one of its rows.
 2. MinHash bands propose links between classes.  A band links each class to the band's
    smallest, never all pairs; connected sets of such links are the candidate sets.
 3. Each pair inside a candidate set is judged once, in blocks, so that a large set is spread
@@ -14,8 +14,8 @@ with 1e-14.
 
 Cases: a text of fewer than five words has one shingle of all its words; one without words
 (or null) is in no link and a group of its own; rows that repeat a doc_id count as documents
-of their own; rows with a null doc_id are grouped like others but are never the smallest
-unless alone; other columns are ignored.
+of their own, and classes never meet by doc_id; rows with a null doc_id are linked and grouped
+like others, and class and group are null where all ids are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import documents, per_batch, settle
+from meterflow.llm.base import documents, per_batch, prepare, settle
 from meterflow.llm.components import components
 from meterflow.llm.grams import Words, batches, minhash, mix, unique_shingles
 
@@ -49,7 +49,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "k1", "k2", "n", "bands")}
+        out: dict[str, list] = {k: [] for k in ("at", "doc_id", "h", "k1", "k2", "n", "bands")}
         for texts, at in batches([t or "" for t in rows["text"]], np.arange(len(rows["text"]))):
             doc, shingle = unique_shingles(Words(texts), width, len(texts))
             n = np.bincount(doc, minlength=len(texts))
@@ -66,7 +66,8 @@ def _sketch(width: int):
                 for r in range(ROWS):
                     key = mix(key ^ values[:, b * ROWS + r])
                 bands[:, b] = key
-            out["doc_id"] += [rows["doc_id"][i] for i in at]
+            for name in ("at", "doc_id", "h"):
+                out[name] += [rows[name][i] for i in at]
             out["k1"] += _signed(keys[0]).tolist()
             out["k2"] += _signed(keys[1]).tolist()
             out["n"] += n.tolist()
@@ -139,7 +140,7 @@ def verified_pairs(texts: list[str], block: list[int], width: int, threshold: fl
 
 def _judge(width: int, threshold: float):
     least = least_matches(threshold, TOLERANCE)
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def one(group: list[tuple]) -> tuple[list, list, list]:
         reps = [g[1] for g in group]
@@ -174,36 +175,69 @@ def _judge(width: int, threshold: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links, group_id) for each document.
+def row_key() -> list[F.Column]:
+    """(id0, h), equal for rows of equal doc_id and text, nulls included."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h")]
 
-    class_id: the smallest doc_id with the same shingles.  n_links: how many other documents
-    are at least as similar as the threshold, copies included.  group_id: the smallest doc_id
-    reachable over such links.
-    """
-    texts = documents(docs)
-    sketch = settle(per_batch(texts, "doc_id long, k1 long, k2 long, n long, bands array<long>", _sketch(width)))
-    classes = settle(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    bands = sketch.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"]).select("doc_id", F.explode("bands").alias("band")).distinct()
-    lowest = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "low")
-    near = bands.join(lowest, "band").where("doc_id > low").select("low", "doc_id").distinct()
-    sets = settle(components(near, "low", "doc_id"))
+
+def grouped(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """similar_groups with (id0, h) of each row, its words' presence, and the number of its group."""
+    texts = documents(docs).select("doc_id", "text", *row_key())
+    numbered = texts.select(F.monotonically_increasing_id().alias("at"), "doc_id", "h", "text")
+    sketch = settle(per_batch(numbered, "at long, doc_id long, h long, k1 long, k2 long, n long, bands array<long>", _sketch(width)))
+    classes = settle(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    heads = sketch.withColumnRenamed("at", "node").join(classes.select("node", "copies"), "node")
+    bands = heads.select("node", F.explode("bands").alias("band")).distinct()
+    lowest = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+    near = bands.join(lowest, "band").where("node > low").select("low", "node").distinct()
+    sets = settle(components(near, "low", "node"))
     blocks = sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = placed.join(classes.select(F.col("rep").alias("node"), "copies"), "node")
-    one_text = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    loaded = members.join(one_text.withColumnRenamed("doc_id", "node"), "node")
+    members = placed.join(heads.select("node", F.coalesce("doc_id", F.lit(0)).alias("id0"), "h", "copies"), "node")
+    one_text = texts.join(members.select("node", "id0", "h"), ["id0", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+    loaded = members.join(one_text, "node")
     pairs = loaded.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.concat_ws(",", "component", F.least("block", "with"), F.greatest("block", "with")).alias("key"), F.col("node").alias("rep"), "block", "copies", "text"
+        F.concat_ws(",", "component", F.least("block", "with"), F.greatest("block", "with")).alias("key"), "node", "block", "copies", "text"
     )
-    dealt = pairs.repartition("key").sortWithinPartitions("key", "rep")
-    judged = settle(dealt.mapInArrow(_judge(width, threshold), "rep long, links long, root long"))
-    groups = components(judged, "rep", "root").select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    totals = judged.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(totals, "rep", "left").join(groups, "rep", "left")
-    return sketch.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"], "left").select(
+    dealt = pairs.repartition("key").sortWithinPartitions("key", "node")
+    judged = settle(dealt.mapInArrow(_judge(width, threshold), "node long, links long, root long"))
+    found = components(judged, "node", "root")
+    least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
+    groups = found.join(least, "component")
+    totals = judged.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.join(totals, "node", "left").join(groups, "node", "left")
+    return sketch.select("at", "doc_id", "h", "k1", "k2", "n").join(known, ["k1", "k2"], "left").select(
         "doc_id",
         F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce("group", "rep", "doc_id").alias("group_id"),
+        F.coalesce("low", "rep", "doc_id").alias("group_id"),
+        F.coalesce("doc_id", F.lit(0)).alias("id0"),
+        "h",
+        (F.col("n") > 0).alias("worded"),
+        F.coalesce("component", "node", "at").alias("group"),
     )
+
+
+def similar_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links, group_id) for each document.
+
+    class_id: the smallest doc_id with the same shingles.  n_links: how many other documents
+    are at least as similar as the threshold, copies included.  group_id: the smallest doc_id
+    reachable over such links.
+    """
+    return grouped(docs, width, threshold).select("doc_id", "class_id", "n_links", "group_id")
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all columns: of its smallest doc_id (null if it has no other).
+
+    Rows of that id in the group differ by their text's hash, equal ones by that of the whole row;
+    rows without words are groups of their own and all stay.
+    """
+    prepare(docs.sparkSession)
+    rows = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
+    one = rows.groupBy("group").agg(F.min("id0").alias("id0"), F.min("h").alias("h"), F.max("worded").alias("worded"))
+    chosen = one.select("id0", "h", "worded").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(), F.xxhash64(*docs.columns).alias("whole"))
+    place = F.row_number().over(Window.partitionBy("id0", "h").orderBy("whole"))
+    return keyed.join(chosen, ["id0", "h"]).withColumn("place", place).where("place = 1 or not worded").select("row.*")

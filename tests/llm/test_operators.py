@@ -175,6 +175,27 @@ def test_similar_groups(docs, rows, nothing):
     assert jaccard.similar_groups(nothing).count() == 0
 
 
+def test_similar_groups_of_repeated_and_null_ids(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "x"])
+    c, d = " ".join(f"c{i}" for i in range(30)), " ".join(f"d{i}" for i in range(30))
+    rows = [(1, " ".join(a), 0), (1, " ".join(b), 1), (2, near(a), 2), (3, near(b), 3), (1, c, 4), (None, d, 5), (None, d + " y", 6), (None, d, 7), (None, c, 8), (7, "", 9), (7, "", 10), (8, d[::-1], 11), (8, d[::-1], 12), (None, "e f", 13)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    got = Counter((r.doc_id, r.n_links, r.group_id) for r in jaccard.similar_groups(odd).collect())
+    assert got == Counter({(1, 1, 1): 3, (2, 1, 1): 1, (3, 1, 1): 1, (None, 2, None): 3, (None, 1, 1): 1, (7, 0, 7): 2, (8, 1, 8): 2, (None, 0, None): 1})
+    kept = sorted((r.doc_id or 0, r.text, r.at) for r in jaccard.firsts(odd).collect())
+    assert len(kept) == 8 and {x[2] for x in kept} >= {0, 1, 4, 9, 10, 13} and {2, 3, 8}.isdisjoint(x[2] for x in kept)
+    assert sum(x[1].startswith("d0") for x in kept) == 1 and sum(x[0] == 8 for x in kept) == 1
+
+
+def test_links_stay_with_the_text_of_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    odd = spark.createDataFrame([(5, a), (5, b), (2, b + " x")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.group_id) for r in jaccard.similar_groups(odd).collect())
+    assert got == Counter({(5, 5, 0, 5): 1, (5, 5, 1, 2): 1, (2, 2, 1, 2): 1})
+    assert sorted(r.text for r in jaccard.firsts(odd).collect()) == [a, b + " x"]
+
+
 def test_large_sets_are_judged_in_blocks(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
