@@ -5,10 +5,9 @@
    forms, comments, by element or by class, id and role) or plain.
 2. Each page is paired with the page of its host whose URL path is nearest, its neighbour in
    the order of (path, page): hosts are sorted over ranges, so that a large host is spread.
-3. The lines of the two pages are aligned by their longest common subsequence, and shared
-   lines go, unless they stand in a content region (articles may quote each other).  A page
-   without a content region keeps its plain lines that are not shared; one with it keeps those
-   of that region.
+3. The lines of the two pages outside content regions are aligned by their longest common
+   subsequence, and shared ones go.  Every page keeps the plain lines that are left, beside its
+   content regions, which stay whole (articles may quote each other).
 
 Cases: null or empty html gives an empty text; a page alone on its host loses no shared lines;
 rows that repeat a page_id are extracted each on its own and share a neighbour; a malformed
@@ -156,9 +155,9 @@ def shared(a: list, b: list) -> set[int]:
 def main_text(html: str, other: list[str]) -> str:
     """The page's main text, given the lines of its nearest page."""
     mine = lines(html)
-    common = shared([t for t, _ in mine], other) if other else set()
-    least = 2 if any(r == 2 for _, r in mine) else 1
-    return "\n\n".join(t for i, (t, r) in enumerate(mine) if r >= least and (r == 2 or i not in common))
+    outside = [i for i, (_, r) in enumerate(mine) if r < 2]
+    common = {outside[k] for k in shared([mine[i][0] for i in outside], other)} if other else set()
+    return "\n\n".join(t for i, (t, r) in enumerate(mine) if r == 2 or r == 1 and i not in common)
 
 
 def _outside(rows: dict[str, list]) -> dict[str, list]:

@@ -539,6 +539,12 @@ def test_html_extraction(spark):
     assert html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_beside_an_article(spark):
+    rows = [(i, f"http://h.example/en/{i}", page(f"<div>Shared top</div><p>Intro {i}</p><article><p>Same</p><p>Body {i}</p></article><p>Same</p><div>After {i}</div>")) for i in (1, 2)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Intro {i}\n\nSame\n\nBody {i}\n\nAfter {i}" for i in (1, 2)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(300):
