@@ -2,7 +2,9 @@
 
 1. A page becomes text lines, one per block, each with the region it stands in: content (an
    article or main element), furniture (menus, headers, footers, sidebars, notices, adverts,
-   forms, comments, by element or by class, id and role) or plain.
+   forms, comments, by element or by a whole class, id or role) or plain.  An article or main
+   element inside furniture is content again, unless an article is one of many there (teasers,
+   comments, adverts); a header inside content belongs to it.
 2. Each page is paired with the page of its host whose URL path is nearest, its neighbour in
    the order of (path, page): hosts are sorted over ranges, so that a large host is spread.
 3. The lines of the two pages outside content regions are aligned by their longest common
@@ -34,22 +36,29 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of a block ends, if they are open and nothing encloses them.
 CLOSED_BY_BLOCK = frozenset(("p",))
-#: Words in class, id or role that mark furniture.
+#: Whole names in class, id or role that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social comment comments disqus respond related recommended widget toolbar pagination pager login search form contentinfo complementary".split())
+#: Starts of such names.
+STARTS = ("ad-", "ads-", "advert-", "navbar-", "breadcrumb-", "cookie-", "newsletter-", "share-", "social-", "comment-", "comments-", "related-", "widget-", "pagination-")
+#: Elements and names of furniture whose articles are not the page's own.
+OTHERS = frozenset("nav footer aside menu dialog ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond related recommended widget popup modal".split())
+#: Elements that no class, id or role marks.
+WHOLE = frozenset("html body article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title"}
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> int | None:
+    """-1 for furniture that holds articles of others, 0 for other furniture, else None."""
     if name in FURNITURE:
-        return True
-    if "=" in attributes:
-        for found in _MARK.findall(attributes):
-            if not MARKS.isdisjoint(_WORD.findall("".join(found).lower())):
-                return True
-    return False
+        found = {name}
+    elif "=" in attributes and name not in WHOLE:
+        names = {n for m in _MARK.findall(attributes) for n in "".join(m).lower().split()}
+        found = {n for n in names if n in MARKS} | {n.split("-")[0] for n in names if n.startswith(STARTS)}
+    else:
+        return None
+    return None if not found else 0 if OTHERS.isdisjoint(found) else -1
 
 
 def lines(html: str) -> list[tuple[str, int]]:
@@ -63,7 +72,7 @@ def lines(html: str) -> list[tuple[str, int]]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append((line, region))
+                out.append((line, max(region, 0)))
             text.clear()
 
     while at < size:
@@ -105,10 +114,11 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         attributes = token.group(2) or ""
         inner = region
-        if _is_furniture(name, attributes):
-            inner = 0
-        elif name in CONTENT and region:
+        kind = _furniture(name, attributes)
+        if name == "main" or name in CONTENT and region >= 0:
             inner = 2
+        elif kind is not None and not (name == "header" and region == 2):
+            inner = min(kind, region)
         hidden = silent or name in SILENT
         if name in _RAW:  # its inside is not markup
             end = re.compile(f"</{name}", re.I).search(html, at)

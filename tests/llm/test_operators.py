@@ -539,6 +539,14 @@ def test_html_extraction(spark):
     assert html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
 
 
+def test_marks_do_not_swallow_articles():
+    body = "<article class='post has-comments'><header><h1>Head</h1></header><div class='entry-header'>Sub</div><p>Text</p><div class='comments'><article>first!</article></div></article>"
+    want = "Head\n\nSub\n\nText"
+    for wrap in ("<body class='no-sidebar'>{}</body>", "<div class='content-with-sidebar'>{}</div>", "<div id='has-comments'>{}</div>", "<form>{}</form>", "<div class='sidebar'>{}</div>"):
+        assert html.main_text(wrap.format(body), []) == want
+    assert html.main_text("<main class='search'><p>x</p></main><div class='related widget'><article>other</article></div><div class='cookie-bar ad'>y</div><div role='search'>z</div>", []) == "x"
+
+
 def test_differencing_beside_an_article(spark):
     rows = [(i, f"http://h.example/en/{i}", page(f"<div>Shared top</div><p>Intro {i}</p><article><p>Same</p><p>Body {i}</p></article><p>Same</p><div>After {i}</div>")) for i in (1, 2)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
