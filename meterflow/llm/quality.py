@@ -1,11 +1,12 @@
 """Quality rules: counts per document, and its divergence from language references.
 
 References are the character-class and common-word histograms of all documents of a
-language (``lang``; null counts as a language of its own).  Common words are a language's
-``COMMON`` most frequent words of at most ``LETTERS`` characters, in lower case.  A document that
-passes the base rules is rejected if, for the nearest language, the Jensen-Shannon distance of
-its character classes exceeds ``CLASS_LIMIT``, or that of its words ``WORD_LIMIT``; texts under
-``LEAST_CHARS`` characters or ``LEAST_WORDS`` words are too short to judge and pass.
+language (``lang``) that at least ``LEAST_DOCS`` have; null or empty counts only if no language has.
+Common words are a language's ``COMMON`` most frequent words with a letter, in lower case.  A
+document that passes the base rules is rejected if, for the nearest language, the Jensen-Shannon
+distance of its character classes exceeds ``CLASS_LIMIT``, or if for every language that of its
+words exceeds ``WORD_LIMIT`` or ``WORD_SHARE`` of the distance of a text without any common word;
+texts under ``LEAST_CHARS`` characters or ``LEAST_WORDS`` words are too short to judge and pass.
 
 Cases: null or empty text has no words and fails the base rules; rows that repeat a doc_id are
 judged each on its own; other columns are ignored; an empty table gives no rows.
@@ -28,9 +29,9 @@ from meterflow.llm.grams import Words, batches
 SYMBOLS = "#*$%&|<>"
 BLANK = "\t\n\x0b\x0c\r "
 RUN, LEAST, MOST_REPEATED = 8, 20, 30
-COMMON, LETTERS = 64, 6
+COMMON, LEAST_DOCS = 64, 10
 LEAST_CHARS, LEAST_WORDS = 300, 50
-CLASS_LIMIT, WORD_LIMIT = 0.31, 0.48
+CLASS_LIMIT, WORD_LIMIT, WORD_SHARE = 0.31, 0.48, 0.97
 #: Character classes: blank, symbol, lower case, upper case, digit, sentence sign, other letter, rest.
 N_CLASSES = 8
 
@@ -98,21 +99,22 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
     prepare(docs.sparkSession)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        words: dict[str | None, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(g, w, n) for g, c in words.items() for w, n in c.items()]
+            rows = [(g, w, n) for g, c in words.items() for w, n in c.items() if w[:2] == "  " or any(map(str.isalpha, w))]
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "item", "n"])
 
         for batch in them:
-            texts, langs = ([x or "" for x in batch.column(i).to_pylist()] for i in (0, 1))
+            texts, langs = ([x or y for x in batch.column(i).to_pylist()] for i, y in ((0, ""), (1, None)))
             counts = class_counts(texts)
             for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
                 mine = words.setdefault(lang, Counter())
                 tokens = text.lower().split()
-                mine.update([w for w in tokens if len(w) <= LETTERS])
+                mine.update(tokens)
                 mine["  all"] += len(tokens)
+                mine["  docs"] += 1
                 for k in range(N_CLASSES):
                     mine[f"  {k}"] += int(counts[i, k])
             if sum(map(len, words.values())) > 200_000:
@@ -121,16 +123,16 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
 
     totals = docs.select("text", "lang").mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", F.col("item").startswith("  ")).orderBy(F.desc("n"), "item"))
-    out: dict[str, tuple] = {}
+    out: dict[str | None, tuple] = {}
     for row in totals.withColumn("place", place).where(F.col("place") <= COMMON).groupBy("lang").agg(F.collect_list(F.struct("item", "n")).alias("rows")).collect():
         n = {r["item"]: r["n"] for r in row["rows"]}
         classes = np.array([n.pop(f"  {k}", 0) for k in range(N_CLASSES)], dtype=float)
-        total = n.pop("  all", 0)
+        total, enough = n.pop("  all", 0), n.pop("  docs", 0) >= LEAST_DOCS
         index = {w: i for i, w in enumerate(sorted(n))}
-        if total and classes.sum():
+        if enough and index and classes.sum():
             shares = np.array([n[w] for w in index] + [max(0, total - sum(n.values()))], dtype=float)
             out[row["lang"]] = (classes / classes.sum(), index, shares / shares.sum())
-    return out
+    return {k: v for k, v in out.items() if k is not None} or out
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -160,9 +162,9 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
             failed = (n < LEAST) | (100 * repeated > MOST_REPEATED * n)
             shares = classes / np.maximum(chars, 1)[:, None]
             nearest = np.min([divergence(shares, q) for q, _, _ in known.values()], axis=0) if known else np.zeros(len(texts))
-            by_word = np.array([_word_distance(t, known) if n[i] >= LEAST_WORDS else 0.0 for i, t in enumerate(texts)])
-            kept = ~failed & ((chars < LEAST_CHARS) | (nearest <= CLASS_LIMIT)) & (by_word <= WORD_LIMIT)
-            for name, value in (("n_words", n), ("word_chars", chars - classes[:, 0]), ("n_symbols", classes[:, 1]), ("n_dup_lines", [duplicate_lines(t) for t in texts]), ("n_repeat_words", repeated), ("base_failed", failed), ("kept", kept), ("class_distance", nearest), ("word_distance", by_word)):
+            by_word = [_word_distance(t, known) if known and n[i] >= LEAST_WORDS else (0.0, True) for i, t in enumerate(texts)]
+            kept = ~failed & ((chars < LEAST_CHARS) | (nearest <= CLASS_LIMIT)) & np.array([ok for _, ok in by_word], dtype=bool)
+            for name, value in (("n_words", n), ("word_chars", chars - classes[:, 0]), ("n_symbols", classes[:, 1]), ("n_dup_lines", [duplicate_lines(t) for t in texts]), ("n_repeat_words", repeated), ("base_failed", failed), ("kept", kept), ("class_distance", nearest), ("word_distance", [d for d, _ in by_word])):
                 out[name] += list(value)
         return out
 
@@ -172,13 +174,23 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     return per_batch(whole, fields(whole, ["row"], OUT), work)
 
 
-def _word_distance(text: str, known: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]) -> float:
+def _word_distance(text: str, known: dict[str | None, tuple[np.ndarray, dict[str, int], np.ndarray]]) -> tuple[float, bool]:
+    """(distance from the nearest language, whether one is near enough)."""
     counts = Counter(text.lower().split())
-    total, best = sum(counts.values()), 1.0
+    total, best, near = sum(counts.values()), 1.0, False
     for _, index, shares in known.values():
         mine = np.zeros(len(shares))
         for word, i in index.items():
             mine[i] = counts.get(word, 0)
         mine[-1] = total - mine.sum()
-        best = min(best, float(divergence(mine / total, shares)))
-    return best
+        distance = float(divergence(mine / total, shares))
+        best = min(best, distance)
+        near |= distance <= min(WORD_LIMIT, WORD_SHARE * _without(shares))
+    return best, near
+
+
+def _without(shares: np.ndarray) -> float:
+    """The distance of a text that has no common word."""
+    none = np.zeros(len(shares))
+    none[-1] = 1
+    return float(divergence(none, shares))

@@ -353,6 +353,22 @@ def test_quality_rejects_signs_and_keeps_prose(spark):
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(3))
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    v = [*"the of and to in is that everywhere".split()]
+    prose = lambda: " ".join(rng.choice(v) if rng.random() < 0.35 else word() for _ in range(150)) + "."
+    good = [(i, prose(), ["en", None][i == 7]) for i in range(60)]
+    tables = [(200 + i, " | ".join(word() for _ in range(100)), "en") for i in range(4)]
+    bad = [(100 + i, " ".join(word() for _ in range(150)), ["en", "xx", None][i % 3]) for i in range(9)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(good + tables + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in got if i >= 100)
+    known = quality.references(spark.createDataFrame(good + tables + bad, "doc_id long, text string, lang string"))
+    assert list(known) == ["en"] and "everywhere" in known["en"][1] and "|" not in known["en"][1]
+    unnamed = quality.references(spark.createDataFrame([(i, t, None) for i, t, _ in good], "doc_id long, text string, lang string"))
+    assert list(unnamed) == [None]
+
+
 # --- toxicity and language
 
 
