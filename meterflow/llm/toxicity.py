@@ -1,44 +1,60 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Labelled documents fall into three folds by a hash of doc_id.  The first teaches the lexicon
-(words and word stems that are more frequent in toxic documents), the second the trees, the
-third the calibration, so that no step sees its own words.  Features are the lexicon's
-densities, its nearness to second-person words, capitals, punctuation and obfuscation rates.
+1. Near copies among the labelled texts (equal least hash of their five-word shingles) teach once.
+   The rest fall into ``FOLDS`` parts by that hash.
+2. The lexicon holds words and word starts that more toxic documents have than others, once or
+   at least twice, by the log-likelihood ratio.  Each part sees the ratios of the other parts, so
+   that every label teaches the lexicon and no document meets its own words.
+3. Features are densities and strengths of lexicon hits, their nearness to second-person words,
+   capitals, punctuation and obfuscation rates.  Trees learn from most of the labelled texts, the
+   rest calibrate them, summed up per margin.
+
 Only labelled texts of the learning part are used to fit; every document is scored.
 
-Cases: null or empty text has all features zero and is scored like others; with no labels of
-either class the score is the share of toxic labels (0 without any); labels that repeat a
-doc_id count as often as they come, a null label never; other columns are ignored.
+Cases: null or empty text has all features zero and is scored like others; without a lexicon the
+trees learn from the other features; with labels of one class only the score is that class, without
+any it is 0; labels that repeat a doc_id count as often as they come, a null label never; rows
+that repeat a doc_id, also a null one, are scored each on its own (a null id is not held out and has no
+label); equal texts have equal scores; very long texts are read whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import chain
 from typing import Any
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.llm.base import fields, per_batch, prepare, settle
+from meterflow.llm.grams import Words, batches, mix, unique_shingles
 
-#: At most so many lexicon entries are kept, those of the highest log-likelihood ratio; each must be
-#: in so many toxic documents of the fold and reach such a ratio; from STRONG on an entry is beyond
-#: what a few near copies of one toxic document can cause.
-LEXICON, SUPPORT, LEAST, STRONG = 4096, 4, 20.0, 60.0
-STEM = 5
+#: At most so many lexicon entries are kept for a part, those of the highest ratio; each must be in so
+#: many toxic documents and reach such a ratio.
+LEXICON, SUPPORT, LEAST = 4096, 2, 6.0
+#: Lengths of word starts, parts of the labelled texts, and strengths at which hits are counted.
+STEMS, FOLDS, LEVELS = (4, 6), 4, (6.0, 12.0, 24.0, 48.0)
 NEAR = 6
 THRESHOLD = 0.7
+#: Tenths of the labelled texts that teach the trees; the others calibrate.
+TREES = 7
 #: Second-person words of the supported languages.
 SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os vuestro".split())
 #: Letters that signs and digits stand for.
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»…-–—*#%&|"
-FEATURES = ("density", "hits", "kinds", "best", "second", "strong", "strong_density", "stem_density", "stem_kinds", "stem_best", "stem_second", "stem_strong", "hidden", "near_you", "you", "capitals", "loud", "exclaim", "punctuation", "obfuscated", "length", "stretched")
+FEATURES = (
+    *(f"{k}_{int(level)}" for level in LEVELS for k in ("hits", "kinds", "density")), "best", "second", "third", "twice", "twice_again",
+    "hidden", "near_you", "you", "capitals", "loud", "exclaim", "punctuation", "obfuscated", "length", "stretched",
+)
 _UPPER = np.zeros(256)
 _UPPER[65:91] = 1
 _PUNCT = np.zeros(256)
@@ -57,51 +73,73 @@ def normal(token: str) -> tuple[str, str]:
     return core, bare
 
 
-def _entries(rows: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"entry": [], "toxic": [], "clean": []}
-    for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
-        found = set()
-        for token in set((text or "").split()):
-            word = normal(token)[1]
-            if len(word) >= 2:
-                found.add("w" + word)
-                if len(word) > STEM:
-                    found.add("s" + word[:STEM])
-        out["entry"] += found
-        out["toxic"] += [toxic] * len(found)
-        out["clean"] += [1 - toxic] * len(found)
-    return out
-
-
-def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """entry -> log-likelihood ratio of its being in toxic documents more often; bounded by LEXICON.
-
-    A text that occurs often teaches once.
-    """
-    once = labelled.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text"))
-    once = settle(once.select("text", "toxic"))
-    totals = once.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    a_all, b_all = float(totals[0] or 0), float(totals[1] or 0)
-    if not a_all or not b_all:
-        return {}
-    counts = per_batch(once, "entry string, toxic long, clean long", _entries).groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b = F.col("a"), F.col("b")
-
-    def part(x: Any, n: float, p: Any) -> Any:  # x of n at the rate p, against its own rate
+def entries(token: str) -> list[str]:
+    """Lexicon entries that a token stands for: its plain word, and starts of longer ones."""
+    word = normal(token)[1]
+    return ["w" + word, *("s" + word[:k] for k in STEMS if len(word) > k)] if len(word) >= 2 else []
+
+
+def _keys(rows: dict[str, list]) -> dict[str, list]:
+    """The least hash of each text's five-word shingles; texts without words share one."""
+    key = np.full(len(rows["text"]), -1, dtype=np.int64)
+    for texts, at in batches([t or "" for t in rows["text"]], np.arange(len(rows["text"]))):
+        doc, shingle = unique_shingles(Words(texts), 5, len(texts))
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, doc, mix(shingle, 5).view(np.int64))
+        key[at] = least
+    return rows | {"key": key}
+
+
+def _counted(rows: dict[str, list]) -> dict[str, list]:
+    """Documents of a batch with each entry, once and (marked 2) at least twice, by part and label."""
+    known: dict[str, list[str]] = {}
+    sums: dict[tuple[str, int, int], int] = {}
+    for text, toxic, fold in zip(rows["text"], rows["toxic"], rows["fold"], strict=True):
+        found: dict[str, int] = {}
+        for token, n in Counter((text or "").split()).items():
+            if token not in known:
+                known[token] = entries(token)
+            for e in known[token]:
+                found[e] = found.get(e, 0) + n
+        for e, n in found.items():
+            sums[e, fold, toxic] = sums.get((e, fold, toxic), 0) + 1
+            if n > 1:
+                e = "2" + e
+                sums[e, fold, toxic] = sums.get((e, fold, toxic), 0) + 1
+    keys = list(sums)
+    return {"entry": [k[0] for k in keys], "fold": [k[1] for k in keys], "toxic": [k[2] for k in keys], "n": list(sums.values())}
+
+
+def _ratio(a: Column, b: Column, a_all: float, b_all: float) -> Column:
+    """Log-likelihood ratio of a of a_all toxic and b of b_all other documents; 0 unless the toxic have more."""
+
+    def part(x: Column, n: float, p: Column) -> Column:  # x of n at the rate p, against its own rate
         own = x / n
         return F.when(x > 0, x * F.log(own / p)).otherwise(0.0) + F.when(x < n, (n - x) * F.log((1 - own) / (1 - p))).otherwise(0.0)
 
     rate = F.least(F.lit(1 - 1e-9), (a + b) / (a_all + b_all))
-    ratio = 2 * (part(a, a_all, rate) + part(b, b_all, rate))
-    scored = counts.where((a >= SUPPORT) & (a / a_all > b / b_all)).withColumn("g", ratio).where(F.col("g") >= LEAST)
-    best = scored.orderBy(F.desc("g"), "entry").limit(LEXICON).collect()
-    return {r["entry"]: float(r["g"]) for r in best}
-
-
-def _top(ratios: list[float]) -> tuple[float, float]:
-    """Logarithms of the two largest ratios, 0 where there are fewer."""
-    best = sorted(ratios, reverse=True)[:2] + [0.0, 0.0]
-    return float(np.log1p(best[0])), float(np.log1p(best[1]))
+    return F.when((a >= SUPPORT) & (a / a_all > b / b_all), 2 * (part(a, a_all, rate) + part(b, b_all, rate))).otherwise(0.0)
+
+
+def learn_lexicon(known: DataFrame) -> list[dict[str, float]]:
+    """entry -> ratio, for each part (learnt from the other parts) and, last, from all; each bounded by LEXICON."""
+    totals = {(r["fold"], r["toxic"]): float(r["n"]) for r in known.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = per_batch(known.select("text", "toxic", "fold"), "entry string, fold int, toxic int, n long", _counted)
+    sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]
+    ratios = []
+    for left_out in [*range(FOLDS), None]:
+        parts = [f for f in range(FOLDS) if f != left_out]
+        a, b = (sum((F.col(f"n{f}_{t}") for f in parts), F.lit(0)) for t in (1, 0))
+        a_all, b_all = (sum(totals.get((f, t), 0.0) for f in parts) for t in (1, 0))
+        ratios.append((_ratio(a, b, a_all, b_all) if a_all and b_all else F.lit(0.0)).alias(f"g{len(ratios)}"))
+    names = [f"g{i}" for i in range(FOLDS + 1)]
+    scored = counts.groupBy("entry").agg(*sums).select("entry", *ratios).where(F.greatest(*names) >= LEAST)
+    best = settle(scored)
+    out = []
+    for g in names:
+        rows = best.where(F.col(g) >= LEAST).orderBy(F.desc(g), "entry").limit(LEXICON).select("entry", g).collect()
+        out.append({r[0]: float(r[1]) for r in rows})
+    return out
 
 
 class Featurizer:
@@ -110,23 +148,19 @@ class Featurizer:
     KEEP = 200_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.words = {k[1:]: v for k, v in lexicon.items() if k[0] == "w"}
-        self.stems = {k[1:]: v for k, v in lexicon.items() if k[0] == "s"}
-        self.seen: dict[str, int] = {}
+        self.lexicon = lexicon
+        self.seen: dict[str, tuple[int, float, list[str]]] = {}
 
-    def flags(self, token: str) -> int:
-        """1 lexicon word, 2 stem, 4 found only once unmasked, 8 second person, 16 all capitals, 32 masked."""
+    def about(self, token: str) -> tuple[int, float, list[str]]:
+        """(signs, best ratio, entries): signs 1 found only once unmasked, 2 second person, 4 all capitals, 8 masked."""
         plain, bare = normal(token)
-        out = 1 * (bare in self.words) | 2 * (bare[:STEM] in self.stems) | 8 * (plain in SECOND_PERSON)
-        if out & 1 and plain != bare:
-            out |= 4
-        if len(plain) >= 3 and token.isupper():
-            out |= 16
-        if plain != bare and bare and plain:
-            out |= 32
+        mine = entries(token)
+        best = max((self.lexicon.get(e, 0.0) for e in mine), default=0.0)
+        masked = bool(plain != bare and bare and plain)
+        signs = 1 * (masked and best > 0) | 2 * (plain in SECOND_PERSON) | 4 * (len(plain) >= 3 and token.isupper()) | 8 * masked
         if len(self.seen) >= self.KEEP:
             self.seen.clear()
-        self.seen[token] = out
+        self.seen[token] = out = (signs, best, [e for e in mine if e in self.lexicon or "2" + e in self.lexicon])
         return out
 
     def of(self, text: str | None) -> list[float]:
@@ -134,12 +168,15 @@ class Featurizer:
         if not tokens:
             return [0.0] * len(FEATURES)
         known, n = self.seen, len(tokens)
-        flags = np.fromiter((known[t] if t in known else self.flags(t) for t in tokens), dtype=np.uint8, count=n)
-        hit, stem = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
-        you = np.flatnonzero(flags & 8)
-        words = [self.words[w] for w in {normal(tokens[i])[1] for i in hit}]
-        stems = [self.stems[w] for w in {normal(tokens[i])[1][:STEM] for i in stem}]
-        strong = sum(self.words[normal(tokens[i])[1]] >= STRONG for i in hit)
+        facts = [known[t] if t in known else self.about(t) for t in tokens]
+        signs = np.fromiter((f[0] for f in facts), dtype=np.uint8, count=n)
+        best = np.fromiter((f[1] for f in facts), dtype=np.float64, count=n)
+        hit, you = np.flatnonzero(best), np.flatnonzero(signs & 2)
+        kinds = {normal(tokens[i])[1]: best[i] for i in hit}
+        top = sorted(kinds.values(), reverse=True)
+        counts = Counter(chain.from_iterable(f[2] for f in facts if f[2]))
+        again = sorted((self.lexicon.get("2" + e, 0.0) for e, c in counts.items() if c > 1), reverse=True)
+        top, again = [*top[:3], 0.0, 0.0, 0.0], [*again[:2], 0.0, 0.0]
         near = 0
         if len(hit) and len(you):
             at = np.searchsorted(you, hit)
@@ -147,40 +184,45 @@ class Featurizer:
             near = int((gap <= NEAR).sum())
         raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
         size = max(1, int(raw.sum()))
+        out = []
+        for level in LEVELS:
+            hits = int((best[hit] >= level).sum())
+            out += [float(np.log1p(hits)), float(np.log1p(sum(g >= level for g in kinds.values()))), hits / n]
         return [
-            len(hit) / n, float(np.log1p(len(hit))), float(np.log1p(len(words))), *_top(words), float(np.log1p(strong)), strong / n,
-            len(stem) / n, float(np.log1p(len(stems))), *_top(stems), float(np.log1p(sum(g >= STRONG for g in stems))),
-            float((flags & 4 > 0).sum()) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
-            float((flags & 16 > 0).mean()), raw[33] / size, float(raw @ _PUNCT) / size, float((flags & 32 > 0).mean()), float(np.log1p(n)),
-            len(_STRETCH.findall(text)) / n if "aaaa" in text or _STRETCH.search(text) else 0.0,
+            *out, *np.log1p(top[:3]).tolist(), *np.log1p(again[:2]).tolist(),
+            float((signs & 1 > 0).sum()) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
+            float((signs & 4 > 0).mean()), raw[33] / size, float(raw @ _PUNCT) / size, float((signs & 8 > 0).mean()), float(np.log1p(n)),
+            len(_STRETCH.findall(text)) / n if _STRETCH.search(text) else 0.0,
         ]
 
 
-def features(df: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
-    """The named columns of df and ``x``, the features of its text."""
-    made: dict[str, Featurizer] = {}
+def features(df: DataFrame, lexicons: list[dict[str, float]], keep: str, fold: str | None = None) -> DataFrame:
+    """The named columns of df and ``x``, the features of its text by the lexicon of its part, or the last one."""
+    made: dict[int, Featurizer] = {}
     names = keep.split(", ")
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        if "f" not in made:
-            made["f"] = Featurizer(lexicon)
-        return {n: rows[n] for n in names} | {"x": [made["f"].of(t) for t in rows["text"]]}
+        which = rows[fold] if fold else [-1] * len(rows["text"])
+        for k in set(which).difference(made):
+            made[k] = Featurizer(lexicons[k])
+        return {n: rows[n] for n in names} | {"x": [made[k].of(t) for k, t in zip(which, rows["text"], strict=True)]}
 
+    lexicons = lexicons if fold else lexicons[-1:]
     return per_batch(df.select(*names, "text"), fields(df, names, "x array<double>"), work)
 
 
 class ToxicityModel:
     """Lexicon, trees and calibration; ``constant`` if there was nothing to learn from."""
 
-    def __init__(self, lexicon: dict[str, float], trees: Any, calibration: Any, constant: float) -> None:
-        self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
+    def __init__(self, lexicons: list[dict[str, float]], trees: Any, calibration: Any, constant: float) -> None:
+        self.lexicons, self.trees, self.calibration, self.constant = lexicons, trees, calibration, constant
 
     def score(self, df: DataFrame, keep: str) -> DataFrame:
         """The named columns and ``score``; one pass over the texts."""
         names = keep.split(", ")
         if self.trees is None:
             return df.select(*names, F.lit(float(self.constant)).alias("score"))
-        raw = _margin(self.trees, features(df, self.lexicon, keep))
+        raw = _margin(self.trees, features(df, self.lexicons, keep))
         return self.calibration.transform(raw).select(*names, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
 
@@ -189,19 +231,23 @@ def _margin(trees: Any, df: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> ToxicityModel:
-    """Learns from (doc_id, text, toxic) rows."""
+    """Learns from (text, toxic) rows."""
     prepare(labelled.sparkSession)
-    labelled = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(20)).alias("fold"))
-    lexicon = learn_lexicon(labelled.where("fold < 8"))
-    known = settle(features(labelled.where("fold >= 8"), lexicon, "toxic, fold"))
-    n, toxic, tree_n, tree_toxic, iso_n = known.agg(F.count("*"), F.sum("toxic"), F.count_if(F.col("fold") < 16), F.sum(F.when(F.col("fold") < 16, F.col("toxic"))), F.count_if(F.col("fold") >= 16)).first()
-    if not lexicon or not tree_toxic or tree_toxic == tree_n or not iso_n:
-        return ToxicityModel(lexicon, None, None, (toxic or 0) / n if n else 0.0)
+    labelled = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    keyed = per_batch(labelled, fields(labelled, ["text", "toxic"], "key long"), _keys)
+    once = keyed.groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    known = settle(once.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold"), F.pmod(F.xxhash64("key", F.lit("use")), F.lit(10)).alias("use")))
+    n, toxic, tree_n, tree_toxic, iso_n = known.agg(F.count("*"), F.sum("toxic"), F.count_if(F.col("use") < TREES), F.sum(F.when(F.col("use") < TREES, F.col("toxic"))), F.count_if(F.col("use") >= TREES)).first()
+    if not tree_toxic or tree_toxic == tree_n or not iso_n:
+        return ToxicityModel([], None, None, (toxic or 0) / n if n else 0.0)
+    lexicons = learn_lexicon(known)
+    seen = settle(features(known, lexicons, "toxic, fold, use", "fold"))
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=12, maxDepth=4, stepSize=0.3, maxBins=32, minInstancesPerNode=2, seed=7)
-    learnt = trees.fit(known.where("fold < 16").withColumn("features", array_to_vector("x")).select("toxic", "features"))
-    margins = _margin(learnt, known.where("fold >= 16"))
-    calibration = IsotonicRegression(labelCol="toxic", featuresCol="margin", predictionCol="score").fit(margins.withColumn("toxic", F.col("toxic").cast("double")))
-    return ToxicityModel(lexicon, learnt, calibration, 0.0)
+    learnt = trees.fit(seen.where(F.col("use") < TREES).withColumn("features", array_to_vector("x")).select("toxic", "features"))
+    # Many documents share a margin: one row for each.
+    margins = _margin(learnt, seen.where(F.col("use") >= TREES)).groupBy("margin").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"), F.count("*").cast("double").alias("weight"))
+    calibration = IsotonicRegression(labelCol="toxic", featuresCol="margin", weightCol="weight", predictionCol="score").fit(margins)
+    return ToxicityModel(lexicons, learnt, calibration, 0.0)
 
 
 def remainder(divisor: int) -> F.Column:
@@ -213,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fits on documents outside the held-out third."""
     texts = docs.select("doc_id", "text").where(remainder(3) != 1)
     # Labels grow with the documents: the same plan at every size, without a broadcast.
-    return fit(texts.join(labels.select("doc_id", "toxic").where("toxic is not null").hint("merge"), "doc_id"))
+    return fit(texts.join(labels.select("doc_id", "toxic").where("toxic is not null").hint("merge"), "doc_id").select("text", "toxic"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -405,12 +405,57 @@ def test_toxicity_without_labels(spark, nothing):
 
 
 def test_toxicity_features():
-    f = toxicity.Featurizer({"widiot": 90.0, "sidiot": 40.0})
-    names = dict(zip(toxicity.FEATURES, f.of("you are an 1d1ot SHOUTING!!"), strict=True))
-    assert names["density"] == 1 / 5 and names["hidden"] == 1 / 5 and names["near_you"] == 1 / 5 and names["loud"] == 1 / 5 and names["strong_density"] == 1 / 5 and names["stem_strong"] == 0
+    f = toxicity.Featurizer({"widiot": 90.0, "sidio": 40.0, "2widiot": 20.0})
+    names = dict(zip(toxicity.FEATURES, f.of("you are an 1d1ot SHOUTING!! idioms"), strict=True))
+    assert names["density_48"] == 1 / 6 and names["density_24"] == 2 / 6 and names["hidden"] == 1 / 6 and names["near_you"] == 2 / 6 and names["loud"] == 1 / 6
+    assert names["kinds_24"] == np.log1p(2) and names["twice"] == 0 and names["best"] == np.log1p(90.0)
+    assert dict(zip(toxicity.FEATURES, f.of("idiot x idiot"), strict=True))["twice"] == np.log1p(20.0)
     assert f.of(None) == f.of("  ") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_lexicon_against_a_plain_count(spark):
+    rng = random.Random(31)
+    rows = [(" ".join(rng.choice(["grob", "plain", "other", "wordy", "nicely"][x:]) for _ in range(6)), x, i % 4) for i in range(80) for x in [int(i % 5 != 0)]]
+    rows = [(t, 1 - x, f) for t, x, f in rows]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    assert len(got) == toxicity.FOLDS + 1
+    for left_out, lexicon in zip([*range(toxicity.FOLDS), None], got, strict=True):
+        use = [(t, x) for t, x, f in rows if f != left_out]
+        n = [sum(x == k for _, x in use) for k in (0, 1)]
+        want = {}
+        for e in {e for t, _ in use for w in t.split() for e in toxicity.entries(w)}:
+            for mark, least in (("", 1), ("2", 2)):
+                c = [sum(sum(e in toxicity.entries(w) for w in t.split()) >= least for t, x in use if x == k) for k in (0, 1)]
+                if c[1] >= 2 and c[1] / n[1] > c[0] / n[0]:
+                    rate = sum(c) / sum(n)
+                    g = 2 * sum((c[k] * np.log(c[k] / n[k] / rate) if c[k] else 0) + ((n[k] - c[k]) * np.log((1 - c[k] / n[k]) / (1 - rate)) if c[k] < n[k] else 0) for k in (0, 1))
+                    if g >= 6.0:
+                        want[mark + e] = g
+        assert want.keys() == lexicon.keys() and all(abs(want[e] - lexicon[e]) < 1e-6 for e in want)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("0.01", 0.8), ("0.1", 0.85)])
+def test_toxicity_finds_held_out_documents_of_every_language(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    caught = lambda rows: np.mean([r.predicted for r in rows])
+    assert caught([r for r in known if r.toxic == 1]) >= least
+    assert caught([r for r in known if r.toxic == 0]) < 0.03
+    if sf == "0.1":
+        assert all(caught([r for r in known if r.toxic == 1 and r.lang == g]) >= 0.8 for g in ("de", "en", "es", "fr"))
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    docs, labels = labelled(spark, 400)
+    long = ("word " * 30000) + "vexor you vexor stuplet grobnik"
+    odd = docs.union(docs.where("doc_id < 40")).union(spark.createDataFrame([(None, None, "x", "en"), (None, "", "x", "en"), (9000, long, "x", "en")], docs.schema))
+    odd = odd.selectExpr("*", "1 as score", "2 as x", "3 as toxic", "4 as fold", "'k' as key", "5 as held_out")
+    twice = labels.union(labels.where("doc_id < 20")).union(labels.selectExpr("doc_id", "null", "quality"))
+    got = toxicity.score_toxicity(odd, twice).collect()
+    assert len(got) == 443 and len({(r.doc_id, r.score) for r in got if r.doc_id is not None and r.doc_id < 400}) == 400
+    assert all(not r.held_out for r in got if r.doc_id is None)
+
+
 def test_language(spark, nothing):
     rng = random.Random(10)
     alphabet = {"aa": "abcdef", "bb": "uvwxyz", "cc": "мнопрс"}
