@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import settle
+from meterflow.llm.base import settle, spread_join
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step: links each node's neighbours to its smallest one; no group is ever gathered."""
+def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
+    """One step: links each node's neighbours to its smallest one; no group is ever gathered.
+
+    ``total`` is at least the number of edges; a node with a large share of them is joined by broadcast.
+    """
     if small:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    lowest = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    linked = near.join(lowest, "u")
+    lowest = near.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("c")).select("u", F.least("u", "low").alias("low"), "c")
+    linked = spread_join(near, lowest, ["u"], "c", total if small else 2 * total)
     if small:
         out = linked.select(F.col("v").alias("a"), F.col("low").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("low").alias("b")))
     else:
@@ -29,11 +32,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round is checkpointed; it ends when a round changes nothing.  No edges: no rows.
     """
     now = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
-        now = settle(_star(_star(now, small=False), small=True))
+    seen, total = None, now.count()
+    while total:
+        now = settle(_star(_star(now, small=False, total=total), small=True, total=total))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, total = mark, mark[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

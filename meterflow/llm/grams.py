@@ -1,23 +1,21 @@
-"""NumPy helpers shared by the word-window operators: words, rolling hashes, MinHash.
+"""NumPy helpers shared by the word-window operators: words, window hashes, MinHash.
 
 They work on a batch of texts at once, inside one Spark task.  A word is a maximal run of
-characters other than space and U+0009..U+000D, unchanged.  Hashes are polynomial over
-random byte values modulo 2**64, then mixed, and equal on every machine.
+characters other than space and U+0009..U+000D, unchanged.  A word is hashed as a whole; a window of words
+by scrambling pairs of shorter windows together, so that no choice of words cancels out.  Hashes
+are equal on every machine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 _U = np.uint64
-#: Odd bases of the rolling hashes.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, np.ndarray] = {}
-_BYTE_VALUES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for seed in (11, 12)]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_ODD = _U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -28,54 +26,36 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), _U(base))
-        steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
-    return have[:n]
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of h[i:i+width] for each i that has as many."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return h[:0]
+    out, at, size = np.full(n, _U(width)), 0, 1
+    while True:
+        if width & size:
+            out = mix(out * _ODD + h[at : at + n])
+            at += size
+        if size * 2 > width:
+            return out
+        h = mix(h[:-size] * _ODD + h[size:], 1)
+        size *= 2
 
 
-class Rolling:
-    """Hashes of any slices values[i:j], from prefix sums."""
-
-    def __init__(self, values: np.ndarray, which: int) -> None:
-        base = _BASES[which]
-        self.inverse = pow(base, -1, 2**64)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * _powers(base, len(values)), out=self.sums[1:])
-        self.shift = _powers(self.inverse, len(values) + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.shift[start]
-        return mix(raw + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93), salt)
+class Words:
+    """Words of a batch of texts: a hash each, and where each text's words begin."""
 
+    def __init__(self, texts: list[str]) -> None:
+        parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.doc = np.repeat(np.arange(len(parts)), counts)
+        self.n = int(self.first[-1])
+        self.hashes = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(parts)), dtype=np.uint64, count=self.n)
 
-class Words:
-    """Words of a batch of texts: two hashes each, and where each text's words begin."""
-
-    def __init__(self, texts: list[str], second: bool = False) -> None:
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
-        space = _SPACE[raw]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if not space[0]:
-            edge = np.concatenate([[0], edge])
-        start, end = edge[0::2], edge[1::2]
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        self.first = np.concatenate([[0], np.searchsorted(start, ends)])
-        self.doc = np.repeat(np.arange(len(parts)), np.diff(self.first))
-        self.n = len(start)
-        self.hashes = []
-        for which in (0, 1) if second else (0,):
-            self.hashes.append(Rolling(_BYTE_VALUES[which][raw], which).of(start, end))
-        self._rolling: dict[int, Rolling] = {}
-
-    def rolling(self, which: int = 0) -> Rolling:
-        if which not in self._rolling:
-            self._rolling[which] = Rolling(self.hashes[which], 1 - which)
-        return self._rolling[which]
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of all runs of so many words, also of those that leave a text."""
+        return window_hashes(self.hashes, width)
 
     def starts(self, width: int) -> np.ndarray:
         """Positions at which a window of so many words of one text starts."""
@@ -89,9 +69,11 @@ class Words:
         at = self.starts(width)
         counts = np.diff(self.first)
         short = np.flatnonzero((counts > 0) & (counts < width))
-        begin = np.concatenate([at, self.first[short]])
-        end = np.concatenate([at + width, self.first[short + 1]])
-        return self.doc[begin] if len(begin) else begin, self.rolling(0).of(begin, end)
+        whole = counts[short].astype(np.uint64)
+        for k in range(width - 1):
+            more = counts[short] > k
+            whole[more] = mix(whole[more] * _ODD + self.hashes[self.first[short[more]] + k], 2)
+        return np.concatenate([self.doc[at], short]), np.concatenate([self.windows(width)[at], whole])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,12 +86,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def unique_shingles(words: Words, width: int, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 48-bit shingle) sorted, each pair once; fewer than 65,536 texts."""
+def unique_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) sorted, each pair once; fewer than 65,536 texts."""
     doc, h = words.shingles(width)
-    both = np.sort((doc.astype(np.uint64) << _U(48)) | (h >> _U(16)))
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    return (both >> _U(48)).astype(np.int64), both & _U(2**48 - 1)
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+    doc, h = doc[order], h[order]
+    keep = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, dtype=bool)
+    return doc[keep], h[keep]
 
 
 def minhash(doc: np.ndarray, shingle: np.ndarray, n_texts: int, bins: int) -> np.ndarray:

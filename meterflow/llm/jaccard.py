@@ -1,8 +1,10 @@
 """N-gram Jaccard join: which documents share at least ``THRESHOLD`` of their word shingles.
 
-1. Documents of equal shingle sets form one class, known by the number of one of its rows.
-2. MinHash bands propose links between classes.  A band links each class to the band's
-   smallest, never all pairs; connected sets of such links are the candidate sets.
+1. Documents of equal shingle sets (128 bits of scrambled sums of 64-bit shingle hashes) form one
+   class, known by the number of one of its rows.
+2. MinHash bands propose pairs of classes.  Classes that bands connect are one candidate set; if
+   it has more than ``BLOCK`` classes, the pairs of each band are compared by MinHash values alone, and
+   only classes that stay connected make a set.  No pair is written out.
 3. Each pair inside a candidate set is judged once, in blocks, so that a large set is spread
    over many tasks: MinHash values are compared a few at a time, a pair goes as soon as the
    posterior probability (uniform prior) that its similarity reaches the threshold falls
@@ -15,7 +17,9 @@ with 1e-14.
 Cases: a text of fewer than five words has one shingle of all its words; one without words
 (or null) is in no link and a group of its own; rows that repeat a doc_id count as documents
 of their own, and classes never meet by doc_id; rows with a null doc_id are linked and grouped
-like others, and class and group are null where all ids are; other columns are ignored.
+like others, and class and group are null where all ids are; a tie for the smallest is between
+equal ids and changes nothing; very long texts are read whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import documents, per_batch, prepare, settle
+from meterflow.llm.base import documents, per_batch, prepare, settle, spread_join
 from meterflow.llm.components import components
 from meterflow.llm.grams import Words, batches, minhash, mix, unique_shingles
 
@@ -39,8 +43,9 @@ VALUES = 256
 #: MinHash values compared in one step, and the least posterior probability to go on.
 STEP = 32
 TOLERANCE = 1e-9
-#: Classes of one block; two blocks are compared in one task.
-BLOCK = 256
+#: Classes of one block of texts; two blocks are compared in one task.  Blocks of MinHash values
+#: (a byte of each) are larger.
+BLOCK, SIGNS = 256, 2048
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -49,9 +54,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("at", "doc_id", "h", "k1", "k2", "n", "bands")}
+        out: dict[str, list] = {k: [] for k in ("at", "doc_id", "h", "k1", "k2", "n", "bands", "signs")}
         for texts, at in batches([t or "" for t in rows["text"]], np.arange(len(rows["text"]))):
-            doc, shingle = unique_shingles(Words(texts), width, len(texts))
+            doc, shingle = unique_shingles(Words(texts), width)
             n = np.bincount(doc, minlength=len(texts))
             ends = np.concatenate([[0], np.cumsum(n)])
             keys = []
@@ -72,6 +77,7 @@ def _sketch(width: int):
             out["k2"] += _signed(keys[1]).tolist()
             out["n"] += n.tolist()
             out["bands"] += list(_signed(bands))
+            out["signs"] += [row.tobytes() for row in values.astype(np.uint8)]
         return out
 
     return work
@@ -95,36 +101,31 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def verified_pairs(texts: list[str], block: list[int], width: int, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked texts: inside the block if there is one, across the two if there are two."""
-    words = Words(texts)
-    doc, shingle = unique_shingles(words, width, len(texts))
-    signature = minhash(doc, shingle, len(texts), VALUES)
+def likely_pairs(values: np.ndarray, block: list[int], least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that stay likely: inside the block if there is one, across the two if there are two."""
     side = np.asarray(block)
-    first = np.flatnonzero(side == side.min())
-    second = np.flatnonzero(side != side.min())
-    a, b = [], []
+    first, second = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
+    a, b = [first[:0]], [first[:0]]
     for k, i in enumerate(first):
         other = second if len(second) else first[k + 1 :]
         matches = np.zeros(len(other), dtype=np.int64)
         for h in range(0, VALUES, STEP):
             if not len(other):
                 break
-            matches = matches + (signature[other, h : h + STEP] == signature[i, h : h + STEP]).sum(axis=1)
+            matches = matches + (values[other, h : h + STEP] == values[i, h : h + STEP]).sum(axis=1)
             keep = matches >= least[h + STEP]
             other, matches = other[keep], matches[keep]
         a.append(np.full(len(other), i))
         b.append(other)
-    a, b = np.concatenate(a) if a else first[:0], np.concatenate(b) if b else first[:0]
-    if not len(a):
-        return a, b
-    doc, full = words.shingles(width)
-    order = np.lexsort((full, doc))
-    doc, full = doc[order], full[order]
-    keep = np.concatenate([[True], (full[1:] != full[:-1]) | (doc[1:] != doc[:-1])])
-    doc, full = doc[keep], full[keep]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def verified_pairs(texts: list[str], block: list[int], width: int, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs of texts whose whole shingle sets reach the threshold."""
+    doc, shingle = unique_shingles(Words(texts), width)
+    a, b = likely_pairs(minhash(doc, shingle, len(texts), VALUES), block, least)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    sets = [full[cut[i] : cut[i + 1]] for i in range(len(texts))]
+    sets = [shingle[cut[i] : cut[i + 1]] for i in range(len(texts))]
     good = np.zeros(len(a), dtype=bool)
     for k, (i, j) in enumerate(zip(a, b, strict=True)):
         x, y = sets[i], sets[j]
@@ -138,27 +139,22 @@ def verified_pairs(texts: list[str], block: list[int], width: int, threshold: fl
     return a[good], b[good]
 
 
-def _judge(width: int, threshold: float):
-    least = least_matches(threshold, TOLERANCE)
-    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each row is linked with, through any others."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
-    def one(group: list[tuple]) -> tuple[list, list, list]:
-        reps = [g[1] for g in group]
-        a, b = verified_pairs([g[4] or "" for g in group], [g[2] for g in group], width, threshold, least)
-        links, root = np.zeros(len(group), dtype=np.int64), np.arange(len(group))
-        copies = np.asarray([g[3] for g in group], dtype=np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        while True:  # the least row that a row is linked with, through any others
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        linked = np.flatnonzero(links)
-        return [reps[i] for i in linked], links[linked].tolist(), [reps[root[i]] for i in linked]
+
+def _by_group(one, names: tuple[str, ...]):
+    """mapInArrow over rows sorted by their first column: ``one`` gets the rows of each value that has two or more."""
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = [], None
@@ -175,6 +171,62 @@ def _judge(width: int, threshold: float):
     return run
 
 
+def _judge(width: int, threshold: float):
+    least = least_matches(threshold, TOLERANCE)
+
+    def one(group: list[tuple]) -> tuple[list, list, list]:
+        nodes = [g[1] for g in group]
+        a, b = verified_pairs([g[4] or "" for g in group], [g[2] for g in group], width, threshold, least)
+        links = np.zeros(len(group), dtype=np.int64)
+        copies = np.asarray([g[3] for g in group], dtype=np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        root, linked = _roots(len(group), a, b), np.flatnonzero(links)
+        return [nodes[i] for i in linked], links[linked].tolist(), [nodes[root[i]] for i in linked]
+
+    return _by_group(one, ("node", "links", "root"))
+
+
+def _connect(threshold: float):
+    least = least_matches(threshold, TOLERANCE)
+
+    def one(group: list[tuple]) -> tuple[list, list]:
+        values = np.frombuffer(b"".join(g[3] for g in group), dtype=np.uint8).reshape(len(group), VALUES)
+        a, b = likely_pairs(values, [g[2] for g in group], least)
+        root = _roots(len(group), a, b)
+        moved = np.flatnonzero(root != np.arange(len(group)))
+        return [group[i][1] for i in moved], [group[root[i]][1] for i in moved]
+
+    return _by_group(one, ("node", "low"))
+
+
+def in_blocks(members: DataFrame, group: str, size: int, *more: str) -> DataFrame:
+    """(key, node, block, more): each member once for each pair of blocks of its group that has its block.
+
+    Rows of one key are next to each other; a key holds about 2 * size members at most.
+    """
+    blocks = members.groupBy(group).agg(F.count("*").alias("n")).select(group, F.ceil(F.col("n") / size).cast("int").alias("blocks"), "n")
+    placed = spread_join(members, settle(blocks.where("n > 1")), [group], "n").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = pairs.select(F.concat_ws(",", group, F.least("block", "with"), F.greatest("block", "with")).alias("key"), "node", "block", *more)
+    return keyed.repartition("key").sortWithinPartitions("key", "node")
+
+
+def candidate_sets(bands: DataFrame, signs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component): classes in one set if bands, and in large sets likely pairs of bands, connect them."""
+    lowest = settle(bands.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    near = spread_join(bands, lowest, ["band"], "n").where("node > low").select("low", "node").distinct()
+    sets = settle(components(near, "low", "node"))
+    sizes = settle(sets.groupBy("component").agg(F.count("*").alias("n")))
+    sized = settle(spread_join(sets, sizes.withColumn("large", F.col("n") > BLOCK), ["component"], "n"))
+    wide = sized.where("large")
+    if wide.isEmpty():
+        return sets
+    members = settle(bands.join(wide.select("node"), "node").join(signs, "node"))
+    likely = settle(in_blocks(members, "band", SIGNS, "signs").mapInArrow(_connect(threshold), "node long, low long"))
+    return settle(sized.where("not large").select("node", "component").union(components(likely, "low", "node").select("node", "component")))
+
+
 def row_key() -> list[F.Column]:
     """(id0, h), equal for rows of equal doc_id and text, nulls included."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h")]
@@ -184,32 +236,27 @@ def grouped(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     """similar_groups with (id0, h) of each row, its words' presence, and the number of its group."""
     texts = documents(docs).select("doc_id", "text", *row_key())
     numbered = texts.select(F.monotonically_increasing_id().alias("at"), "doc_id", "h", "text")
-    sketch = settle(per_batch(numbered, "at long, doc_id long, h long, k1 long, k2 long, n long, bands array<long>", _sketch(width)))
+    sketch = settle(per_batch(numbered, "at long, doc_id long, h long, k1 long, k2 long, n long, bands array<long>, signs binary", _sketch(width)))
     classes = settle(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     heads = sketch.withColumnRenamed("at", "node").join(classes.select("node", "copies"), "node")
-    bands = heads.select("node", F.explode("bands").alias("band")).distinct()
-    lowest = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    near = bands.join(lowest, "band").where("node > low").select("low", "node").distinct()
-    sets = settle(components(near, "low", "node"))
-    blocks = sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = placed.join(heads.select("node", F.coalesce("doc_id", F.lit(0)).alias("id0"), "h", "copies"), "node")
+    bands = settle(heads.select("node", F.explode("bands").alias("band")).distinct())
+    sets = candidate_sets(bands, sketch.select(F.col("at").alias("node"), "signs"), threshold)
+    members = sets.join(heads.select("node", F.coalesce("doc_id", F.lit(0)).alias("id0"), "h", "copies"), "node")
     one_text = texts.join(members.select("node", "id0", "h"), ["id0", "h"]).groupBy("node").agg(F.min("text").alias("text"))
-    loaded = members.join(one_text, "node")
-    pairs = loaded.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.concat_ws(",", "component", F.least("block", "with"), F.greatest("block", "with")).alias("key"), "node", "block", "copies", "text"
-    )
-    dealt = pairs.repartition("key").sortWithinPartitions("key", "node")
-    judged = settle(dealt.mapInArrow(_judge(width, threshold), "node long, links long, root long"))
+    loaded = settle(members.join(one_text, "node").select("node", "component", "copies", "text"))
+    judged = settle(in_blocks(loaded, "component", BLOCK, "copies", "text").mapInArrow(_judge(width, threshold), "node long, links long, root long"))
     found = components(judged, "node", "root")
-    least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-    groups = found.join(least, "component")
+    least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("n"))
+    groups = spread_join(settle(found), settle(least), ["component"], "n")
     totals = judged.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.join(totals, "node", "left").join(groups, "node", "left")
-    return sketch.select("at", "doc_id", "h", "k1", "k2", "n").join(known, ["k1", "k2"], "left").select(
+    known = settle(classes.join(totals, "node", "left").join(groups, "node", "left").withColumn("n_copies", F.col("copies")))
+    rows = sketch.select("at", "doc_id", "h", "k1", "k2", "n")
+    wordless = rows.where("n = 0").drop("k1", "k2")
+    placed = spread_join(rows.where("n > 0"), known, ["k1", "k2"], "copies").drop("k1", "k2")
+    return placed.unionByName(wordless, allowMissingColumns=True).select(
         "doc_id",
         F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("low", "rep", "doc_id").alias("group_id"),
         F.coalesce("doc_id", F.lit(0)).alias("id0"),
         "h",

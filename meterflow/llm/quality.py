@@ -74,7 +74,7 @@ def repeated_words(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.nda
     at = words.starts(run)
     change = np.zeros(words.n + 1, dtype=np.int64)
     if len(at):
-        key = words.rolling(0).of(at, at + run) + words.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = words.windows(run)[at] + words.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.concatenate([[False], key[1:] == key[:-1], [False]])

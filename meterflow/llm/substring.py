@@ -1,30 +1,35 @@
 """Substring dedup on a de Bruijn graph of words.
 
-An edge of the graph is a window of ``WINDOW`` consecutive words.  Consecutive edges that share
-their minimiser (the least hash of the shorter windows inside) form one path, compacted while
-a document is read, so that a row stands for many edges.  Joins on the minimiser keep paths
-that two documents share.  A repeated path whose words are equal everywhere does not branch and
-is settled as a whole; where paths of one minimiser differ, the graph branches and their
-edges are compared one by one.  Source coordinates (document, first word) of the earliest
-occurrence decide what goes.  Paths are compared by minimiser and path hash, edges by two hashes, of
-64 bits each and independent.
+1. An edge of the graph is a window of ``WINDOW`` consecutive words.  While a document is read,
+   consecutive edges of one minimiser (the least hash of the shorter windows inside) become one step.
+   Joins on the minimiser keep steps that two documents share; where the steps of a minimiser
+   differ, the graph branches inside, and their edges become steps of their own.
+2. Compaction: a join of each step with its successor in the document, counted over all
+   occurrences, tells where the graph does not branch: every occurrence of one step is followed by
+   the other, and has it before.  Such steps, next to each other in the document of their first
+   occurrence, are one path, and an occurrence of its first step stands for all of it.
+3. Source coordinates (document, first word) of the first occurrence verify a path: a digest of
+   the source's own words travels to the other occurrences, and words go only if theirs are equal.
 
 Cases: null or empty text has no words and loses none; a null doc_id is neither a source nor
 later than one; rows that repeat a doc_id are judged each on its own text, and are not
-earlier than each other; other columns are ignored.
+earlier than each other; equal rows lose the same words; a text of fewer words than a window
+loses none, very long texts are read whole; an empty table gives no rows; other columns are carried
+in ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import documents, fields, per_batch, prepare, settle, text_hash
-from meterflow.llm.grams import Words, batches, sliding_min
+from meterflow.llm.base import documents, fields, per_batch, prepare, settle, spread_join, text_hash
+from meterflow.llm.grams import Words, batches, mix, sliding_min
 
 WINDOW = 50
 #: Words of the inner windows whose least hash is the minimiser.
@@ -41,7 +46,7 @@ def _plain(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _paths(window: int, inner: int):
+def _steps(window: int, inner: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in ("m", "h", "doc_id", "loc", "n")}
         for texts, at in batches(rows["text"], np.arange(len(rows["text"]))):
@@ -49,15 +54,15 @@ def _paths(window: int, inner: int):
             begin = words.starts(window)
             if not len(begin):
                 continue
-            position = np.arange(words.n - inner + 1)
-            small = words.rolling(0).of(position, position + inner, 7)
-            least = sliding_min(small, window - inner + 1)[begin]
+            least = sliding_min(mix(words.windows(inner), 7), window - inner + 1)[begin]
             fresh = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)]))
             count = np.diff(np.concatenate([fresh, [len(begin)]]))
+            place = np.arange(len(begin)) - np.repeat(fresh, count)
+            edges = mix(words.windows(window)[begin] + mix(place.astype(np.uint64), 8), 9)
             lo = begin[fresh]
             doc = words.doc[lo]
             where = np.asarray(rows["th"], dtype=np.int64)[at][doc] << 32 | (lo - words.first[doc])
-            for name, column in (("m", least[fresh]), ("h", words.rolling(0).of(lo, lo + count + window - 1)), ("doc_id", np.asarray(rows["doc_id"], dtype=np.int64)[at][doc]), ("loc", where), ("n", count)):
+            for name, column in (("m", least[fresh]), ("h", np.add.reduceat(edges, fresh)), ("doc_id", np.asarray(rows["doc_id"], dtype=np.int64)[at][doc]), ("loc", where), ("n", count)):
                 out[name].append(column.astype(np.int64) if column.dtype != np.uint64 else column.view(np.int64))
         return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
@@ -66,12 +71,11 @@ def _paths(window: int, inner: int):
 
 def _edges(window: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out = {k: [] for k in ("w1", "w2", "doc_id", "loc")}
-        for packed, doc_id, th, paths in zip(rows["packed"], rows["doc_id"], rows["th"], rows["paths"], strict=True):
-            words = Words([_plain(packed).decode("utf-8", "surrogatepass")], second=True)
-            at = np.unique(np.concatenate([np.arange(p["lo"], p["lo"] + p["n"]) for p in paths]))
-            out["w1"].append(words.rolling(0).of(at, at + window, 3).view(np.int64))
-            out["w2"].append(words.rolling(1).of(at, at + window, 3).view(np.int64))
+        out = {k: [] for k in ("m", "doc_id", "loc")}
+        for packed, doc_id, th, steps in zip(rows["packed"], rows["doc_id"], rows["th"], rows["steps"], strict=True):
+            words = Words([_plain(packed).decode("utf-8", "surrogatepass")])
+            at = np.unique(np.concatenate([np.arange(p["lo"], p["lo"] + p["n"]) for p in steps]))
+            out["m"].append(words.windows(window)[at].view(np.int64))
             out["doc_id"].append(np.full(len(at), doc_id))
             out["loc"].append(at.astype(np.int64) | (th << 32))
         return {k: np.concatenate(v) if v else [] for k, v in out.items()}
@@ -79,40 +83,88 @@ def _edges(window: int):
     return work
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _sources(rows: dict[str, list]) -> dict[str, list]:
+    """A digest of the words of each path, at its source."""
+    out = {k: [] for k in ("m", "h", "proof")}
+    for packed, paths in zip(rows["packed"], rows["paths"], strict=True):
+        words = _plain(packed).split()
+        for p in paths:
+            for k, v in (("m", p["m"]), ("h", p["h"]), ("proof", _digest(words[p["lo"] : p["lo"] + p["len"]]))):
+                out[k].append(v)
+    return out
+
+
 def _cut(rows: dict[str, list]) -> dict[str, list]:
     out = {k: [] for k in ("row", "doc_id", "n_words", "n_removed", "kept")}
     for row, doc_id, packed, spans in zip(rows["row"], rows["doc_id"], rows["packed"], rows["spans"], strict=True):
         words = _plain(packed).split()
         n = len(words)
         if spans:
+            good = [s for s in spans if _digest(words[s["lo"] : s["lo"] + s["len"]]) == s["proof"]]
             change = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(change, [s["lo"] for s in spans], 1)
-            np.add.at(change, [min(n, s["lo"] + s["len"]) for s in spans], -1)
+            np.add.at(change, [s["lo"] for s in good], 1)
+            np.add.at(change, [s["lo"] + s["len"] for s in good], -1)
             words = list(compress(words, np.cumsum(change)[:n] == 0))
         for k, v in (("row", row), ("doc_id", doc_id), ("n_words", n), ("n_removed", n - len(words)), ("kept", b" ".join(words).decode("utf-8", "surrogatepass"))):
             out[k].append(v)
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
-    """(doc_id, th, lo, len): words lo..lo+len of a document that an earlier one has too."""
-    texts = documents(docs).where("doc_id is not null and text is not null").withColumn("th", text_hash())
-    paths = per_batch(texts, "m long, h long, doc_id long, loc long, n long", _paths(window, inner))
-    shared = paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m")
-    found = settle(paths.join(shared, "m"))
-    distinct = settle(found.groupBy("m", "h").agg(F.min("doc_id").alias("source")))
-    branching = distinct.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m", F.lit(True).alias("branches"))
-    known = distinct.join(branching, "m", "left")
-    placed = settle(found.join(known, ["m", "h"]).where("source < doc_id or branches").select("doc_id", "loc", "n", "source"))
+def shared_steps(texts: DataFrame, packed: DataFrame, window: int, inner: int) -> DataFrame:
+    """(m, h, doc_id, loc, n): each occurrence of a step, a run of n windows, that two documents have.
+
+    ``loc`` is the text's hash and the first word's place in one number.
+    """
+    steps = settle(per_batch(texts, "m long, h long, doc_id long, loc long, n long", _steps(window, inner)))
+    met = steps.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
+    found = settle(spread_join(steps, settle(met.where("low < high").select("m", "c")), ["m"], "c"))
+    distinct = settle(found.groupBy("m", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")))
+    forks = settle(distinct.groupBy("m").agg(F.count("*").alias("k"), (F.count("*") > 1).alias("branches")))
+    known = settle(spread_join(distinct, forks, ["m"], "k").where("branches or low < high").select("m", "h", "branches", "c"))
+    placed = settle(spread_join(found, known, ["m", "h"], "c"))
+    plain = placed.where("not branches").drop("branches")
     lo, th = F.col("loc").bitwiseAND(2**32 - 1), F.shiftright("loc", 32)
-    whole = placed.where("source < doc_id").select("doc_id", th.alias("th"), lo.alias("lo"), (F.col("n") + window - 1).alias("len"))
-    first = placed.where("source = doc_id").groupBy("doc_id", th.alias("th")).agg(F.collect_list(F.struct(lo.alias("lo"), "n")).alias("paths"))
-    packed = per_batch(texts, "doc_id long, th long, packed binary", _squeezed)
-    edges = settle(per_batch(packed.join(first, ["doc_id", "th"]), "w1 long, w2 long, doc_id long, loc long", _edges(window)))
-    # Kept apart from the join below, so that Spark may split the rows of a very common edge.
-    earliest = settle(edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last"))
-    single = edges.join(earliest, ["w1", "w2"]).where("source < doc_id").select("doc_id", th.alias("th"), lo.alias("lo"), F.lit(window).cast("long").alias("len"))
-    return whole.unionByName(single)
+    inside = placed.where("branches").groupBy("doc_id", th.alias("th")).agg(F.collect_set(F.struct(lo.alias("lo"), "n")).alias("steps"))
+    edges = settle(per_batch(packed.join(inside, ["doc_id", "th"]), "m long, doc_id long, loc long", _edges(window)).distinct())
+    often = edges.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
+    single = spread_join(edges, settle(often.where("low < high").select("m", "c")), ["m"], "c")
+    return plain.distinct().unionByName(single.select("m", F.lit(0).cast("long").alias("h"), "doc_id", "loc", F.lit(1).cast("long").alias("n")))
+
+
+def compacted(steps: DataFrame) -> DataFrame:
+    """(m, h, c, doc_id, loc, n): the first step of each nonbranching path, how often it occurs, its source, its windows."""
+    after = steps.select("doc_id", F.col("loc").alias("end"), F.struct("m", "h").alias("next"))
+    linked = steps.withColumn("end", F.col("loc") + F.col("n")).join(after, ["doc_id", "end"], "left")
+    nodes = settle(
+        linked.groupBy("m", "h").agg(
+            F.min(F.struct("doc_id", "loc")).alias("source"), F.max("n").alias("n"), F.count("*").alias("c"), F.count("next").alias("followed"), F.min("next").alias("next"), F.max("next").alias("last")
+        )
+    )
+    # All occurrences of a step are followed by the same one; of the steps before that one only the most
+    # frequent can be before all its occurrences.
+    single = nodes.where((F.col("c") == F.col("followed")) & (F.col("next") == F.col("last"))).groupBy("next").agg(F.max("c").alias("c"))
+    inner = single.select("next.m", "next.h", "c").join(nodes.select("m", "h", "c"), ["m", "h", "c"]).select("m", "h", F.lit(0).alias("starts"))
+    place = Window.partitionBy("doc_id", F.shiftright("loc", 32)).orderBy("loc")
+    rows = nodes.join(inner, ["m", "h"], "left").select("m", "h", "c", "n", "source.*", F.coalesce("starts", F.lit(1)).alias("starts"))
+    numbered = rows.withColumn("path", F.sum("starts").over(place))
+    first = F.min_by(F.struct("m", "h", "c", "loc"), "loc").alias("first")
+    return numbered.groupBy("doc_id", F.shiftright("loc", 32).alias("th"), "path").agg(first, F.sum("n").alias("n")).select("first.*", "doc_id", "th", "n")
+
+
+def repeated_spans(texts: DataFrame, packed: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
+    """(doc_id, th, lo, len, proof): words of a document that an earlier one should have too."""
+    steps = settle(shared_steps(texts, packed, window, inner))
+    paths = settle(compacted(steps))
+    lo, length = F.col("loc").bitwiseAND(2**32 - 1), F.col("n") + window - 1
+    asked = paths.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "h", lo.alias("lo"), length.alias("len"))).alias("paths"))
+    proofs = per_batch(packed.join(asked, ["doc_id", "th"]), "m long, h long, proof binary", _sources).groupBy("m", "h").agg(F.min("proof").alias("proof"))
+    known = settle(paths.join(proofs, ["m", "h"]).select("m", "h", "c", F.col("doc_id").alias("source"), length.alias("len"), "proof"))
+    spans = spread_join(steps.drop("n"), known, ["m", "h"], "c").where("source < doc_id")
+    return spans.select("doc_id", F.shiftright("loc", 32).alias("th"), lo.alias("lo"), "len", "proof")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
@@ -121,11 +173,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER)
     ``row`` holds the document's other columns, as they came.
     """
     prepare(docs.sparkSession)
-    spans = repeated_spans(docs, window, inner).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "len")).alias("spans"))
+    texts = documents(docs).where("doc_id is not null and text is not null").withColumn("th", text_hash())
+    some = per_batch(texts, "doc_id long, th long, packed binary", _squeezed)
+    spans = settle(repeated_spans(texts, some, window, inner).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "len", "proof")).alias("spans")))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).withColumn("th", text_hash())
-    packed = per_batch(texts, fields(texts, ["row", "doc_id", "th"], "packed binary"), _squeezed)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).withColumn("th", text_hash())
+    packed = per_batch(whole, fields(whole, ["row", "doc_id", "th"], "packed binary"), _squeezed)
     joined = packed.join(spans, ["doc_id", "th"], "left").select("row", "doc_id", "packed", "spans")
     return per_batch(joined, fields(joined, ["row"], "doc_id long, n_words long, n_removed long, kept string"), _cut)
 

@@ -83,7 +83,7 @@ def _keys(rows: dict[str, list]) -> dict[str, list]:
     """The least hash of each text's five-word shingles; texts without words share one."""
     key = np.full(len(rows["text"]), -1, dtype=np.int64)
     for texts, at in batches([t or "" for t in rows["text"]], np.arange(len(rows["text"]))):
-        doc, shingle = unique_shingles(Words(texts), 5, len(texts))
+        doc, shingle = unique_shingles(Words(texts), 5)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, doc, mix(shingle, 5).view(np.int64))
         key[at] = least

@@ -78,7 +78,9 @@ def test_words_and_windows():
     assert np.diff(w.first).tolist() == [5, 0, 1, 3]
     assert w.starts(2).tolist() == [0, 1, 2, 3, 6, 7]
     again = Words(["zz a bb c d e"])
-    assert w.rolling().of(np.array([0]), np.array([5]))[0] == again.rolling().of(np.array([1]), np.array([6]))[0]
+    assert w.windows(5)[0] == again.windows(5)[1] and len(w.windows(10)) == 0
+    for k in range(1, 9):
+        assert len(w.windows(k)) == 9 - k + 1 and len(set(w.windows(k).tolist())) == 9 - k + 1
     x = np.array([5, 3, 9, 1, 7, 2, 8], dtype=np.uint64)
     for k in range(1, 8):
         assert sliding_min(x, k).tolist() == [min(x[i : i + k]) for i in range(len(x) - k + 1)]
@@ -87,7 +89,7 @@ def test_words_and_windows():
 def test_minhash_estimates_similarity():
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(base), " ".join(base[:320] + [f"v{i}" for i in range(80)]), ""]
-    doc, shingle = unique_shingles(Words(texts), 1, 3)
+    doc, shingle = unique_shingles(Words(texts), 1)
     values = minhash(doc, shingle, 3, 2048)
     assert abs((values[0] == values[1]).mean() - 320 / 480) < 0.05
     assert (values[2] == 2**32 - 1).all()
@@ -140,6 +142,49 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
     assert got == Counter({(None, 60, 0): 1, (3, 60, 0): 2, (3, 115, 0): 1, (5, 62, 60): 1, (6, 55, 55): 1, (None, 55, 0): 1})
 
 
+def thue_morse(n):
+    """Two words of 2**n letters that polynomials modulo powers of two do not tell apart."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    x, y = thue_morse(11)
+    p = [f"p{i}" for i in range(60)]
+    one, two = " ".join([*p[:30], x, *p[31:]]), " ".join([*p[:30], y, *p[31:]])
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in substring.digest(substring.dedup_substrings(docs)).collect()} == {(1, 60, 0), (2, 60, 0)}
+    short = spark.createDataFrame([(1, f"a {x} b c d"), (2, f"a {y} b c d")], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_groups(short).collect()} == {(1, 1, 0), (2, 2, 0)}
+
+
+def test_paths_are_verified_at_their_source(spark, monkeypatch):
+    p = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, p), (2, f"x {p} y")], "doc_id long, text string").withColumn("th", F.lit(0))
+    packed = substring.per_batch(docs, "doc_id long, th long, packed binary", substring._squeezed)
+    spans = substring.repeated_spans(docs, packed).collect()
+    assert [(r.doc_id, r.lo, r.len, r.proof) for r in spans] == [(2, 1, 60, substring._digest(p.encode().split()))]
+    rows = {"row": [None] * 2, "doc_id": [2, 2], "packed": [r.packed for r in packed.where("doc_id = 2").collect()] * 2, "spans": [[r.asDict() for r in spans], [spans[0].asDict() | {"proof": b"other"}]]}
+    assert substring._cut(rows)["n_removed"] == [60, 0]
+
+
+def test_compaction_stops_where_the_graph_branches(spark):
+    rng = random.Random(41)
+    p = [f"p{i}" for i in range(400)]
+    texts = [p, p[:200] + ["new"] + p[201:], p[50:350], [*p[100:180], *p[300:380]]] + [[rng.choice(p) for _ in range(90)] for _ in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0))
+    packed = substring.per_batch(docs, "doc_id long, th long, packed binary", substring._squeezed)
+    spans = substring.repeated_spans(docs, packed).collect()
+    # The passages are cut where some document leaves them, not at every step.
+    assert len(spans) < 40 and max(r.len for r in spans) >= 90
+    want = expected_cuts(rows, 50)
+    got = substring.digest(substring.dedup_substrings(docs)).collect()
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, dict(rows)[r.doc_id]] for r in got)
+
+
 # --- near copies
 
 
@@ -206,6 +251,7 @@ def test_large_sets_are_judged_in_blocks(spark, monkeypatch):
         texts.append(" ".join(w))
     rows = list(enumerate(texts))
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SIGNS", 32)
     got = {r.doc_id: (r.n_links, r.group_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected_groups(rows)
 
