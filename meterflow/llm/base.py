@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,3 +85,18 @@ def per_batch(df: DataFrame, schema: str | StructType, work: Callable[[dict[str,
             gc.enable()
 
     return df.mapInArrow(run, out_schema)
+
+
+def plain(data: bytes) -> str:
+    """The text of a packed one."""
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+
+
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The named columns, and ``packed``: the text (null: empty) compressed, for texts that are shuffled."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return {k: rows[k] for k in keep} | {"packed": [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]}
+
+    return per_batch(df.select(*keep, "text"), fields(df, list(keep), "packed binary"), work)

@@ -5,25 +5,28 @@
    forms, comments, by element or by a whole class, id or role) or plain.  An article or main
    element inside furniture is content again, unless an article is one of many there (teasers,
    comments, adverts); a header inside content belongs to it.
-2. Each page is paired with the page of its host whose URL path is nearest, its neighbour in
-   the order of (path, page): hosts are sorted over ranges, so that a large host is spread.
-3. The lines of the two pages outside content regions are aligned by their longest common
-   subsequence, and shared ones go.  Every page keeps the plain lines that are left, beside its
-   content regions, which stay whole (articles may quote each other).
-
-Cases: null or empty html gives an empty text; a page alone on its host loses no shared lines;
-rows that repeat a page_id are extracted each on its own and share a neighbour; a malformed
-URL counts as a host of its own; other columns are ignored.
+2. Each page is paired with pages of its host whose URL path is nearest: of the ``REACH`` pages before and
+   after it in the order of (path, page), those with most leading path segments in common.  Pages of
+   equal lines are copies, not neighbours: the next nearest stands in for them.
+3. The lines of a page outside content regions and those of its nearest neighbours are aligned by
+   their longest common subsequence, and lines shared with one of ``PAIRS`` neighbours go.  What is left
+   of the plain lines stays beside the content regions, which stay whole (articles may quote each
+   other).  Furniture that differs from page to page is dropped by its region.
+
+Cases: null or empty html gives an empty text; a page alone on its host, or with copies only, loses
+no shared lines; of equally near pages those with the nearest place, then with the smaller page_id, are
+taken; rows that repeat a page_id are extracted each on its own and share neighbours, null
+page_ids have none; a malformed URL counts as a host of its own; very long pages are read whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.llm.base import per_batch, prepare, settle
@@ -38,14 +41,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY_BLOCK = frozenset(("p",))
 #: Whole names in class, id or role that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social comment comments disqus respond related recommended widget toolbar pagination pager login search form contentinfo complementary".split())
-#: Starts of such names.
-STARTS = ("ad-", "ads-", "advert-", "navbar-", "breadcrumb-", "cookie-", "newsletter-", "share-", "social-", "comment-", "comments-", "related-", "widget-", "pagination-")
+#: Compound names of the same sort, as content systems and frameworks give them.
+COMPOUND = frozenset("ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper ads-container advert-box cookie-banner cookie-bar cookie-consent cookie-notice comment-form comment-list comment-section comments-area comments-list comments-section footer-nav header-nav main-menu main-nav nav-bar nav-menu navbar-nav newsletter-form newsletter-signup page-footer page-header related-articles related-links related-posts share-bar share-buttons share-links site-footer site-header site-nav skip-link social-links social-share".split())
 #: Elements and names of furniture whose articles are not the page's own.
 OTHERS = frozenset("nav footer aside menu dialog ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond related recommended widget popup modal".split())
 #: Elements that no class, id or role marks.
 WHOLE = frozenset("html body article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title"}
 
 
@@ -55,7 +58,7 @@ def _furniture(name: str, attributes: str) -> int | None:
         found = {name}
     elif "=" in attributes and name not in WHOLE:
         names = {n for m in _MARK.findall(attributes) for n in "".join(m).lower().split()}
-        found = {n for n in names if n in MARKS} | {n.split("-")[0] for n in names if n.startswith(STARTS)}
+        found = (names & MARKS) | {part for n in names & COMPOUND for part in n.split("-")}
     else:
         return None
     return None if not found else 0 if OTHERS.isdisjoint(found) else -1
@@ -162,82 +165,81 @@ def shared(a: list, b: list) -> set[int]:
     return found
 
 
-def main_text(html: str, other: list[str]) -> str:
-    """The page's main text, given the lines of its nearest page."""
-    mine = lines(html)
+#: Pages looked at on either side, and neighbours whose shared lines go.
+REACH, PAIRS = 2, 2
+
+
+def main_text(html: str, others: list[list[str]]) -> str:
+    """The page's main text, given the lines of its neighbours outside their content."""
+    return differenced(lines(html), others)
+
+
+def differenced(mine: list[tuple[str, int]], others: list[list[str]]) -> str:
     outside = [i for i, (_, r) in enumerate(mine) if r < 2]
-    common = {outside[k] for k in shared([mine[i][0] for i in outside], other)} if other else set()
+    common = {outside[k] for other in others if other for k in shared([mine[i][0] for i in outside], other)}
     return "\n\n".join(t for i, (t, r) in enumerate(mine) if r == 2 or r == 1 and i not in common)
 
 
+def _sign(found: list[tuple[str, int]]) -> bytes:
+    return blake2b("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _outside(rows: dict[str, list]) -> dict[str, list]:
-    """Lines outside content regions, the only ones that a neighbour can take away."""
-    return {"page_id": rows["page_id"], "shell": [[t for t, r in lines(h or "") if r < 2] for h in rows["html"]]}
+    """Lines outside content regions, the only ones that a neighbour can take away, and a digest of all lines."""
+    found = [lines(h or "") for h in rows["html"]]
+    return {"page_id": rows["page_id"], "shell": [[t for t, r in f if r < 2] for f in found], "sign": [_sign(f) for f in found]}
 
 
-def nearest(pages: DataFrame) -> DataFrame:
-    """(page_id, near_id): the neighbour by path on the same host, if there is one."""
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, host, path, place): pages of known page_id in the order of host and path.
+
+    Ranges are sorted by themselves; what the driver sees is one count for each.
+    """
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", "")
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][\w+.-]*://[^/]*", ""), r"(\.html?|/)$", "")
     keyed = pages.select("page_id", F.when(host == "", url).otherwise(host).alias("host"), path.alias("path")).where("page_id is not null")
-    ordered = keyed.groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("u")).select("page_id", "u.*")
-    ordered = ordered.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-
-    def alike(a: tuple, b: tuple) -> int:
-        if a[0] != b[0]:
-            return -1
-        same = 0
-        for x, y in zip(a[1].split("/"), b[1].split("/"), strict=False):
-            if x != y:
-                break
-            same += 1
-        return same
-
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple] = []
-        first = True
-        for batch in them:
-            rows = [*before, *zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), batch.column("page_id").to_pylist(), strict=True)]
-            out = [(*rows[0], None, -1, True)] if first and rows else []
-            for i in range(1, len(rows) - 1):
-                left, right = alike(rows[i - 1], rows[i]), alike(rows[i], rows[i + 1])
-                near = (rows[i - 1], left) if left >= right else (rows[i + 1], right)
-                out.append((*rows[i], near[0][2] if near[1] >= 0 else None, near[1], False))
-            if first and len(rows) > 1:
-                a = alike(rows[0], rows[1])
-                out[0] = (*rows[0], rows[1][2] if a >= 0 else None, a, True)
-            first = first and len(rows) < 1
-            before = rows[-2:]
-            yield _rows(out)
-        if len(before) == 2:  # the last row of the range; one alone is its first row too
-            a = alike(*before)
-            yield _rows([(*before[1], before[0][2] if a >= 0 else None, a, True)])
-
-    found = settle(ordered.mapInArrow(run, "host string, path string, page_id long, near_id long, score int, edge boolean"))
-    # Two rows at most for each range are left to link across ranges, in one task.
-    edge = found.where("edge")
-    w = Window.orderBy("host", "path", "page_id")
-    linked = edge.select("page_id", "near_id", "score", "host", F.lag("host").over(w).alias("h0"), F.lag("page_id").over(w).alias("p0"), F.lead("host").over(w).alias("h1"), F.lead("page_id").over(w).alias("p1"))
-    other = F.when(F.col("h0") == F.col("host"), F.col("p0")).when(F.col("h1") == F.col("host"), F.col("p1"))
-    return found.where("not edge and near_id is not null").select("page_id", "near_id").union(linked.select("page_id", F.coalesce("near_id", other).alias("near_id")).where("near_id is not null"))
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("near_id", pa.int64()), ("score", pa.int32()), ("edge", pa.bool_()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+    one = keyed.groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("u")).select("page_id", "u.*")
+    ordered = one.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    ranged = settle(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("inside")))
+    before, total = [], 0
+    for row in ranged.groupBy("part").count().orderBy("part").collect():
+        before += [F.lit(row["part"]), F.lit(total)]
+        total += row["count"]
+    start = F.create_map(*before)[F.col("part")] if before else F.lit(0)
+    return ranged.select("page_id", "host", "path", (start + F.col("inside")).alias("place"))
+
+
+def nearest(pages: DataFrame) -> DataFrame:
+    """(page_id, near_id, rank): pages of the same host by nearness, 2 * REACH at most."""
+    at = settle(numbered(pages))
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-REACH, REACH + 1) if k])).alias("step")
+    asked = at.select("page_id", "host", "path", "place", steps).select("page_id", "host", "path", "step", (F.col("place") + F.col("step")).alias("place"))
+    other = at.select("place", "host", F.col("page_id").alias("near_id"), F.col("path").alias("near_path"))
+    same = F.aggregate(
+        F.zip_with(F.split("path", "/"), F.split("near_path", "/"), lambda a, b: F.coalesce(a == b, F.lit(False))),
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")),
+    )["n"]
+    found = asked.join(other, ["place", "host"]).select("page_id", "near_id", (-same).alias("far"), F.abs("step").alias("step"))
+    ranked = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("far", "step", "near_id"))).alias("near"))
+    return ranked.select("page_id", F.posexplode("near").alias("rank", "n")).select("page_id", F.col("n.near_id").alias("near_id"), "rank")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     prepare(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    shells = per_batch(pages.select("page_id", "html").where("page_id is not null"), "page_id long, shell array<string>", _outside)
-    one = shells.groupBy("page_id").agg(F.min("shell").alias("shell"))
-    near = nearest(pages).join(one.withColumnRenamed("page_id", "near_id"), "near_id").select("page_id", "shell")
+    shells = per_batch(pages.select("page_id", "html").where("page_id is not null"), "page_id long, shell array<string>, sign binary", _outside)
+    one = shells.groupBy("page_id").agg(F.min(F.struct("shell", "sign")).alias("s")).select(F.col("page_id").alias("near_id"), "s.*")
+    near = nearest(pages).join(one, "near_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sign", "shell"))).alias("near"))
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        texts = [main_text(h or "", s or []) for h, s in zip(rows["html"], rows["shell"], strict=True)]
+        texts = []
+        for html, others in zip(rows["html"], rows["near"], strict=True):
+            mine = lines(html or "")
+            sign = _sign(mine)
+            texts.append(differenced(mine, [o["shell"] for o in others or [] if o["sign"] != sign][:PAIRS]))
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     return per_batch(pages.join(near, "page_id", "left"), "page_id long, url string, text string, n_chars long", work)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import documents, fields, per_batch, prepare, settle, spread_join, text_hash
+from meterflow.llm.base import documents, fields, packed, per_batch, plain, prepare, settle, spread_join, text_hash
 from meterflow.llm.grams import Words, batches, mix, sliding_min
 
 WINDOW = 50
@@ -36,14 +36,8 @@ WINDOW = 50
 INNER = 25
 
 
-def _squeezed(rows: dict[str, list]) -> dict[str, list]:
-    """Texts as compressed bytes, since they go through two shuffles."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return {k: v for k, v in rows.items() if k != "text"} | {"packed": [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]}
-
-
-def _plain(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+def _plain(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _steps(window: int, inner: int):
@@ -72,8 +66,8 @@ def _steps(window: int, inner: int):
 def _edges(window: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in ("m", "doc_id", "loc")}
-        for packed, doc_id, th, steps in zip(rows["packed"], rows["doc_id"], rows["th"], rows["steps"], strict=True):
-            words = Words([_plain(packed).decode("utf-8", "surrogatepass")])
+        for data, doc_id, th, steps in zip(rows["packed"], rows["doc_id"], rows["th"], rows["steps"], strict=True):
+            words = Words([plain(data)])
             at = np.unique(np.concatenate([np.arange(p["lo"], p["lo"] + p["n"]) for p in steps]))
             out["m"].append(words.windows(window)[at].view(np.int64))
             out["doc_id"].append(np.full(len(at), doc_id))
@@ -90,8 +84,8 @@ def _digest(words: list[bytes]) -> bytes:
 def _sources(rows: dict[str, list]) -> dict[str, list]:
     """A digest of the words of each path, at its source."""
     out = {k: [] for k in ("m", "h", "proof")}
-    for packed, paths in zip(rows["packed"], rows["paths"], strict=True):
-        words = _plain(packed).split()
+    for data, paths in zip(rows["packed"], rows["paths"], strict=True):
+        words = _plain(data).split()
         for p in paths:
             for k, v in (("m", p["m"]), ("h", p["h"]), ("proof", _digest(words[p["lo"] : p["lo"] + p["len"]]))):
                 out[k].append(v)
@@ -100,8 +94,8 @@ def _sources(rows: dict[str, list]) -> dict[str, list]:
 
 def _cut(rows: dict[str, list]) -> dict[str, list]:
     out = {k: [] for k in ("row", "doc_id", "n_words", "n_removed", "kept")}
-    for row, doc_id, packed, spans in zip(rows["row"], rows["doc_id"], rows["packed"], rows["spans"], strict=True):
-        words = _plain(packed).split()
+    for row, doc_id, data, spans in zip(rows["row"], rows["doc_id"], rows["packed"], rows["spans"], strict=True):
+        words = _plain(data).split()
         n = len(words)
         if spans:
             good = [s for s in spans if _digest(words[s["lo"] : s["lo"] + s["len"]]) == s["proof"]]
@@ -114,7 +108,7 @@ def _cut(rows: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def shared_steps(texts: DataFrame, packed: DataFrame, window: int, inner: int) -> DataFrame:
+def shared_steps(texts: DataFrame, squeezed: DataFrame, window: int, inner: int) -> DataFrame:
     """(m, h, doc_id, loc, n): each occurrence of a step, a run of n windows, that two documents have.
 
     ``loc`` is the text's hash and the first word's place in one number.
@@ -129,7 +123,7 @@ def shared_steps(texts: DataFrame, packed: DataFrame, window: int, inner: int) -
     plain = placed.where("not branches").drop("branches")
     lo, th = F.col("loc").bitwiseAND(2**32 - 1), F.shiftright("loc", 32)
     inside = placed.where("branches").groupBy("doc_id", th.alias("th")).agg(F.collect_set(F.struct(lo.alias("lo"), "n")).alias("steps"))
-    edges = settle(per_batch(packed.join(inside, ["doc_id", "th"]), "m long, doc_id long, loc long", _edges(window)).distinct())
+    edges = settle(per_batch(squeezed.join(inside, ["doc_id", "th"]), "m long, doc_id long, loc long", _edges(window)).distinct())
     often = edges.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
     single = spread_join(edges, settle(often.where("low < high").select("m", "c")), ["m"], "c")
     return plain.distinct().unionByName(single.select("m", F.lit(0).cast("long").alias("h"), "doc_id", "loc", F.lit(1).cast("long").alias("n")))
@@ -155,13 +149,13 @@ def compacted(steps: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", F.shiftright("loc", 32).alias("th"), "path").agg(first, F.sum("n").alias("n")).select("first.*", "doc_id", "th", "n")
 
 
-def repeated_spans(texts: DataFrame, packed: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
+def repeated_spans(texts: DataFrame, squeezed: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
     """(doc_id, th, lo, len, proof): words of a document that an earlier one should have too."""
-    steps = settle(shared_steps(texts, packed, window, inner))
+    steps = settle(shared_steps(texts, squeezed, window, inner))
     paths = settle(compacted(steps))
     lo, length = F.col("loc").bitwiseAND(2**32 - 1), F.col("n") + window - 1
     asked = paths.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "h", lo.alias("lo"), length.alias("len"))).alias("paths"))
-    proofs = per_batch(packed.join(asked, ["doc_id", "th"]), "m long, h long, proof binary", _sources).groupBy("m", "h").agg(F.min("proof").alias("proof"))
+    proofs = per_batch(squeezed.join(asked, ["doc_id", "th"]), "m long, h long, proof binary", _sources).groupBy("m", "h").agg(F.min("proof").alias("proof"))
     known = settle(paths.join(proofs, ["m", "h"]).select("m", "h", "c", F.col("doc_id").alias("source"), length.alias("len"), "proof"))
     spans = spread_join(steps.drop("n"), known, ["m", "h"], "c").where("source < doc_id")
     return spans.select("doc_id", F.shiftright("loc", 32).alias("th"), lo.alias("lo"), "len", "proof")
@@ -174,13 +168,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER)
     """
     prepare(docs.sparkSession)
     texts = documents(docs).where("doc_id is not null and text is not null").withColumn("th", text_hash())
-    some = per_batch(texts, "doc_id long, th long, packed binary", _squeezed)
+    some = packed(texts, "doc_id", "th")
     spans = settle(repeated_spans(texts, some, window, inner).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "len", "proof")).alias("spans")))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).withColumn("th", text_hash())
-    packed = per_batch(whole, fields(whole, ["row", "doc_id", "th"], "packed binary"), _squeezed)
-    joined = packed.join(spans, ["doc_id", "th"], "left").select("row", "doc_id", "packed", "spans")
+    joined = packed(whole, "row", "doc_id", "th").join(spans, ["doc_id", "th"], "left").select("row", "doc_id", "packed", "spans")
     return per_batch(joined, fields(joined, ["row"], "doc_id long, n_words long, n_removed long, kept string"), _cut)
 
 

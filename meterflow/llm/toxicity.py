@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from itertools import chain
 from typing import Any
 
@@ -33,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import fields, per_batch, prepare, settle
+from meterflow.llm.base import fields, packed, per_batch, plain, prepare, settle
 from meterflow.llm.grams import Words, batches, mix, unique_shingles
 
 #: At most so many lexicon entries are kept for a part, those of the highest ratio; each must be in so
@@ -61,7 +62,8 @@ _PUNCT = np.zeros(256)
 _PUNCT[[ord(c) for c in "!?.,;:*#$%&|<>@"]] = 1
 _LETTER = np.zeros(256)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_STRETCH = re.compile(r"(\w)\1{3,}")
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[*range(65, 91), *range(97, 123)]] = True
 
 
 def normal(token: str) -> tuple[str, str]:
@@ -75,14 +77,17 @@ def normal(token: str) -> tuple[str, str]:
 
 def entries(token: str) -> list[str]:
     """Lexicon entries that a token stands for: its plain word, and starts of longer ones."""
-    word = normal(token)[1]
+    return _entries(normal(token)[1])
+
+
+def _entries(word: str) -> list[str]:
     return ["w" + word, *("s" + word[:k] for k in STEMS if len(word) > k)] if len(word) >= 2 else []
 
 
 def _keys(rows: dict[str, list]) -> dict[str, list]:
     """The least hash of each text's five-word shingles; texts without words share one."""
-    key = np.full(len(rows["text"]), -1, dtype=np.int64)
-    for texts, at in batches([t or "" for t in rows["text"]], np.arange(len(rows["text"]))):
+    key = np.full(len(rows["packed"]), -1, dtype=np.int64)
+    for texts, at in batches([plain(p) for p in rows["packed"]], np.arange(len(rows["packed"]))):
         doc, shingle = unique_shingles(Words(texts), 5)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, doc, mix(shingle, 5).view(np.int64))
@@ -94,9 +99,9 @@ def _counted(rows: dict[str, list]) -> dict[str, list]:
     """Documents of a batch with each entry, once and (marked 2) at least twice, by part and label."""
     known: dict[str, list[str]] = {}
     sums: dict[tuple[str, int, int], int] = {}
-    for text, toxic, fold in zip(rows["text"], rows["toxic"], rows["fold"], strict=True):
+    for text, toxic, fold in zip(map(plain, rows["packed"]), rows["toxic"], rows["fold"], strict=True):
         found: dict[str, int] = {}
-        for token, n in Counter((text or "").split()).items():
+        for token, n in Counter(text.split()).items():
             if token not in known:
                 known[token] = entries(token)
             for e in known[token]:
@@ -124,7 +129,7 @@ def _ratio(a: Column, b: Column, a_all: float, b_all: float) -> Column:
 def learn_lexicon(known: DataFrame) -> list[dict[str, float]]:
     """entry -> ratio, for each part (learnt from the other parts) and, last, from all; each bounded by LEXICON."""
     totals = {(r["fold"], r["toxic"]): float(r["n"]) for r in known.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
-    counts = per_batch(known.select("text", "toxic", "fold"), "entry string, fold int, toxic int, n long", _counted)
+    counts = per_batch(known.select("packed", "toxic", "fold"), "entry string, fold int, toxic int, n long", _counted)
     sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]
     ratios = []
     for left_out in [*range(FOLDS), None]:
@@ -142,6 +147,17 @@ def learn_lexicon(known: DataFrame) -> list[dict[str, float]]:
     return out
 
 
+class _Known(dict):
+    """What is known of tokens; asks for what is not."""
+
+    def __init__(self, ask: Callable[[str], int]) -> None:
+        self.ask = ask
+
+    def __missing__(self, token: str) -> int:
+        self[token] = found = self.ask(token)
+        return found
+
+
 class Featurizer:
     """Features of a text, by one lexicon; keeps what it knows of recent tokens."""
 
@@ -149,32 +165,49 @@ class Featurizer:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
-        self.seen: dict[str, tuple[int, float, list[str]]] = {}
-
-    def about(self, token: str) -> tuple[int, float, list[str]]:
-        """(signs, best ratio, entries): signs 1 found only once unmasked, 2 second person, 4 all capitals, 8 masked."""
+        names = {e.removeprefix("2") for e in lexicon}
+        self.words = {e[1:] for e in names if e[0] == "w"} | SECOND_PERSON
+        self.starts = {e[1:] for e in names if e[0] == "s"}
+        #: token -> place in ``facts``; 0, as for most tokens, says nothing.
+        self.facts: list[tuple[int, float, str, list[str]]] = [(0, 0.0, "", [])]
+        self.seen = _Known(self.about)
+
+    def about(self, token: str) -> int:
+        """Where the facts of a token are: signs, best ratio, plain word, entries in the lexicon.
+
+        Signs: 1 found only once unmasked, 2 second person, 4 all capitals, 8 masked.
+        """
         plain, bare = normal(token)
-        mine = entries(token)
-        best = max((self.lexicon.get(e, 0.0) for e in mine), default=0.0)
+        if plain is bare and plain not in self.words and plain[: STEMS[0]] not in self.starts and plain[: STEMS[1]] not in self.starts and not token.isupper():
+            return 0
+        mine = _entries(bare)
+        known = [e for e in mine if e in self.lexicon or "2" + e in self.lexicon] if mine else mine
+        best = max((self.lexicon.get(e, 0.0) for e in known), default=0.0)
         masked = bool(plain != bare and bare and plain)
         signs = 1 * (masked and best > 0) | 2 * (plain in SECOND_PERSON) | 4 * (len(plain) >= 3 and token.isupper()) | 8 * masked
-        if len(self.seen) >= self.KEEP:
-            self.seen.clear()
-        self.seen[token] = out = (signs, best, [e for e in mine if e in self.lexicon or "2" + e in self.lexicon])
-        return out
+        if not signs and not known:
+            return 0
+        self.facts.append((signs, best, bare, known))
+        return len(self.facts) - 1
 
     def of(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        known, n = self.seen, len(tokens)
-        facts = [known[t] if t in known else self.about(t) for t in tokens]
-        signs = np.fromiter((f[0] for f in facts), dtype=np.uint8, count=n)
-        best = np.fromiter((f[1] for f in facts), dtype=np.float64, count=n)
-        hit, you = np.flatnonzero(best), np.flatnonzero(signs & 2)
-        kinds = {normal(tokens[i])[1]: best[i] for i in hit}
+        if len(self.seen) >= self.KEEP:
+            self.seen.clear()
+            del self.facts[1:]
+        n = len(tokens)
+        codes = np.fromiter(map(self.seen.__getitem__, tokens), dtype=np.int64, count=n)
+        some = np.flatnonzero(codes)
+        facts = [self.facts[c] for c in codes[some].tolist()]
+        signs = [f[0] for f in facts]
+        hit = np.array([i for i, f in zip(some, facts, strict=True) if f[1]], dtype=np.int64)
+        best = np.array([f[1] for f in facts if f[1]])
+        you = np.array([i for i, s in zip(some, signs, strict=True) if s & 2], dtype=np.int64)
+        kinds = {f[2]: f[1] for f in facts if f[1]}
         top = sorted(kinds.values(), reverse=True)
-        counts = Counter(chain.from_iterable(f[2] for f in facts if f[2]))
+        counts = Counter(chain.from_iterable(f[3] for f in facts))
         again = sorted((self.lexicon.get("2" + e, 0.0) for e, c in counts.items() if c > 1), reverse=True)
         top, again = [*top[:3], 0.0, 0.0, 0.0], [*again[:2], 0.0, 0.0]
         near = 0
@@ -182,33 +215,45 @@ class Featurizer:
             at = np.searchsorted(you, hit)
             gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hit), np.abs(you[np.maximum(at - 1, 0)] - hit))
             near = int((gap <= NEAR).sum())
-        raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
-        size = max(1, int(raw.sum()))
+        codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        raw = np.bincount(codes, minlength=256)
+        size = len(codes)
         out = []
         for level in LEVELS:
-            hits = int((best[hit] >= level).sum())
+            hits = int((best >= level).sum())
             out += [float(np.log1p(hits)), float(np.log1p(sum(g >= level for g in kinds.values()))), hits / n]
         return [
             *out, *np.log1p(top[:3]).tolist(), *np.log1p(again[:2]).tolist(),
-            float((signs & 1 > 0).sum()) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
-            float((signs & 4 > 0).mean()), raw[33] / size, float(raw @ _PUNCT) / size, float((signs & 8 > 0).mean()), float(np.log1p(n)),
-            len(_STRETCH.findall(text)) / n if _STRETCH.search(text) else 0.0,
+            sum(s & 1 for s in signs) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
+            sum(s >> 2 & 1 for s in signs) / n, float(raw[33]) / size, float(raw @ _PUNCT) / size, sum(s >> 3 & 1 for s in signs) / n, float(np.log1p(n)),
+            _stretched(codes) / n,
         ]
 
 
+def _stretched(codes: np.ndarray) -> int:
+    """Runs of four or more equal letters from a to z."""
+    same = codes[1:] == codes[:-1]
+    three = same[2:] & same[1:-1] & same[:-2]
+    at = np.flatnonzero(three)
+    at = at[_PLAIN[codes[at]]]
+    return int(len(at) and 1 + (np.diff(at) > 1).sum())
+
+
 def features(df: DataFrame, lexicons: list[dict[str, float]], keep: str, fold: str | None = None) -> DataFrame:
-    """The named columns of df and ``x``, the features of its text by the lexicon of its part, or the last one."""
+    """The named columns of df and ``x``, the features of its text (or packed text) by the lexicon of its part, or the last one."""
     made: dict[int, Featurizer] = {}
     names = keep.split(", ")
+    source = "packed" if "packed" in df.columns else "text"
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        which = rows[fold] if fold else [-1] * len(rows["text"])
+        which = rows[fold] if fold else [-1] * len(rows[source])
         for k in set(which).difference(made):
             made[k] = Featurizer(lexicons[k])
-        return {n: rows[n] for n in names} | {"x": [made[k].of(t) for k, t in zip(which, rows["text"], strict=True)]}
+        texts = map(plain, rows[source]) if source == "packed" else rows[source]
+        return {n: rows[n] for n in names} | {"x": [made[k].of(t) for k, t in zip(which, texts, strict=True)]}
 
     lexicons = lexicons if fold else lexicons[-1:]
-    return per_batch(df.select(*names, "text"), fields(df, names, "x array<double>"), work)
+    return per_batch(df.select(*names, source), fields(df, names, "x array<double>"), work)
 
 
 class ToxicityModel:
@@ -231,12 +276,12 @@ def _margin(trees: Any, df: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> ToxicityModel:
-    """Learns from (text, toxic) rows."""
+    """Learns from (packed text, toxic) rows."""
     prepare(labelled.sparkSession)
-    labelled = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    keyed = per_batch(labelled, fields(labelled, ["text", "toxic"], "key long"), _keys)
-    once = keyed.groupBy("key", "toxic").agg(F.min("text").alias("text"))
-    known = settle(once.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold"), F.pmod(F.xxhash64("key", F.lit("use")), F.lit(10)).alias("use")))
+    labelled = labelled.where("toxic is not null").select("packed", F.col("toxic").cast("int").alias("toxic"))
+    keyed = per_batch(labelled, fields(labelled, ["packed", "toxic"], "key long"), _keys)
+    once = keyed.groupBy("key", "toxic").agg(F.min("packed").alias("packed"))
+    known = settle(once.select("packed", "toxic", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold"), F.pmod(F.xxhash64("key", F.lit("use")), F.lit(10)).alias("use")))
     n, toxic, tree_n, tree_toxic, iso_n = known.agg(F.count("*"), F.sum("toxic"), F.count_if(F.col("use") < TREES), F.sum(F.when(F.col("use") < TREES, F.col("toxic"))), F.count_if(F.col("use") >= TREES)).first()
     if not tree_toxic or tree_toxic == tree_n or not iso_n:
         return ToxicityModel([], None, None, (toxic or 0) / n if n else 0.0)
@@ -257,9 +302,9 @@ def remainder(divisor: int) -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fits on documents outside the held-out third."""
-    texts = docs.select("doc_id", "text").where(remainder(3) != 1)
+    texts = packed(docs.select("doc_id", "text").where(remainder(3) != 1), "doc_id")
     # Labels grow with the documents: the same plan at every size, without a broadcast.
-    return fit(texts.join(labels.select("doc_id", "toxic").where("toxic is not null").hint("merge"), "doc_id").select("text", "toxic"))
+    return fit(texts.join(labels.select("doc_id", "toxic").where("toxic is not null").hint("merge"), "doc_id").select("packed", "toxic"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

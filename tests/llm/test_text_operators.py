@@ -163,7 +163,7 @@ def test_words_that_weak_hashes_confuse(spark):
 def test_paths_are_verified_at_their_source(spark, monkeypatch):
     p = " ".join(f"p{i}" for i in range(60))
     docs = spark.createDataFrame([(1, p), (2, f"x {p} y")], "doc_id long, text string").withColumn("th", F.lit(0))
-    packed = substring.per_batch(docs, "doc_id long, th long, packed binary", substring._squeezed)
+    packed = substring.packed(docs, "doc_id", "th")
     spans = substring.repeated_spans(docs, packed).collect()
     assert [(r.doc_id, r.lo, r.len, r.proof) for r in spans] == [(2, 1, 60, substring._digest(p.encode().split()))]
     rows = {"row": [None] * 2, "doc_id": [2, 2], "packed": [r.packed for r in packed.where("doc_id = 2").collect()] * 2, "spans": [[r.asDict() for r in spans], [spans[0].asDict() | {"proof": b"other"}]]}
@@ -176,7 +176,7 @@ def test_compaction_stops_where_the_graph_branches(spark):
     texts = [p, p[:200] + ["new"] + p[201:], p[50:350], [*p[100:180], *p[300:380]]] + [[rng.choice(p) for _ in range(90)] for _ in range(3)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0))
-    packed = substring.per_batch(docs, "doc_id long, th long, packed binary", substring._squeezed)
+    packed = substring.packed(docs, "doc_id", "th")
     spans = substring.repeated_spans(docs, packed).collect()
     # The passages are cut where some document leaves them, not at every step.
     assert len(spans) < 40 and max(r.len for r in spans) >= 90
@@ -463,7 +463,7 @@ def test_lexicon_against_a_plain_count(spark):
     rng = random.Random(31)
     rows = [(" ".join(rng.choice(["grob", "plain", "other", "wordy", "nicely"][x:]) for _ in range(6)), x, i % 4) for i in range(80) for x in [int(i % 5 != 0)]]
     rows = [(t, 1 - x, f) for t, x, f in rows]
-    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    got = toxicity.learn_lexicon(toxicity.packed(spark.createDataFrame(rows, "text string, toxic int, fold int"), "toxic", "fold"))
     assert len(got) == toxicity.FOLDS + 1
     for left_out, lexicon in zip([*range(toxicity.FOLDS), None], got, strict=True):
         use = [(t, x) for t, x, f in rows if f != left_out]
@@ -651,7 +651,7 @@ def test_marks_do_not_swallow_articles():
     want = "Head\n\nSub\n\nText"
     for wrap in ("<body class='no-sidebar'>{}</body>", "<div class='content-with-sidebar'>{}</div>", "<div id='has-comments'>{}</div>", "<form>{}</form>", "<div class='sidebar'>{}</div>"):
         assert html.main_text(wrap.format(body), []) == want
-    assert html.main_text("<main class='search'><p>x</p></main><div class='related widget'><article>other</article></div><div class='cookie-bar ad'>y</div><div role='search'>z</div>", []) == "x"
+    assert html.main_text("<main class='search'><p>x</p></main><div class='related widget'><article>other</article></div><div class='cookie-bar x'>y</div><div role='search'>z</div>", []) == "x"
 
 
 def test_differencing_beside_an_article(spark):
@@ -678,6 +678,32 @@ def test_longest_common_subsequence():
 
 def test_neighbours_stay_on_the_host_over_ranges(spark):
     rows = [(i, f"http://h{i % 3}.example/en/{i:04d}?x=1", "") for i in range(300)] + [(999, "http://single.example/x", "")]
-    near = {r.page_id: r.near_id for r in html.nearest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert 999 not in near and len(near) == 300
-    assert all(i % 3 == j % 3 and abs(i - j) == 3 for i, j in near.items())
+    near = {(r.page_id, r.rank): r.near_id for r in html.nearest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any(i == 999 for i, _ in near) and {i for i, _ in near} == set(range(300))
+    assert all(i % 3 == j % 3 and abs(i - j) <= 6 for (i, _), j in near.items())
+    assert near[30, 0] == 27 and near[30, 1] == 33 and near[30, 3] == 36 and near[0, 1] == 6 and (0, 2) not in near
+    deep = [(1, "http://h.example/a/x"), (2, "http://h.example/b/1"), (3, "http://h.example/b/2")]
+    found = html.nearest(spark.createDataFrame([(*r, "") for r in deep], "page_id long, url string, html string"))
+    assert {r.page_id: r.near_id for r in found.where("rank = 0").collect()} == {1: 2, 2: 3, 3: 2}
+
+
+def test_copies_of_a_page_are_not_emptied(spark):
+    plain = "<div>Top</div><p>Story {}</p><p>End</p>"
+    rows = [(1, "http://h.example/a/1", plain.format("one")), (2, "http://h.example/a/1?print=1", plain.format("one")), (3, "http://h.example/a/1#top", plain.format("one")), (4, "http://h.example/a/2", plain.format("two"))]
+    rows += [(5, "http://copies.example/a", plain.format("x")), (6, "http://copies.example/b", plain.format("x"))]
+    rows += [(None, "http://h.example/a/1", plain.format("null")), (None, None, None)]
+    got = [(r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert Counter(got) == Counter([(1, "Top\n\nStory one\n\nEnd"), (2, "Story one"), (3, "Story one"), (4, "Story two"), (5, "Top\n\nStory x\n\nEnd"), (6, "Top\n\nStory x\n\nEnd"), (None, "Top\n\nStory null\n\nEnd"), (None, "")]) - Counter([(1, "Top\n\nStory one\n\nEnd")]) + Counter([(1, dict(got)[1])])
+
+
+def test_alignment_decides_beside_articles(spark, monkeypatch):
+    body = "<div>Read also</div><p>Lead {0}</p><article><p>Body {0}</p></article><p>About us</p>"
+    df = spark.createDataFrame([(i, f"http://h.example/n/{i}", page(body.format(i))) for i in range(4)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"Lead {i}\n\nBody {i}" for i in range(4)}
+    assert html.main_text(page(body.format(1)), []) == "Read also\n\nLead 1\n\nBody 1\n\nAbout us"
+
+
+def test_whole_names_mark_furniture():
+    keep = "<div data-id='form'><p>a</p></div><div class='article-header'>b</div><div class='share-price'>c</div><div id='notice-board'>d</div><p data-class='ad'>e</p>"
+    assert html.main_text(keep, []) == "a\n\nb\n\nc\n\nd\n\ne"
+    assert html.main_text("<div class='x cookie-banner'>a</div><ul CLASS=related-posts><li>b</ul><div role=search>c</div><p>d", []) == "d"
