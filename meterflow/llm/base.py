@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,17 +19,23 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder: the cluster's, or else (in tests) our own."""
+    """Small Arrow batches, and a checkpoint folder: the cluster's, or else (with a local master only) our own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes a frame once and keeps it in the shared checkpoint folder."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """Computes a frame once and keeps it as a compressed table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +75,19 @@ def fields(df: DataFrame, names: list[str], more: str) -> StructType:
     return StructType([StructField(n, df.schema[n].dataType) for n in names] + list(new))
 
 
+#: What a Python worker keeps from task to task: the last few things, by key.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker that tasks use one after the other."""
+    if key not in _KEPT:
+        while len(_KEPT) >= 8:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def per_batch(df: DataFrame, schema: str | StructType, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow with columns as lists in and out; work gets one batch, of bounded rows."""
     prepare(df.sparkSession)

@@ -20,7 +20,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from meterflow.llm.base import documents, per_batch
+from meterflow.llm.base import documents, kept, per_batch
 
 #: Bytes up to which a word counts as short.
 SHORT = 64
@@ -207,12 +207,9 @@ class ByteBpe:
 
 def round_trips(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids) of each document."""
-    made: dict[str, ByteBpe] = {}
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        if "bpe" not in made:
-            made["bpe"] = ByteBpe(path)
-        bpe = made["bpe"]
+        bpe = kept(("bpe", path), lambda: ByteBpe(path))
         out: dict[str, list] = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
         for ids, decoded in bpe.batch([t or "" for t in rows["text"]]):
             out["n_tokens"].append(ids.count(",") + 1 if ids else 0)

@@ -12,9 +12,10 @@ is ordered by itself, and the ends of the ranges (a bounded number) are linked.
 
 Cases: null text counts as empty, with the zero fingerprint; two zero fingerprints have
 likeness 1, one alone 0; of rows that repeat a doc_id each is fingerprinted, and the next
-document is the one with the next other doc_id (the least text if that repeats); a null doc_id
-counts as the smallest; a table of one doc_id has itself as the next.  Other columns
-are ignored.
+document is the one with the next other doc_id (one of its rows if that repeats: the least by a hash
+and then by text); a null doc_id counts as the smallest, together with the least number that there
+is; a table of one doc_id has itself as the next; very long texts are read whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from meterflow.llm.base import settle
 
 UNIFORM, SIGNED = 8, 128
 RANGES = 256
+#: Rows of one doc_id, a null one too, are spread over so many parts by their text.
+SALTS = 64
 #: Stands for a null doc_id, before all others.
 NULL_ID = -(2**63)
 #: Paragraphs end at a line break, or after a sentence sign and a blank.
@@ -96,23 +99,31 @@ def next_ids(ids: DataFrame, ranges: int = RANGES) -> DataFrame:
     return inside.join(F.broadcast(linked), "k", "left").select("k", F.coalesce("before", "far").alias("next_k"))
 
 
+def _salted(docs: DataFrame) -> DataFrame:
+    """k, salt, text: salts from SALTS on mark a null doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int") + F.when(F.col("doc_id").isNull(), SALTS).otherwise(0)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), salt.alias("salt"), text.alias("text"))
+
+
 def placed_texts(docs: DataFrame) -> DataFrame:
-    """k, text, place, first: one per row, (k, place) unique; a null doc_id has the least k.
+    """k, salt, text, place, first: one per row, (k, salt, place) unique; a null doc_id has the least k.
 
     Every use of it asks for the same columns, so that the texts are shuffled once; a limit on
     ``place`` would be applied before the shuffle and make another one of it, so ``first`` is
     told by the row before.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("k").orderBy("text")
-    return texts.withColumns({"place": F.row_number().over(order), "first": F.lag("k").over(order).isNull()})
+    order = Window.partitionBy("k", "salt").orderBy("text")
+    return _salted(docs).withColumns({"place": F.row_number().over(order), "first": F.lag("k").over(order).isNull()})
 
 
 def asks(docs: DataFrame) -> DataFrame:
-    """(k, asker, half): the document that is next to the asker, and how much of it is asked for."""
-    sizes = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k")).agg(F.floor(F.max(F.char_length(F.coalesce("text", F.lit("")))) / 2).cast("int").alias("half"))
-    sizes = settle(sizes)
-    return settle(sizes.join(next_ids(sizes.select("k")), "k").select(F.col("next_k").alias("k"), F.col("k").alias("asker"), "half"))
+    """(k, salt, asker, asker_salt, half): the row that is next to the asker's, and how much of it is asked for."""
+    half = F.floor(F.max(F.char_length("text")) / 2).cast("int").alias("half")
+    sizes = settle(_salted(docs).groupBy("k", "salt").agg(half))
+    heads = settle(sizes.groupBy("k").agg(F.min("salt").alias("salt")))
+    after = next_ids(heads.select("k")).join(heads.select(F.col("k").alias("next_k"), F.col("salt").alias("next_salt")), "next_k")
+    return settle(sizes.join(after, "k").select(F.col("next_k").alias("k"), F.col("next_salt").alias("salt"), F.col("k").alias("asker"), F.col("salt").alias("asker_salt"), "half"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -123,20 +134,20 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """
     placed, asked = placed_texts(docs), asks(docs)
     first = placed.where("first")
-    heads = first.join(asked, "k").select(F.col("asker").alias("k"), F.expr("substring(text, 1, half)").alias("head"))
-    whole = first.select("k", F.explode_outer(paragraphs("text")).alias("p"))
-    lanes = summed(whole, ["k"]).join(asked, "k").select(F.col("asker").alias("k"), F.col("signed").alias("next_signed"))
-    texts = placed.join(heads, "k").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+    heads = first.join(asked, ["k", "salt"]).select(F.col("asker").alias("k"), F.col("asker_salt").alias("salt"), F.expr("substring(text, 1, half)").alias("head"))
+    whole = first.select("k", "salt", F.explode_outer(paragraphs("text")).alias("p"))
+    lanes = summed(whole, ["k", "salt"]).join(asked, ["k", "salt"]).select(F.col("asker").alias("k"), F.col("asker_salt").alias("salt"), F.col("signed").alias("next_signed"))
+    texts = placed.join(heads, ["k", "salt"]).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = F.expr("concat(substring(text, 1, int(n_chars) - half), substring(head, 1, half))")
     both = F.concat(F.transform(paragraphs("text"), lambda p: F.struct(F.lit(0).alias("kind"), p.alias("p"))), F.transform(paragraphs("edited"), lambda p: F.struct(F.lit(1).alias("kind"), p.alias("p"))))
-    keys = ["k", "place", "n_chars", "edited_sha256"]
+    keys = ["k", "salt", "place", "n_chars", "edited_sha256"]
     cut = texts.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*keys, F.explode_outer(both).alias("one")).select(*keys, F.coalesce("one.kind", F.lit(0)).alias("kind"), "one.p")
     sums = summed(cut, [*keys, "kind"])
     none = F.array_repeat(F.lit(0).cast("long"), UNIFORM), F.array_repeat(F.lit(0).cast("short"), SIGNED)
     pick = lambda c, kind, empty: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), empty)
     own = sums.groupBy(*keys).agg(*[pick(c, i, e).alias(f"{c}{i}") for c, e in zip(("wide", "signed"), none, strict=True) for i in (0, 1)])
-    return own.join(lanes, "k").select(
-        F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"),
+    return own.join(lanes, ["k", "salt"]).select(
+        F.when(F.col("salt") < SALTS, F.col("k")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         as_text(F.col("wide0"), F.col("signed0")).alias("fingerprint"),

@@ -9,8 +9,10 @@ by two matrix products.
 At most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, are used to fit, and
 ``LANDMARKS`` of them as landmarks; every document is scored on its whole text.
 
-Cases: null text or one without a letter gives ``und`` and 0; with nothing to learn from all are
-``und``; ties go to the language first in order; other columns are ignored.
+Cases: null text or one without a letter gives ``und`` and 0; letters of all planes count; with nothing to
+learn from all are ``und``; rows that repeat a doc_id are judged each on its own (a null id is not held
+out); ties go to the language first in order; very long texts are read whole, until all places of
+the table may be taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def presence(texts: list[str]) -> np.ndarray:
     for i, text in enumerate(texts):
         # Runs of what is not a letter become one blank, so that digits and signs say nothing.
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.where(_letters()[np.minimum(codes, 65535)], codes, 32).astype(np.uint32)
+        codes = np.where(_letters()[codes], codes, 32).astype(np.uint32)
         if len(codes) > 1:
             codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
         h = codes
@@ -55,7 +57,7 @@ _LETTERS: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([chr(c).isalpha() for c in range(65536)]))
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _LETTERS[0]
 
 

@@ -1,95 +1,94 @@
-"""License scans: the lines of each text against licence templates, by the Dice coefficient.
-
-A line is normalised to lower-case words
-of letters and digits; its set of word bigrams is compared to each template's.  A template is
-looked at only if the number of words allows the least coefficient: with sizes a and b the
-coefficient is at most 2 min(a, b) / (a + b).  Only DataFrame functions are used.
-
-Cases: null or empty text matches nothing; a template is reported once per document with its
-best coefficient and the number of lines that reach the limit; equal lines count each; rows
-that repeat a doc_id are scanned each on its own; other columns are ignored.
+"""License scans: whole texts against licence templates, by the Dice coefficient of word bigrams.
+
+A text is normalised to its lower-case words of letters and digits, so that line breaks and signs say
+nothing.  Every window of a template's number of words is compared with it: with ``c`` template
+bigrams in a window of ``n`` different ones and ``g`` of the template, the coefficient is
+2 c / (n + g).  A window's other bigrams count as different from each other.
+
+Size bounds prune: to reach the limit a text must share at least limit * g / (2 - limit) of a
+template's bigrams, so a text with fewer words, or with fewer of these bigrams anywhere, is
+not a candidate for it.  Windows start at a template bigram, which loses none that is better.  Only
+DataFrame functions are used.
+
+Cases: null or empty text matches nothing; a licence is reported once per document row, with its best
+coefficient over its templates and the first window that reaches it (ties: the smaller place);
+rows that repeat a doc_id, also a null one, are scanned each on its own; very long texts are
+read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterflow.llm.license_texts import TEXTS
+
 LIMIT = 0.8
-#: Short notices in use for common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: A frame of so much over places that are scaled to it, so that windows of all sizes share one frame.
+FRAME = 10**7
+
+
+def words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
 
 
 def bigrams(text: str) -> set[str]:
-    words = re.findall(r"[a-z0-9]+", text.lower())
-    return {f"{a} {b}" for a, b in zip(words, words[1:])}  # noqa: B905
+    w = words(text)
+    return {f"{a} {b}" for a, b in zip(w, w[1:])}  # noqa: B905
 
 
-def _bounds(n: int, limit: float) -> tuple[int, int]:
-    """Least and most bigrams of a text whose coefficient with n of them can reach the limit."""
-    fits = [k for k in range(1, 4 * n + 8) if 2 * min(k, n) >= limit * (k + n) - 1e-9]
-    return min(fits), max(fits)
+def needed(g: int, limit: float = LIMIT) -> int:
+    """Bigrams of a template's g that a window must have, whatever else it holds."""
+    return math.ceil(limit * g / (2 - limit) - 1e-9)
 
 
-def telling(grams: list[str], limit: float) -> list[str]:
-    """Words of which a text must have one to reach the limit.
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEXTS, limit: float = LIMIT) -> DataFrame:
+    """doc_id, license, dice (six decimals), word: a row per document row and licence found.
 
-    It then shares at least limit * n / (2 - limit) of n bigrams, so that it cannot do without
-    all the bigrams that hold one of these words; long words come first, as they are rare.
+    ``word`` is the place, from 0, of the first word of the best window.
     """
-    spare = len(grams) - math.ceil(limit * len(grams) / (2 - limit) - 1e-9)
-    words, chosen, held = sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)), [], set()
-    while len(held) <= spare:
-        chosen.append(words.pop(0))
-        held |= {g for g in grams if chosen[-1] in g.split()}
-    return chosen
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float = LIMIT) -> DataFrame:
-    """doc_id, license, n_lines, dice (six decimals): a row per document row and licence found."""
-    grams = {k: sorted(bigrams(v)) for k, v in templates.items()}
-    bounds = {k: _bounds(len(v), limit) for k, v in grams.items()}
-    longest = max(hi for _, hi in bounds.values()) + 1
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    line = numbered.select("doc_id", "row", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-    signs = sorted({w for g in grams.values() for w in telling(g, limit)})
-    hopeful = line.where(reduce(or_, [F.col("line").contains(w) for w in signs]))
-    words = hopeful.withColumn("words", F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != ""))
-    pairs = words.where(F.size("words") >= 2).withColumn("grams", F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    sized = pairs.withColumn("n", F.size("grams")).where(F.col("n") < longest)
-    scores = []
-    for name, mine in grams.items():
-        low, high = bounds[name]
-        common = F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in mine])))
-        scores.append(F.when(F.col("n").between(low, high), F.struct(F.lit(name).alias("license"), (2.0 * common / (F.col("n") + len(mine))).alias("dice"))))
-    found = sized.select("doc_id", "row", F.explode(F.array(*scores)).alias("hit")).where(F.col("hit.dice") >= limit - 1e-9)
-    return found.groupBy("row", "doc_id", F.col("hit.license").alias("license")).agg(F.count("*").alias("n_lines"), F.round(F.max("hit.dice"), 6).alias("dice")).drop("row")
-
-
-def oracle(templates: dict[str, str] = TEMPLATES, limit: float = LIMIT) -> str:
+    spark = docs.sparkSession
+    known = [(i, name, sorted(bigrams(text)), len(words(text))) for i, (name, text) in enumerate(templates)]
+    if any(size < 4 for *_, size in known):
+        raise ValueError("a template needs at least four words")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    split = numbered.select("doc_id", "row", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
+    n = F.size("w")
+    paired = F.when(n >= 2, F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    least = min(needed(len(g), limit) for _, _, g, _ in known)
+    grams = split.where(n > least).select("doc_id", "row", paired.alias("grams"))
+    every = F.array(*[F.lit(x) for x in sorted({x for _, _, g, _ in known for x in g})])
+    met = grams.withColumn("met", F.array_intersect("grams", every)).where(F.size("met") >= least)
+    fits = [F.when((F.size("grams") >= needed(len(g), limit)) & (F.size(F.array_intersect("met", F.array(*[F.lit(x) for x in g]))) >= needed(len(g), limit)), F.lit(i)) for i, _, g, _ in known]
+    hopeful = met.withColumn("template", F.explode(F.array_compact(F.array(*fits))))
+    # A few thousand rows, whatever the documents.
+    facts = spark.createDataFrame([(i, name, x, len(g), size) for i, name, g, size in known for x in g], "template int, license string, gram string, g int, size int")
+    placed = hopeful.select("doc_id", "row", "template", F.size("grams").alias("total"), F.posexplode("grams").alias("word", "gram"))
+    hits = placed.join(F.broadcast(facts), ["template", "gram"])
+    scale = F.floor(F.lit(FRAME) / (F.col("size") - 2)).cast("long")
+    frame = Window.partitionBy("row", "template").orderBy(F.col("word").cast("long") * scale).rangeBetween(0, FRAME)
+    common, found = F.size(F.collect_set("gram").over(frame)), F.count("*").over(frame)
+    counted = hits.withColumns({"common": common, "found": found}).where(F.col("common") >= F.ceil(F.lit(limit) * F.col("g") / F.lit(2 - limit) - 1e-9))
+    different = F.least(F.col("size") - 1, F.col("total") - F.col("word")) - F.col("found") + F.col("common")
+    scored = counted.withColumn("dice", 2.0 * F.col("common") / (different + F.col("g"))).where(F.col("dice") >= limit - 1e-9)
+    best = scored.groupBy("row", "doc_id", "license").agg(F.min(F.struct((-F.round("dice", 6)).alias("d"), "word")).alias("best"))
+    return best.select("doc_id", "license", (-F.col("best.d")).alias("dice"), F.col("best.word").cast("long").alias("word"))
+
+
+def oracle(templates: list[tuple[str, str]] = TEXTS, limit: float = LIMIT) -> str:
     """The same in DuckDB's SQL, without the pruning."""
-    rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in templates.items())
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(k)}, {quoted(body)})" for i, (k, body) in enumerate(templates))
+    grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
-with templates(license, body) as (values {rows}),
-t as (select license, {grams} as g from (select license, regexp_extract_all(lower(body), '[a-z0-9]+') as w from templates)),
-lines as (select doc_id, unnest(string_split(lower(text), chr(10))) as line from documents),
-l as (select doc_id, {grams} as g from (select doc_id, regexp_extract_all(line, '[a-z0-9]+') as w from lines) where len(w) >= 2),
-s as (select doc_id, license, 2.0 * len(list_intersect(l.g, t.g)) / (len(l.g) + len(t.g)) as dice from l, t)
-select doc_id, license, count(*) as n_lines, round(max(dice), 6)::double as dice from s where dice >= {limit} - 1e-9 group by doc_id, license"""
+with t as (select template, license, len(w) as size, list_distinct({grams}) as g from (select template, license, regexp_extract_all(lower(body), '[a-z0-9]+') as w from (values {rows}) v(template, license, body))),
+tg as (select template, license, size, len(g) as g, unnest(g) as gram from t),
+d as (select doc_id, row_number() over () as row, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents),
+p as (select doc_id, row, len(w) - 1 as total, unnest({grams}) as gram, unnest(range(0, len(w) - 1)) as word from d where len(w) >= 2),
+h as (select * from p join tg using (gram)),
+c as (select *, count(distinct gram) over (partition by row, template order by word range between current row and (size - 2) following) as common, count(*) over (partition by row, template order by word range between current row and (size - 2) following) as found from h),
+s as (select row, doc_id, license, word, round(2.0 * common / (least(size - 1, total - word) - found + common + g), 6) as dice from c where 2.0 * common / (least(size - 1, total - word) - found + common + g) >= {limit} - 1e-9)
+select doc_id, license, max(dice)::double as dice, min_by(word, (-dice, word))::bigint as word from s group by row, doc_id, license"""

@@ -8,8 +8,10 @@ combination that fits beside it; the same combination is repeated while its leng
 then deals the pieces out: a piece's rank among those of its length, from salted windows and
 running totals, names its bin and its place.
 
-Cases: null text counts as empty (one piece, the closing token only); equal rows are pieces of
-their own; an empty table gives no rows; other columns are ignored.
+Cases: null text counts as empty (one piece, the closing token only); equal rows, and rows with a null
+doc_id, are pieces of their own; pieces of equal length take places in order of (doc_id, piece)
+within a salt, ties in any order; very long texts are read whole and cut into pieces; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meterflow.llm.base import documents, per_batch, settle
+from meterflow.llm.base import documents, kept, per_batch, settle
 from meterflow.llm.bpe import ByteBpe
 
 CAPACITY = 2048
@@ -90,14 +92,11 @@ class WordIds:
 
 
 def _pieces(path: str, capacity: int):
-    made: dict[str, WordIds] = {}
-
     def work(rows: dict[str, list]) -> dict[str, list]:
-        if "ids" not in made:
-            made["ids"] = WordIds(path)
+        words = kept(("words", path), lambda: WordIds(path))
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         closing = int(CLOSING).to_bytes(4, "little")
-        for doc_id, ids in zip(rows["doc_id"], made["ids"].batch([t or "" for t in rows["text"]]), strict=True):
+        for doc_id, ids in zip(rows["doc_id"], words.batch([t or "" for t in rows["text"]]), strict=True):
             ids += closing
             for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[start : start + 4 * capacity]
@@ -155,7 +154,7 @@ def minimum_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return out
 
 
-def _dealt(bins: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
+def _dealt(bins: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, ranks, copies per bin, first bin, offset) of each part of each combination."""
     out, used, first = [], {}, 0
     for times, inside in bins:
@@ -166,29 +165,43 @@ def _dealt(bins: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int
             used[length] = rank + copies * times
             offset += length * copies
         first += times
+    if len(out) > plan_bound(capacity):
+        raise ValueError(f"a plan of {len(out)} parts")
     return out
 
 
+def plan_bound(capacity: int) -> int:
+    """Most parts of a plan, however many pieces there are.
+
+    A step takes its combination as often as it can, so that afterwards some length has fewer pieces
+    left than the combination asks for: of a length k at most capacity / k in a bin.  So a length ends
+    at most capacity / k + 1 steps, and a step has no more parts than different lengths fit in a bin.
+    """
+    steps = sum(capacity // k + 1 for k in range(1, capacity + 1))
+    return steps * int((2 * capacity) ** 0.5 + 1)
+
+
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = settle(per_batch(documents(docs), "doc_id long, piece int, start long, length long, ids_crc32 long", _pieces(path, capacity)))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()
-    parts = _dealt(minimum_slack({r["length"]: r["n"] for r in totals}, capacity))
+    parts = _dealt(minimum_slack({r["length"]: r["n"] for r in totals}, capacity), capacity)
     by_length: dict[int, list] = {}
     for length, *rest in parts:
         by_length.setdefault(length, []).append(tuple(rest))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
     ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    placed = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "salt")
+    # At most capacity * SALTS small rows; merged in the partitions that the ranks were taken in.
+    placed = ranked.join(before.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "salt")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     table = {length: np.asarray(rows, dtype=np.int64) for length, rows in by_length.items()}
     return _place(placed, table, schema)
 
 
 def _place(placed: DataFrame, table: dict[int, np.ndarray], schema: str) -> DataFrame:
-    """Bin and offset of each ranked piece; the table has a bounded number of rows."""
+    """Bin and offset of each ranked piece; the table has at most ``plan_bound`` rows of five numbers."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         length, rank = np.asarray(rows["length"], dtype=np.int64), np.asarray(rows["rank"], dtype=np.int64)

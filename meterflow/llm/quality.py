@@ -1,15 +1,18 @@
 """Quality rules: counts per document, and its divergence from language references.
 
 References are the character-class and common-word histograms of all documents of a
-language (``lang``) that at least ``LEAST_DOCS`` have; null or empty counts only if no language has.
-Common words are a language's ``COMMON`` most frequent words with a letter, in lower case.  A
-document that passes the base rules is rejected if, for the nearest language, the Jensen-Shannon
-distance of its character classes exceeds ``CLASS_LIMIT``, or if for every language that of its
-words exceeds ``WORD_LIMIT`` or ``WORD_SHARE`` of the distance of a text without any common word;
-texts under ``LEAST_CHARS`` characters or ``LEAST_WORDS`` words are too short to judge and pass.
-
-Cases: null or empty text has no words and fails the base rules; rows that repeat a doc_id are
-judged each on its own; other columns are ignored; an empty table gives no rows.
+language (``lang``) that pass the base rules, if it has ``LEAST_DOCS`` of them at least; null counts only
+if no language has.  Common words are a language's ``COMMON`` most frequent words with a letter, in lower
+case.  A document that passes the base rules is kept if one language accepts both its histograms: the
+Jensen-Shannon distance of its character classes is at most ``CLASS_LIMIT``, and that of its words at most
+``WORD_LIMIT`` and ``WORD_SHARE`` of the distance of a text without any common word, so that texts of
+words that are frequent nowhere do not accept each other.  Texts under ``LEAST_CHARS`` characters or
+``LEAST_WORDS`` words are too short to be judged by the one or the other.
+
+Cases: null or empty text has no words and fails the base rules; without references all that pass the
+base rules are kept; rows that repeat a doc_id, also a null one, are judged each on its own; of equally
+frequent words the first in order is common; very long texts are read whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +88,10 @@ def repeated_words(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.nda
     return n, inside[words.first[1:]] - inside[words.first[:-1]]
 
 
+def base_failed(n: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    return (n < LEAST) | (100 * repeated > MOST_REPEATED * n)
+
+
 def duplicate_lines(text: str) -> int:
     lines = [x for x in text.split("\n") if x.strip(BLANK)]
     return len(lines) - len(set(lines))
@@ -109,7 +116,10 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
         for batch in them:
             texts, langs = ([x or y for x in batch.column(i).to_pylist()] for i, y in ((0, ""), (1, None)))
             counts = class_counts(texts)
-            for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+            good = [~base_failed(*repeated_words(part)) for part, _ in batches(texts, np.arange(len(texts)))]
+            for i, (text, lang, ok) in enumerate(zip(texts, langs, np.concatenate(good).tolist(), strict=True)):
+                if not ok:
+                    continue
                 mine = words.setdefault(lang, Counter())
                 tokens = text.lower().split()
                 mine.update(tokens)
@@ -150,6 +160,7 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     """The counts and verdict of each document; with ``carry`` its row as well, as struct ``row``."""
     known = references(docs)
+    limits = np.array([min(WORD_LIMIT, WORD_SHARE * _without(shares)) for _, _, shares in known.values()])
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k.split()[0]: [] for k in OUT.split(", ")} | {"doc_id": rows["doc_id"]}
@@ -159,12 +170,14 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
             classes = class_counts(texts)
             n, repeated = repeated_words(texts)
             chars = classes.sum(axis=1)
-            failed = (n < LEAST) | (100 * repeated > MOST_REPEATED * n)
+            failed = base_failed(n, repeated)
             shares = classes / np.maximum(chars, 1)[:, None]
-            nearest = np.min([divergence(shares, q) for q, _, _ in known.values()], axis=0) if known else np.zeros(len(texts))
-            by_word = [_word_distance(t, known) if known and n[i] >= LEAST_WORDS else (0.0, True) for i, t in enumerate(texts)]
-            kept = ~failed & ((chars < LEAST_CHARS) | (nearest <= CLASS_LIMIT)) & np.array([ok for _, ok in by_word], dtype=bool)
-            for name, value in (("n_words", n), ("word_chars", chars - classes[:, 0]), ("n_symbols", classes[:, 1]), ("n_dup_lines", [duplicate_lines(t) for t in texts]), ("n_repeat_words", repeated), ("base_failed", failed), ("kept", kept), ("class_distance", nearest), ("word_distance", [d for d, _ in by_word])):
+            by_class = np.array([divergence(shares, q) for q, _, _ in known.values()]).reshape(len(known), len(texts))
+            by_word = np.array([_word_distances(t, known) if n[i] >= LEAST_WORDS else [0.0] * len(known) for i, t in enumerate(texts)]).reshape(len(texts), len(known)).T
+            accepted = ((chars < LEAST_CHARS) | (by_class <= CLASS_LIMIT)) & (by_word <= limits[:, None])
+            kept = ~failed & (accepted.any(axis=0) | (not known))
+            nearest, nearest_words = (x.min(axis=0, initial=1.0) if known else np.zeros(len(texts)) for x in (by_class, by_word))
+            for name, value in (("n_words", n), ("word_chars", chars - classes[:, 0]), ("n_symbols", classes[:, 1]), ("n_dup_lines", [duplicate_lines(t) for t in texts]), ("n_repeat_words", repeated), ("base_failed", failed), ("kept", kept), ("class_distance", nearest), ("word_distance", nearest_words)):
                 out[name] += list(value)
         return out
 
@@ -174,19 +187,17 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     return per_batch(whole, fields(whole, ["row"], OUT), work)
 
 
-def _word_distance(text: str, known: dict[str | None, tuple[np.ndarray, dict[str, int], np.ndarray]]) -> tuple[float, bool]:
-    """(distance from the nearest language, whether one is near enough)."""
-    counts = Counter(text.lower().split())
-    total, best, near = sum(counts.values()), 1.0, False
+def _word_distances(text: str, known: dict[str | None, tuple[np.ndarray, dict[str, int], np.ndarray]]) -> list[float]:
+    """Distance of the text's words from each language."""
+    counts, out = Counter(text.lower().split()), []
+    total = sum(counts.values())
     for _, index, shares in known.values():
         mine = np.zeros(len(shares))
         for word, i in index.items():
             mine[i] = counts.get(word, 0)
         mine[-1] = total - mine.sum()
-        distance = float(divergence(mine / total, shares))
-        best = min(best, distance)
-        near |= distance <= min(WORD_LIMIT, WORD_SHARE * _without(shares))
-    return best, near
+        out.append(float(divergence(mine / max(total, 1), shares)))
+    return out
 
 
 def _without(shares: np.ndarray) -> float:

@@ -3,7 +3,7 @@
 1. An edge of the graph is a window of ``WINDOW`` consecutive words.  While a document is read,
    consecutive edges of one minimiser (the least hash of the shorter windows inside) become one step.
    Joins on the minimiser keep steps that two documents share; where the steps of a minimiser
-   differ, the graph branches inside, and their edges become steps of their own.
+   differ, the graph branches inside, and they are cut again by longer minimisers, at last into edges.
 2. Compaction: a join of each step with its successor in the document, counted over all
    occurrences, tells where the graph does not branch: every occurrence of one step is followed by
    the other, and has it before.  Such steps, next to each other in the document of their first
@@ -20,6 +20,7 @@ in ``row``, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 from itertools import compress
 
@@ -32,46 +33,48 @@ from meterflow.llm.base import documents, fields, packed, per_batch, plain, prep
 from meterflow.llm.grams import Words, batches, mix, sliding_min
 
 WINDOW = 50
-#: Words of the inner windows whose least hash is the minimiser.
-INNER = 25
+#: Words of the inner windows whose least hash is the minimiser; what branches is cut by the next.
+INNER = (25, 44)
 
 
 def _plain(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _runs(words: Words, begin: np.ndarray, window: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, hash, first word, windows) of each step of the windows that begin at the given words."""
+    least = sliding_min(mix(words.windows(inner), 7), window - inner + 1)[begin]
+    fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)])
+    fresh = np.flatnonzero(fresh) if inner < window else np.arange(len(begin))
+    count = np.diff(np.concatenate([fresh, [len(begin)]]))
+    place = np.arange(len(begin)) - np.repeat(fresh, count)
+    edges = mix(words.windows(window)[begin] + mix(place.astype(np.uint64), 8), 9)
+    return least[fresh], np.add.reduceat(edges, fresh), begin[fresh], count
+
+
 def _steps(window: int, inner: int):
+    """Steps of whole texts, or of the given spans of packed ones."""
+
     def work(rows: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in ("m", "h", "doc_id", "loc", "n")}
-        for texts, at in batches(rows["text"], np.arange(len(rows["text"]))):
+        spans = rows.get("spans")
+        ids, th = (np.asarray(rows[k], dtype=np.int64) for k in ("doc_id", "th"))
+        for texts, at in batches(rows["text"] if spans is None else [plain(x) for x in rows["packed"]], np.arange(len(ids))):
             words = Words(texts)
             begin = words.starts(window)
+            if spans is not None:
+                change = np.zeros(words.n + 1, dtype=np.int64)
+                for first, i in zip(words.first, at, strict=False):
+                    np.add.at(change, [first + p["lo"] for p in spans[i]], 1)
+                    np.add.at(change, [first + p["lo"] + p["n"] for p in spans[i]], -1)
+                begin = begin[np.cumsum(change)[begin] > 0]
             if not len(begin):
                 continue
-            least = sliding_min(mix(words.windows(inner), 7), window - inner + 1)[begin]
-            fresh = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)]))
-            count = np.diff(np.concatenate([fresh, [len(begin)]]))
-            place = np.arange(len(begin)) - np.repeat(fresh, count)
-            edges = mix(words.windows(window)[begin] + mix(place.astype(np.uint64), 8), 9)
-            lo = begin[fresh]
+            m, h, lo, n = _runs(words, begin, window, inner)
             doc = words.doc[lo]
-            where = np.asarray(rows["th"], dtype=np.int64)[at][doc] << 32 | (lo - words.first[doc])
-            for name, column in (("m", least[fresh]), ("h", np.add.reduceat(edges, fresh)), ("doc_id", np.asarray(rows["doc_id"], dtype=np.int64)[at][doc]), ("loc", where), ("n", count)):
-                out[name].append(column.astype(np.int64) if column.dtype != np.uint64 else column.view(np.int64))
-        return {k: np.concatenate(v) if v else [] for k, v in out.items()}
-
-    return work
-
-
-def _edges(window: int):
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out = {k: [] for k in ("m", "doc_id", "loc")}
-        for data, doc_id, th, steps in zip(rows["packed"], rows["doc_id"], rows["th"], rows["steps"], strict=True):
-            words = Words([plain(data)])
-            at = np.unique(np.concatenate([np.arange(p["lo"], p["lo"] + p["n"]) for p in steps]))
-            out["m"].append(words.windows(window)[at].view(np.int64))
-            out["doc_id"].append(np.full(len(at), doc_id))
-            out["loc"].append(at.astype(np.int64) | (th << 32))
+            where = th[at][doc] << 32 | (lo - words.first[doc])
+            for name, column in (("m", m.view(np.int64)), ("h", h.view(np.int64)), ("doc_id", ids[at][doc]), ("loc", where), ("n", n.astype(np.int64))):
+                out[name].append(column)
         return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
     return work
@@ -108,25 +111,28 @@ def _cut(rows: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def shared_steps(texts: DataFrame, squeezed: DataFrame, window: int, inner: int) -> DataFrame:
+def shared_steps(texts: DataFrame, squeezed: DataFrame, window: int, inner: tuple[int, ...]) -> DataFrame:
     """(m, h, doc_id, loc, n): each occurrence of a step, a run of n windows, that two documents have.
 
     ``loc`` is the text's hash and the first word's place in one number.
     """
-    steps = settle(per_batch(texts, "m long, h long, doc_id long, loc long, n long", _steps(window, inner)))
-    met = steps.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
-    found = settle(spread_join(steps, settle(met.where("low < high").select("m", "c")), ["m"], "c"))
-    distinct = settle(found.groupBy("m", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")))
-    forks = settle(distinct.groupBy("m").agg(F.count("*").alias("k"), (F.count("*") > 1).alias("branches")))
-    known = settle(spread_join(distinct, forks, ["m"], "k").where("branches or low < high").select("m", "h", "branches", "c"))
-    placed = settle(spread_join(found, known, ["m", "h"], "c"))
-    plain = placed.where("not branches").drop("branches")
+    schema = "m long, h long, doc_id long, loc long, n long"
     lo, th = F.col("loc").bitwiseAND(2**32 - 1), F.shiftright("loc", 32)
-    inside = placed.where("branches").groupBy("doc_id", th.alias("th")).agg(F.collect_set(F.struct(lo.alias("lo"), "n")).alias("steps"))
-    edges = settle(per_batch(squeezed.join(inside, ["doc_id", "th"]), "m long, doc_id long, loc long", _edges(window)).distinct())
-    often = edges.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
-    single = spread_join(edges, settle(often.where("low < high").select("m", "c")), ["m"], "c")
-    return plain.distinct().unionByName(single.select("m", F.lit(0).cast("long").alias("h"), "doc_id", "loc", F.lit(1).cast("long").alias("n")))
+    rows, done = per_batch(texts, schema, _steps(window, inner[0])), []
+    for level in (*inner[1:], window, None):
+        steps = settle(rows)
+        met = steps.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
+        found = settle(spread_join(steps, settle(met.where("low < high").select("m", "c")), ["m"], "c"))
+        if level is None:  # single edges, which do not branch
+            return reduce(DataFrame.unionByName, [*done, found.distinct()])
+        distinct = settle(found.groupBy("m", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")))
+        forks = settle(distinct.groupBy("m").agg(F.count("*").alias("k"), (F.count("*") > 1).alias("branches")))
+        known = settle(spread_join(distinct, forks, ["m"], "k").where("branches or low < high").select("m", "h", "branches", "c"))
+        placed = settle(spread_join(found, known, ["m", "h"], "c"))
+        done.append(placed.where("not branches").drop("branches").distinct())
+        inside = placed.where("branches").groupBy("doc_id", th.alias("th")).agg(F.collect_set(F.struct(lo.alias("lo"), "n")).alias("spans"))
+        rows = per_batch(squeezed.join(inside, ["doc_id", "th"]), schema, _steps(window, level))
+    raise AssertionError
 
 
 def compacted(steps: DataFrame) -> DataFrame:
@@ -149,7 +155,7 @@ def compacted(steps: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", F.shiftright("loc", 32).alias("th"), "path").agg(first, F.sum("n").alias("n")).select("first.*", "doc_id", "th", "n")
 
 
-def repeated_spans(texts: DataFrame, squeezed: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
+def repeated_spans(texts: DataFrame, squeezed: DataFrame, window: int = WINDOW, inner: tuple[int, ...] = INNER) -> DataFrame:
     """(doc_id, th, lo, len, proof): words of a document that an earlier one should have too."""
     steps = settle(shared_steps(texts, squeezed, window, inner))
     paths = settle(compacted(steps))
@@ -161,7 +167,7 @@ def repeated_spans(texts: DataFrame, squeezed: DataFrame, window: int = WINDOW,
     return spans.select("doc_id", F.shiftright("loc", 32).alias("th"), lo.alias("lo"), "len", "proof")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: tuple[int, ...] = INNER) -> DataFrame:
     """(row, doc_id, n_words, n_removed, kept): each document without its repeated words.
 
     ``row`` holds the document's other columns, as they came.

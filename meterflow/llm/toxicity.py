@@ -22,9 +22,10 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
-from itertools import chain
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import fields, packed, per_batch, plain, prepare, settle
+from meterflow.llm.base import fields, kept, packed, per_batch, plain, prepare, settle
 from meterflow.llm.grams import Words, batches, mix, unique_shingles
 
 #: At most so many lexicon entries are kept for a part, those of the highest ratio; each must be in so
@@ -161,19 +162,27 @@ class _Known(dict):
 class Featurizer:
     """Features of a text, by one lexicon; keeps what it knows of recent tokens."""
 
-    KEEP = 200_000
-
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], keep: int = 600_000) -> None:
+        self.keep = keep
         self.lexicon = lexicon
         names = {e.removeprefix("2") for e in lexicon}
         self.words = {e[1:] for e in names if e[0] == "w"} | SECOND_PERSON
         self.starts = {e[1:] for e in names if e[0] == "s"}
-        #: token -> place in ``facts``; 0, as for most tokens, says nothing.
-        self.facts: list[tuple[int, float, str, list[str]]] = [(0, 0.0, "", [])]
+        twice = [e for e in lexicon if e[0] == "2"]
+        self.twice = {e[1:]: i + 1 for i, e in enumerate(twice)}
+        self.twice_ratio = np.array([0.0, *(lexicon[e] for e in twice)])
+        self._reset()
+
+    def _reset(self) -> None:
+        #: token -> place in the arrays of facts; place 0, as for most tokens, says nothing.
         self.seen = _Known(self.about)
+        self.ids: dict[str, int] = {}
+        self.n = 1
+        self.signs, self.best = np.zeros(1024, dtype=np.uint8), np.zeros(1024)
+        self.word, self.again = np.zeros(1024, dtype=np.int64), np.zeros((1024, 1 + len(STEMS)), dtype=np.int64)
 
     def about(self, token: str) -> int:
-        """Where the facts of a token are: signs, best ratio, plain word, entries in the lexicon.
+        """Where the facts of a token are: signs, best ratio, number of its plain word, entries that count twice.
 
         Signs: 1 found only once unmasked, 2 second person, 4 all capitals, 8 masked.
         """
@@ -181,52 +190,56 @@ class Featurizer:
         if plain is bare and plain not in self.words and plain[: STEMS[0]] not in self.starts and plain[: STEMS[1]] not in self.starts and not token.isupper():
             return 0
         mine = _entries(bare)
-        known = [e for e in mine if e in self.lexicon or "2" + e in self.lexicon] if mine else mine
-        best = max((self.lexicon.get(e, 0.0) for e in known), default=0.0)
+        best = max((self.lexicon.get(e, 0.0) for e in mine), default=0.0)
+        again = [self.twice[e] for e in mine if e in self.twice]
         masked = bool(plain != bare and bare and plain)
         signs = 1 * (masked and best > 0) | 2 * (plain in SECOND_PERSON) | 4 * (len(plain) >= 3 and token.isupper()) | 8 * masked
-        if not signs and not known:
+        if not signs and not best and not again:
             return 0
-        self.facts.append((signs, best, bare, known))
-        return len(self.facts) - 1
+        if self.n == len(self.best):
+            self.signs, self.best, self.word, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.signs, self.best, self.word, self.again))
+        at, self.n = self.n, self.n + 1
+        self.signs[at], self.best[at], self.word[at] = signs, best, self.ids.setdefault(bare, len(self.ids))
+        self.again[at, : len(again)] = again
+        return at
 
     def of(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        if len(self.seen) >= self.KEEP:
-            self.seen.clear()
-            del self.facts[1:]
+        if len(self.seen) >= self.keep:
+            self._reset()
         n = len(tokens)
         codes = np.fromiter(map(self.seen.__getitem__, tokens), dtype=np.int64, count=n)
         some = np.flatnonzero(codes)
-        facts = [self.facts[c] for c in codes[some].tolist()]
-        signs = [f[0] for f in facts]
-        hit = np.array([i for i, f in zip(some, facts, strict=True) if f[1]], dtype=np.int64)
-        best = np.array([f[1] for f in facts if f[1]])
-        you = np.array([i for i, s in zip(some, signs, strict=True) if s & 2], dtype=np.int64)
-        kinds = {f[2]: f[1] for f in facts if f[1]}
-        top = sorted(kinds.values(), reverse=True)
-        counts = Counter(chain.from_iterable(f[3] for f in facts))
-        again = sorted((self.lexicon.get("2" + e, 0.0) for e, c in counts.items() if c > 1), reverse=True)
-        top, again = [*top[:3], 0.0, 0.0, 0.0], [*again[:2], 0.0, 0.0]
+        codes = codes[some]
+        signs, best = self.signs[codes], self.best[codes]
+        hit, you = some[best > 0], some[(signs & 2) > 0]
+        _, at = np.unique(self.word[codes[best > 0]], return_index=True)
+        best = best[best > 0]
+        kinds = np.sort(best[at])[::-1]
+        counts = np.bincount(self.again[codes].ravel(), minlength=2) if len(codes) else np.zeros(2)
+        again = np.sort(self.twice_ratio[1 + np.flatnonzero(counts[1:] > 1)])[::-1] if len(self.twice) else kinds[:0]
         near = 0
         if len(hit) and len(you):
             at = np.searchsorted(you, hit)
             gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hit), np.abs(you[np.maximum(at - 1, 0)] - hit))
             near = int((gap <= NEAR).sum())
-        codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        raw = np.bincount(codes, minlength=256)
-        size = len(codes)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        bytes_ = np.bincount(raw, minlength=256)
+        size = len(raw)
         out = []
         for level in LEVELS:
             hits = int((best >= level).sum())
-            out += [float(np.log1p(hits)), float(np.log1p(sum(g >= level for g in kinds.values()))), hits / n]
+            out += [float(np.log1p(hits)), float(np.log1p((kinds >= level).sum())), hits / n]
+        tops = np.zeros(5)
+        tops[: len(kinds[:3])] = kinds[:3]
+        tops[3 : 3 + len(again[:2])] = again[:2]
         return [
-            *out, *np.log1p(top[:3]).tolist(), *np.log1p(again[:2]).tolist(),
-            sum(s & 1 for s in signs) / n, near / n, len(you) / n, float(raw @ _UPPER) / max(1.0, float(raw @ _LETTER)),
-            sum(s >> 2 & 1 for s in signs) / n, float(raw[33]) / size, float(raw @ _PUNCT) / size, sum(s >> 3 & 1 for s in signs) / n, float(np.log1p(n)),
-            _stretched(codes) / n,
+            *out, *np.log1p(tops).tolist(),
+            int((signs & 1 > 0).sum()) / n, near / n, len(you) / n, float(bytes_ @ _UPPER) / max(1.0, float(bytes_ @ _LETTER)),
+            int((signs & 4 > 0).sum()) / n, float(bytes_[33]) / size, float(bytes_ @ _PUNCT) / size, int((signs & 8 > 0).sum()) / n, float(np.log1p(n)),
+            _stretched(raw) / n,
         ]
 
 
@@ -241,14 +254,13 @@ def _stretched(codes: np.ndarray) -> int:
 
 def features(df: DataFrame, lexicons: list[dict[str, float]], keep: str, fold: str | None = None) -> DataFrame:
     """The named columns of df and ``x``, the features of its text (or packed text) by the lexicon of its part, or the last one."""
-    made: dict[int, Featurizer] = {}
+    mine = uuid.uuid4().hex
     names = keep.split(", ")
     source = "packed" if "packed" in df.columns else "text"
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         which = rows[fold] if fold else [-1] * len(rows[source])
-        for k in set(which).difference(made):
-            made[k] = Featurizer(lexicons[k])
+        made = {k: kept((mine, k), partial(Featurizer, lexicons[k], 600_000 // len(lexicons))) for k in set(which)}
         texts = map(plain, rows[source]) if source == "packed" else rows[source]
         return {n: rows[n] for n in names} | {"x": [made[k].of(t) for k, t in zip(which, texts, strict=True)]}
 
