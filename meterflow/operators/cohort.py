@@ -5,10 +5,11 @@ Selection works by ranks that Spark computes; only sizes per cluster meet in one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterflow.functions.columns import hash_uniform
+from meterflow.plans.lineage import settle
 
 ID = "household_id"
 
@@ -88,10 +89,27 @@ def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, prefix:
     return df.withColumn("in_val", F.substring(digest, 1, 16) < f"{int(fraction * 2**64):016x}")
 
 
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with ``place``, counted from 0 in the given order.
+
+    Ranges of rows are sorted by themselves and settled; one count for each of them is all that
+    the driver sees.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({n: F.col(o) if isinstance(o, str) else o for n, o in zip(names, order, strict=True)})
+    ranged = keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    held = settle(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(2**33 - 1)}))
+    starts, total = [], 0
+    for row in held.groupBy("_part").count().orderBy("_part").collect():
+        starts += [F.lit(row["_part"]), F.lit(total).cast("long")]
+        total += row["count"]
+    start = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0).cast("long")
+    return held.withColumn("place", start + F.col("_row")).drop("_part", "_row")
+
+
 def stride_select(ids: DataFrame, k: int, key: str = ID) -> DataFrame:
     """k ids at an even stride of their order as text."""
-    order = Window.orderBy(F.col(key).cast("string"))
-    placed = ids.select(key).distinct().withColumn("place", F.row_number().over(order) - 1)
+    placed = numbered(ids.select(key).distinct(), F.col(key).cast("string"))
     n = placed.count()
     return placed.where(F.col("place") % max(1, n // k) == 0).orderBy("place").limit(k).select(key)
 
@@ -122,8 +140,7 @@ def selected_vs_population(everyone: DataFrame, selected: DataFrame) -> DataFram
 
 def train_slot_shards(households: DataFrame, n: int) -> DataFrame:
     """Round-robin shard of each household in order of id."""
-    r = F.row_number().over(Window.orderBy(F.col(ID).cast("string"))) - 1
-    return households.select(ID).distinct().withColumn("shard", r % n)
+    return numbered(households.select(ID).distinct(), F.col(ID).cast("string")).select(ID, (F.col("place") % n).alias("shard"))
 
 
 def priority_sample(episodes: DataFrame, n: int, alpha: float = 0.6, seed: int = 0, key: str = "event_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,27 +52,63 @@ def drift_flags(df: DataFrame, alpha: float = 0.05, k: float = 2.0) -> DataFrame
     return ordered.mapInPandas(run, schema)
 
 
+def sliding_quantile(values: np.ndarray, before: np.ndarray, width: int, q: float) -> np.ndarray:
+    """Interpolated quantile of each value with up to width - 1 values before it; ``before`` precedes the values."""
+    kept: list[float] = sorted(before.tolist())
+    whole = np.concatenate([before, values])
+    out = np.empty(len(values))
+    for i, x in enumerate(values.tolist()):
+        insort(kept, x)
+        if len(kept) > width:
+            del kept[bisect_left(kept, whole[i + len(before) - width])]
+        at = q * (len(kept) - 1)
+        low = int(at)
+        high = min(low + 1, len(kept) - 1)
+        out[i] = kept[low] + (at - low) * (kept[high] - kept[low])
+    return out
+
+
 def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int = 96, floor: float = 0.5, cold: float = 1.2) -> DataFrame:
-    """The quantile of the last days' readings once there is a day of them, at least the floor; a fixed value before."""
-    w = Window.partitionBy(ID).orderBy("ts")
-    recent = w.rowsBetween(-(days * slots - 1), 0)
-    limit = F.when(F.row_number().over(w) < slots, F.lit(cold)).otherwise(F.greatest(F.lit(floor), F.percentile("kwh", q).over(recent)))
-    return df.withColumn("capacity", limit)
+    """The quantile of the last days' readings once there is a day of them, at least the floor; a fixed value before.
+
+    Runs of sorted readings keep one ordered window, instead of sorting a window again for each reading;
+    readings without a value count as none.
+    """
+    width = days * slots
+    schema = df.select(ID, "ts", "kwh").schema.add("capacity", "double")
+
+    def run(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, last = None, 0, np.zeros(0)
+        for batch in them:
+            out = []
+            for key, rows in batch.groupby(ID, sort=False):
+                if key != now:
+                    now, n, last = key, 0, np.zeros(0)
+                x = rows["kwh"].to_numpy(dtype=np.float64)
+                limit = np.maximum(floor, sliding_quantile(x, last, width, q))
+                limit[: max(0, slots - 1 - n)] = cold
+                n, last = n + len(x), np.concatenate([last, x])[-(width - 1) :] if width > 1 else last
+                out.append(rows.assign(capacity=limit))
+            if out:
+                yield pd.concat(out)
+
+    return df.select(ID, "ts", "kwh").where("kwh is not null").repartition(ID).sortWithinPartitions(ID, "ts").mapInPandas(run, schema)
 
 
 def shed_plan(df: DataFrame, predicted: str = "predicted", capacity: str = "capacity") -> DataFrame:
     """Shed amounts and ``actions``: the cheapest loads first, all at once only when they do not suffice."""
-    p, need = F.col(predicted), F.col(predicted) - F.col(capacity)
-    out, left = {}, F.greatest(need, F.lit(0.0))
-    for name, share in SHARES:
-        part = F.least(left, share * p)
-        out[name.lower()] = part
-        left = left - part
     total = sum(share for _, share in SHARES)
-    listed = F.filter(F.array(*[F.when(out[n.lower()] > 0.01, F.lit(n)) for n, _ in SHARES]), lambda a: a.isNotNull())
-    actions = F.when(p.isNull(), F.array(F.lit("MONITOR"))).when(need <= 0, F.array(F.lit("MAINTAIN"))).when(need > total * p, F.array(F.lit("CRITICAL_SHED"))).when(F.size(listed) == 0, F.array(F.lit("MAINTAIN"))).otherwise(listed)
-    planned = (need > 0) & (need <= total * p)
-    return df.withColumns({k: F.when(planned, v).otherwise(F.lit(0.0)) for k, v in out.items()} | {"actions": actions})
+    planned = "_need > 0 and _need <= _all"
+    out = df.withColumn("_need", F.col(predicted) - F.col(capacity)).withColumn("_all", total * F.col(predicted)).withColumn("_left", F.when(F.expr(planned), F.col("_need")).otherwise(0.0))
+    # One projection for each part, so that none is computed again inside the next.
+    for name, share in SHARES:
+        out = out.withColumn(name.lower(), F.when(F.col("_left") > 0, F.least("_left", share * F.col(predicted))).otherwise(0.0)).withColumn("_left", F.col("_left") - F.col(name.lower()))
+    listed = F.array_compact(F.array(*[F.when(F.col(n.lower()) > 0.01, F.lit(n)) for n, _ in SHARES]))
+    some = F.lit(False)
+    for name, _ in SHARES:
+        some = some | (F.col(name.lower()) > 0.01)
+    actions = F.when(F.col(predicted).isNull(), F.array(F.lit("MONITOR"))).when(F.col("_need") > F.greatest("_all", F.lit(0.0)), F.array(F.lit("CRITICAL_SHED"))).when(some, listed).otherwise(F.array(F.lit("MAINTAIN")))
+    return out.withColumn("actions", actions).drop("_need", "_all", "_left")
 
 
 def federation_ticks(df: DataFrame, every: int = 15, advice: int = 96) -> DataFrame:

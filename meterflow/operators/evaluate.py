@@ -8,44 +8,66 @@ from pyspark.sql import functions as F
 from meterflow.functions.columns import huber
 
 
+def _known(f: DataFrame) -> DataFrame:
+    return f.where("y is not null and yhat is not null")
+
+
+def _error() -> Column:
+    return F.col("yhat") - F.col("y")
+
+
+def _error_sums() -> list[Column]:
+    e = _error()
+    return [F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst")]
+
+
+def _with_r2(out: DataFrame) -> DataFrame:
+    return out.withColumn("r2", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(float("nan"))).drop("sse", "sst")
+
+
 def error_metrics(f: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """MAE, RMSE and R squared (NaN without variance) over rows with both values."""
-    e = F.col("y") - F.col("yhat")
-    rows = f.where("y is not null and yhat is not null")
-    spread = F.var_pop("y") * F.count("*")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), spread.alias("sst"))
-    return out.withColumn("r2", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(float("nan"))).drop("sse", "sst")
+    return _with_r2(_known(f).groupBy(*by).agg(*_error_sums()))
 
 
-def peak_event_metrics(f: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Confusion counts at a threshold, precision, recall and F1 (null where undefined)."""
+def _peak_counts(threshold: float) -> list[Column]:
     t, p = F.col("y") >= threshold, F.col("yhat") >= threshold
-    counts = f.where("y is not null and yhat is not null").groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & ~p).alias("tn"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
+    return [F.count_if(t & p).alias("tp"), F.count_if(~t & ~p).alias("tn"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn")]
+
+
+def _with_f1(counts: DataFrame) -> DataFrame:
     scored = counts.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
     return scored.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def _error() -> Column:
-    return F.col("yhat") - F.col("y")
+def peak_event_metrics(f: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion counts at a threshold, precision, recall and F1 (null where undefined)."""
+    return _with_f1(_known(f).groupBy(*by).agg(*_peak_counts(threshold)))
 
 
 def smooth_l1(f: DataFrame) -> DataFrame:
-    return f.where("y is not null and yhat is not null").agg(F.avg(huber(_error())).alias("loss"))
+    return _known(f).agg(F.avg(huber(_error())).alias("loss"))
+
+
+def _peak_loss(threshold: float, weight: float) -> Column:
+    w = F.when(F.col("y") >= threshold, weight).otherwise(1.0)
+    return F.sum(huber(_error()) * w) / F.greatest(F.sum(w), F.lit(1.0))
 
 
 def peak_weighted_loss(f: DataFrame, threshold: float, weight: float = 3.0) -> DataFrame:
     """Smooth L1 with a weight on true peaks, over the total weight (1 at least)."""
-    w = F.when(F.col("y") >= threshold, weight).otherwise(1.0)
-    return f.where("y is not null and yhat is not null").agg((F.sum(huber(_error()) * w) / F.greatest(F.sum(w), F.lit(1.0))).alias("loss"))
+    return _known(f).agg(_peak_loss(threshold, weight).alias("loss"))
 
 
-def blended_peak_loss(f: DataFrame, threshold: float, weight: float = 3.0, lam: float = 0.25) -> DataFrame:
-    """(1 - lam) smooth L1 + lam peak-weighted loss."""
+def _blended(threshold: float, weight: float, lam: float) -> Column:
     if not 0 <= lam <= 1:
         raise ValueError("lam must be in [0, 1]")
-    w = F.when(F.col("y") >= threshold, weight).otherwise(1.0)
-    peak = F.sum(huber(_error()) * w) / F.greatest(F.sum(w), F.lit(1.0))
-    return f.where("y is not null and yhat is not null").agg(((1 - lam) * F.avg(huber(_error())) + lam * peak).alias("loss"))
+    return ((1 - lam) * F.avg(huber(_error())) + lam * _peak_loss(threshold, weight)).alias("loss")
+
+
+def blended_peak_loss(f: DataFrame, threshold: float, weight: float = 3.0, lam: float = 0.25) -> DataFrame:
+    """(1 - lam) smooth L1 + lam peak-weighted loss."""
+    return _known(f).agg(_blended(threshold, weight, lam))
 
 
 #: Losses by name.
@@ -72,7 +94,7 @@ def horizon_kl(f: DataFrame, temperature: float = 2.0, alpha: float = 0.5) -> Da
 def predict_intervals(f: DataFrame, residuals: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
     """Mean and population deviation of n replicas, each the forecast plus a residual drawn by hash.
 
-    ``residuals`` (i, residual) holds a bounded table of past errors numbered from 0.
+    ``residuals`` (i, residual) holds past errors numbered from 0, as many as there are.
     """
     size = residuals.count()
     if size == 0:
@@ -83,5 +105,5 @@ def predict_intervals(f: DataFrame, residuals: DataFrame, n: int = 20, seed: int
 
 
 def evaluation_job(f: DataFrame, threshold: float, weight: float = 3.0, lam: float = 0.25) -> DataFrame:
-    """One row: errors, peak events and losses together."""
-    return error_metrics(f).crossJoin(peak_event_metrics(f, threshold)).crossJoin(blended_peak_loss(f, threshold, weight, lam))
+    """One row, of one aggregate: errors, peak events and losses together."""
+    return _with_f1(_with_r2(_known(f).agg(*_error_sums(), *_peak_counts(threshold), _blended(threshold, weight, lam))))

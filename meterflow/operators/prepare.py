@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,11 +195,24 @@ def lag_features(df: DataFrame, lags: tuple[int, ...] = (1, 4, 96)) -> DataFrame
     return df.withColumns({f"lag_{n}": F.coalesce(F.lag("kwh", n).over(w), F.col("kwh")) for n in lags})
 
 
+def running_max(df: DataFrame, n: int, column: str = "kwh", out: str = "roll_max") -> DataFrame:
+    """The largest of the last n values of each row's household, its own included, in about log2(n) steps.
+
+    A step takes the larger of two neighbouring runs, so that no frame is read again for each row.
+    """
+    w, size = _past(HOUSEHOLD), 1
+    df = df.withColumn(out, F.col(column))
+    while size < n:
+        step = min(size, n - size)
+        df = df.withColumn(out, F.greatest(F.col(out), F.lag(out, step).over(w)))
+        size += step
+    return df
+
+
 def rolling_features(df: DataFrame) -> DataFrame:
     """Mean and population deviation of 4 rows, maximum of 96, each with the current row."""
-    w = _past(HOUSEHOLD)
-    four = w.rowsBetween(-3, 0)
-    return df.withColumns({"roll_mean_4": F.avg("kwh").over(four), "roll_std_4": F.stddev_pop("kwh").over(four), "roll_max_96": F.max("kwh").over(w.rowsBetween(-95, 0))})
+    four = _past(HOUSEHOLD).rowsBetween(-3, 0)
+    return running_max(df.withColumns({"roll_mean_4": F.avg("kwh").over(four), "roll_std_4": F.stddev_pop("kwh").over(four)}), 96, out="roll_max_96")
 
 
 def lag_features_backfill(df: DataFrame, lags: tuple[int, ...] = (1, 4, 96)) -> DataFrame:
@@ -206,7 +221,7 @@ def lag_features_backfill(df: DataFrame, lags: tuple[int, ...] = (1, 4, 96)) ->
     first = F.first("kwh").over(w.rowsBetween(Window.unboundedPreceding, 0))
     four = w.rowsBetween(-3, 0)
     out = {f"lag_{n}": F.coalesce(F.lag("kwh", n).over(w), first) for n in lags}
-    return df.withColumns(out | {"roll_mean_4": F.avg("kwh").over(four), "roll_std_4": F.coalesce(F.stddev_samp("kwh").over(four), F.lit(0.0)), "roll_max_96": F.max("kwh").over(w.rowsBetween(-95, 0))})
+    return running_max(df.withColumns(out | {"roll_mean_4": F.avg("kwh").over(four), "roll_std_4": F.coalesce(F.stddev_samp("kwh").over(four), F.lit(0.0))}), 96, out="roll_max_96")
 
 
 # --- data quality
@@ -217,24 +232,33 @@ def table_counts(df: DataFrame) -> DataFrame:
 
 
 def dq_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """One row: ``<stage>_rows``, ``<stage>_households`` and ``<stage>_null_kwh`` of each stage."""
-    out = None
-    for name, df in stages.items():
-        one = df.agg(F.count("*").alias(f"{name}_rows"), F.countDistinct(HOUSEHOLD).alias(f"{name}_households"), F.count_if(F.col("kwh").isNull()).alias(f"{name}_null_kwh"))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    if out is None:
+    """One row: ``<stage>_rows``, ``_households``, ``_null_kwh``, and ``_load_missing`` and ``_weather_missing`` where a stage has these flags.
+
+    All stages are counted in one aggregate, so that what they have in common is shuffled once.
+    """
+    if not stages:
         raise ValueError("no stages")
-    return out
+    flags, parts, columns = ("load_missing", "weather_missing"), [], []
+    for i, (name, df) in enumerate(stages.items()):
+        have = [F.col(c).cast("long").alias(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in flags]
+        parts.append(df.select(F.lit(i).alias("stage"), F.col(HOUSEHOLD), F.col("kwh").isNull().alias("no_kwh"), *have))
+        columns += [(i, f"{name}_rows", "n"), (i, f"{name}_households", "households"), (i, f"{name}_null_kwh", "no_kwh")] + [(i, f"{name}_{c}", c) for c in flags if c in df.columns]
+    together = reduce(DataFrame.unionByName, parts)
+    per = together.groupBy("stage").agg(F.count("*").alias("n"), F.countDistinct(HOUSEHOLD).alias("households"), F.count_if("no_kwh").alias("no_kwh"), *[F.sum(c).alias(c) for c in flags])
+    return per.agg(*[F.coalesce(F.max(F.when(F.col("stage") == i, F.col(c))), F.lit(0)).alias(out) for i, out, c in columns])
 
 
 def dq_ratios(counts: DataFrame, raw: str = "raw", final: str = "out") -> DataFrame:
-    """Null ratios and retention, divisions guarded by at least one row."""
+    """Null ratios, retention and, where missing weather was counted, its coverage; divisions guarded by at least one row."""
     at_least = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
-    return counts.select(
+    ratios = [
         (F.col(f"{raw}_null_kwh") / at_least(f"{raw}_rows")).alias("null_ratio_before"),
         (F.col(f"{final}_null_kwh") / at_least(f"{final}_rows")).alias("null_ratio_after"),
         (F.col(f"{final}_households") / at_least(f"{raw}_households")).alias("household_retention"),
-    )
+    ]
+    if f"{final}_weather_missing" in counts.columns:
+        ratios.append(((at_least(f"{final}_rows") - F.col(f"{final}_weather_missing")) / at_least(f"{final}_rows")).alias("weather_coverage"))
+    return counts.select(*ratios)
 
 
 def require_columns(df: DataFrame, required: list[str], label: str = "table") -> DataFrame:

@@ -91,33 +91,75 @@ def attack_updates(updates: DataFrame, agents: DataFrame, kind: str, seed: int =
     return hit.withColumn("value", F.when(F.col("hit"), bad).otherwise(F.col("value"))).drop("hit").select(*updates.columns)
 
 
-def schema_hash(updates: DataFrame, keys: tuple[str, ...] = AGENT) -> DataFrame:
-    """SHA-256 over an update's sorted positions: equal hashes can be added up."""
-    shape = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")))
-    return updates.groupBy(*keys).agg(F.sha2(shape, 256).alias("schema_hash"))
+def schema_hash(updates: DataFrame, keys: tuple[str, ...] = AGENT, shapes: DataFrame | None = None) -> DataFrame:
+    """SHA-256 over an update's sorted positions: equal hashes can be added up.
 
+    ``shapes`` (pos, key, shape, dtype) names the tensor of each position; then the hash is over the
+    sorted (key, shape, dtype) of the tensors that are sent.
+    """
+    if shapes is None:
+        what = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")))
+        return updates.groupBy(*keys).agg(F.sha2(what, 256).alias("schema_hash"))
+    named = updates.join(shapes.select("pos", F.concat("key", "shape", "dtype").alias("tensor")), "pos")
+    return named.groupBy(*keys).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_set("tensor"))), 256).alias("schema_hash"))
+
+
+def validate_updates(updates: DataFrame, coords: DataFrame, max_parameters: int, keys: tuple[str, ...] = AGENT, agents: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """(keys, n, reason): null reason for a valid update, else the first rule that it breaks.
 
-def validate_updates(updates: DataFrame, coords: DataFrame, max_parameters: int, keys: tuple[str, ...] = AGENT) -> DataFrame:
-    """(keys, n, reason): null reason for a valid update, else the first rule that it breaks."""
+    ``agents`` (keys) names who should have sent something: an update without rows is ``empty``.
+    ``masks`` (keys, pos) says which coordinates are marked as present: others are a ``mask_mismatch``.
+    """
     known = coords.select("pos").distinct().withColumn("known", F.lit(True))
     joined = updates.join(known, "pos", "left")
     n, bad, unknown = F.count("*"), F.count_if(finite("value").isNull()), F.count_if(F.col("known").isNull())
     reason = F.when(n > max_parameters, "too_large").when(bad > 0, "not_finite").when(unknown > 0, "unaligned")
-    return joined.groupBy(*keys).agg(n.alias("n"), reason.alias("reason"))
+    if masks is not None:
+        marked = masks.select(*keys, "pos").distinct().withColumn("marked", F.lit(True))
+        sent = joined.withColumn("sent", F.lit(True)).join(marked, [*keys, "pos"], "full")
+        n = F.count("sent")
+        bad, unknown = F.count_if(F.col("sent") & finite("value").isNull()), F.count_if(F.col("sent") & F.col("known").isNull())
+        apart = F.count_if(F.col("sent").isNull() | F.col("marked").isNull())
+        reason = F.when(n > max_parameters, "too_large").when(bad > 0, "not_finite").when(unknown > 0, "unaligned").when(apart > 0, "mask_mismatch")
+        joined = sent
+    out = joined.groupBy(*keys).agg(n.alias("n"), reason.alias("reason"))
+    if agents is None:
+        return out
+    everyone = agents.select(*keys).distinct().join(out, list(keys), "full")
+    return everyone.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) == 0, "empty").otherwise(F.col("reason")).alias("reason"))
 
 
 # --- distances and selection
 
 
-def pairwise_distance(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = 1024) -> DataFrame:
-    """(keys, a, b, distance): squared distance of each ordered pair of agents of a cohort.
+def dense_pieces(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = 256) -> DataFrame:
+    """(keys, agent_id, part, v): each agent's values at the coordinates that its cohort has in a part, 0 where absent.
+
+    All arrays of a cohort's part have the same coordinates in the same order, so that they can be
+    compared; an update of all coordinates is taken as it is.
+    """
+    part = F.floor(F.col("pos") / chunk).alias("part")
+    placed = updates.select(*keys, "agent_id", part, "pos", "value")
+    rows = placed.groupBy(*keys, "agent_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("rows"))
+    spots = placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_set("pos")).alias("spots"))
+    grid = updates.select(*keys, "agent_id").distinct().join(spots, list(keys))
+    held = grid.join(rows, [*keys, "agent_id", "part"], "left").withColumn("held", F.map_from_entries("rows"))
+    zero = F.lit(0.0)
+    v = (
+        F.when(F.col("rows").isNull(), F.transform("spots", lambda p: zero))
+        .when(F.size("rows") == F.size("spots"), F.transform("rows", lambda r: r["value"]))
+        .otherwise(F.transform("spots", lambda p: F.coalesce(F.try_element_at("held", p), zero)))
+    )
+    return held.select(*keys, "agent_id", "part", v.alias("v"))
+
+
+def pairwise_distance(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = 256) -> DataFrame:
+    """(keys, a, b, distance): squared distance of each ordered pair of agents of a cohort; absent is 0 here.
 
     Vectors travel as arrays of at most ``chunk`` coordinates, so that a wide model's pairs are
     spread over its chunks and only partial sums meet.
     """
-    part = F.floor(F.col("pos") / chunk).alias("part")
-    rows = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    pieces = updates.groupBy(*keys, "agent_id", part).agg(F.transform(rows, lambda r: r["value"]).alias("v"))
+    pieces = dense_pieces(updates, keys, chunk)
     a = pieces.withColumnRenamed("agent_id", "a").withColumnRenamed("v", "x")
     b = pieces.withColumnRenamed("agent_id", "b").withColumnRenamed("v", "y")
     square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
@@ -126,13 +168,23 @@ def pairwise_distance(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk:
     return half.unionByName(other)
 
 
-def krum_score(distances: DataFrame, f: int, keys: tuple[str, ...] = COHORT) -> DataFrame:
-    """(keys, agent_id, score): sum of an agent's n - f - 2 least distances; needs n >= 2 f + 3."""
-    whole = Window.partitionBy(*keys, "a")
-    ranked = distances.withColumn("r", F.row_number().over(whole.orderBy("distance", "b"))).withColumn("n", F.count("*").over(whole) + 1)
+def krum_score(distances: DataFrame, f: int, keys: tuple[str, ...] = COHORT, agents: DataFrame | None = None) -> DataFrame:
+    """(keys, agent_id, score): sum of an agent's n - f - 2 least distances; f > 0 needs n >= 2 f + 3.
+
+    ``agents`` (keys, agent_id) names the cohorts, so that an agent without any pair is scored too:
+    0 for f = 0.  Without it the cohorts are those of the pairs.
+    """
+    if f < 0:
+        raise ValueError("f must not be negative")
+    if agents is None:
+        agents = distances.select(*keys, F.col("a").alias("agent_id"))
+    whole = Window.partitionBy(*keys)
+    sized = agents.select(*keys, "agent_id").distinct().withColumn("n", F.count("*").over(whole))
+    ranked = distances.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("distance", "b")))
+    joined = sized.join(ranked.withColumnRenamed("a", "agent_id"), [*keys, "agent_id"], "left")
     need = F.assert_true(F.lit(f == 0) | (F.col("n") >= 2 * f + 3), F.lit("a cohort needs at least 2f + 3 agents"))
     near = F.sum(F.when(F.col("r") <= F.col("n") - f - 2, F.col("distance")))
-    return ranked.where(need.isNull()).groupBy(*keys, F.col("a").alias("agent_id")).agg(F.coalesce(near, F.lit(0.0)).alias("score"))
+    return joined.where(need.isNull()).groupBy(*keys, "agent_id").agg(F.coalesce(near, F.lit(0.0)).alias("score"))
 
 
 def multi_krum(scores: DataFrame, f: int, k: int | None = None, keys: tuple[str, ...] = COHORT) -> DataFrame:

@@ -7,23 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from meterflow.operators import cohort, prepare
 from meterflow.sources import readers, writers
 
-BASE = ["kwh", "temperature", "humidity", "sunshine", "load_missing", "weather_missing", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend"]
+#: The order of the features, the target first.
+BASE = ["kwh", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "temperature", "humidity", "sunshine", "weather_missing", "load_missing"]
 EXTENDED = [*BASE, "lag_1", "lag_4", "lag_96", "roll_mean_4", "roll_std_4", "roll_max_96"]
 
 
-def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """One row per household and slot with all features.
+def filled(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """One row per household and slot, complete, with flags for what was missing.
 
-    Households are chosen before anything is shuffled; the windows by household share one
-    sort.
+    Households are chosen before anything is shuffled.
     """
     if manifest is not None:
         meter = prepare.cohort_filter(meter, manifest)
     slots = prepare.gap_fill(prepare.resample_15min(prepare.join_metadata(meter, households)))
     hourly = prepare.dedupe_avg(weather, ["weather_id", "ts"], list(prepare.WEATHER))
     joined = prepare.missing_flags(prepare.null_nonfinite(prepare.weather_hour_join(slots, hourly), ["kwh", *prepare.WEATHER]))
-    filled = prepare.fill_defaults(prepare.causal_impute(joined), dict.fromkeys(prepare.WEATHER, 0.0))
-    bounded = prepare.clip_bounds(prepare.with_winsor_bounds(filled), "kwh", "lo", "hi")
+    return prepare.fill_defaults(prepare.causal_impute(joined), dict.fromkeys(prepare.WEATHER, 0.0))
+
+
+def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """One row per household and slot with all features; the windows by household share one sort."""
+    bounded = prepare.clip_bounds(prepare.with_winsor_bounds(filled(meter, households, weather, manifest)), "kwh", "lo", "hi")
     return prepare.rolling_features(prepare.lag_features(prepare.calendar_features(bounded))).select(prepare.HOUSEHOLD, "weather_id", "ts", *EXTENDED)
 
 

@@ -39,7 +39,8 @@ def district_deltas(rows: DataFrame, meta: DataFrame, config: RoundConfig) -> tu
     kept = rows.join(valid, ["district_id", "agent_id"], "left_semi")
     clipped = settle(updates.clip_updates(kept, config.clip))
     plain = clipped.select("district_id", "agent_id", "pos", "value")
-    chosen = settle(updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain), config.f), config.f))
+    agents = plain.select("district_id", "agent_id").distinct()
+    chosen = settle(updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain), config.f, agents=agents), config.f))
     accepted = plain.join(chosen.where("accepted").select("district_id", "agent_id"), ["district_id", "agent_id"], "left_semi")
     norms = clipped.groupBy("district_id", "agent_id").agg(F.first("l2").alias("original_l2"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("clipped_l2"))
     audit = chosen.withColumnRenamed("score", "krum_score").join(norms, ["district_id", "agent_id"]).join(meta, ["district_id", "agent_id"], "left")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = ["mean_kwh", "std_kwh", "peak_kwh", "missingness", "zero_fraction"]
@@ -16,6 +17,8 @@ PROFILE = ["mean_kwh", "std_kwh", "peak_kwh", "missingness", "zero_fraction"]
 
 def cluster_households(profiles: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Profiles with a ``cluster``: standardised, then K-means; households with a missing figure are skipped."""
+    if k <= 1:
+        return profiles.dropna(subset=PROFILE).withColumn("cluster", F.lit(0))
     vectors = VectorAssembler(inputCols=PROFILE, outputCol="raw", handleInvalid="skip").transform(profiles)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(scaled).transform(scaled).drop("raw", "features")
@@ -31,30 +34,40 @@ def adaptive_k(profiles: DataFrame, k: int, seed: int = 0, min_size: int = 2) ->
         k -= 1
 
 
-def local_updates(sequences: DataFrame, w: np.ndarray, steps: int = 3, rate: float = 0.01, batch: int = 32, seed: int = 0) -> DataFrame:
-    """Per-agent training of a linear autoregression from the shared weights.
+#: Change of the weights that one batch asks for: (inputs with a column of ones, targets, weights) -> slope.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-    sequences: agent_id, x array<double>, y double; an agent's bounded shard at a time.  Returns
-    (agent_id, pos, value, n_samples, status): the weights' change after mini-batch steps of
-    smooth L1 with gradients clipped to norm 1; ``no_data`` agents give one row without a value.
+
+def smooth_l1_slope(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope of the smooth L1 loss of a linear model, clipped to norm 1."""
+    slope = x.T @ np.clip(x @ w - y, -1, 1) / len(y)
+    return slope / max(1.0, float(np.linalg.norm(slope)))
+
+
+def local_updates(sequences: DataFrame, w: np.ndarray, steps: int = 3, rate: float = 0.01, batch: int = 32, seed: int = 0, kernel: Kernel = smooth_l1_slope) -> DataFrame:
+    """Per-agent training from the shared weights, by the given kernel.
+
+    sequences: agent_id, seq, x array<double>, y double.  Returns (agent_id, pos, value, n_samples,
+    status): the weights' change after mini-batch steps; ``no_data`` agents give one row without a
+    value.  Spark draws each step's batch, the rows of least hash, so that a task holds steps * batch rows
+    of an agent, however many it has.
     """
     shared = np.asarray(w, dtype=np.float64)
+    good = sequences.where((F.size("x") == len(shared) - 1) & F.col("y").isNotNull()).select("agent_id", "seq", "x", "y")
+    counts = sequences.groupBy("agent_id").agg(F.count_if((F.size("x") == len(shared) - 1) & F.col("y").isNotNull()).alias("n_samples"))
+    draw = F.xxhash64(F.lit(seed), "step", "agent_id", "seq")
+    place = F.row_number().over(Window.partitionBy("agent_id", "step").orderBy(draw, "seq"))
+    drawn = good.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("place", place).where(F.col("place") <= batch)
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        agent = rows["agent_id"].iloc[0]
-        good = rows[rows["x"].map(lambda v: v is not None and len(v) == len(shared) - 1) & rows["y"].notna()].sort_values("seq")
-        if good.empty:
-            return pd.DataFrame({"agent_id": [agent], "pos": [None], "value": [None], "n_samples": [0], "status": ["no_data"]})
-        x = np.column_stack([np.stack(good["x"].to_numpy()), np.ones(len(good))])
-        y, mine = good["y"].to_numpy(), shared.copy()
-        draw = np.random.default_rng([seed, int(agent) % 2**32])
-        for _ in range(steps):
-            at = draw.choice(len(y), size=min(batch, len(y)), replace=False)
-            slope = x[at].T @ np.clip(x[at] @ mine - y[at], -1, 1) / len(at)
-            mine -= rate * slope / max(1.0, float(np.linalg.norm(slope)))
-        return pd.DataFrame({"agent_id": agent, "pos": np.arange(len(mine)), "value": mine - shared, "n_samples": len(y), "status": "ok"})
-
-    return sequences.select("agent_id", "seq", "x", "y").groupBy("agent_id").applyInPandas(train, "agent_id long, pos int, value double, n_samples long, status string")
+        mine = shared.copy()
+        for _, part in rows.sort_values(["step", "place"]).groupby("step"):
+            x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
+            mine -= rate * kernel(x, part["y"].to_numpy(), mine)
+        return pd.DataFrame({"agent_id": rows["agent_id"].iloc[0], "pos": np.arange(len(mine)), "value": mine - shared})
+
+    made = drawn.groupBy("agent_id").applyInPandas(train, "agent_id long, pos int, value double")
+    return counts.join(made, "agent_id", "left").select("agent_id", "pos", "value", "n_samples", F.when(F.col("n_samples") > 0, "ok").otherwise("no_data").alias("status"))
 
 
 def fit_teacher(rows: DataFrame, inputs: list[str], target: str) -> tuple[LinearRegressionModel, DataFrame]:

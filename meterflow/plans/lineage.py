@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Computes a frame and keeps it in the shared checkpoint folder, so that later plans start from it.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only where that is unset and Spark is local (in tests) one of our own."""
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir")
+    if not known and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return known or tempfile.mkdtemp(prefix="checkpoint-")
+
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (in tests) one of our own.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """Computes a frame and keeps it in the shared checkpoint folder, so that later plans start from it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from meterflow.functions import columns
 from meterflow.operators import cohort, control, evaluate, memory, prepare, report, sequence, updates
 from meterflow.plans import etl, federated, learn
 from meterflow.plans import views as v
+from meterflow.plans.lineage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -100,29 +102,29 @@ def calendar_features(spark: SparkSession, d: str) -> DataFrame:
     return prepare.calendar_features(v.slots(spark, d)).drop("weather_id", "kwh")
 
 
-_BOUNDS = "select household_id, quantile_disc(kwh, 0.05) as lo, quantile_disc(kwh, 0.95) as hi from imputed group by 1"
+_BOUNDS = "select household_id, quantile_disc(kwh, 0.001) as lo, quantile_disc(kwh, 0.999) as hi from imputed group by 1"
 
 
 @query(f"select household_id, ts, {_r('case when hi > greatest(lo, 0) then least(greatest(kwh, greatest(lo, 0)), hi) else kwh end', 'kwh')} from imputed left join bounds using (household_id)", more={"bounds": _BOUNDS})
 def clip_bounds(spark: SparkSession, d: str) -> DataFrame:
     x = v.imputed(spark, d)
-    return prepare.clip_bounds(prepare.quantile_join(x, prepare.winsor_bounds(x, 0.05, 0.95)), "kwh", "lo", "hi").select("household_id", "ts", "kwh")
+    return prepare.clip_bounds(prepare.quantile_join(x, prepare.winsor_bounds(x)), "kwh", "lo", "hi").select("household_id", "ts", "kwh")
 
 
 @query(f"select household_id, ts, {_r('kwh', 'kwh')}, {_r('lo', 'lo')}, {_r('hi', 'hi')} from imputed left join bounds using (household_id)", more={"bounds": _BOUNDS})
 def quantile_join(spark: SparkSession, d: str) -> DataFrame:
     x = v.imputed(spark, d)
-    return prepare.quantile_join(x, prepare.winsor_bounds(x, 0.05, 0.95)).select("household_id", "ts", "kwh", "lo", "hi")
+    return prepare.quantile_join(x, prepare.winsor_bounds(x)).select("household_id", "ts", "kwh", "lo", "hi")
 
 
 @query(f"select household_id, {_r('lo', 'lo')}, {_r('hi', 'hi')} from bounds", more={"bounds": _BOUNDS})
 def winsor_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.winsor_bounds(v.imputed(spark, d), 0.05, 0.95)
+    return prepare.winsor_bounds(v.imputed(spark, d))
 
 
-@query("select household_id, count(kwh) as n, case when count(kwh) >= 60 then round(quantile_cont(kwh, 0.05), 6) end as lo, case when count(kwh) >= 60 then round(quantile_cont(kwh, 0.95), 6) end as hi from slots group by 1")
+@query("select household_id, count(kwh) as n, case when count(kwh) >= 10 then round(quantile_cont(kwh, 0.001), 6) end as lo, case when count(kwh) >= 10 then round(quantile_cont(kwh, 0.999), 6) end as hi from slots group by 1")
 def winsor_exact(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.winsor_exact(v.slots(spark, d), 0.05, 0.95, 60)
+    return prepare.winsor_exact(v.slots(spark, d))
 
 
 @query("select event_id, case when event_type = 'view' then -1.0 else round(value, 6) end as x from events")
@@ -211,12 +213,15 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 _DQ = {
     "c1": "select count(*) as raw_rows, count(distinct household_id) as raw_households, count(*) filter (kwh is null) as raw_null_kwh from meter",
     "c2": "select count(*) as grid_rows, count(distinct household_id) as grid_households, count(*) filter (kwh is null) as grid_null_kwh from grid",
-    "c3": "select count(*) as out_rows, count(distinct household_id) as out_households, count(*) filter (kwh is null) as out_null_kwh from imputed",
+    "c3": "select count(*) as out_rows, count(distinct household_id) as out_households, count(*) filter (kwh is null) as out_null_kwh, coalesce(sum(load_missing), 0)::bigint as out_load_missing, coalesce(sum(weather_missing), 0)::bigint as out_weather_missing from filled",
+    "hourly": _HOURLY,
+    "flagged": "select *, (kwh is null)::int as load_missing, (temperature is null or humidity is null or sunshine is null)::int as weather_missing from hourly",
+    "filled": f"select *  exclude (kwh), coalesce(kwh, avg(kwh) over ({_BY} rows between unbounded preceding and 1 preceding), 0.0) as kwh from flagged",
 }
 
 
 def _dq(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.dq_counts({"raw": v.meter(spark, d), "grid": v.grid(spark, d), "out": v.imputed(spark, d)})
+    return prepare.dq_counts({"raw": v.meter(spark, d), "grid": v.grid(spark, d), "out": etl.filled(v.meter(spark, d), v.households(spark, d), v.weather(spark, d))})
 
 
 @query("select * from c1, c2, c3", more=_DQ)
@@ -224,7 +229,7 @@ def dq_counts(spark: SparkSession, d: str) -> DataFrame:
     return _dq(spark, d)
 
 
-@query(f"select {_r('grid_null_kwh / greatest(grid_rows, 1)::double', 'null_ratio_before')}, {_r('out_null_kwh / greatest(out_rows, 1)::double', 'null_ratio_after')}, {_r('out_households / greatest(grid_households, 1)::double', 'household_retention')} from c2, c3", more=_DQ)
+@query(f"select {_r('grid_null_kwh / greatest(grid_rows, 1)::double', 'null_ratio_before')}, {_r('out_null_kwh / greatest(out_rows, 1)::double', 'null_ratio_after')}, {_r('out_households / greatest(grid_households, 1)::double', 'household_retention')}, {_r('(out_rows - out_weather_missing) / greatest(out_rows, 1)::double', 'weather_coverage')} from c2, c3", more=_DQ)
 def dq_ratios(spark: SparkSession, d: str) -> DataFrame:
     return prepare.dq_ratios(_dq(spark, d), "grid", "out")
 
@@ -533,7 +538,7 @@ def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return updates.krum_score(updates.pairwise_distance(v.updates(spark, d)), 1)
+    return updates.krum_score(updates.pairwise_distance(v.updates(spark, d)), 1, agents=v.client_meta(spark, d))
 
 
 def _krum(spark: SparkSession, d: str) -> DataFrame:
@@ -571,6 +576,38 @@ def _long_pos(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.col("pos").cast("long"))
 
 
+#: Distances where an absent coordinate is 0, and Krum on them; district 0 keeps one agent only, for f = 0.
+_ZERO = _SPARSE | {
+    "agents": "select distinct district_id, agent_id from sparse",
+    "zeros": "select a.district_id, a.agent_id, c.pos, coalesce(s.value, 0.0) as value from agents a cross join coords c left join sparse s on s.agent_id = a.agent_id and s.district_id = a.district_id and s.pos = c.pos",
+    "distances_z": "select x.district_id, x.agent_id as a, y.agent_id as b, sum((x.value - y.value) ** 2) as distance from zeros x join zeros y on x.district_id = y.district_id and x.pos = y.pos and x.agent_id <> y.agent_id group by all",
+    "scores_z": "select district_id, a as agent_id, sum(distance) as score from (select *, row_number() over (partition by district_id, a order by distance, b) as r, count(*) over (partition by district_id, a) + 1 as n from distances_z) where r <= n - 3 group by all",
+    "alone": "select district_id, agent_id from agents where district_id <> 0 or agent_id = (select min(agent_id) from agents where district_id = 0)",
+    "pairs_o": "select d.* from distances_z d join alone x on x.agent_id = d.a and x.district_id = d.district_id join alone y on y.agent_id = d.b and y.district_id = d.district_id",
+    "scores_o": "select district_id, agent_id, coalesce(sum(distance) filter (r <= n - 2), 0) as score from (select x.district_id, x.agent_id, p.distance, count(p.b) over (partition by x.district_id, x.agent_id) + 1 as n, row_number() over (partition by x.district_id, x.agent_id order by p.distance, p.b) as r from alone x left join pairs_o p on p.a = x.agent_id and p.district_id = x.district_id) group by all",
+}
+
+
+@query(f"select district_id, a, b, {_r('distance', 'distance')} from distances_z", more=_ZERO)
+def pairwise_distance_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return updates.pairwise_distance(_sparse(spark, d), chunk=16)
+
+
+@query(f"select district_id, agent_id, {_r('score', 'score')}, r as rank, r <= n - 1 as accepted from (select *, row_number() over (partition by district_id order by score, agent_id) as r, count(*) over (partition by district_id) as n from scores_z)", more=_ZERO)
+def multi_krum_sparse(spark: SparkSession, d: str) -> DataFrame:
+    u = _sparse(spark, d)
+    scores = updates.krum_score(updates.pairwise_distance(u), 1, agents=u.select("district_id", "agent_id"))
+    return updates.multi_krum(scores, 1).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"select district_id, agent_id, {_r('score', 'score')} from scores_o", more=_ZERO)
+def krum_score_alone(spark: SparkSession, d: str) -> DataFrame:
+    u = _sparse(spark, d)
+    first = u.where("district_id = 0").agg(F.min("agent_id").alias("first"))
+    kept = u.join(F.broadcast(first)).where("district_id <> 0 or agent_id = first").drop("first")  # one row
+    return updates.krum_score(updates.pairwise_distance(kept), 0, agents=kept.select("district_id", "agent_id"))
+
+
 @query(f"select district_id, pos, {_r('sum(value * n_samples) / max(total)', 'value')} from sparse join client_meta using (district_id, agent_id) join (select district_id, sum(n_samples) as total from client_meta group by 1) using (district_id) group by 1, 2", more=_SPARSE)
 def weighted_mean_update(spark: SparkSession, d: str) -> DataFrame:
     return _long_pos(updates.weighted_mean_update(_sparse(spark, d), v.client_meta(spark, d)))
@@ -597,11 +634,11 @@ def masked_trimmed_mean(spark: SparkSession, d: str) -> DataFrame:
     return _long_pos(updates.masked_trimmed_mean(_sparse(spark, d), 0.1, v.coords(spark)))
 
 
-_DELTA = {"delta": "select pos, avg(value) as value, pos % 4 <> 0 as contributed from updates where district_id = 1 group by pos"}
+_DELTA = {"delta": "select pos, avg(value * (1 + district_id) / 40) as value, pos % 4 <> 0 as contributed from updates group by pos"}
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
-    return v.updates(spark, d).where("district_id = 1").groupBy("pos").agg(F.avg("value").alias("value")).withColumn("contributed", F.col("pos") % 4 != 0)
+    return v.updates(spark, d).groupBy("pos").agg(F.avg(F.col("value") * (1 + F.col("district_id")) / 40).alias("value")).withColumn("contributed", F.col("pos") % 4 != 0)
 
 
 @query(f"select pos, {_r('w.value + case when contributed then delta.value else 0 end', 'value')} from global_w w left join delta using (pos)", more=_DELTA)
@@ -699,6 +736,20 @@ def federated_round(spark: SparkSession, d: str) -> DataFrame:
     return _long_pos(federated.federated_round(v.updates(spark, d), v.client_meta(spark, d), v.global_w(spark, d)).weights)
 
 
+@query(None)
+def federated_run(spark: SparkSession, d: str) -> DataFrame:
+    w = v.global_w(spark, d)
+    rows = v.updates(spark, d)
+
+    def sent(now: DataFrame, round_id: int) -> DataFrame:
+        """Half of the way from the weights to each agent's own vector, less in each round."""
+        old = now.select("pos", F.col("value").alias("old"))
+        return rows.join(old, "pos").select("district_id", "agent_id", "pos", ((F.col("value") - F.col("old")) / 2**round_id).alias("value"))
+
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    return federated.federated_run(w, v.client_meta(spark, d), sent, folder, rounds=3, eps=1e-3, patience=2)
+
+
 @query("select agent_id, count(*) filter (sigma > 0) as n_events, round(sum(1 / sigma) * sqrt(2 * ln(1.25 * count(*) / 1e-5)), 6) as epsilon, sum(1 / sigma) * sqrt(2 * ln(1.25 * count(*) / 1e-5)) <= 50 as within_budget from privacy group by 1")
 def epsilon_ledger(spark: SparkSession, d: str) -> DataFrame:
     return federated.epsilon_ledger(v.privacy(spark, d), budget=50.0)
@@ -713,13 +764,13 @@ def consensus_mean(spark: SparkSession, d: str) -> DataFrame:
     return _long_pos(memory.consensus_mean(e).select("key", F.posexplode("vector").alias("pos", "value")))
 
 
-_BLOCKS = "select *, (row_number() over (partition by label order by vec_id) - 1) // 8 as block, count(*) over (partition by label) // 8 as full_blocks from embeddings"
+_BLOCKS = "select *, (row_number() over (partition by label order by vec_id) - 1) // 32 as block, count(*) over (partition by label) // 32 as full_blocks from embeddings"
 
 
-@query(f"select label::bigint as agent_id, block, pos, {_r('avg(value)', 'value')} from (select label, block, unnest(range(0, 64)) as pos, unnest(embedding)::double as value from blocks where block < full_blocks and block >= full_blocks - 4) group by 1, 2, 3", more={"blocks": _BLOCKS})
+@query(f"select label::bigint as agent_id, block, pos, {_r('avg(value)', 'value')} from (select label, block, unnest(range(0, 64)) as pos, unnest(embedding)::double as value from blocks where block < full_blocks and block >= full_blocks - 4096) group by 1, 2, 3", more={"blocks": _BLOCKS})
 def pattern_pool(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "embeddings").select(F.col("label").cast("long").alias("agent_id"), F.col("vec_id").alias("ts"), F.col("embedding").cast("array<double>").alias("vector"))
-    return _long_pos(memory.pattern_pool(e, 8, 4).select("agent_id", "block", F.posexplode("vector").alias("pos", "value")))
+    return _long_pos(memory.pattern_pool(e, 32, 4096).select("agent_id", "block", F.posexplode("vector").alias("pos", "value")))
 
 
 _LOGITS = {
@@ -792,9 +843,9 @@ def drift_flags(spark: SparkSession, d: str) -> DataFrame:
 _SQL["drift_flags"] = _DRIFT.replace("with recursive o as", f"with recursive readings as ({v.SQL['readings']}), o as")
 
 
-@query("select household_id, ts, case when i < 16 then 1.2 else round(greatest(0.5, q), 6) end as capacity from (select household_id, ts, row_number() over (partition by household_id order by ts) as i, quantile_cont(kwh, 0.95) over (partition by household_id order by ts rows between 31 preceding and current row) as q from readings)")
+@query("select household_id, ts, case when i < 96 then 1.2 else round(greatest(0.5, q), 6) end as capacity from (select household_id, ts, row_number() over (partition by household_id order by ts) as i, quantile_cont(kwh, 0.95) over (partition by household_id order by ts rows between 671 preceding and current row) as q from imputed)")
 def adaptive_capacity(spark: SparkSession, d: str) -> DataFrame:
-    return control.adaptive_capacity(v.readings(spark, d), days=2, slots=16).select("household_id", "ts", "capacity")
+    return control.adaptive_capacity(v.imputed(spark, d)).select("household_id", "ts", "capacity")
 
 
 _NEED = "select household_id, ts, y, yhat as p, 20.0 as c, yhat - 20.0 as need from forecasts"
@@ -911,16 +962,10 @@ def evaluation_job(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def predict_intervals(spark: SparkSession, d: str) -> DataFrame:
     f = v.forecasts(spark, d).where("yhat is not null")
-    past = f.orderBy(F.xxhash64("household_id", "ts")).limit(1000).select((F.row_number().over(_anywhere()) - 1).cast("long").alias("i"), (F.col("y") - F.col("yhat")).alias("residual"))
+    past = cohort.numbered(f, F.xxhash64("household_id", "ts"), "household_id", "ts").select(F.col("place").alias("i"), (F.col("y") - F.col("yhat")).alias("residual"))
     return evaluate.predict_intervals(f, past, 10)
 
 
-def _anywhere():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("household_id", "ts")  # over a bounded table of past errors
-
-
 @query(None)
 def fit_teacher(spark: SparkSession, d: str) -> DataFrame:
     rows = prepare.calendar_features(prepare.lag_features(v.imputed(spark, d)))

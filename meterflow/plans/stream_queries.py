@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow.plans import file_queries  # noqa: F401  (registers its queries)
 from meterflow.plans import views as v
+from meterflow.plans.lineage import shared_folder
 from meterflow.plans.queries import _BLOCKS, _SQL, _long_pos, _r, oracle_sql, queries, query
 from meterflow.streaming import jobs
 
@@ -24,8 +25,7 @@ def drain(df: DataFrame) -> DataFrame:
     Sink and state lie in the shared checkpoint folder, or in one of our own in tests.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
@@ -67,7 +67,7 @@ def stream_recent(spark: SparkSession, d: str) -> DataFrame:
 def stream_patterns(spark: SparkSession, d: str) -> DataFrame:
     e = spark.readStream.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{d}/embeddings[.]parquet")
     vectors = e.select(F.col("label").cast("long").alias("agent_id"), F.timestamp_seconds("vec_id").alias("ts"), F.col("embedding").cast("array<double>").alias("vector"))
-    return _long_pos(drain(jobs.stream_patterns(vectors, 8)).select("agent_id", "block", F.posexplode("vector").alias("pos", "value")))
+    return _long_pos(drain(jobs.stream_patterns(vectors, 32)).select("agent_id", "block", F.posexplode("vector").alias("pos", "value")))
 
 
 @query("select event_id, household_id, round(case when i < 96 then 1.2 else greatest(0.5, q) end, 6) as capacity from (select *, row_number() over (partition by household_id order by ts, event_id) as i, quantile_cont(kwh, 0.95) over (partition by household_id order by ts, event_id rows between 671 preceding and current row) as q from readings)")
@@ -82,6 +82,20 @@ def stream_cohort(spark: SparkSession, d: str) -> DataFrame:
     return drain(jobs.stream_cohort(uploads, 10))
 
 
+@query("select district_id, round_id, round(drift, 6) as drift, n::bigint as stable_rounds, n >= 2 as converged from (select *, count(*) filter (drift < 0.5) over (partition by district_id, run order by round_id) as n from (select *, count(*) filter (not drift < 0.5) over (partition by district_id order by round_id) as run from (select user_id as district_id, event_id as round_id, abs(value - 50) / 50 as drift from events)))")
+def stream_convergence(spark: SparkSession, d: str) -> DataFrame:
+    drift = _events(spark, d).select(F.col("user_id").alias("district_id"), F.col("event_id").alias("round_id"), (F.abs(F.col("value") - 50) / 50).alias("drift"))
+    return drain(jobs.stream_convergence(drift, 0.5, 2))
+
+
+@query(f"select event_id, household_id, {_r('kwh', 'kwh')} from readings")
+def stream_outbox(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run finds nothing to deliver again
+        jobs.stream_outbox(_readings(spark, d).select("event_id", "household_id", "kwh"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+
+
 @query(f"select r.event_id, w.weather_id, {_r('w.temperature', 'temperature')} from readings r join weather w on 'W' || (r.household_id % 10) = w.weather_id and date_trunc('hour', r.ts) = w.ts")
 def stream_weather_join(spark: SparkSession, d: str) -> DataFrame:
     rows = _readings(spark, d).withColumn("weather_id", F.concat(F.lit("W"), (F.col("household_id") % 10).cast("string")))

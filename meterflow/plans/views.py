@@ -71,7 +71,7 @@ def coords(spark: SparkSession) -> DataFrame:
 
 
 def global_w(spark: SparkSession, d: str) -> DataFrame:
-    return updates(spark, d).where("district_id = 0").groupBy("pos").agg(F.avg("value").alias("value"))
+    return updates(spark, d).groupBy("pos").agg(F.avg("value").alias("value"))
 
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def privacy(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_linenumber = 1")
+    line = table(spark, d, "lineitem")
     return line.select(F.col("l_suppkey").alias("agent_id"), (0.5 + 10 * F.col("l_discount").cast("double")).alias("sigma"), F.lit(1.0).alias("sample_rate"))
 
 
@@ -106,7 +106,7 @@ SQL = {
     "updates": "select label::bigint as district_id, vec_id as agent_id, unnest(range(0, 64)) as pos, unnest(embedding)::double as value from embeddings",
     "client_meta": "select label::bigint as district_id, vec_id as agent_id, 1 + vec_id % 7 as n_samples from embeddings",
     "coords": "select unnest(range(0, 66)) as pos",
-    "global_w": "select pos, avg(value) as value from updates where district_id = 0 group by pos",
+    "global_w": "select pos, avg(value) as value from updates group by pos",
     "norms": "select district_id, agent_id, sqrt(sum(value * value)) as l2 from updates group by all",
     "clipped": "select u.district_id, u.agent_id, pos, value * (case when l2 > 7.5 then 7.5 / l2 else 1.0 end) as value, l2 from updates u join norms using (district_id, agent_id)",
     "distances": "select x.district_id, x.agent_id as a, y.agent_id as b, sum((x.value - y.value) ** 2) as distance from updates x join updates y on x.district_id = y.district_id and x.pos = y.pos and x.agent_id <> y.agent_id group by all",
@@ -115,7 +115,7 @@ SQL = {
     "uploads": "select event_id as seq, user_id % 10 as district_id, user_id as agent_id, event_id // 1000 as round_id, value from events",
     "episodes": "select event_id, user_id as agent_id, ts, (value - 50) / 50 as reward, event_type as action from events",
     "run_log": "select o_custkey as run_group, o_orderkey as run_id, o_orderkey as round_id, o_orderdate as done_ts, o_totalprice::double as wallclock_s, o_orderstatus as status from orders",
-    "privacy": "select l_suppkey as agent_id, 0.5 + 10 * l_discount::double as sigma, 1.0 as sample_rate from lineitem where l_linenumber = 1",
+    "privacy": "select l_suppkey as agent_id, 0.5 + 10 * l_discount::double as sigma, 1.0 as sample_rate from lineitem",
 }
 
 

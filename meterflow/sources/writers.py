@@ -26,7 +26,11 @@ def _checked(run_id: str) -> str:
 
 
 def publish_version(df: DataFrame, root: str, run_id: str, partition_by: tuple[str, ...] = ("weather_id", "household_id")) -> str:
-    """Writes runs/<id> and then points CURRENT at it by a rename."""
+    """Writes runs/<id> and then points CURRENT at it by one rename over the old pointer.
+
+    Readers meet the old run or the new one: at no time is there no pointer, where the file system renames
+    atomically (HDFS does).
+    """
     spark = df.sparkSession
     target = f"{root}/runs/{_checked(run_id)}"
     write_features(df, target, partition_by)
@@ -35,13 +39,20 @@ def publish_version(df: DataFrame, root: str, run_id: str, partition_by: tuple[s
     out = fs.create(fresh, True)
     out.write(bytearray(run_id.encode()))
     out.close()
-    if fs.exists(current):
-        fs.delete(current, False)
-    if not fs.rename(fresh, current):
-        raise OSError(f"could not publish {run_id} in {root}")
+    _replace(spark, fs, fresh, current)
     return target
 
 
+def _replace(spark: SparkSession, fs: Any, fresh: Any, current: Any) -> None:
+    """Renames a file over another one."""
+    context = spark.sparkContext
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = context._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(current), how)
+
+
 def resolve_current(spark: SparkSession, root: str) -> str:
     """The published run's folder, or the root itself where nothing was published."""
     fs, path = _files(spark, root)
@@ -65,10 +76,10 @@ def append_rows(spark: SparkSession, rows: list[dict], path: str, schema: str, p
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def write_manifest(selected: DataFrame, path: str) -> None:
-    """A cohort (a bounded selection) as one JSON document."""
+def write_manifest(selected: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
+    """A cohort (a bounded selection) as one JSON document, with the given facts about it."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("household_id").cast("string").alias("household_id"), F.col("cluster").cast("int").alias("cluster"), F.col("rank_in_cluster").cast("int").alias("rank_in_cluster"))))
-    selected.agg(rows.alias("selected")).coalesce(1).write.mode("overwrite").json(path)
+    selected.agg(rows.alias("selected"), *[F.lit(v).alias(k) for k, v in (meta or {}).items()]).coalesce(1).write.mode("overwrite").json(path)
 
 
 def checkpoint_round(w: DataFrame, path: str, round_id: int) -> None:

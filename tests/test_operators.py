@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,6 +163,105 @@ def test_error_feedback_sends_what_was_held_back(spark):
     assert [(r.pos, r.value) for r in again.collect()] == [(1, 8.0)]
 
 
+def plain_krum(states, f):
+    """Scores over zero-filled vectors."""
+    n, places = len(states), sorted({p for s in states for p in s})
+    flat = [[s.get(p, 0.0) for p in places] for s in states]
+    if f == 0 and n < 3:
+        return [0.0] * n
+    gaps = [sorted(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) for j, b in enumerate(flat) if j != i) for i, a in enumerate(flat)]
+    return [sum(g[: n - f - 2]) for g in gaps]
+
+
+def sparse_updates(spark, states):
+    return spark.createDataFrame([(1, i, p, float(v)) for i, s in enumerate(states) for p, v in s.items()], "district_id long, agent_id long, pos int, value double")
+
+
+def test_distances_of_updates_with_absent_coordinates(spark):
+    d = updates.pairwise_distance(sparse_updates(spark, [{0: 1, 2: 5}, {0: 1, 1: 5}, {700: 2}]), chunk=256)
+    assert {(r.a, r.b): r.distance for r in d.collect()} == {(a, b): x for (i, j), x in {(0, 1): 50.0, (0, 2): 30.0, (1, 2): 30.0}.items() for a, b in ((i, j), (j, i))}
+
+
+@pytest.mark.parametrize("f", [0, 1])
+def test_krum_on_sparse_updates_against_a_plain_computation(spark, f):
+    rng = random.Random(f)
+    states = [{p: rng.choice([-1.0, 0.5, 2.0]) for p in rng.sample(range(600), 20)} for _ in range(7)]
+    u = sparse_updates(spark, states)
+    got = {r.agent_id: r.score for r in updates.krum_score(updates.pairwise_distance(u, chunk=64), f, agents=u).collect()}
+    assert [got[i] for i in range(7)] == pytest.approx(plain_krum(states, f))
+
+
+def test_an_attacker_of_one_coordinate_is_rejected(spark):
+    honest = [{p: 0.1 * (p + i % 2) for p in range(8)} for i in range(4)]
+    u = sparse_updates(spark, [*honest, {3: 1_000_000.0}])
+    chosen = updates.multi_krum(updates.krum_score(updates.pairwise_distance(u), 1, agents=u), 1).collect()
+    assert {r.agent_id: r.accepted for r in chosen} == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_cohorts_of_one_agent(spark):
+    u = sparse_updates(spark, [{0: 1.0}])
+    d = updates.pairwise_distance(u)
+    assert [(r.agent_id, r.score) for r in updates.krum_score(d, 0, agents=u).collect()] == [(0, 0.0)]
+    with pytest.raises(Exception, match="2f"):
+        updates.krum_score(d, 1, agents=u).collect()
+    with pytest.raises(ValueError, match="negative"):
+        updates.krum_score(d, -1, agents=u)
+
+
+def test_validation_and_schema_of_updates(spark):
+    u = sparse_updates(spark, [{0: 1, 1: 2}, {0: float("nan")}, {0: 1}, {9: 1}])
+    coords = spark.range(3).select(F.col("id").cast("int").alias("pos"))
+    agents = spark.createDataFrame([(1, i) for i in range(5)], "district_id long, agent_id long")
+    masks = u.where("agent_id <> 2").select("district_id", "agent_id", "pos").union(spark.createDataFrame([(1, 2, 1)], "district_id long, agent_id long, pos int"))
+    got = {r.agent_id: (r.n, r.reason) for r in updates.validate_updates(u, coords, 5, agents=agents, masks=masks).collect()}
+    assert got == {0: (2, None), 1: (1, "not_finite"), 2: (1, "mask_mismatch"), 3: (1, "unaligned"), 4: (0, "empty")}
+    shapes = spark.createDataFrame([(0, "b", "(1,)", "f"), (1, "a", "(2, 1)", "f"), (9, "b", "(1,)", "f")], "pos int, key string, shape string, dtype string")
+    same = {r.agent_id: r.schema_hash for r in updates.schema_hash(u, shapes=shapes).collect()}
+    assert same[0] == hashlib.sha256(b"a(2, 1)fb(1,)f").hexdigest() and same[1] == same[2] == same[3] != same[0]
+
+
+def test_running_max_and_sliding_quantile(spark):
+    rng = random.Random(3)
+    rows = [(h, T0 + dt.timedelta(minutes=15 * i), rng.choice([None, rng.random() * 9])) for h in (1, 2) for i in range(130)]
+    got = prepare.running_max(spark.createDataFrame(rows, "household_id long, ts timestamp, kwh double"), 96).orderBy("household_id", "ts").collect()
+    for i, r in enumerate(got):
+        seen = [x for h, _, x in rows[max(0, i - 95) : i + 1] if h == r.household_id and x is not None]
+        assert r.roll_max == (max(seen) if seen else None)
+    x = np.array([rng.random() for _ in range(300)])
+    want = [np.percentile(x[max(0, i - 39) : i + 1], 95) for i in range(300)]
+    assert control.sliding_quantile(x, x[:0], 40, 0.95) == pytest.approx(want)
+    assert control.sliding_quantile(x[100:], x[61:100], 40, 0.95) == pytest.approx(want[100:])
+
+
+def test_adaptive_capacity_over_batches(spark):
+    rng = random.Random(4)
+    rows = [(h, T0 + dt.timedelta(minutes=i), float(rng.randint(0, 50)) / 10) for h in range(3) for i in range(150)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = control.adaptive_capacity(spark.createDataFrame(rows, "household_id long, ts timestamp, kwh double"), days=2, slots=20).orderBy("household_id", "ts").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, r in enumerate(got):
+        k = i % 150
+        seen = [x for _, _, x in rows[i - min(k, 39) : i + 1]]
+        assert r.capacity == pytest.approx(1.2 if k < 19 else max(0.5, np.percentile(seen, 95)))
+
+
+def test_numbering_over_ranges(spark):
+    ids = spark.range(500).select(F.col("id").alias("household_id")).repartition(7)
+    want = sorted(range(500), key=str)
+    assert [r.household_id for r in cohort.numbered(ids, F.col("household_id").cast("string")).orderBy("place").collect()] == want
+    assert {r.household_id: r.shard for r in cohort.train_slot_shards(ids, 3).collect()} == {h: i % 3 for i, h in enumerate(want)}
+    assert cohort.numbered(ids.limit(0), "household_id").count() == 0
+
+
+def test_dq_counts_of_flags(spark):
+    raw = spark.createDataFrame([(1, None), (2, 1.0)], "household_id long, kwh double")
+    out = raw.selectExpr("*", "1 as load_missing", "int(household_id = 2) as weather_missing")
+    r = prepare.dq_counts({"raw": raw, "out": out}).first()
+    assert (r.raw_rows, r.raw_households, r.raw_null_kwh, r.out_load_missing, r.out_weather_missing) == (2, 2, 1, 2, 1) and "raw_load_missing" not in r.asDict()
+    assert prepare.dq_ratios(prepare.dq_counts({"raw": raw, "out": out})).first().weather_coverage == 0.5
+    assert prepare.dq_counts({"raw": raw.limit(0)}).first().raw_rows == 0
+
+
 def test_krum_drops_the_outlier_and_checks_its_bound(spark):
     u = vectors(spark, {0: [0, 0.1], 1: [0.1, 0], 2: [0.1, 0.1], 3: [0, 0], 4: [50, 50]})
     d = updates.pairwise_distance(u, chunk=1)
@@ -303,6 +405,28 @@ def test_local_updates(spark):
     assert sorted((r.pos, r.value) for r in got if r.agent_id == 1) == sorted((r.pos, r.value) for r in again if r.agent_id == 1)
 
 
+def test_local_updates_draw_batches_and_take_a_kernel(spark):
+    rows = [(1, i, [float(i)], float(i)) for i in range(500)] + [(2, 0, [1.0], 3.0), (3, 0, None, 1.0)]
+    seen = spark.createDataFrame(rows, "agent_id long, seq long, x array<double>, y double")
+    got = learn.local_updates(seen, [0.0, 0.0], steps=2, rate=1.0, batch=8, kernel=lambda x, y, w: np.array([-float(len(y)), -1.0])).collect()
+    assert {(r.agent_id, r.pos, r.value, r.n_samples, r.status) for r in got} == {(1, 0, 16.0, 500, "ok"), (1, 1, 2.0, 500, "ok"), (2, 0, 2.0, 1, "ok"), (2, 1, 2.0, 1, "ok"), (3, None, None, 0, "no_data")}
+
+
+def test_learners_and_intervals(spark):
+    rng = random.Random(6)
+    profile = [(i, *[float(10 * (i % 2) + rng.random()) for _ in range(5)]) for i in range(20)]
+    made = learn.cluster_households(spark.createDataFrame(profile, "household_id long, " + ", ".join(f"{c} double" for c in learn.PROFILE)), 2).collect()
+    assert len({(r.household_id % 2, r.cluster) for r in made}) == 2
+    assert {r.cluster for r in learn.adaptive_k(spark.createDataFrame(profile[:3], "household_id long, " + ", ".join(f"{c} double" for c in learn.PROFILE)), 3).collect()} <= {0, 1}
+    rows = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(50)], "a double, y double")
+    model, out = learn.fit_teacher(rows, ["a"], "y")
+    assert out.agg(F.max(F.abs(F.col("y") - F.col("yhat")))).first()[0] < 0.1
+    f = spark.createDataFrame([(1, T0, 5.0), (2, T0, 7.0)], "household_id long, ts timestamp, yhat double")
+    got = {r.household_id: (r.mean, r.std) for r in evaluate.predict_intervals(f, spark.createDataFrame([(0, 0.5)], "i long, residual double"), 4).collect()}
+    assert got == {1: (5.5, 0.0), 2: (7.5, 0.0)}
+    assert {r.std for r in evaluate.predict_intervals(f, spark.createDataFrame([], "i long, residual double"), 4).collect()} == {0.0}
+
+
 # --- reports
 
 
