@@ -123,7 +123,7 @@ def dq_report(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("r.grid_rows").alias("n"), F.col("r.grid_null_kwh").alias("n_null"))
 
 
-@query("select district_id, agent_id, n, case when agent_id % 6 = 5 then 'empty' when agent_id % 6 = 1 then 'mask_mismatch' end as reason from (select district_id, agent_id, case when agent_id % 6 = 5 then 0 else count(*) end as n from updates group by all)")
+@query("select district_id, agent_id, n, case when agent_id % 6 = 5 then 'empty' when agent_id % 6 = 1 then 'mask_mismatch' end as reason from (select district_id, agent_id, case when agent_id % 6 = 5 then 0 else c end as n from (select district_id, agent_id, count(*) as c from updates group by 1, 2))")
 def validate_masked_updates(spark: SparkSession, d: str) -> DataFrame:
     u = v.updates(spark, d)
     masks = u.where("agent_id % 6 <> 5 and not (agent_id % 6 = 1 and pos = 3)").select("district_id", "agent_id", "pos")
