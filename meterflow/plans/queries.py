@@ -22,6 +22,8 @@ from meterflow.plans.lineage import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: The queries without rounding.
+PLAIN: dict[str, Query] = {}
 
 
 NUDGE = 1e-9
@@ -57,7 +59,7 @@ def rounded(df: DataFrame) -> DataFrame:
 def query(sql: str | None = None, name: str | None = None, more: dict[str, str] | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         key = name or f.__name__
-        _QUERIES[key] = lambda spark, d: rounded(f(spark, d))
+        _QUERIES[key], PLAIN[key] = lambda spark, d: rounded(f(spark, d)), f
         if sql is not None:
             _SQL[key] = v.with_views(sql, more)
         return f
