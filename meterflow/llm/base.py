@@ -116,7 +116,7 @@ def packed(df: DataFrame, *keep: str) -> DataFrame:
     """The named columns, and ``packed``: the text (null: empty) compressed, for texts that are shuffled."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         return {k: rows[k] for k in keep} | {"packed": [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in rows["text"]]}
 
     return per_batch(df.select(*keep, "text"), fields(df, list(keep), "packed binary"), work)

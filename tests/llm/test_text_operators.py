@@ -458,7 +458,7 @@ def expected_verdicts(rows):
         if len(mine) >= 10:
             tokens = Counter(w for t in mine for w in t.lower().split())
             common = [w for w, _ in sorted(((w, n) for w, n in tokens.items() if any(map(str.isalpha, w))), key=lambda x: (-x[1], x[0]))[:64]]
-            hist = lambda t: Counter(w if w in common else None for w in t.lower().split())  # noqa: B023,E731
+            hist = lambda t, common=frozenset(common): Counter(w if w in common else None for w in t.lower().split())
             refs[lang] = (Counter(kind(c) for t in mine for c in t), hist, hist(" ".join(mine)))
     out = {}
     for i, t, _ in rows:
