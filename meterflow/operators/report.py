@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,28 @@ def dq_report(counts: DataFrame, ratios: DataFrame, layout: DataFrame) -> dict[s
     return {"json": text, "markdown": "\n".join(["| measure | value |", "|-|-|", *[f"| {k} | {v} |" for k, v in first.items()]])}
 
 
-def bench_report(**frames: DataFrame) -> dict[str, list[str]]:
-    """Named result frames (small ones: summaries) as JSON lines."""
-    return {name: [r["j"] for r in df.select(F.to_json(F.struct("*")).alias("j")).collect()] for name, df in frames.items()}
+def bench_report(etl: DataFrame | None = None, sampling: DataFrame | None = None, training: tuple[DataFrame, DataFrame] | None = None, simulation: tuple[DataFrame, DataFrame] | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """(section, run_group, body): summaries of the jobs' reports in one frame, each row's figures as JSON.
+
+    etl, sampling: reports for ``etl_retention`` and ``sampling_reduction``; training: the two frames of
+    ``training_rollup``; simulation: those of ``run_rollup``; runs: (run_group, run_id, done_ts, dir_ts), of
+    which the latest is named.  What is not given, like a run without a report, has no rows.
+    """
+    made: dict[str, DataFrame] = {}
+    if etl is not None:
+        made["etl"] = etl_retention(etl)
+    if sampling is not None:
+        made["sampling"] = sampling_reduction(sampling)
+    if training is not None:
+        made["training"] = training_rollup(*training).withColumnRenamed("run_id", "run_group")
+    if simulation is not None:
+        made["simulation"] = run_rollup(*simulation)
+    if runs is not None:
+        made["sources"] = latest_run(runs)
+    if not made:
+        raise ValueError("no reports")
+    parts = []
+    for name, df in made.items():
+        group = F.col("run_group").cast("string") if "run_group" in df.columns else F.lit(None).cast("string")
+        parts.append(df.select(F.lit(name).alias("section"), group.alias("run_group"), F.to_json(F.struct(*[c for c in df.columns if c != "run_group"])).alias("body")))
+    return reduce(DataFrame.unionByName, parts)

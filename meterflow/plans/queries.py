@@ -1093,6 +1093,30 @@ def run_rollup(spark: SparkSession, d: str) -> DataFrame:
     return report.run_rollup(a, r.where("status <> 'F'").groupBy("run_group").agg(F.count("*").alias("n_ticks"))).select("run_group", "kind", "n_rounds", "n_ticks")
 
 
+_BENCH = {
+    "kept": "select p.*, population from (select count(*) as selected from picked) p, (select count(*) as population from assignments)",
+    "sizes": "select count(*) as raw_rows, count(distinct household_id) as raw_households from meter",
+}
+
+
+@query(
+    """select 'etl' as section, null::varchar as run_group, raw_rows::varchar as a, 1.0::double as b from sizes
+    union all select 'sampling', null, selected::varchar, round(1 - selected / population::double, 6) from kept
+    union all select 'simulation', run_group::varchar, case when status = 'F' then 'rounds' else 'ticks' end, count(*)::double from run_log where status in ('F', 'O') group by run_group, status
+    union all select 'sources', run_group::varchar, arg_max(run_id, (done_ts, run_id))::varchar, null from run_log group by run_group""",
+    more=_COHORT | _BENCH,
+)
+def bench_report(spark: SparkSession, d: str) -> DataFrame:
+    raw = v.meter(spark, d).agg(F.count("*").alias("raw_rows"), F.countDistinct("household_id").alias("raw_households"))
+    etl_rows = raw.select("*", F.col("raw_rows").alias("out_rows"), F.col("raw_households").alias("out_households"))
+    sizes = _picked(spark, d).agg(F.count("*").alias("selected")).crossJoin(v.assignments(spark, d).agg(F.count("*").alias("population")))  # one row each
+    r = v.run_log(spark, d)
+    counted = lambda status, name: r.where(F.col("status") == status).groupBy("run_group").agg(F.count("*").alias(name))
+    made = report.bench_report(etl_rows, sizes, simulation=(counted("F", "n_rounds"), counted("O", "n_ticks")), runs=r.withColumn("dir_ts", F.lit(None).cast("timestamp")))
+    body = F.from_json("body", "raw_rows string, rows_retained double, selected string, reduction_ratio double, kind string, n_rounds double, n_ticks double, run_id string")
+    return made.select("section", "run_group", body.alias("x")).select("section", "run_group", F.coalesce("x.raw_rows", "x.selected", "x.kind", "x.run_id").alias("a"), F.coalesce("x.rows_retained", "x.reduction_ratio", "x.n_rounds", "x.n_ticks").alias("b"))
+
+
 @query("select event_id, '[' || event_id || ',' || user_id || ']' as ids, '{\"t\":\"' || event_type || '\"}' as info from events")
 def json_encode_nested(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "events").select("event_id", F.array("event_id", "user_id").alias("ids"), F.struct(F.col("event_type").alias("t")).alias("info"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import math
 import random
 
@@ -440,6 +441,19 @@ def test_round_summaries(spark):
     assert (city.participating_districts, city.n_samples_total, city.drift, city.complete, city.samples_by_district) == (2, 10, 0.5, True, {"a": 4, "b": 6})
 
 
+def test_bench_report_puts_summaries_together(spark):
+    etl = spark.createDataFrame([(100, 4, 80, 3)], "raw_rows long, raw_households long, out_rows long, out_households long")
+    p = spark.createDataFrame([("t1", 5, [("first", 0.5), ("last", 0.25)])], "run_id string, n_windows long, stages array<struct<name:string,mae:double>>")
+    e = spark.createDataFrame([("t1", 0.25, 0.75, 0.5)], "run_id string, mae double, persistence_mae double, seasonal_mae double")
+    a, b = spark.createDataFrame([("s1", 3)], "run_group string, n_rounds long"), spark.createDataFrame([("s2", 60)], "run_group string, n_ticks long")
+    got = {(r.section, r.run_group): json.loads(r.body) for r in report.bench_report(etl, training=(p, e), simulation=(a, b)).collect()}
+    assert got["etl", None]["rows_retained"] == 0.8 and got["etl", None]["households_retained"] == 0.75
+    assert got["training", "t1"] == {"n_windows": 5, "last_stage": "last", "stage_mae": 0.25, "persistence_delta": 0.5, "seasonal_delta": 0.25}
+    assert got["simulation", "s1"] == {"n_rounds": 3, "kind": "rounds"} and got["simulation", "s2"] == {"kind": "ticks", "n_ticks": 60}
+    with pytest.raises(ValueError, match="no reports"):
+        report.bench_report()
+
+
 def test_rollups(spark):
     counters = spark.createDataFrame([(10, {"MAINTAIN": 9, "SHED_EV": 1}), (12, {"MAINTAIN": 8})], "ticks long, action_counts map<string,long>")
     got = report.building_rollup(counters, ["ticks"]).first()
