@@ -42,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A key of more than this share of the rows is hot; so there are at most as many hot keys.
-HOT = 1000
+#: A key of more than one of so many rows, and of more than SMALL rows, is hot; so there are at most HOT hot keys.
+HOT, SMALL = 1000, 2000
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
@@ -51,14 +51,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
 
     Hot keys, at most ``HOT`` rows of right, are broadcast, so that rows of one key need not meet in one
     task.  Both sides are read more than once: they should be settled.  ``total`` may give a bound on
-    the rows of left that is known already.
+    the rows of left that is known already, if there are hot keys.
     """
-    total = (right.agg(F.sum(count)).first()[0] or 0) if total is None else total
-    hot, rest = right.where(F.col(count) > total / HOT).drop(count), right.where(F.col(count) <= total / HOT).drop(count)
+    if total is None:
+        total, most = right.agg(F.sum(count), F.max(count)).first()
+        if not is_hot(most or 0, total or 0):
+            return left.join(right.drop(count), keys)
+    limit = F.lit(max(total / HOT, SMALL))
+    hot, rest = right.where(F.col(count) > limit).drop(count), right.where(F.col(count) <= limit).drop(count)
     seldom = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
     return left.join(F.broadcast(hot), keys).unionByName(seldom)
 
 
+def is_hot(count: int, total: int) -> bool:
+    return count > max(total / HOT, SMALL)
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and other named columns only, so that extra columns never clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterflow.llm import bpe, components, fingerprints, html, jaccard, langid, licenses, packing, quality, substring, toxicity
+from meterflow.llm.base import spread_join
 from meterflow.llm.grams import Words, minhash, sliding_min, unique_shingles
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, k long, place int"
@@ -96,11 +97,40 @@ def test_minhash_estimates_similarity():
 
 
 def test_components(spark):
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
     edges = [(1, 2), (2, 3), (9, 8), (3, 4), (20, 20), (5, 9), (4, 1)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 8: 5, 9: 5}
 
 
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr("meterflow.llm.base.SMALL", 5)
+    monkeypatch.setattr("meterflow.llm.base.HOT", 4)
+    rng = random.Random(71)
+    edges = [(7, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr("meterflow.llm.base.SMALL", 5)
+    left = spark.createDataFrame([(i % 7 if i % 2 else 1, i) for i in range(200)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("c"), F.max("v").alias("m")).where("k <> 3")
+    got = sorted(tuple(r) for r in spread_join(left, right, ["k"], "c").collect())
+    assert got == sorted(tuple(r) for r in left.join(right.drop("c"), "k").collect()) and len(got) > 150
+
+
 # --- substring dedup
 
 
