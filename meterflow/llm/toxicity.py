@@ -163,59 +163,61 @@ class Featurizer:
     """Features of a text, by one lexicon; keeps what it knows of recent tokens."""
 
     def __init__(self, lexicon: dict[str, float], keep: int = 600_000) -> None:
-        self.keep = keep
-        self.lexicon = lexicon
+        self.lexicon, self.keep = lexicon, keep
         names = {e.removeprefix("2") for e in lexicon}
         self.words = {e[1:] for e in names if e[0] == "w"} | SECOND_PERSON
-        self.starts = {e[1:] for e in names if e[0] == "s"}
+        self.starts = [{e[1:] for e in names if e[0] == "s" and len(e) == k + 1} for k in STEMS]
         twice = [e for e in lexicon if e[0] == "2"]
         self.twice = {e[1:]: i + 1 for i, e in enumerate(twice)}
         self.twice_ratio = np.array([0.0, *(lexicon[e] for e in twice)])
-        self._reset()
-
-    def _reset(self) -> None:
+        self.entry = {e: i + 1 for i, e in enumerate(sorted(names))}
         #: token -> place in the arrays of facts; place 0, as for most tokens, says nothing.
         self.seen = _Known(self.about)
-        self.ids: dict[str, int] = {}
-        self.n = 1
+        #: What a token shows of the lexicon and its signs -> the same place; as many as the lexicon has.
+        self.places: dict[tuple, int] = {}
         self.signs, self.best = np.zeros(1024, dtype=np.uint8), np.zeros(1024)
-        self.word, self.again = np.zeros(1024, dtype=np.int64), np.zeros((1024, 1 + len(STEMS)), dtype=np.int64)
+        self.which, self.again = np.zeros(1024, dtype=np.int64), np.zeros((1024, 1 + len(STEMS)), dtype=np.int64)
 
     def about(self, token: str) -> int:
-        """Where the facts of a token are: signs, best ratio, number of its plain word, entries that count twice.
+        """Where the facts of a token are: signs, ratio and number of its best entry, entries that count twice.
 
         Signs: 1 found only once unmasked, 2 second person, 4 all capitals, 8 masked.
         """
         plain, bare = normal(token)
-        if plain is bare and plain not in self.words and plain[: STEMS[0]] not in self.starts and plain[: STEMS[1]] not in self.starts and not token.isupper():
-            return 0
-        mine = _entries(bare)
-        best = max((self.lexicon.get(e, 0.0) for e in mine), default=0.0)
-        again = [self.twice[e] for e in mine if e in self.twice]
-        masked = bool(plain != bare and bare and plain)
-        signs = 1 * (masked and best > 0) | 2 * (plain in SECOND_PERSON) | 4 * (len(plain) >= 3 and token.isupper()) | 8 * masked
-        if not signs and not best and not again:
+        n = len(bare)
+        shown = (bare if bare in self.words else "", *[bare[:k] if n > k and bare[:k] in held else "" for k, held in zip(STEMS, self.starts, strict=True)])
+        loud = len(plain) >= 3 and token.isupper()
+        masked = plain is not bare and plain != bare and bool(bare and plain)
+        if not loud and not masked and not any(shown):
             return 0
-        if self.n == len(self.best):
-            self.signs, self.best, self.word, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.signs, self.best, self.word, self.again))
-        at, self.n = self.n, self.n + 1
-        self.signs[at], self.best[at], self.word[at] = signs, best, self.ids.setdefault(bare, len(self.ids))
-        self.again[at, : len(again)] = again
-        return at
+        key = (*shown, loud, masked)
+        if key not in self.places:
+            found = [e for e in ("w" + shown[0], *("s" + x for x in shown[1:] if x)) if e in self.entry]
+            best = max(found, key=lambda e: self.lexicon.get(e, 0.0), default="")
+            ratio = self.lexicon.get(best, 0.0)
+            at = len(self.places) + 1
+            if at == len(self.best):
+                self.signs, self.best, self.which, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.signs, self.best, self.which, self.again))
+            self.signs[at] = 1 * (masked and ratio > 0) | 2 * (plain in SECOND_PERSON) | 4 * loud | 8 * masked
+            self.best[at], self.which[at] = ratio, self.entry.get(best, 0)
+            again = [self.twice[e] for e in found if e in self.twice]
+            self.again[at, : len(again)] = again
+            self.places[key] = at
+        return self.places[key]
 
     def of(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
         if not tokens:
             return [0.0] * len(FEATURES)
         if len(self.seen) >= self.keep:
-            self._reset()
+            self.seen.clear()
         n = len(tokens)
         codes = np.fromiter(map(self.seen.__getitem__, tokens), dtype=np.int64, count=n)
         some = np.flatnonzero(codes)
         codes = codes[some]
         signs, best = self.signs[codes], self.best[codes]
         hit, you = some[best > 0], some[(signs & 2) > 0]
-        _, at = np.unique(self.word[codes[best > 0]], return_index=True)
+        _, at = np.unique(self.which[codes[best > 0]], return_index=True)
         best = best[best > 0]
         kinds = np.sort(best[at])[::-1]
         counts = np.bincount(self.again[codes].ravel(), minlength=2) if len(codes) else np.zeros(2)
