@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from meterflow.operators.control import drift_scan, shed_plan
+from meterflow.operators.control import drift_scan, shed_plan, sliding_quantile
 from meterflow.operators.memory import significant_episode
 from meterflow.operators.prepare import HOUSEHOLD, WEATHER
 
@@ -100,11 +100,10 @@ class _Patterns(_State):
 class _Capacity(_State):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         df = _in_order(rows, "ts", "event_id")
-        kept, limits = self.load([]), []
-        for x in df["kwh"]:
-            kept = (kept + [float(x)])[-WEEK:]
-            limits.append(max(0.5, float(np.percentile(kept, 95))) if len(kept) >= WARM else 1.2)
-        self.save(kept)
+        kept, new = np.asarray(self.load([]), dtype=np.float64), df["kwh"].to_numpy(dtype=np.float64)
+        limits = np.maximum(0.5, sliding_quantile(new, kept[-(WEEK - 1) :], WEEK, 0.95))
+        limits[: max(0, WARM - 1 - len(kept))] = 1.2
+        self.save(np.concatenate([kept, new])[-WEEK:].tolist())
         yield pd.DataFrame({HOUSEHOLD: df[HOUSEHOLD], "ts": df["ts"], "event_id": df["event_id"], "predicted": df["predicted"], "capacity": limits})
 
 
