@@ -29,7 +29,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import per_batch, prepare, settle
+from meterflow.llm.base import packed, per_batch, plain, prepare, settle
 
 #: Elements by what they hold.
 SILENT = frozenset("script style noscript template svg math head title iframe object embed canvas audio video map textarea select option button datalist".split())
@@ -236,10 +236,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         texts = []
-        for html, others in zip(rows["html"], rows["near"], strict=True):
-            mine = lines(html or "")
+        for data, others in zip(rows["packed"], rows["near"], strict=True):
+            mine = lines(plain(data))
             sign = _sign(mine)
             texts.append(differenced(mine, [o["shell"] for o in others or [] if o["sign"] != sign][:PAIRS]))
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return per_batch(pages.join(near, "page_id", "left"), "page_id long, url string, text string, n_chars long", work)
+    whole = packed(pages.withColumnRenamed("html", "text"), "page_id", "url")
+    return per_batch(whole.join(near, "page_id", "left"), "page_id long, url string, text string, n_chars long", work)
