@@ -96,6 +96,19 @@ def kept(key: object, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def without_gc(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, without garbage rounds: lists of many short strings, without cycles, are traversed again and again."""
+
+    def quiet(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(them)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
 def per_batch(df: DataFrame, schema: str | StructType, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow with columns as lists in and out; work gets one batch, of bounded rows."""
     prepare(df.sparkSession)
@@ -103,16 +116,12 @@ def per_batch(df: DataFrame, schema: str | StructType, work: Callable[[dict[str,
     arrow = to_arrow_schema(out_schema)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # lists of many short strings, without cycles, are traversed again and again
-        try:
-            for batch in them:
-                if batch.num_rows:
-                    out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
-        finally:
-            gc.enable()
+        for batch in them:
+            if batch.num_rows:
+                out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out_schema)
+    return df.mapInArrow(without_gc(run), out_schema)
 
 
 def plain(data: bytes) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import documents, per_batch, prepare, settle, spread_join
+from meterflow.llm.base import documents, per_batch, prepare, settle, spread_join, without_gc
 from meterflow.llm.components import components
 from meterflow.llm.grams import Words, batches, minhash, mix, unique_shingles
 
@@ -168,7 +168,7 @@ def _by_group(one, names: tuple[str, ...]):
         if len(group) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in one(group)], schema=schema)
 
-    return run
+    return without_gc(run)
 
 
 def _judge(width: int, threshold: float):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import fields, per_batch, prepare
+from meterflow.llm.base import fields, per_batch, prepare, without_gc
 from meterflow.llm.grams import Words, batches
 
 #: Fixed values of the base rules.
@@ -131,7 +131,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
                 yield flush()
         yield flush()
 
-    totals = docs.select("text", "lang").mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    totals = docs.select("text", "lang").mapInArrow(without_gc(run), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", F.col("item").startswith("  ")).orderBy(F.desc("n"), "item"))
     out: dict[str | None, tuple] = {}
     for row in totals.withColumn("place", place).where(F.col("place") <= COMMON).groupBy("lang").agg(F.collect_list(F.struct("item", "n")).alias("rows")).collect():
