@@ -83,17 +83,18 @@ def fields(df: DataFrame, names: list[str], more: str) -> StructType:
     return StructType([StructField(n, df.schema[n].dataType) for n in names] + list(new))
 
 
-#: What a Python worker keeps from task to task: the last few things, by key.
-_KEPT: dict[object, object] = {}
+#: What a Python worker keeps from task to task, by name and key; of one name at a time, so that what
+#: the stages of a pipeline keep does not add up.
+_KEPT: dict[tuple[str, object], object] = {}
 
 
-def kept(key: object, make: Callable[[], object]) -> object:
+def kept(name: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in a Python worker that tasks use one after the other."""
-    if key not in _KEPT:
-        while len(_KEPT) >= 8:
-            del _KEPT[next(iter(_KEPT))]
-        _KEPT[key] = make()
-    return _KEPT[key]
+    if any(n != name for n, _ in _KEPT):
+        _KEPT.clear()
+    if (name, key) not in _KEPT:
+        _KEPT[name, key] = make()
+    return _KEPT[name, key]
 
 
 def without_gc(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -209,7 +209,7 @@ def round_trips(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids) of each document."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        bpe = kept(("bpe", path), lambda: ByteBpe(path))
+        bpe = kept("bpe", path, lambda: ByteBpe(path))
         out: dict[str, list] = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
         for ids, decoded in bpe.batch([t or "" for t in rows["text"]]):
             out["n_tokens"].append(ids.count(",") + 1 if ids else 0)

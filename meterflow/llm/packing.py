@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: The token that closes a document.
 CLOSING = 0
 SALTS = 64
-KEEP = 800_000
+KEEP = 500_000
 #: Fixed value: the pattern that cuts lower-case text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Signs that are set apart before a text is cut, so that fewer different words are left.
@@ -93,7 +93,7 @@ class WordIds:
 
 def _pieces(path: str, capacity: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        words = kept(("words", path), lambda: WordIds(path))
+        words = kept("words", path, lambda: WordIds(path))
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         closing = int(CLOSING).to_bytes(4, "little")
         for doc_id, ids in zip(rows["doc_id"], words.batch([t or "" for t in rows["text"]]), strict=True):

@@ -162,7 +162,9 @@ class _Known(dict):
 class Featurizer:
     """Features of a text, by one lexicon; keeps what it knows of recent tokens."""
 
-    def __init__(self, lexicon: dict[str, float], keep: int = 600_000) -> None:
+    KEEP = 300_000
+
+    def __init__(self, lexicon: dict[str, float], keep: int = KEEP) -> None:
         self.lexicon, self.keep = lexicon, keep
         names = {e.removeprefix("2") for e in lexicon}
         self.words = {e[1:] for e in names if e[0] == "w"} | SECOND_PERSON
@@ -262,7 +264,7 @@ def features(df: DataFrame, lexicons: list[dict[str, float]], keep: str, fold: s
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         which = rows[fold] if fold else [-1] * len(rows[source])
-        made = {k: kept((mine, k), partial(Featurizer, lexicons[k], 600_000 // len(lexicons))) for k in set(which)}
+        made = {k: kept(mine, k, partial(Featurizer, lexicons[k], Featurizer.KEEP // len(lexicons))) for k in set(which)}
         texts = map(plain, rows[source]) if source == "packed" else rows[source]
         return {n: rows[n] for n in names} | {"x": [made[k].of(t) for k, t in zip(which, texts, strict=True)]}
 
