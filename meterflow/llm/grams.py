@@ -46,7 +46,16 @@ class Words:
     """Words of a batch of texts: a hash each, and where each text's words begin."""
 
     def __init__(self, texts: list[str]) -> None:
-        parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        self._take([t.encode("utf-8", "surrogatepass").split() for t in texts])
+
+    @classmethod
+    def of(cls, parts: list[list[bytes]]) -> Words:
+        """Texts that are given as words."""
+        words = cls.__new__(cls)
+        words._take(parts)
+        return words
+
+    def _take(self, parts: list[list[bytes]]) -> None:
         counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.doc = np.repeat(np.arange(len(parts)), counts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm import bpe, fingerprints, html, jaccard, langid, licenses, packing, quality, substring, toxicity
+from meterflow.llm import bpe, decontaminate, fingerprints, html, jaccard, langid, licenses, packing, quality, runs, substring, toxicity, whitening
 from meterflow.llm.base import table
 
 
@@ -51,6 +51,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), runs.repeating))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_substring_dedup, op3_html_extraction, op4_bpe, op5_ngram_jaccard, op6_licenses, op7_language, op8_fingerprints, op9_packing, op10_quality, pipeline]
+    found = [op1_toxicity, op2_substring_dedup, op3_html_extraction, op4_bpe, op5_ngram_jaccard, op6_licenses, op7_language, op8_fingerprints, op9_packing, op10_quality, op11_whitening, op12_runs, op13_decontamination, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -85,4 +97,4 @@ select d.doc_id, least(d.doc_id, coalesce((select min(y) from near where x = d.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op6_licenses": licenses.oracle()}
+    return {"op5_ngram_jaccard": _JACCARD, "op2_substring_dedup": _SUBSTRING, "op6_licenses": licenses.oracle(), "op13_decontamination": decontaminate.oracle()}
