@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.functions.columns import slot_clock, slot_of_day, tariff_band
+from meterflow.functions.columns import finite, slot_clock, slot_of_day, tariff_band
 
 ID = "household_id"
 #: Sheddable shares of the load, cheapest first, and the names of the actions.
@@ -48,7 +48,7 @@ def drift_flags(df: DataFrame, alpha: float = 0.05, k: float = 2.0) -> DataFrame
                 yield pd.concat(out)
 
     # Sorted runs rather than whole groups: a household's readings never meet in memory.
-    ordered = df.select(ID, "ts", "event_id", "kwh").where("kwh is not null").repartition(ID).sortWithinPartitions(ID, "ts", "event_id")
+    ordered = df.select(ID, "ts", "event_id", "kwh").where(finite("kwh").isNotNull()).repartition(ID).sortWithinPartitions(ID, "ts", "event_id")
     return ordered.mapInPandas(run, schema)
 
 
@@ -68,14 +68,16 @@ def sliding_quantile(values: np.ndarray, before: np.ndarray, width: int, q: floa
     return out
 
 
-def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int = 96, floor: float = 0.5, cold: float = 1.2) -> DataFrame:
+def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int = 96, floor: float = 0.5, cold: float = 1.2, forecast: str | None = None) -> DataFrame:
     """The quantile of the last days' readings once there is a day of them, at least the floor; a fixed value before.
 
-    Runs of sorted readings keep one ordered window, instead of sorting a window again for each reading;
-    readings without a value count as none.
+    With the name of a forecast column only readings that have a forecast count, as before the first one
+    nothing is planned; others have no capacity.  Runs of sorted readings keep one ordered window,
+    instead of sorting a window again for each reading; readings without a finite value count as none.
     """
     width = days * slots
-    schema = df.select(ID, "ts", "kwh").schema.add("capacity", "double")
+    names = [ID, "ts", *[c for c in ("event_id",) if c in df.columns], "kwh", *([forecast] if forecast else [])]
+    schema = df.select(*names).schema.add("capacity", "double")
 
     def run(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, n, last = None, 0, np.zeros(0)
@@ -84,15 +86,19 @@ def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int
             for key, rows in batch.groupby(ID, sort=False):
                 if key != now:
                     now, n, last = key, 0, np.zeros(0)
-                x = rows["kwh"].to_numpy(dtype=np.float64)
-                limit = np.maximum(floor, sliding_quantile(x, last, width, q))
-                limit[: max(0, slots - 1 - n)] = cold
+                some = rows[forecast].notna().to_numpy() if forecast else np.ones(len(rows), dtype=bool)
+                x = rows["kwh"].to_numpy(dtype=np.float64)[some]
+                limit = np.full(len(rows), np.nan)
+                found = np.maximum(floor, sliding_quantile(x, last, width, q))
+                found[: max(0, slots - 1 - n)] = cold
+                limit[some] = found
                 n, last = n + len(x), np.concatenate([last, x])[-(width - 1) :] if width > 1 else last
                 out.append(rows.assign(capacity=limit))
             if out:
                 yield pd.concat(out)
 
-    return df.select(ID, "ts", "kwh").where("kwh is not null").repartition(ID).sortWithinPartitions(ID, "ts").mapInPandas(run, schema)
+    order = names[: names.index("kwh")]
+    return df.select(*names).where(finite("kwh").isNotNull()).repartition(ID).sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def shed_plan(df: DataFrame, predicted: str = "predicted", capacity: str = "capacity") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +38,64 @@ def attention_join(queries: DataFrame, pool: DataFrame, on: str = "agent_id") ->
     return both.withColumn("logit", dot("query", "key") / F.sqrt(F.size("key")))
 
 
+#: Queries and patterns of one block; a block of each meets in one task.
+BLOCK = 512
+
+
+def _best_of_block(k: int):  # noqa: ANN202
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """The k best patterns of the block for each query of the block: by logit, then pattern_id."""
+        ids, vectors = rows.column("id"), pc.list_flatten(rows.column("vector")).to_numpy(zero_copy_only=False).astype(float)
+        asked = rows.column("asks").to_numpy()
+        vectors = vectors.reshape(len(ids), -1) if len(ids) else vectors.reshape(0, 0)
+        q, p = vectors[asked], vectors[~asked]
+        names, patterns = ids.filter(pa.array(asked)), ids.filter(pa.array(~asked)).to_numpy()
+        if not len(q) or not len(p):
+            return pa.table([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "pattern_id", "logit"])
+        scores, scale = q @ p.T, np.sqrt(p.shape[1])
+        best = min(k, len(p))
+        least = -np.partition(-scores, best - 1, axis=1)[:, best - 1]
+        # What could be among the best is summed again in one fixed way, so that equal patterns tie.
+        i, j = np.nonzero(scores >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+        logit = (q[i] * p[j]).sum(axis=1) / scale
+        order = np.lexsort((patterns[j], -logit, i))
+        i, j, logit = i[order], j[order], logit[order]
+        first = np.searchsorted(i, np.arange(len(q)))
+        keep = np.arange(len(i)) - first[i] < best
+        return pa.table([names.take(pa.array(i[keep])), pa.array(patterns[j[keep]]), pa.array(logit[keep])], names=["query_id", "pattern_id", "logit"])
+
+    return run
+
+
+def attention_best(queries: DataFrame, pool: DataFrame, k: int = 8, on: str = "agent_id") -> DataFrame:
+    """(query_id, pattern_id, logit, place): the k patterns of the same agent with the largest scaled logits.
+
+    Queries and patterns of an agent are dealt to blocks; a block of queries and one of patterns meet
+    in one task, which gives the k best of the block for each query.  So rows grow with queries * k * blocks, and
+    a query and a pattern are never one row; the best of the blocks are merged by their rank.
+    """
+    def dealt(df: DataFrame, name: str, vector: str, asks: bool, other: str, mine: str) -> DataFrame:
+        placed = df.select(on, F.col(name).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.lit(asks).alias("asks")).join(sizes, on)
+        block = placed.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(f"{mine}_blocks")).cast("int"))
+        return block.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).select(on, "qb", "pb", "id", "vector", "asks")
+
+    count = lambda df, name: df.groupBy(on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = count(queries, "qb_blocks").join(count(pool, "pb_blocks"), on)
+    both = dealt(queries, "query_id", "query", True, "pb", "qb").unionByName(dealt(pool, "pattern_id", "key", False, "qb", "pb"))
+    found = both.groupBy(on, "qb", "pb").applyInArrow(_best_of_block(k), "query_id long, pattern_id long, logit double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("logit"), "pattern_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
 def attention_topk(queries: DataFrame, pool: DataFrame, k: int = 8, on: str = "agent_id") -> DataFrame:
     """(query_id, context): softmax over the k best logits, then the weighted sum of values."""
     w = Window.partitionBy("query_id")
-    best = attention_join(queries, pool, on).withColumn("place", F.row_number().over(w.orderBy(F.desc("logit"), "pattern_id"))).where(F.col("place") <= k)
-    e = best.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
-    scored = e.withColumn("score", F.col("e") / F.sum("e").over(w))
-    parts = scored.select("query_id", "score", F.posexplode("value").alias("pos", "v")).groupBy("query_id", "pos").agg(F.sum(F.col("score") * F.col("v")).alias("v"))
-    return parts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda r: r["v"]).alias("context"))
+    e = attention_best(queries, pool, k, on).withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
+    scored = e.withColumn("score", F.col("e") / F.sum("e").over(w)).join(pool.select("pattern_id", "value"), "pattern_id")
+    # At most k rows a query.
+    one = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.transform("value", lambda v: v.cast("double") * F.col("score")).alias("v")))).alias("rows"))
+    total = F.aggregate(F.slice("rows", 2, k), F.col("rows")[0]["v"], lambda s, r: F.zip_with(s, r["v"], lambda a, b: a + b))
+    return one.select("query_id", total.alias("context"))
 
 
 def gated_update(prior: DataFrame, new: DataFrame, lam: float, key: str = "key") -> DataFrame:

@@ -7,6 +7,9 @@ coordinate's contributors.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,40 +135,67 @@ def validate_updates(updates: DataFrame, coords: DataFrame, max_parameters: int,
 # --- distances and selection
 
 
-def dense_pieces(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = 256) -> DataFrame:
-    """(keys, agent_id, part, v): each agent's values at the coordinates that its cohort has in a part, 0 where absent.
+#: Agents of a block, and coordinates of a part; two blocks' parts of a span meet in one task.
+BLOCK, PART, SPAN = 64, 256, 16
 
-    All arrays of a cohort's part have the same coordinates in the same order, so that they can be
-    compared; an update of all coordinates is taken as it is.
+
+def _block_distances(key: tuple, rows: pa.Table) -> pa.Table:
+    """Partial squared distances between the agents of two blocks (or of one) over a span of coordinates.
+
+    |x|^2 + |y|^2 - 2 x y by one matrix product; pairs that it cannot tell apart well are subtracted.
     """
-    part = F.floor(F.col("pos") / chunk).alias("part")
-    placed = updates.select(*keys, "agent_id", part, "pos", "value")
-    rows = placed.groupBy(*keys, "agent_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("rows"))
-    spots = placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_set("pos")).alias("spots"))
-    grid = updates.select(*keys, "agent_id").distinct().join(spots, list(keys))
-    held = grid.join(rows, [*keys, "agent_id", "part"], "left").withColumn("held", F.map_from_entries("rows"))
-    zero = F.lit(0.0)
-    v = (
-        F.when(F.col("rows").isNull(), F.transform("spots", lambda p: zero))
-        .when(F.size("rows") == F.size("spots"), F.transform("rows", lambda r: r["value"]))
-        .otherwise(F.transform("spots", lambda p: F.coalesce(F.try_element_at("held", p), zero)))
-    )
-    return held.select(*keys, "agent_id", "part", v.alias("v"))
-
-
-def pairwise_distance(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = 256) -> DataFrame:
+    lo, hi = (int(k.as_py()) for k in key[-3:-1])
+    block = rows.column("block").to_numpy()
+    heads = {b: pc.list_flatten(rows.filter(pa.array((block == b) & rows.column("heads").is_valid().to_numpy())).column("heads")).combine_chunks() for b in {lo, hi}}
+    cells = {}
+    for b in heads:
+        flat = pc.list_flatten(rows.filter(pa.array((block == b) & rows.column("cells").is_valid().to_numpy())).column("cells")).combine_chunks()
+        cells[b] = (pc.index_in(flat.field("agent_id"), heads[b]).to_numpy(zero_copy_only=False).astype(np.int64), flat.field("pos").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False).astype(float))
+    places = np.unique(np.concatenate([c[1] for c in cells.values()]))
+    dense = {}
+    for b, (agent, pos, value) in cells.items():
+        dense[b] = np.zeros((len(heads[b]), len(places)))
+        dense[b][agent, np.searchsorted(places, pos)] = value
+    x, y = dense[lo], dense[hi]
+    size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    d = size - 2 * (x @ y.T)
+    i, j = np.nonzero(d <= 1e-4 * size)
+    for at in range(0, len(i), 256):
+        p, q = i[at : at + 256], j[at : at + 256]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    i, j = np.indices(d.shape).reshape(2, -1)
+    if lo == hi:
+        i, j = i[i != j], j[i != j]
+    one, other, value = heads[lo].take(pa.array(i)), heads[hi].take(pa.array(j)), d[i, j]
+    if lo != hi:
+        one, other, value = pa.concat_arrays([one, other]), pa.concat_arrays([other, one]), np.concatenate([value, value])
+    return pa.table([pa.repeat(k, len(one)) for k in key[:-3]] + [one, other, pa.array(value)], names=[*rows.column_names[: len(key) - 3], "a", "b", "distance"])
+
+
+def pairwise_distance(updates: DataFrame, keys: tuple[str, ...] = COHORT, chunk: int = PART) -> DataFrame:
     """(keys, a, b, distance): squared distance of each ordered pair of agents of a cohort; absent is 0 here.
 
-    Vectors travel as arrays of at most ``chunk`` coordinates, so that a wide model's pairs are
-    spread over its chunks and only partial sums meet.
+    Agents are dealt to blocks of about BLOCK.  A block travels as one row for each part of ``chunk``
+    coordinates to each block of its cohort; two blocks meet over a span of parts, and only sums
+    of spans leave the task, so that no two vectors become a row and a wide model is spread over its spans.
     """
-    pieces = dense_pieces(updates, keys, chunk)
-    a = pieces.withColumnRenamed("agent_id", "a").withColumnRenamed("v", "x")
-    b = pieces.withColumnRenamed("agent_id", "b").withColumnRenamed("v", "y")
-    square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    half = a.join(b, [*keys, "part"]).where("a < b").groupBy(*keys, "a", "b").agg(F.sum(square).alias("distance"))
-    other = half.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "distance")
-    return half.unionByName(other)
+    names = list(keys)
+    sized = updates.select(*names, "agent_id").distinct().groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = updates.select(*names, "agent_id", F.col("pos").cast("int").alias("pos"), F.col("value").cast("double").alias("value")).join(sized, names)
+    placed = placed.withColumns({"block": F.pmod(F.xxhash64("agent_id"), "blocks").cast("int"), "part": F.floor(F.col("pos") / chunk)})
+    cells = placed.groupBy(*names, "blocks", "block", "part").agg(F.collect_list(F.struct("agent_id", "pos", "value")).alias("cells"))
+    spans = cells.withColumn("span", F.floor(F.col("part") / SPAN))
+    # All agents of a block go with each of its spans, as some may have nothing there.
+    heads = placed.groupBy(*names, "blocks", "block").agg(F.collect_set("agent_id").alias("heads"))
+    everywhere = heads.join(spans.select(*names, "span").distinct(), names)
+    rows = spans.select(*names, "span", "blocks", "block", F.lit(None).cast(dict(heads.dtypes)["heads"]).alias("heads"), "cells")
+    rows = rows.unionByName(everywhere.select(*names, "span", "blocks", "block", "heads", F.lit(None).cast(dict(rows.dtypes)["cells"]).alias("cells")))
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*names, F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "span", "block", "heads", "cells")
+    kinds = dict(updates.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in names), *(f"{k} {kinds['agent_id']}" for k in "ab"), "distance double"])
+    partial = met.groupBy(*names, "lo", "hi", "span").applyInArrow(_block_distances, schema)
+    # By the first agent, as the ranking that follows needs it.
+    return partial.repartition(*names, "a").groupBy(*names, "a", "b").agg(F.sum("distance").alias("distance"))
 
 
 def krum_score(distances: DataFrame, f: int, keys: tuple[str, ...] = COHORT, agents: DataFrame | None = None) -> DataFrame:
@@ -217,7 +247,11 @@ def masked_weighted_mean(updates: DataFrame, weights: DataFrame, coords: DataFra
 
 
 def _over_coords(means: DataFrame, cohort: DataFrame, coords: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    everywhere = cohort.select(*keys).distinct().join(coords.select("pos").distinct())
+    """The means at all coordinates (pos) of each cohort, or at its own (keys, pos)."""
+    own = [k for k in keys if k in coords.columns]
+    known = coords.select(*own, "pos").distinct()
+    cohorts = cohort.select(*keys).distinct()
+    everywhere = cohorts.join(known, own) if own else cohorts.join(known)
     out = everywhere.join(means, [*keys, "pos"], "left")
     return out.select(*keys, "pos", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("contributed"))
 

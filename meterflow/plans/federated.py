@@ -32,19 +32,23 @@ class RoundResult:
     gate: DataFrame
 
 
-def district_deltas(rows: DataFrame, meta: DataFrame, config: RoundConfig) -> tuple[DataFrame, DataFrame]:
-    """(masked trimmed means of accepted agents, audit rows)."""
-    coords = rows.select("pos").distinct()
-    valid = updates.validate_updates(rows, coords, config.max_parameters).where("reason is null").select("district_id", "agent_id")
-    kept = rows.join(valid, ["district_id", "agent_id"], "left_semi")
-    clipped = settle(updates.clip_updates(kept, config.clip))
-    plain = clipped.select("district_id", "agent_id", "pos", "value")
-    agents = plain.select("district_id", "agent_id").distinct()
-    chosen = settle(updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain), config.f, agents=agents), config.f))
-    accepted = plain.join(chosen.where("accepted").select("district_id", "agent_id"), ["district_id", "agent_id"], "left_semi")
-    norms = clipped.groupBy("district_id", "agent_id").agg(F.first("l2").alias("original_l2"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("clipped_l2"))
-    audit = chosen.withColumnRenamed("score", "krum_score").join(norms, ["district_id", "agent_id"]).join(meta, ["district_id", "agent_id"], "left")
-    return updates.masked_trimmed_mean(accepted, config.trim, coords), audit
+def district_deltas(rows: DataFrame, meta: DataFrame, config: RoundConfig, keys: tuple[str, ...] = updates.COHORT, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked trimmed means of accepted agents, audit rows) of each cohort.
+
+    ``places`` are the coordinates of the means: of all cohorts (pos), or of each (keys, pos).
+    """
+    coords = rows.select("pos").distinct() if places is None else places
+    each = [*keys, "agent_id"]
+    valid = updates.validate_updates(rows, coords, config.max_parameters, tuple(each)).where("reason is null").select(*each)
+    kept = rows.join(valid, each, "left_semi")
+    clipped = settle(updates.clip_updates(kept, config.clip, tuple(each)))
+    plain = clipped.select(*each, "pos", "value")
+    agents = plain.select(*each).distinct()
+    chosen = settle(updates.multi_krum(updates.krum_score(updates.pairwise_distance(plain, keys), config.f, keys, agents), config.f, keys=keys))
+    accepted = plain.join(chosen.where("accepted").select(*each), each, "left_semi")
+    norms = clipped.groupBy(*each).agg(F.first("l2").alias("original_l2"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("clipped_l2"))
+    audit = chosen.withColumnRenamed("score", "krum_score").join(norms, each).join(meta, each, "left")
+    return updates.masked_trimmed_mean(accepted, config.trim, coords, keys), audit
 
 
 def city_delta(districts: DataFrame, audit: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import random
 from pathlib import Path
 
 import pytest
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 
 from meterflow.operators import control, prepare, updates
 from meterflow.plans import etl
+from meterflow.plans.federated import RoundConfig, district_deltas
 from meterflow.sources import readers, writers
+from meterflow.sources.outbox import Outbox
 from meterflow.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -95,11 +99,13 @@ def _reports(folder):
 EVENTS = "household_id long, ts timestamp, event_id long, kwh double"
 
 
-def parts(spark, folder, rows, schema, n=3):
-    """n files of rows in order, as a stream that reads one a batch."""
-    for i in range(n):
-        piece = rows[i * len(rows) // n : (i + 1) * len(rows) // n]
+def parts(spark, folder, rows, schema, n=3, ends=None):
+    """n files of rows in order, as a stream that reads one a batch; ``ends`` is a last row that moves the watermark on."""
+    pieces = [rows[i * len(rows) // n : (i + 1) * len(rows) // n] for i in range(n)] + ([[ends]] if ends else [])
+    for i, piece in enumerate(pieces):
         spark.createDataFrame(piece, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        for f in Path(f"{folder}/in/{i}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
 
 
@@ -113,12 +119,33 @@ def readings(n=120):
     return [(i % 2, T0 + dt.timedelta(minutes=7 * i), i, 1.0 + (i % 5) * 0.01 + 8.0 * (i in (90, 101))) for i in range(n)]
 
 
-def test_stream_drift_equals_batch(spark, tmp_path):
+def mixed(rows, seed=1):
+    """The rows in any order, with readings that lack a value or a household."""
+    rows = [*rows, (0, T0 + dt.timedelta(minutes=1), 900, None), (1, T0 + dt.timedelta(minutes=2), 901, float("nan")), (None, T0, 902, 5.0)]
+    random.Random(seed).shuffle(rows)
+    return rows
+
+
+#: A row that has only a time, after all others; all rows are in time for a lateness of a day.
+END = (None, T0 + dt.timedelta(days=30), None, None)
+
+
+def test_stream_drift_equals_batch_in_any_order(spark, tmp_path):
+    rows = mixed(readings())
+    got = drained(jobs.stream_drift(parts(spark, tmp_path, rows, EVENTS, 5, END), "1 day"), tmp_path, "drift")
+    want = control.drift_flags(spark.createDataFrame(rows, EVENTS).where("household_id is not null"))
+    key = lambda d: sorted((r.household_id, r.ts, r.event_id, r.kwh, r.drift) for r in d.collect())
+    assert key(got) == key(want) and len(key(want)) == 120 and any(r[4] for r in key(want))
+
+
+def test_what_waits_is_released_as_the_watermark_moves(spark, tmp_path):
     rows = readings()
-    got = drained(jobs.stream_drift(parts(spark, tmp_path, rows, EVENTS)), tmp_path, "drift")
-    want = control.drift_flags(spark.createDataFrame(rows, EVENTS))
-    key = lambda d: sorted((r.event_id, r.drift) for r in d.collect())
-    assert key(got) == key(want) and any(d for _, d in key(want))
+    got = drained(jobs.stream_recent(parts(spark, tmp_path, rows, EVENTS, 5), "70 minutes"), tmp_path, "released").collect()
+    # Several releases a household, each once its rows can no longer be overtaken.
+    assert len(got) > 6 and max(r.ts for r in got) <= rows[-1][1] - dt.timedelta(minutes=70)
+    for h in (0, 1):
+        mine = sorted((r.ts, r.recent) for r in got if r.household_id == h)
+        assert all(recent == [r[3] for r in rows if r[0] == h and r[1] <= ts][-96:] for ts, recent in mine)
 
 
 def test_stream_resample_and_late_rows(spark, tmp_path):
@@ -128,17 +155,60 @@ def test_stream_resample_and_late_rows(spark, tmp_path):
     want = {(r.household_id, r.ts): round(r.kwh, 9) for r in prepare.resample_15min(plain).collect()}
     found = {(r.household_id, r.ts): round(r.kwh, 9) for r in got.collect()}
     assert found.items() <= want.items() and len(found) > len(want) - 8
-    now = spark.createDataFrame([(T0, T0), (T0, T0 + dt.timedelta(hours=3))], "ts timestamp, received_at timestamp")
-    fine, late = jobs.late_policy(now, "1 hour")
-    assert (fine.count(), late.count()) == (1, 1)
 
 
-def test_stream_cohort_fires_once(spark, tmp_path):
-    schema = "seq long, district_id long, agent_id long, round_id long, value double"
-    rows = [(1, 0, 1, 0, 1.0), (2, 0, 1, 0, 3.0), (3, 0, 2, 0, 5.0), (4, 0, 1, 0, 9.0), (5, 0, 1, 5, 9.0), (6, 0, 1, 1, 2.0), (7, 0, 2, 1, 4.0)]
-    got = drained(jobs.stream_cohort(parts(spark, tmp_path, rows, schema), 2), tmp_path, "cohort")
-    assert sorted((r.round_id, r.status, r.n, r.value) for r in got.collect() if r.value is not None) == [(0, "complete", 2, 4.0), (1, "complete", 2, 3.0)]
-    assert sorted((r.round_id, r.status) for r in got.collect() if r.value is None) == [(0, "stale"), (5, "future")]
+def test_late_rows_go_aside(spark, tmp_path):
+    rows = [(0, T0 + dt.timedelta(minutes=m), i, 1.0) for i, m in enumerate([0, 10, 5, 200, 130, 140, 150, 199, 400, 139, 340, 341, 399])] + [(0, None, 99, 1.0)]
+    query = lambda: jobs.late_policy(parts(spark, tmp_path, rows, EVENTS, 4) if not (tmp_path / "in").exists() else spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), "1 hour", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(180)
+    query()
+    top, want = None, {}
+    for i in range(4):
+        piece = rows[i * len(rows) // 4 : (i + 1) * len(rows) // 4]
+        for r in piece:
+            want[r[2]] = r[1] is None or (top is not None and r[1] <= top - dt.timedelta(hours=1))
+        top = max([*([top] if top else []), *[r[1] for r in piece if r[1]]])
+    read = lambda k: [r.event_id for r in spark.read.parquet(f"{tmp_path}/out/{k}").collect()]
+    assert {True, False} == set(want.values())
+    assert sorted(read("fine")) == sorted(k for k, late in want.items() if not late) and sorted(read("late")) == sorted(k for k, late in want.items() if late)
+    query()  # nothing new
+    assert len(read("fine")) + len(read("late")) == len(rows)
+
+
+UPLOADS = "district_id long, seq long, ts timestamp, agent_id long, round_id long, n_samples long, vector array<double>, mask array<boolean>"
+
+
+def upload(seq, agent, round_id, vector=(1.0,), district=0, mask=None, n=1):
+    return (district, seq, T0 + dt.timedelta(minutes=seq), agent, round_id, n, vector if vector is None else list(vector), mask)
+
+
+def cohort_rows(spark, folder, rows, agents, n=3):
+    expected = spark.createDataFrame([(0, a) for a in agents], "district_id long, agent_id long")
+    stream = parts(spark, folder, rows, UPLOADS, n, (None, None, T0 + dt.timedelta(days=30), None, None, None, None, None))
+    return jobs.stream_cohort(stream, expected, "1 hour", "30 minutes")
+
+
+def test_stream_cohort_closes_rounds(spark, tmp_path):
+    rows = [upload(1, 1, 0, [1.0]), upload(2, 1, 0, [3.0]), upload(3, 2, 0, [5.0], n=0), upload(4, 1, 0), upload(5, 1, 5), upload(6, 9, 1), upload(7, 2, 1, None), upload(8, 2, 1, []), upload(9, 2, 1, [7.0, 8.0], mask=[True, False], n=4), upload(400, 1, 2, [2.0]), upload(401, 1, 1), upload(402, 1, 0, district=7)]
+    got = drained(cohort_rows(spark, tmp_path, rows, [1, 2], 5), tmp_path, "cohort").collect()
+    assert sorted((r.district_id, r.round_id, r.status, r.agent_id) for r in got if r.status in ("stale", "future", "unknown", "invalid")) == [(0, 0, "stale", 1), (0, 1, "invalid", 2), (0, 1, "invalid", 2), (0, 1, "stale", 1), (0, 1, "unknown", 9), (0, 5, "future", 1), (7, 0, "unknown", 1)]
+    assert sorted((r.round_id, r.status, r.n, r.missing) for r in got if r.n) == [(0, "complete", 2, []), (1, "deadline", 1, [1]), (2, "deadline", 1, [2])]
+    assert sorted((r.round_id, r.agent_id, r.n_samples, r.vector, r.mask) for r in got if r.status == "upload") == [(0, 1, 1, [3.0], [True]), (0, 2, 1, [5.0], [True]), (1, 2, 4, [7.0, 8.0], [True, False]), (2, 1, 1, [2.0], [True])]
+
+
+def test_stream_rounds_aggregate_as_a_round_does(spark, tmp_path):
+    rng = random.Random(4)
+    rows, seq = [], 0
+    for k in range(2):
+        for a in range(7 if k == 0 else 3):
+            seq += 1
+            rows.append(upload(seq, a, k, [rng.gauss(0, 1) for _ in range(4)], mask=[a != p for p in range(4)], n=a + 1))
+    config = RoundConfig(clip=1.2)
+    jobs.stream_rounds(cohort_rows(spark, tmp_path, rows, range(7)), f"{tmp_path}/out", f"{tmp_path}/check", config).awaitTermination(180)
+    got = {(r.round_id, r.pos): (round(r.value, 12), r.contributed) for r in spark.read.parquet(f"{tmp_path}/out/deltas").collect()}
+    plain = spark.createDataFrame([(0, r[3], p, v) for r in rows if r[4] == 0 for p, (v, m) in enumerate(zip(r[6], r[7], strict=True)) if m], "district_id long, agent_id long, pos int, value double")
+    want, audit = district_deltas(plain, spark.createDataFrame([(0, a, a + 1) for a in range(7)], "district_id long, agent_id long, n_samples long"), config)
+    assert got == {(0, r.pos): (round(r.value, 12), r.contributed) for r in want.collect()}  # the second round has too few
+    assert {(r.agent_id, round(r.krum_score, 9), r.accepted) for r in spark.read.parquet(f"{tmp_path}/out/audit").collect()} == {(r.agent_id, round(r.krum_score, 9), r.accepted) for r in audit.collect()}
 
 
 def test_stream_convergence_equals_batch(spark, tmp_path):
@@ -150,26 +220,64 @@ def test_stream_convergence_equals_batch(spark, tmp_path):
     assert key(got) == key(want)
 
 
-def test_stream_patterns_recent_and_actions(spark, tmp_path):
-    schema = "agent_id long, ts timestamp, vector array<double>"
-    rows = [(1, T0 + dt.timedelta(minutes=i), [float(i)]) for i in range(10)]
-    (tmp_path / "p").mkdir()
-    got = drained(jobs.stream_patterns(parts(spark, tmp_path / "p", rows, schema), 4), tmp_path / "p", "patterns")
-    assert sorted((r.block, r.vector) for r in got.collect()) == [(0, [1.5]), (1, [5.5])]
-    (tmp_path / "r").mkdir()
-    recent = drained(jobs.stream_recent(parts(spark, tmp_path / "r", readings(300), EVENTS)), tmp_path / "r", "recent").collect()
-    assert max(len(r.recent) for r in recent) == 96 and any(r.warm for r in recent) and not all(r.warm for r in recent)
-    (tmp_path / "a").mkdir()
-    predicted = [(*r, 2.0) for r in readings(30)]
-    acts = drained(jobs.stream_actions(parts(spark, tmp_path / "a", predicted, EVENTS + ", predicted double")), tmp_path / "a", "acts").collect()
-    assert len(acts) == 30 and {r.capacity for r in acts} == {1.2} and {tuple(r.actions) for r in acts} == {("SHED_EV", "CURTAIL_HVAC")}
-
-
-def test_outbox_delivers_each_batch_once(spark, tmp_path):
-    stream = parts(spark, tmp_path, readings(30), EVENTS)
-    for _ in range(2):
-        jobs.stream_outbox(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
-    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 30
+def test_stream_patterns_and_their_pool(spark, tmp_path):
+    schema = "agent_id long, ts timestamp, event_id long, vector array<double>"
+    rows = [(1, T0 + dt.timedelta(minutes=i), i, [float(i), 1.0]) for i in range(18)]
+    random.Random(3).shuffle(rows)
+    stream = parts(spark, tmp_path, rows, schema, 5, (None, T0 + dt.timedelta(days=9), None, None))
+    got = drained(jobs.stream_patterns(stream, 4, 2, "1 day"), tmp_path, "patterns")
+    assert sorted((r.block, r.vector, r.replaces) for r in got.collect()) == [(0, [1.5, 1.0], None), (1, [5.5, 1.0], None), (2, [9.5, 1.0], 0), (3, [13.5, 1.0], 1)]
+    assert sorted(r.block for r in jobs.newest_patterns(spark.createDataFrame(got.collect(), got.schema)).collect()) == [2, 3]
+
+
+def test_stream_actions_equal_batch_in_any_order(spark, tmp_path):
+    rows = [(*r, None if r[2] is None or r[2] % 3 == 0 or r[2] < 9 else 2.0) for r in mixed(readings(420))]
+    schema = EVENTS + ", predicted double"
+    got = drained(jobs.stream_actions(parts(spark, tmp_path, rows, schema, 5, (*END, None)), "3 days"), tmp_path, "acts").collect()
+    batch = spark.createDataFrame(rows, schema).where("household_id is not null")
+    want = control.adaptive_capacity(batch, forecast="predicted").collect()
+    assert {r.event_id: r.capacity for r in got} == {r.event_id: r.capacity for r in want} and len(got) == len(want) == 420
+    assert {tuple(r.actions) for r in got if r.predicted is None} == {("MONITOR",)} and all(r.capacity is None for r in got if r.predicted is None)
+    assert len({r.capacity for r in got}) > 2
+
+
+def test_outbox_delivers_once_over_lost_checkpoints(spark, tmp_path):
+    schema = "round_id long, agent_id long, seq long, value double"
+    rows = [(i // 4 % 5, i % 4, i, float(i)) for i in range(36)] + [(None, 1, 99, 0.0)]
+    outbox = Outbox(f"{tmp_path}/out")
+    keys = lambda: sorted((r.round_id, r.agent_id) for r in outbox.read(spark, schema).collect())
+    assert keys() == []
+    for n in (3, 2):  # other batches, a checkpoint of its own
+        (tmp_path / f"s{n}").mkdir()
+        jobs.stream_outbox(parts(spark, tmp_path / f"s{n}", rows, schema, n), outbox, f"{tmp_path}/check{n}").awaitTermination(180)
+        assert keys() == sorted({(r[0], r[1]) for r in rows if r[0] is not None})
+    first = {(r.round_id, r.agent_id): r.seq for r in outbox.read(spark).collect()}
+    assert first[0, 0] == 0 and first[4, 3] == 19  # the first delivery of a key stays
+
+
+def test_outbox_ignores_what_was_not_committed(spark, tmp_path):
+    schema = "round_id long, agent_id long, seq long, value double"
+    outbox = Outbox(f"{tmp_path}/out")
+    spark.createDataFrame([(7, 7, 1, 0.0)], schema).write.parquet(f"{tmp_path}/out/data/lost")  # ended before its line
+    outbox.deliver(spark.createDataFrame([(1, 1, 1, 1.0), (1, 1, 2, 2.0), (9, 1, 1, 3.0)], schema))
+    outbox.deliver(spark.createDataFrame([(1, 1, 3, 4.0), (5, 5, 1, 5.0)], schema))
+    assert sorted((r.round_id, r.value) for r in outbox.read(spark).collect()) == [(1, 2.0), (5, 5.0), (9, 3.0)]
+    assert not outbox._commit(spark, 1, "elsewhere", "0", "0")  # the number is taken
+    assert [e["number"] for e in outbox.entries(spark)] == [0, 1]
+
+
+def test_weather_comes_as_a_stream_too(spark, tmp_path):
+    rows = [(*r, f"W{r[0]}") for r in readings(60)]
+    random.Random(5).shuffle(rows)
+    hours = [(f"W{w}", T0 + dt.timedelta(hours=h), 10.0 * w + h, None, None) for h in range(8) for w in (0, 1) if h % 3 != 1]
+    random.Random(6).shuffle(hours)
+    schema, weather = EVENTS + ", weather_id string", "weather_id string, ts timestamp, temperature double, humidity double, sunshine double"
+    for k in ("r", "w"):
+        (tmp_path / k).mkdir()
+    joined = jobs.stream_weather_join(parts(spark, tmp_path / "r", rows, schema, 4, (*END, None)), parts(spark, tmp_path / "w", hours, weather, 3, (None, END[1], None, None, None)), "1 day", "1 day")
+    got = sorted(((r.event_id, r.temperature) for r in drained(joined, tmp_path, "weathered").collect()), key=str)
+    want = sorted(((r[2], next((h[2] for h in hours if h[0] == r[4] and h[1] == r[1].replace(minute=0)), None)) for r in rows), key=str)
+    assert got == want and any(t is None for _, t in want)
 
 
 def test_sampling_job_writes_profiles_and_manifest(spark, tmp_path):
