@@ -29,9 +29,9 @@ def cluster_sizes(assignments: DataFrame, selected: DataFrame | None = None) ->
 
 
 def rank_in_cluster(assignments: DataFrame, seed: int = 0) -> DataFrame:
-    """A shuffled rank from 1 inside each cluster, by hash, the same on every run."""
+    """A shuffled rank from 0 inside each cluster, by hash, the same on every run."""
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("cluster").cast("string"), F.col(ID).cast("string")), 256)
-    return assignments.withColumn("rank_in_cluster", F.row_number().over(Window.partitionBy("cluster").orderBy(key, ID)))
+    return assignments.withColumn("rank_in_cluster", F.row_number().over(Window.partitionBy("cluster").orderBy(key, ID)) - 1)
 
 
 def balanced_select(assignments: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -43,7 +43,7 @@ def balanced_select(assignments: DataFrame, n: int, seed: int = 0) -> DataFrame:
     share = sizes.withColumns({"k": F.count("*").over(Window.partitionBy()), "i": F.row_number().over(Window.orderBy("cluster")) - 1})
     share = share.withColumn("share", F.floor(F.lit(n) / F.col("k")) + (F.col("i") < n % F.col("k")).cast("int")).select("cluster", "size", "share")
     ranked = rank_in_cluster(assignments, seed).join(F.broadcast(share), "cluster")
-    late = F.col("rank_in_cluster") > F.col("share")
+    late = F.col("rank_in_cluster") >= F.col("share")
     turn = F.when(late, F.col("rank_in_cluster") - F.least("share", "size")).otherwise(0)
     return ranked.orderBy(late, turn, -F.col("size"), "cluster", "rank_in_cluster").limit(n).select(ID, "cluster", "rank_in_cluster")
 
@@ -78,6 +78,18 @@ def assign_districts(cohort: DataFrame, k: int) -> DataFrame:
     return cohort.withColumn("district_id", F.concat(F.lit("D"), (r % k + 1).cast("string")))
 
 
+def alphabetical_cohort(ids: DataFrame, n: int, k: int) -> DataFrame:
+    """Without a cohort: the first n households in order of their id as text, dealt to k districts round robin.
+
+    An error if there are fewer.
+    """
+    name = F.col(ID).cast("string")
+    chosen = ids.select(ID).distinct().orderBy(name, ID).limit(n)
+    rank = F.row_number().over(Window.orderBy(name, ID)) - 1  # n rows at most
+    enough = F.assert_true(F.count("*").over(Window.partitionBy()) == n, F.lit(f"fewer than {n} households"))
+    return chosen.select(ID, F.lit(-1).alias("cluster"), rank.alias("rank"), F.concat(F.lit("D"), (rank % k + 1).cast("string")).alias("district_id"), enough.alias("enough")).where("enough is null").drop("enough")
+
+
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, prefix: str = "split") -> DataFrame:
     """in_val: the first 8 bytes of SHA-256 of ``prefix:seed:key`` lie under the fraction of 2**64.
 

@@ -149,45 +149,93 @@ def soc_trajectory(plan: DataFrame, cap: float, eff: float, soc0: float, keys: t
     return plan.withColumn("soc", soc).withColumn("in_bounds", F.col("soc").between(-eps, cap + eps)).withColumn("closed", F.abs(F.last("soc").over(whole) - soc0 * cap) <= eps)
 
 
-def battery_plan(load: np.ndarray, price: np.ndarray, cap: float, rate: float, eff: float, soc0: float, levels: int, peak_cap: float | None) -> tuple[str, np.ndarray, np.ndarray]:
-    """(status, charge, discharge) of the cheapest plan over a grid of charge levels that ends where it began."""
-    n, step = len(load), cap / levels
-    start = int(round(soc0 * levels))
+#: A convex piecewise linear function: where it starts, its value there, and (slope, length) pieces by slope.
+Convex = tuple[float, float, list[tuple[float, float]]]
+
+
+def _moves(load: float, price: float, rate: float, eff: float, peak_cap: float | None) -> Convex | None:
+    """The cost of moving the state of charge by x in a slot, or None if the cap cannot be kept."""
+    down = min(rate, load) / eff
+    up = rate * eff
+    if peak_cap is not None:
+        up = min(up, (peak_cap - load) * eff if load <= peak_cap else -(load - peak_cap) / eff)
+        if up < -down - 1e-12:
+            return None
+    up = max(up, -down)
+    pieces = [(price * eff, min(up, 0.0) + down), (price / eff, max(up, 0.0))]
+    return -down, price * (load - down * eff), [(m, n) for m, n in pieces if n > 0]
+
+
+def _added(f: Convex, g: Convex) -> Convex:
+    """The least f(x) + g(y) over x + y: the pieces of both, by slope, those of f first where they tie."""
+    return f[0] + g[0], f[1] + g[1], sorted([*f[2], *g[2]], key=lambda p: p[0])
+
+
+def _within(f: Convex, low: float, high: float) -> Convex | None:
+    """The function between two points."""
+    start, value, pieces = f
+    out: list[tuple[float, float]] = []
+    if start > high + 1e-9:
+        return None
+    skip = max(0.0, low - start)
+    room = high - max(start, low)
+    start = max(start, low)
+    for m, n in pieces:
+        cut = min(skip, n)
+        value, skip, n = value + m * cut, skip - cut, n - cut
+        n = min(n, room)
+        if n > 0:
+            out.append((m, n))
+            room -= n
+    return None if skip > 1e-9 else (start, value, out)
+
+
+def battery_plan(load: np.ndarray, price: np.ndarray, cap: float, rate: float, eff: float, soc0: float, peak_cap: float | None) -> tuple[str, np.ndarray, np.ndarray]:
+    """(status, charge, discharge) of the cheapest plan that ends where it began.
+
+    The least cost of each state of charge after a slot is convex and piecewise linear, so that one more
+    slot merges two pieces into those by slope: the plan is exact, without a grid.  It is read backwards: a
+    state's share of the slot's pieces is what the battery moved in it.  Of equally cheap plans the one that
+    moves late is taken.
+    """
+    n, none = len(load), np.zeros(len(load))
     if n == 0 or not np.isfinite(load).all() or (load < 0).any():
-        return ("empty" if n == 0 else "invalid"), np.zeros(n), np.zeros(n)
-    move = np.arange(levels + 1)[None, :] - np.arange(levels + 1)[:, None]  # from row to column
-    charge = np.where(move > 0, move * step / eff, 0.0)
-    discharge = np.where(move < 0, -move * step * eff, 0.0)
-    cost = np.full(levels + 1, np.inf)
-    cost[start] = 0.0
-    back = np.zeros((n, levels + 1), dtype=np.int32)
+        return ("empty" if n == 0 else "invalid"), none, none
+    begin = soc0 * cap
+    states: list[Convex] = [(begin, 0.0, [])]
+    moves: list[Convex] = []
     for i in range(n):
-        net = load[i] + charge - discharge
-        ok = (charge <= rate + 1e-9) & (discharge <= min(rate, load[i]) + 1e-9)
-        if peak_cap is not None:
-            ok &= net <= peak_cap + 1e-9
-        total = np.where(ok, cost[:, None] + price[i] * net, np.inf)
-        back[i] = total.argmin(axis=0)
-        cost = total[back[i], np.arange(levels + 1)]
-    if not np.isfinite(cost[start]):
-        return "infeasible", np.zeros(n), np.zeros(n)
-    level, path = start, []
+        step = _moves(float(load[i]), float(price[i]), rate, eff, peak_cap)
+        after = step and _within(_added(states[-1], step), 0.0, cap)
+        if not after:
+            return "infeasible", none, none
+        moves.append(step)
+        states.append(after)
+    start, _, pieces = states[-1]
+    if not start - 1e-9 <= begin <= start + sum(p[1] for p in pieces) + 1e-9:
+        return "infeasible", none, none
+    moved, now = np.zeros(n), begin
     for i in range(n - 1, -1, -1):
-        before = int(back[i, level])
-        path.append((before, level))
-        level = before
-    path.reverse()
-    a, b = np.array([p[0] for p in path]), np.array([p[1] for p in path])
-    return "optimal", charge[a, b], discharge[a, b]
-
-
-def schedule_job(forecasts: DataFrame, capacity: float = 10.0, rate: float = 2.5, eff: float = 0.95, soc0: float = 0.5, levels: int = 20, peak_cap: float | None = None) -> DataFrame:
+        before, step = states[i], moves[i]
+        left, x = now - before[0] - step[0], step[0]
+        tagged = sorted([(m, 0, k) for m, k in before[2]] + [(m, 1, k) for m, k in step[2]])
+        for _, own, k in tagged:
+            take = min(k, max(left, 0.0))
+            left -= take
+            x += take * own
+        moved[i], now = x, now - x
+    return "optimal", np.maximum(moved, 0.0) / eff, np.maximum(-moved, 0.0) * eff
+
+
+def schedule_job(forecasts: DataFrame, capacity: float = 10.0, rate: float = 2.0, eff: float = 0.95, soc0: float = 0.5, peak_cap: float | None = None) -> DataFrame:
     """A battery plan per household and day; groups are one day's slots, so bounded."""
+    if capacity <= 0 or rate <= 0 or not 0 <= soc0 <= 1 or not 0 < eff <= 1:
+        raise ValueError("capacity and rate must be positive, the first charge in [0, 1], the efficiency in (0, 1]")
     priced = forecasts.select(ID, "day", "slot", F.col("kwh").cast("double").alias("kwh"), tariff_band("slot").alias("price"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("slot")
-        status, charge, discharge = battery_plan(rows["kwh"].to_numpy(), rows["price"].to_numpy(), capacity, rate, eff, soc0, levels, peak_cap)
+        status, charge, discharge = battery_plan(rows["kwh"].to_numpy(), rows["price"].to_numpy(), capacity, rate, eff, soc0, peak_cap)
         return rows.assign(status=status, charge=charge, discharge=discharge)
 
     kinds = dict(priced.dtypes)

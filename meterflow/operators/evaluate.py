@@ -91,17 +91,26 @@ def horizon_kl(f: DataFrame, temperature: float = 2.0, alpha: float = 0.5) -> Da
     return total.withColumn("total_loss", (1 - alpha) * F.col("task_loss") + alpha * F.col("kl_loss"))
 
 
+#: Quantiles of past errors that intervals are drawn from.
+QUANTILES = 1001
+
+
 def predict_intervals(f: DataFrame, residuals: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
     """Mean and population deviation of n replicas, each the forecast plus a residual drawn by hash.
 
-    ``residuals`` (i, residual) holds past errors numbered from 0, as many as there are.
+    ``residuals`` (residual) holds past errors; draws are from QUANTILES of them, a bounded row that goes with
+    the plan, so that forecasts are neither copied nor shuffled.
     """
-    size = residuals.count()
-    if size == 0:
+    grid = [i / (QUANTILES - 1) for i in range(QUANTILES)]
+    known = residuals.agg(F.percentile_approx("residual", grid, 100 * QUANTILES)).first()[0]
+    if not known:
         return f.withColumns({"mean": F.col("yhat"), "std": F.lit(0.0)})
-    each = f.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "household_id", "ts", "replica"), F.lit(size)))
-    drawn = each.join(residuals, "i").withColumn("draw", F.col("yhat") + F.col("residual"))
-    return drawn.groupBy("household_id", "ts", "yhat").agg(F.avg("draw").alias("mean"), F.stddev_pop("draw").alias("std"))
+    table = F.array(*[F.lit(float(x)) for x in known])
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("yhat") + F.element_at(table, (F.pmod(F.xxhash64(F.lit(seed), "household_id", "ts", k), F.lit(QUANTILES)) + 1).cast("int")))
+    add = lambda s, x: s + x
+    drawn = f.select("household_id", "ts", "yhat", draws.alias("draws")).withColumn("mean", F.aggregate("draws", F.lit(0.0), add) / n)
+    spread = F.aggregate(F.transform("draws", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), add)
+    return drawn.select("household_id", "ts", "yhat", "mean", F.sqrt(spread / n).alias("std"))
 
 
 def evaluation_job(f: DataFrame, threshold: float, weight: float = 3.0, lam: float = 0.25) -> DataFrame:

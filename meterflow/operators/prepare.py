@@ -172,11 +172,28 @@ def winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy:
     return source.groupBy(HOUSEHOLD).agg(q.alias("q")).select(HOUSEHOLD, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
+#: Size of a quantile sketch: the rank of a quantile is off by 0.08 % at most, with 99 % confidence.
+SKETCH = 4096
+
+
+def quantile_sketches(df: DataFrame, k: int = SKETCH) -> DataFrame:
+    """(household_id, sketch): a KLL sketch of each household's finite values, of a few kilobytes however many there are."""
+    return df.where(finite("kwh").isNotNull()).groupBy(HOUSEHOLD).agg(F.kll_sketch_agg_double("kwh", k).alias("sketch"))
+
+
+def merge_sketches(*tables: DataFrame) -> DataFrame:
+    """The sketches of all values that any of the tables has seen: a day's are added without its history."""
+    return reduce(DataFrame.unionByName, tables).groupBy(HOUSEHOLD).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_bounds(sketches: DataFrame, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
+    """Quantiles of each household from its sketch."""
+    return sketches.select(HOUSEHOLD, *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(k) for k, q in (("lo", lo), ("hi", hi))])
+
+
 def with_winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy: int = 10000) -> DataFrame:
-    """The rows with their own household's bounds, from one pass over its partition."""
-    whole = Window.partitionBy(HOUSEHOLD)
-    q = F.percentile_approx("kwh", [lo, hi], accuracy).over(whole)
-    return df.withColumn("q", q).withColumns({"lo": F.col("q")[0], "hi": F.col("q")[1]}).drop("q")
+    """The rows with their own household's bounds; the rows should be settled, as they are read twice."""
+    return quantile_join(df, winsor_bounds(df, lo, hi, accuracy))
 
 
 def winsor_exact(df: DataFrame, lo: float = 0.001, hi: float = 0.999, min_n: int = 10) -> DataFrame:

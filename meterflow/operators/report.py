@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,15 +92,24 @@ def latest_run(runs: DataFrame, keys: tuple[str, ...] = ("run_group",)) -> DataF
     return runs.groupBy(*keys).agg(F.max_by(F.struct("run_id", when.alias("finished_at")), F.struct(when, F.col("run_id"))).alias("last")).select(*keys, "last.*")
 
 
-def sweep_table(spark: SparkSession, configs: list[dict], runner: Callable[[dict], dict]) -> DataFrame:
-    """One row per configuration; a failed one keeps its status and error."""
-    rows = []
-    for i, config in enumerate(configs):
+def sweep_table(spark: SparkSession, configs: list[dict], runner: Callable[[dict], DataFrame], at_once: int = 4) -> DataFrame:
+    """(i, config, status, error, seconds, figures): one row for each configuration; a failed one, whatever it failed of, keeps its error.
+
+    The runner gives a frame of one row of figures for a configuration; Spark computes some of them at
+    once, so that the cluster is not idle while one of them ends.  Only figures come to the driver.
+    """
+    def one(numbered: tuple[int, dict]) -> tuple:
+        i, config = numbered
+        began = time.monotonic()
         try:
-            rows.append((i, str(config), "ok", None, {k: float(v) for k, v in runner(config).items()}))
-        except (ValueError, ArithmeticError) as error:
-            rows.append((i, str(config), "failed", str(error)[:500], None))
-    return spark.createDataFrame(rows, "i int, config string, status string, error string, figures map<string,double>")
+            row = runner(config).first()
+            return i, json.dumps(config, sort_keys=True, default=str), "ok", None, time.monotonic() - began, {k: float(v) for k, v in row.asDict().items() if v is not None}
+        except Exception as error:  # noqa: BLE001  (the sweep goes on)
+            return i, json.dumps(config, sort_keys=True, default=str), "failed", f"{type(error).__name__}: {error}"[:500], time.monotonic() - began, None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), enumerate(configs)))
+    return spark.createDataFrame(rows, "i int, config string, status string, error string, seconds double, figures map<string,double>")
 
 
 def json_encode_nested(df: DataFrame) -> DataFrame:

@@ -50,11 +50,16 @@ def topk_sparsify(updates: DataFrame, ratio: float, keys: tuple[str, ...] = AGEN
     return updates.withColumn("kept", rank <= k)
 
 
+def with_residuals(updates: DataFrame, residuals: DataFrame, keys: tuple[str, ...] = AGENT) -> DataFrame:
+    """The updates plus what was held back before."""
+    on = [*keys, "pos"]
+    both = updates.select(*on, "value").join(residuals.select(*on, F.col("value").alias("rest")), on, "full")
+    return both.select(*on, (F.coalesce("value", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))).alias("value"))
+
+
 def error_feedback(updates: DataFrame, residuals: DataFrame, ratio: float, keys: tuple[str, ...] = AGENT) -> tuple[DataFrame, DataFrame]:
     """(sent, new residuals): last round's residual is added before the largest values are sent."""
-    on = [*keys, "pos"]
-    total = updates.join(residuals.withColumnRenamed("value", "rest"), on, "full").select(*on, (F.coalesce("value", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))).alias("value"))
-    marked = topk_sparsify(total, ratio, keys)
+    marked = topk_sparsify(with_residuals(updates, residuals, keys), ratio, keys)
     return marked.where("kept").drop("kept"), marked.where("not kept").drop("kept")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterflow.operators import cohort, prepare
+from meterflow.plans.lineage import settle
 from meterflow.sources import readers, writers
 
 #: The order of the features, the target first.
@@ -25,32 +26,31 @@ def filled(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest
     return prepare.fill_defaults(prepare.causal_impute(joined), dict.fromkeys(prepare.WEATHER, 0.0))
 
 
-def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """One row per household and slot with all features; the windows by household share one sort."""
-    bounded = prepare.clip_bounds(prepare.with_winsor_bounds(filled(meter, households, weather, manifest)), "kwh", "lo", "hi")
+def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """One row per household and slot with all features; the windows by household share one sort.
+
+    Winsorising bounds are those of the whole series, or are given (household_id, lo, hi).  For the former the
+    filled rows are settled: bounds are summed up from them and joined, so that no household is held in memory.
+    """
+    rows = filled(meter, households, weather, manifest)
+    cut = prepare.with_winsor_bounds(settle(rows)) if bounds is None else prepare.quantile_join(rows, bounds)
+    bounded = prepare.clip_bounds(cut, "kwh", "lo", "hi")
     return prepare.rolling_features(prepare.lag_features(prepare.calendar_features(bounded))).select(prepare.HOUSEHOLD, "weather_id", "ts", *EXTENDED)
 
 
 def etl_job(spark: SparkSession, meter: str, weather: str, households: str, root: str, run_id: str, tz: str = "UTC", manifest: str | None = None) -> str:
     """Reads the files, builds features, refuses rows that are not finite, publishes a version; its folder."""
     chosen = readers.read_manifest(spark, manifest) if manifest else None
-    made = features(readers.read_meter(spark, meter, tz), readers.read_households(spark, households), readers.read_weather(spark, weather, tz), chosen).persist()
-    try:
-        return writers.publish_version(prepare.finite_gate(made, EXTENDED), root, run_id)
-    finally:
-        made.unpersist()
+    made = settle(features(readers.read_meter(spark, meter, tz), readers.read_households(spark, households), readers.read_weather(spark, weather, tz), chosen))
+    return writers.publish_version(prepare.finite_gate(made, EXTENDED), root, run_id)
 
 
 def sampling_job(spark: SparkSession, meter: DataFrame, n: int, k: int, seed: int, out: str) -> DataFrame:
     """Profiles, clusters and a balanced cohort; writes the profiles and the manifest."""
     from meterflow.plans.learn import adaptive_k
 
-    profiles = cohort.household_profile(meter).persist()
-    try:
-        assigned = adaptive_k(profiles, k, seed)
-        chosen = cohort.balanced_select(assigned, n, seed)
-        assigned.write.mode("overwrite").parquet(f"{out}/profiles")
-        writers.write_manifest(chosen, f"{out}/manifest")
-        return chosen
-    finally:
-        profiles.unpersist()
+    assigned = adaptive_k(settle(cohort.household_profile(meter)), k, seed)
+    assigned.write.mode("overwrite").parquet(f"{out}/profiles")
+    chosen = cohort.balanced_select(spark.read.parquet(f"{out}/profiles"), n, seed)
+    writers.write_manifest(chosen, f"{out}/manifest")
+    return chosen

@@ -77,17 +77,40 @@ def federated_round(rows: DataFrame, meta: DataFrame, w: DataFrame, config: Roun
     return RoundResult(new, delta, audit, gate)
 
 
-def federated_run(w: DataFrame, meta: DataFrame, make_updates: Callable[[DataFrame, int], DataFrame], path: str, rounds: int, eps: float, patience: int, config: RoundConfig | None = None, start: int = 1) -> DataFrame:
+def with_feedback(rows: DataFrame, residuals: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(sent, residuals after): agents of this round send the largest values with what they held back before.
+
+    An agent that sends nothing in this round keeps its residual.
+    """
+    agent = list(updates.AGENT)
+    present = rows.select(*agent).distinct()
+    total = updates.with_residuals(rows, residuals.join(present, agent, "left_semi"))
+    marked = settle(updates.topk_sparsify(total, ratio))
+    idle = residuals.join(present, agent, "left_anti")
+    return marked.where("kept").drop("kept"), marked.where("not kept").drop("kept").unionByName(idle)
+
+
+def federated_run(w: DataFrame, meta: DataFrame, make_updates: Callable[[DataFrame, int], DataFrame], path: str, rounds: int, eps: float, patience: int, config: RoundConfig | None = None, start: int = 1, ratio: float | None = None) -> DataFrame:
     """Rounds until converged; each round's weights are written and read again, so that plans stay short.
 
-    Returns (round_id, drift, accepted), one row per round.
+    With a ratio, updates are cut to their largest values, and what is held back is kept by agent and
+    coordinate in path/residuals, a version for each round beside its weights.  A run that starts at a later
+    round goes on from the weights and residuals of the round before, as they are on disk (``w`` is then
+    not used).  Returns (round_id, drift, accepted), one row per round.
     """
     spark = w.sparkSession
-    writers.checkpoint_round(w, path, start - 1)
+    if start == 1:
+        writers.checkpoint_round(w, path, 0)
+        if ratio is not None:
+            writers.checkpoint_round(spark.createDataFrame([], "district_id bigint, agent_id bigint, pos int, value double"), f"{path}/residuals", 0)
     log, stable = [], 0
     for i in range(start, start + rounds):
         now = writers.resume_round(spark, path, i)
-        result = federated_round(make_updates(now, i), meta, now, config)
+        rows = make_updates(now, i)
+        if ratio is not None:
+            rows, after = with_feedback(rows, writers.resume_round(spark, f"{path}/residuals", i), ratio)
+            writers.checkpoint_round(after, f"{path}/residuals", i)
+        result = federated_round(rows, meta, now, config)
         writers.checkpoint_round(result.weights, path, i)
         drift = updates.state_drift(now, writers.resume_round(spark, path, i + 1)).first()["drift"]
         log.append((i, float(drift or 0.0), bool(result.gate.first()["accepted"])))
@@ -98,7 +121,15 @@ def federated_run(w: DataFrame, meta: DataFrame, make_updates: Callable[[DataFra
 
 
 def epsilon_ledger(events: DataFrame, delta: float = 1e-5, budget: float | None = None, key: str = "agent_id") -> DataFrame:
-    """Epsilon spent per agent by basic composition; events without noise spend nothing, and a sound one has a rate in (0, 1]."""
+    """Epsilon spent per agent by basic composition; events without noise spend nothing.
+
+    Delta must lie in (0, 1), and the ``sample_rate`` of each event, where there is one, in (0, 1].
+    """
+    if not 0 < delta < 1:
+        raise ValueError("delta must be in (0, 1)")
+    if "sample_rate" in events.columns:
+        sound = F.coalesce((F.col("sample_rate") > 0) & (F.col("sample_rate") <= 1), F.lit(False))
+        events = events.where(F.assert_true(sound, F.lit("sample_rate must be in (0, 1]")).isNull())
     spent = events.where("sigma > 0").groupBy(key).agg(F.count("*").alias("n_events"), (F.sum(1 / F.col("sigma")) * F.sqrt(2 * F.log(1.25 * F.count("*") / delta))).alias("epsilon"))
     out = events.select(key).distinct().join(spent, key, "left").fillna({"n_events": 0, "epsilon": 0.0})
     return out if budget is None else out.withColumn("within_budget", F.col("epsilon") <= budget)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.operators import prepare, report, updates
-from meterflow.plans import etl
+from meterflow.plans import etl, increments
 from meterflow.plans import views as v
 from meterflow.plans.lineage import settle, shared_folder
 from meterflow.plans.queries import _COHORT, _SQL, _audit, _picked, _r, query
@@ -69,6 +69,49 @@ def read_features(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_features(spark, _stored(spark, d), ["1", "2", "3"], ["household_id", "weather_id", "ts", "kwh"])
 
 
+@query(_STORED)
+def write_features(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    writers.write_features(v.slots(spark, d).where("weather_id is not null").withColumn("household_id", F.col("household_id").cast("string")), path)
+    return readers.read_features(spark, path)
+
+
+@query(f"select * from ({_STORED}) where household_id in ('1', '2', '3')")
+def read_zones(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    writers.write_features(v.slots(spark, d).where("weather_id is not null").withColumn("household_id", F.col("household_id").cast("string")), path)
+    return readers.read_features(spark, path, ["1", "2", "3"], ["household_id", "weather_id", "ts", "kwh"])
+
+
+@query()
+def etl_increments(spark: SparkSession, d: str) -> DataFrame:
+    """The readings in three runs, one after the other."""
+    root, meter = _folder(spark), v.meter(spark, d)
+    low, high = meter.agg(F.min("ts"), F.max("ts")).first()
+    filled = etl.filled(meter, v.households(spark, d), v.weather(spark, d))
+    bounds = settle(prepare.winsor_bounds(filled))
+    third = (high - low) / 3
+    cuts = [(low + k * third).replace(minute=0, second=0, microsecond=0) for k in (1, 2)]
+    for k, (a, b) in enumerate(zip([low, *cuts], [*cuts, high + third], strict=True)):
+        part = meter.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
+        increments.add_increment(root, f"run-{k}", part, v.households(spark, d), v.weather(spark, d), bounds)
+    return increments.read_increments(spark, root)
+
+
+_SQL["etl_increments"] = _SQL["etl_job"]
+
+
+@query("select household_id, true as lo_near, true as hi_near from imputed group by 1")
+def winsor_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of two halves, merged: the ranks of their quantiles in the whole series are near the ones asked for."""
+    rows = v.imputed(spark, d).where("kwh is not null")
+    halves = [prepare.quantile_sketches(rows.where(F.pmod(F.xxhash64("ts"), F.lit(2)) == k)) for k in (0, 1)]
+    bounds = prepare.sketch_bounds(prepare.merge_sketches(*halves))
+    ranked = rows.join(bounds, "household_id").groupBy("household_id").agg(*[x.alias(n) for k in ("lo", "hi") for n, x in ((f"{k}_below", F.avg((F.col("kwh") < F.col(k)).cast("double"))), (f"{k}_to", F.avg((F.col("kwh") <= F.col(k)).cast("double"))))])
+    near = lambda k, q: (F.col(f"{k}_below") <= q + 0.002) & (F.col(f"{k}_to") >= q - 0.002)
+    return ranked.select("household_id", near("lo", 0.001).alias("lo_near"), near("hi", 0.999).alias("hi_near"))
+
+
 @query("select distinct weather_id from slots where weather_id is not null")
 def discover_partitions(spark: SparkSession, d: str) -> DataFrame:
     return readers.discover_partitions(spark, _stored(spark, d), "weather_id")
@@ -115,12 +158,20 @@ def finite_gate(spark: SparkSession, d: str) -> DataFrame:
     return prepare.finite_gate(e.select("event_id", "value"), ["value"])
 
 
-@query("select count(*) as n, count(*) filter (kwh is null) as n_null from grid")
+_DQ = [("n_files", "(select count(distinct weather_id) from slots where weather_id is not null)"), ("grid_rows", "count(*)"), ("grid_households", "count(distinct household_id)"), ("grid_null_kwh", "count(*) filter (kwh is null)"), ("null_ratio", "round(count(*) filter (kwh is null) / greatest(count(*), 1), 6)")]
+
+
+@query("select " + ", ".join(f"{sql} as {name}" for name, sql in _DQ) + ", true as same_table from grid")
 def dq_report(spark: SparkSession, d: str) -> DataFrame:
-    counts = prepare.dq_counts({"grid": v.grid(spark, d)})
-    text = report.dq_report(counts, counts.select((F.col("grid_null_kwh") / F.greatest("grid_rows", F.lit(1))).alias("null_ratio")), counts.select("grid_households"))
-    kept = spark.createDataFrame([(text["json"],)], "j string").select(F.from_json("j", "grid_rows long, grid_null_kwh long").alias("r"))
-    return kept.select(F.col("r.grid_rows").alias("n"), F.col("r.grid_null_kwh").alias("n_null"))
+    """The report's JSON, and whether its Markdown has the same measures and values."""
+    counts = settle(prepare.dq_counts({"grid": v.grid(spark, d)}))
+    ratios = counts.select(F.round(F.col("grid_null_kwh") / F.greatest("grid_rows", F.lit(1)), 6).alias("null_ratio"))
+    layout = readers.layout_stats(spark, _stored(spark, d)).select("n_files")
+    text = report.dq_report(counts, ratios, layout)
+    kept = spark.createDataFrame([(text["json"],)], "j string").select(F.from_json("j", "grid_rows long, grid_households long, grid_null_kwh long, null_ratio double, n_files long").alias("r")).select("r.*")
+    cells = {m: x for m, x in (line.strip("| ").split(" | ") for line in text["markdown"].splitlines()[2:])}
+    first = kept.first().asDict()
+    return kept.withColumn("same_table", F.lit(cells == {k: str(x) for k, x in first.items()}))
 
 
 @query("select district_id, agent_id, n, case when agent_id % 6 = 5 then 'empty' when agent_id % 6 = 1 then 'mask_mismatch' end as reason from (select district_id, agent_id, case when agent_id % 6 = 5 then 0 else c end as n from (select district_id, agent_id, count(*) as c from updates group by 1, 2))")
@@ -140,3 +191,29 @@ def state_schema_hash(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select household_id, ts, {_r('kwh', 'kwh')} from imputed")
 def sampling_input(spark: SparkSession, d: str) -> DataFrame:
     return etl.filled(v.meter(spark, d), v.households(spark, d), v.weather(spark, d)).select("household_id", "ts", "kwh")
+
+
+@query("select agent_id, 1 + agent_id % 3 as n, '[' || agent_id || ',' || (agent_id % 3) || ']' as pair from client_meta where agent_id % 50 = 0")
+def append_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A program's own rows, a few for each fiftieth agent, with a nested value."""
+    path = _folder(spark)
+    ids = [r["agent_id"] for r in v.client_meta(spark, d).where("agent_id % 50 = 0").select("agent_id").collect()]
+    writers.append_rows(spark, [{"agent_id": i, "n": 1 + i % 3, "pair": [i, i % 3]} for i in ids], path, "agent_id bigint, n bigint, pair array<bigint>")
+    return spark.read.parquet(path)
+
+
+@query(f"select agent_id, n_samples, {_r('l2', 'loss')} from norms join client_meta using (district_id, agent_id)")
+def read_metric_json(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of all agents as JSON files, a broken one among them."""
+    path = _folder(spark)
+    known = updates.l2_norm(v.updates(spark, d)).join(v.client_meta(spark, d), ["district_id", "agent_id"]).select("agent_id", "n_samples", F.col("l2").alias("loss"))
+    known.groupBy("agent_id").agg(F.to_json(F.first(F.struct("*"))).alias("value")).select("value").write.text(f"{path}/good")
+    spark.createDataFrame([("{broken",)], "value string").write.text(f"{path}/bad")
+    return readers.read_metric_json(spark, f"{path}/*", "agent_id bigint, n_samples bigint, loss double", many=True)
+
+
+@query()
+def sampling_job(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    etl.sampling_job(spark, v.meter(spark, d), 12, 3, 1, path)
+    return readers.read_manifest(spark, f"{path}/manifest")

@@ -17,7 +17,7 @@ from meterflow.functions import columns
 from meterflow.operators import cohort, control, evaluate, memory, prepare, report, sequence, updates
 from meterflow.plans import etl, federated, learn
 from meterflow.plans import views as v
-from meterflow.plans.lineage import shared_folder
+from meterflow.plans.lineage import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -308,9 +308,9 @@ def household_profile(spark: SparkSession, d: str) -> DataFrame:
     return cohort.household_profile(v.grid(spark, d))
 
 
-_RANKED = "select *, row_number() over (partition by cluster order by sha256('7:' || cluster || ':' || household_id), household_id) as rank_in_cluster from assignments"
+_RANKED = "select *, row_number() over (partition by cluster order by sha256('7:' || cluster || ':' || household_id), household_id) - 1 as rank_in_cluster from assignments"
 _SHARES = "select cluster, count(*) as size, 25 // count(*) over () + (row_number() over (order by cluster) - 1 < 25 % count(*) over ())::int as share from assignments group by cluster"
-_PICKED = "select household_id, cluster, rank_in_cluster from ranked join shares using (cluster) order by rank_in_cluster > share, case when rank_in_cluster > share then rank_in_cluster - least(share, size) else 0 end, -size, cluster, rank_in_cluster limit 25"
+_PICKED = "select household_id, cluster, rank_in_cluster from ranked join shares using (cluster) order by rank_in_cluster >= share, case when rank_in_cluster >= share then rank_in_cluster - least(share, size) else 0 end, -size, cluster, rank_in_cluster limit 25"
 _COHORT = {"ranked": _RANKED, "shares": _SHARES, "picked": _PICKED}
 
 
@@ -357,9 +357,16 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d)
 
 
-@query("select a.household_id from splits a join splits b on a.household_id = b.household_id and a.split < b.split", more=_SPLIT)
+@query("select household_id from splits where household_id % 3 = 0 and splits.split <> 'val'", more=_SPLIT)
 def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.split_disjointness(_split(spark, d))
+    """A split to which a third of its households was added again, for validation."""
+    split = _split(spark, d)
+    return cohort.split_disjointness(split.unionByName(split.where("household_id % 3 = 0").withColumn("split", F.lit("val"))))
+
+
+@query("select household_id, -1 as cluster, row_number() over (order by household_id::varchar) - 1 as rank, 'D' || ((row_number() over (order by household_id::varchar) - 1) % 4 + 1) as district_id from (select distinct household_id from meter) order by household_id::varchar limit 12")
+def alphabetical_cohort(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.alphabetical_cohort(v.meter(spark, d), 12, 4)
 
 
 @query("select household_id from assignments except select household_id from picked", more=_COHORT)
@@ -728,10 +735,10 @@ def stale_upload_reject(spark: SparkSession, d: str) -> DataFrame:
     return updates.stale_upload_reject(u, u.select("district_id").distinct().withColumn("round_id", F.col("district_id") % 4))
 
 
-@query("select distinct district_id, agent_id from uploads except select distinct district_id, agent_id from uploads where round_id = 1")
+@query("select distinct district_id, agent_id from uploads except select distinct district_id, agent_id from uploads where seq % 97 = 0")
 def missing_pairs(spark: SparkSession, d: str) -> DataFrame:
     u = v.uploads(spark, d)
-    return updates.missing_pairs(u, u.where("round_id = 1"))
+    return updates.missing_pairs(u, u.where("seq % 97 = 0"))
 
 
 @query("select round_id, agent_id, max(seq) as seq, round(arg_max(value, seq), 6) as value from uploads group by 1, 2")
@@ -759,7 +766,32 @@ def federated_round(spark: SparkSession, d: str) -> DataFrame:
     return _long_pos(federated.federated_round(v.updates(spark, d), v.client_meta(spark, d), v.global_w(spark, d)).weights)
 
 
-@query(None)
+def _run_sql(rounds: int, ratio: float) -> dict[str, str]:
+    """The inputs of each round, after those of the one before."""
+    out = {"w_0": "select pos, value from global_w", "rest_0": "select district_id, agent_id, pos, value from updates where false"}
+    for i in range(1, rounds + 1):
+        out |= {
+            f"total_{i}": f"select district_id, agent_id, pos, coalesce(s.value, 0) + coalesce(r.value, 0) as value from (select district_id, agent_id, pos, (u.value - w.value) / {2**i} as value from updates u join w_{i - 1} w using (pos)) s full join rest_{i - 1} r using (district_id, agent_id, pos)",
+            f"marked_{i}": f"select *, row_number() over (partition by district_id, agent_id order by abs(value) desc, pos) <= greatest(1, floor(count(*) over (partition by district_id, agent_id) * {ratio})) as kept from total_{i}",
+            f"rest_{i}": f"select district_id, agent_id, pos, value from marked_{i} where not kept",
+            f"sent_{i}": f"select district_id, agent_id, pos, value * (case when l2 > 1 then 1 / l2 else 1.0 end) as value from marked_{i} join (select district_id, agent_id, sqrt(sum(value * value)) as l2 from marked_{i} where kept group by all) using (district_id, agent_id) where kept",
+            f"full_{i}": f"select district_id, agent_id, pos, coalesce(s.value, 0) as value from (select district_id, agent_id, unnest(range(0, 64)) as pos from client_meta) left join sent_{i} s using (district_id, agent_id, pos)",
+            f"far_{i}": f"select x.district_id, x.agent_id as a, y.agent_id as b, sum((x.value - y.value) ** 2) as distance from full_{i} x join full_{i} y on x.district_id = y.district_id and x.pos = y.pos and x.agent_id <> y.agent_id group by all",
+            f"scored_{i}": f"select district_id, a as agent_id, sum(distance) as score from (select *, row_number() over (partition by district_id, a order by distance, b) as r, count(*) over (partition by district_id, a) + 1 as n from far_{i}) where r <= n - 3 group by all",
+            f"taken_{i}": f"select district_id, agent_id from (select *, row_number() over (partition by district_id order by score, agent_id) as r, count(*) over (partition by district_id) as n from scored_{i}) where r <= n - 1",
+            f"held_{i}": f"select * from sent_{i} join taken_{i} using (district_id, agent_id)",
+            f"mean_{i}": _TRIM.format(f"held_{i}"),
+            f"city_{i}": f"select pos, sum(m * n) / sum(n) as value from mean_{i} join weights using (district_id) group by 1",
+            f"gate_{i}": f"select not (select sqrt(sum(value ** 2)) from city_{i}) / (select sqrt(sum(value ** 2)) from w_{i - 1}) > 0.25 as accepted",
+            f"w_{i}": f"select pos, w.value + case when accepted then coalesce(c.value, 0) else 0 end as value from w_{i - 1} w left join city_{i} c using (pos), gate_{i}",
+        }
+    return out
+
+
+@query(
+    " union all ".join(f"select {i} as round_id, {_r(f'(select sqrt(sum((a.value - b.value) ** 2)) from w_{i} a join w_{i - 1} b using (pos))', 'drift')}, accepted from gate_{i}" for i in (1, 2, 3)),
+    more={"weights": _FED["weights"]} | _run_sql(3, 0.1),
+)
 def federated_run(spark: SparkSession, d: str) -> DataFrame:
     w = v.global_w(spark, d)
     rows = v.updates(spark, d)
@@ -770,7 +802,23 @@ def federated_run(spark: SparkSession, d: str) -> DataFrame:
         return rows.join(old, "pos").select("district_id", "agent_id", "pos", ((F.col("value") - F.col("old")) / 2**round_id).alias("value"))
 
     folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-    return federated.federated_run(w, v.client_meta(spark, d), sent, folder, rounds=3, eps=1e-3, patience=2)
+    return federated.federated_run(w, v.client_meta(spark, d), sent, folder, rounds=3, eps=1e-6, patience=3, ratio=0.1)
+
+
+_SWEPT = (0.5, 1.0, 2.0, -1.0)
+
+
+@query(
+    " union all ".join(f"select {i} as i, 'ok' as status, {_r(f'(select avg(least(l2, {c})) from norms)', 'clipped_l2')}" for i, c in enumerate(_SWEPT[:3])) + " union all select 3, 'failed', null"
+)
+def sweep_table(spark: SparkSession, d: str) -> DataFrame:
+    """Clipping norms, one of which is refused."""
+    rows = settle(v.updates(spark, d))
+
+    def clipped(config: dict) -> DataFrame:
+        return updates.l2_norm(updates.clip_updates(rows, config["c"]).drop("l2")).agg(F.avg("l2").alias("clipped_l2"))
+
+    return report.sweep_table(spark, [{"c": c} for c in _SWEPT], clipped).select("i", "status", F.col("figures")["clipped_l2"].alias("clipped_l2"))
 
 
 @query("select agent_id, count(*) filter (sigma > 0) as n_events, round(sum(1 / sigma) * sqrt(2 * ln(1.25 * count(*) / 1e-5)), 6) as epsilon, sum(1 / sigma) * sqrt(2 * ln(1.25 * count(*) / 1e-5)) <= 50 as within_budget from privacy group by 1")
@@ -926,7 +974,7 @@ def soc_trajectory(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def schedule_job(spark: SparkSession, d: str) -> DataFrame:
-    return control.schedule_job(_days(spark, d), levels=10)
+    return control.schedule_job(_days(spark, d))
 
 
 # --- evaluation
@@ -985,8 +1033,7 @@ def evaluation_job(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def predict_intervals(spark: SparkSession, d: str) -> DataFrame:
     f = v.forecasts(spark, d).where("yhat is not null")
-    past = cohort.numbered(f, F.xxhash64("household_id", "ts"), "household_id", "ts").select(F.col("place").alias("i"), (F.col("y") - F.col("yhat")).alias("residual"))
-    return evaluate.predict_intervals(f, past, 10)
+    return evaluate.predict_intervals(f, f.select((F.col("y") - F.col("yhat")).alias("residual")))
 
 
 @query(None)

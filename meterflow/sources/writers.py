@@ -4,12 +4,41 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_features(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("weather_id", "household_id")) -> None:
-    """A partitioned store; an error if it exists."""
+#: Buckets of a feature store, and rows of a file at which a range is cut.
+BUCKETS = 64
+#: Where a store keeps its zone map; a name that readers of the store pass over.
+ZONES = "_zones"
+
+
+def household_bucket(buckets: int) -> Column:
+    """The bucket of a household, by a hash of its id as text."""
+    return F.pmod(F.xxhash64(F.col("household_id").cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_features(df: DataFrame, path: str, buckets: int = BUCKETS, files: int | None = None) -> None:
+    """A store in hash buckets, sorted by household and time, with a zone map; an error if it exists.
+
+    Rows are dealt to ``files`` ranges of (bucket, household, ts), as many as buckets unless given: their number
+    does not hang on that of the households, and one that has very many rows is cut by time.  The zone map
+    has the bucket and the least and greatest household of each file, so that a reader opens only the files
+    that may hold its households.
+    """
+    spark = df.sparkSession
+    name = F.col("household_id").cast("string")
+    placed = df.withColumn("bucket", household_bucket(buckets))
+    dealt = placed.repartitionByRange(files or buckets, "bucket", name, "ts").sortWithinPartitions("bucket", name, "ts")
+    dealt.write.partitionBy("bucket").mode("errorifexists").parquet(path)
+    made = spark.read.schema(placed.schema).parquet(path).select(F.col("_metadata.file_path").alias("file"), "bucket", name.alias("household"), "ts")
+    zones = made.groupBy("file", "bucket").agg(F.min("household").alias("low"), F.max("household").alias("high"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    zones.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/{ZONES}")
+
+
+def write_partitioned(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+    """A store with a directory for each value of few columns; an error if it exists."""
     df.repartition(*partition_by).sortWithinPartitions(*partition_by).write.partitionBy(*partition_by).mode("errorifexists").parquet(path)
 
 
@@ -19,28 +48,41 @@ def _files(spark: SparkSession, root: str) -> tuple[Any, Any]:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.fs.Path
 
 
-def _checked(run_id: str) -> str:
+def checked(run_id: str) -> str:
     if not run_id or run_id in (".", "..") or "/" in run_id or "\\" in run_id:
         raise ValueError(f"not a run id: {run_id!r}")
     return run_id
 
 
-def publish_version(df: DataFrame, root: str, run_id: str, partition_by: tuple[str, ...] = ("weather_id", "household_id")) -> str:
-    """Writes runs/<id> and then points CURRENT at it by one rename over the old pointer.
+def publish_version(df: DataFrame, root: str, run_id: str, partition_by: tuple[str, ...] = ()) -> str:
+    """Writes runs/<id>, in buckets or by the named columns, and then points CURRENT at it."""
+    target = f"{root}/runs/{checked(run_id)}"
+    if partition_by:
+        write_partitioned(df, target, partition_by)
+    else:
+        write_features(df, target)
+    point(df.sparkSession, root, run_id)
+    return target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file."""
+    fs, made = _files(spark, path)
+    out = fs.create(made(path), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def point(spark: SparkSession, root: str, run_id: str) -> None:
+    """Points CURRENT at a run by one rename over the old pointer.
 
     Readers meet the old run or the new one: at no time is there no pointer, where the file system renames
     atomically (HDFS does).
     """
-    spark = df.sparkSession
-    target = f"{root}/runs/{_checked(run_id)}"
-    write_features(df, target, partition_by)
     fs, path = _files(spark, root)
-    fresh, current = path(f"{root}/.CURRENT-{run_id}"), path(f"{root}/CURRENT")
-    out = fs.create(fresh, True)
-    out.write(bytearray(run_id.encode()))
-    out.close()
-    _replace(spark, fs, fresh, current)
-    return target
+    fresh = f"{root}/.CURRENT-{checked(run_id)}"
+    write_text(spark, fresh, run_id)
+    _replace(spark, fs, path(fresh), path(f"{root}/CURRENT"))
 
 
 def _replace(spark: SparkSession, fs: Any, fresh: Any, current: Any) -> None:
@@ -53,15 +95,21 @@ def _replace(spark: SparkSession, fs: Any, fresh: Any, current: Any) -> None:
     files.rename(fs.makeQualified(fresh), fs.makeQualified(current), how)
 
 
-def resolve_current(spark: SparkSession, root: str) -> str:
-    """The published run's folder, or the root itself where nothing was published."""
+def current_run(spark: SparkSession, root: str) -> str | None:
+    """The published run's id, or None where nothing was published."""
     fs, path = _files(spark, root)
     if not fs.exists(path(f"{root}/CURRENT")):
-        return root
-    run_id = _checked(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0].strip())
+        return None
+    run_id = checked(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0].strip())
     if not fs.exists(path(f"{root}/runs/{run_id}")):
         raise FileNotFoundError(f"run {run_id} is published but absent in {root}")
-    return f"{root}/runs/{run_id}"
+    return run_id
+
+
+def resolve_current(spark: SparkSession, root: str) -> str:
+    """The published run's folder, or the root itself where nothing was published."""
+    run_id = current_run(spark, root)
+    return f"{root}/runs/{run_id}" if run_id else root
 
 
 def append_audit(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("district_id", "round_id")) -> None:

@@ -368,7 +368,7 @@ def test_drift_flags_come_before_the_update(spark):
 
 def test_schedule_is_feasible_and_saves(spark):
     rows = [(1, dt.date(2024, 1, 1), s, 1.0) for s in range(96)] + [(2, dt.date(2024, 1, 1), 0, -1.0)]
-    plan = control.schedule_job(spark.createDataFrame(rows, "household_id long, day date, slot int, kwh double"), levels=10)
+    plan = control.schedule_job(spark.createDataFrame(rows, "household_id long, day date, slot int, kwh double"))
     good = plan.where("household_id = 1")
     assert {r.status for r in plan.collect()} == {"optimal", "invalid"}
     track = control.soc_trajectory(good, 10.0, 0.95, 0.5)
@@ -376,6 +376,152 @@ def test_schedule_is_feasible_and_saves(spark):
     assert control.plan_cost(good).first().savings > 0
 
 
+def grid_cost(load, price, cap, rate, eff, soc0, levels, peak_cap):
+    """The least cost of plans whose states of charge are multiples of cap / levels."""
+    step, start = cap / levels, round(soc0 * levels)
+    cost = {start: 0.0}
+    for x, p in zip(load, price, strict=True):
+        after = {}
+        for a, c in cost.items():
+            for b in range(levels + 1):
+                move = (b - a) * step
+                charge, discharge = max(move, 0) / eff, max(-move, 0) * eff
+                net = x + charge - discharge
+                if charge <= rate + 1e-9 and discharge <= min(rate, x) + 1e-9 and (peak_cap is None or net <= peak_cap + 1e-9):
+                    after[b] = min(after.get(b, math.inf), c + p * net)
+        cost = after
+    return cost.get(start)
+
+
+def test_plans_are_exact():
+    rng = random.Random(11)
+    for k in range(40):
+        n = rng.randint(1, 9)
+        load = [rng.choice([0.0, rng.random() * 3, 1.0]) for _ in range(n)]
+        price = [rng.choice([0.1, 0.2, 0.32, rng.random(), 0.0]) for _ in range(n)]
+        cap, rate, eff, soc0 = rng.choice([1.0, 4.0]), rng.choice([0.4, 1.0]), rng.choice([1.0, 0.95, 0.8]), rng.choice([0.0, 0.5, 1.0])
+        peak = rng.choice([None, None, 1.4, 2.2])
+        status, charge, discharge = control.battery_plan(np.array(load), np.array(price), cap, rate, eff, soc0, peak)
+        coarse, fine = (grid_cost(load, price, cap, rate, eff, soc0, m, peak) for m in (20, 200))
+        if status == "infeasible":
+            assert coarse is None and fine is None
+            continue
+        soc = soc0 * cap + np.cumsum(eff * charge - discharge / eff)
+        assert soc.min() > -1e-6 and soc.max() < cap + 1e-6 and abs(soc[-1] - soc0 * cap) < 1e-6
+        assert charge.max() <= rate + 1e-6 and (discharge <= np.minimum(rate, load) + 1e-6).all() and (np.minimum(charge, discharge) < 1e-9).all()
+        net = np.array(load) + charge - discharge
+        assert peak is None or net.max() <= peak + 1e-6
+        cost = float((np.array(price) * net).sum())
+        # Never above a grid's plan, and a finer grid comes closer.
+        for other in (coarse, fine):
+            assert other is None or cost <= other + 1e-6
+        if fine is not None and peak is None:
+            assert fine - cost <= n * cap / 200 * max(price) * 2
+    assert control.battery_plan(np.array([]), np.array([]), 1, 1, 1, 0.5, None)[0] == "empty"
+    assert control.battery_plan(np.array([float("nan")]), np.array([1.0]), 1, 1, 1, 0.5, None)[0] == "invalid"
+    assert control.battery_plan(np.array([5.0]), np.array([1.0]), 1, 1, 1, 0.5, 3.0)[0] == "infeasible"
+
+
+def test_runs_hold_back_and_resume(spark, tmp_path):
+    rng = random.Random(2)
+    w0 = {p: 1.0 + p for p in range(20)}
+    own = {(0, a): {p: rng.gauss(0, 1) for p in range(20)} for a in range(5)}
+    rows = spark.createDataFrame([(d, a, p, x) for (d, a), vec in own.items() for p, x in vec.items()], "district_id long, agent_id long, pos int, value double")
+    meta = rows.select("district_id", "agent_id").distinct().withColumn("n_samples", F.lit(2))
+
+    def make(now, i):  # agent 4 sits the second round out
+        part = rows if i != 2 else rows.where("agent_id <> 4")
+        return part.join(now.select("pos", F.col("value").alias("old")), "pos").select("district_id", "agent_id", "pos", ((F.col("value") - F.col("old")) / 10).alias("value"))
+
+    config = federated.RoundConfig(clip=1e9, f=0, trim=0.0, limit=10.0)
+    w, rest, drifts = dict(w0), {}, []
+    for i in (1, 2, 3):
+        sent = {}
+        for key, vec in own.items():
+            if i == 2 and key[1] == 4:
+                continue
+            total = {p: (vec[p] - w[p]) / 10 + rest.get(key, {}).get(p, 0.0) for p in vec}
+            top = sorted(total, key=lambda p: (-abs(total[p]), p))[: max(1, int(len(total) * 0.1))]
+            sent[key] = {p: total[p] for p in top}
+            rest[key] = {p: x for p, x in total.items() if p not in top}
+        new = dict(w)
+        for p in w:
+            got = [v[p] for v in sent.values() if p in v]
+            new[p] += sum(got) / len(got) if got else 0.0
+        drifts.append(math.sqrt(sum((new[p] - w[p]) ** 2 for p in w)))
+        w = new
+    log = federated.federated_run(spark.createDataFrame(list(w0.items()), "pos int, value double"), meta, make, str(tmp_path), 3, 0.0, 9, config, ratio=0.1).orderBy("round_id").collect()
+    assert [r.drift for r in log] == pytest.approx(drifts)
+    third = spark.read.parquet(f"{tmp_path}/round=3").collect()
+    assert {r.pos: r.value for r in third} == pytest.approx(w)
+    again = federated.federated_run(None or spark.createDataFrame([(0, 0.0)], "pos int, value double"), meta, make, str(tmp_path), 1, 0.0, 9, config, start=3, ratio=0.1).collect()
+    assert [r.drift for r in again] == pytest.approx(drifts[2:])
+    assert {r.pos: r.value for r in spark.read.parquet(f"{tmp_path}/round=3").collect()} == pytest.approx(w)
+
+
+def test_ledger_refuses_unsound_events(spark):
+    e = spark.createDataFrame([(1, 2.0, 1.5)], "agent_id long, sigma double, sample_rate double")
+    with pytest.raises(ValueError, match="delta"):
+        federated.epsilon_ledger(e, 1.0)
+    with pytest.raises(Exception, match="sample_rate"):
+        federated.epsilon_ledger(e).collect()
+
+
+def test_districts_without_a_cohort(spark):
+    ids = spark.createDataFrame([(h,) for h in ("b", "a", "c", "a10", "a2", "a")], "household_id string")
+    got = cohort.alphabetical_cohort(ids, 4, 3).orderBy("rank").collect()
+    assert [(r.household_id, r.rank, r.district_id, r.cluster) for r in got] == [("a", 0, "D1", -1), ("a10", 1, "D2", -1), ("a2", 2, "D3", -1), ("b", 3, "D1", -1)]
+    with pytest.raises(Exception, match="fewer than 9"):
+        cohort.alphabetical_cohort(ids, 9, 3).collect()
+
+
+def test_blocked_distances_of_many_agents(spark):
+    rng = random.Random(6)
+    agents = {(d, f"a{i}"): {p: rng.gauss(0, 1) for p in rng.sample(range(9000), 40)} for d in (0, 1) for i in range(150 if d else 3)}
+    agents[1, "copy"] = dict(agents[1, "a0"])
+    u = spark.createDataFrame([(d, a, p, x) for (d, a), v in agents.items() for p, x in v.items()], "district_id long, agent_id string, pos int, value double")
+    got = {(r.district_id, r.a, r.b): r.distance for r in updates.pairwise_distance(u).collect()}
+    want = {(d, a, b): sum((x.get(p, 0.0) - y.get(p, 0.0)) ** 2 for p in x.keys() | y.keys()) for (d, a), x in agents.items() for (e, b), y in agents.items() if d == e and a != b}
+    assert got == pytest.approx(want, abs=1e-9) and got[1, "a0", "copy"] == 0.0
+
+
+def test_blocks_of_a_large_pool_give_the_best(spark, monkeypatch):
+    monkeypatch.setattr(memory, "BLOCK", 16)
+    rng = random.Random(7)
+    pool = [(a, 100 * a + i, [float(rng.randint(-2, 2)) for _ in range(3)]) for a in (1, 2) for i in range(90)]
+    asked = [(a, 1000 * a + i, [float(rng.randint(-2, 2)) for _ in range(3)]) for a in (1, 2, 3) for i in range(40)]
+    q = spark.createDataFrame(asked, "agent_id long, query_id long, query array<double>")
+    p = spark.createDataFrame([(*r, [float(r[1])]) for r in pool], "agent_id long, pattern_id long, key array<double>, value array<double>")
+    got = {(r.query_id, r.place): r.pattern_id for r in memory.attention_best(q, p, 5).collect()}
+    want = {}
+    for a, i, x in asked:
+        best = sorted(((-sum(m * n for m, n in zip(x, y, strict=True)), j) for b, j, y in pool if a == b))[:5]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(best)}
+    assert got == want
+
+
+def test_sketches_merge_within_their_error(spark):
+    rng = random.Random(1)
+    rows = [(h, rng.expovariate(1.0) if h else float(i)) for h in (0, 1) for i in range(20_000)] + [(1, float("nan")), (1, None)]
+    df = spark.createDataFrame(rows, "household_id long, kwh double").withColumn("day", F.pmod(F.xxhash64("kwh"), F.lit(7)))
+    days = [prepare.quantile_sketches(df.where(F.col("day") == k)) for k in range(7)]
+    grown = days[0]
+    for d in days[1:]:
+        grown = prepare.merge_sketches(grown, d)
+    for r in prepare.sketch_bounds(grown, 0.01, 0.99).collect():
+        mine = sorted(x for h, x in rows if h == r.household_id and x is not None and not math.isnan(x))
+        for q, x in ((0.01, r.lo), (0.99, r.hi)):
+            assert abs(sum(v <= x for v in mine) / len(mine) - q) < 0.002
+    assert grown.agg(F.max(F.length("sketch"))).first()[0] < 150_000
+
+
+def test_intervals_follow_the_residuals(spark):
+    f = spark.range(2000).select((F.col("id") % 7).alias("household_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(10.0).alias("yhat"))
+    past = spark.range(5000).select(((F.col("id") % 101) / 10 - 5).alias("residual"))
+    got = evaluate.predict_intervals(f, past, 20).agg(F.avg("mean"), F.avg("std")).first()
+    assert got[0] == pytest.approx(10.0, abs=0.1) and got[1] == pytest.approx(2.9155, abs=0.2)
+
+
 def test_memory(spark):
     vectors_ = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(6)], "agent_id long, ts long, vector array<double>")
     assert [r.vector for r in memory.pattern_pool(vectors_, 2).orderBy("block").collect()] == [[0.5, 1.0], [2.5, 1.0], [4.5, 1.0]]
@@ -462,9 +608,12 @@ def test_rollups(spark):
     def runner(config):
         if config["n"] < 5:
             raise ValueError("too few agents")
-        return {"p50": 1}
+        if config["n"] > 9:
+            return spark.range(1).select(F.raise_error(F.lit("no such run")).alias("p50"))
+        return spark.range(1).select(F.lit(1).alias("p50"))
 
-    assert [(r.status, r.error) for r in report.sweep_table(spark, [{"n": 4}, {"n": 8}], runner).orderBy("i").collect()] == [("failed", "too few agents"), ("ok", None)]
+    got = report.sweep_table(spark, [{"n": 4}, {"n": 8}, {"n": 10}, {"m": 1}], runner).orderBy("i").collect()
+    assert [r.status for r in got] == ["failed", "ok", "failed", "failed"] and got[0].error == "ValueError: too few agents" and got[1].figures == {"p50": 1.0} and "no such run" in got[2].error and got[3].error.startswith("KeyError")
     counts = spark.createDataFrame([(480, 12)], "raw_rows long, raw_null_kwh long")
     text = report.dq_report(counts, counts.select((F.col("raw_null_kwh") / F.col("raw_rows")).alias("null_ratio")), spark.createDataFrame([(2, 350)], "n_files long, n_bytes long"))
     assert "null_ratio" in text["json"] and "| n_bytes | 350 |" in text["markdown"]
