@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.llm.base import documents, per_batch, prepare, settle, spread_join, without_gc
@@ -37,6 +37,8 @@ from meterflow.llm.components import components
 from meterflow.llm.grams import Words, batches, minhash, mix, unique_shingles
 
 SHINGLE = 5
+#: Fixed value: a text with a word has a character other than these blanks.
+WORD = r"[^\x20\x09-\x0D]"
 THRESHOLD = 0.8
 BANDS, ROWS = 42, 6
 VALUES = 256
@@ -242,8 +244,9 @@ def grouped(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD)
     bands = settle(heads.select("node", F.explode("bands").alias("band")).distinct())
     sets = candidate_sets(bands, sketch.select(F.col("at").alias("node"), "signs"), threshold)
     members = sets.join(heads.select("node", F.coalesce("doc_id", F.lit(0)).alias("id0"), "h", "copies"), "node")
-    one_text = texts.join(members.select("node", "id0", "h"), ["id0", "h"]).groupBy("node").agg(F.min("text").alias("text"))
-    loaded = settle(members.join(one_text, "node").select("node", "component", "copies", "text"))
+    # One row of equal ones, before they meet anything.
+    one_text = texts.groupBy("id0", "h").agg(F.min("text").alias("text"))
+    loaded = settle(members.join(one_text, ["id0", "h"]).select("node", "component", "copies", "text"))
     judged = settle(in_blocks(loaded, "component", BLOCK, "copies", "text").mapInArrow(_judge(width, threshold), "node long, links long, root long"))
     found = components(judged, "node", "root")
     least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("n"))
@@ -282,9 +285,10 @@ def firsts(docs: DataFrame) -> DataFrame:
     rows without words are groups of their own and all stay.
     """
     prepare(docs.sparkSession)
-    rows = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    one = rows.groupBy("group").agg(F.min("id0").alias("id0"), F.min("h").alias("h"), F.max("worded").alias("worded"))
-    chosen = one.select("id0", "h", "worded").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(), F.xxhash64(*docs.columns).alias("whole"))
-    place = F.row_number().over(Window.partitionBy("id0", "h").orderBy("whole"))
-    return keyed.join(chosen, ["id0", "h"]).withColumn("place", place).where("place = 1 or not worded").select("row.*")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = grouped(docs).where(F.col("worded") & F.col("doc_id").eqNullSafe(F.col("group_id")))
+    chosen = rows.groupBy("group").agg(F.min("id0").alias("id0"), F.min("h").alias("h")).select("id0", "h").distinct()
+    # Equal rows become one before they meet anything.
+    keyed = docs.where(worded).select(F.struct(*docs.columns).alias("row"), *row_key(), F.xxhash64(*docs.columns).alias("whole"))
+    one = keyed.groupBy("id0", "h").agg(F.min_by("row", "whole").alias("row")).join(chosen, ["id0", "h"]).select("row.*")
+    return one.unionByName(docs.where(~worded))
