@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +14,60 @@ ID = "household_id"
 HORIZONS = (15, 30, 45, 60, 120, 180, 1440)
 
 
+#: Windows of one Arrow batch that leaves a task.
+WINDOWS = 512
+
+
+def _windows(seq_len: int, pred_len: int, n_features: int, step: int):  # noqa: ANN202
+    """mapInArrow over sorted runs of (household, ts, features...): a window's rows are cut out of a batch, never collected for each row."""
+    span = seq_len + pred_len
+
+    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = None, 0  # the last rows of the household at hand, and how many came before them
+        for batch in them:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            keys = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+                part = rows.slice(a, b - a)
+                same = k == 0 and held is not None and held.column(0)[0].as_py() == part.column(0)[0].as_py()
+                if same:
+                    part = pa.concat_tables([held, part])
+                else:
+                    place = 0
+                yield from _cut(part, place)
+                keep = min(span - 1, len(part))
+                place += len(part) - keep
+                held = part.slice(len(part) - keep)
+
+    def _cut(part: pa.Table, place: int) -> Iterator[pa.RecordBatch]:
+        values = np.column_stack([part.column(2 + f).to_numpy().astype(float) for f in range(n_features)])
+        known = np.column_stack([part.column(2 + f).is_valid().to_numpy() for f in range(n_features)])
+        first = np.arange(max(0, len(part) - span + 1))
+        first = first[(first + place) % step == 0]
+        for at in range(0, len(first), WINDOWS):
+            start = first[at : at + WINDOWS]
+            inside = start[:, None] + np.arange(span)[None, :]
+            x, x_known = values[inside[:, :seq_len]], known[inside[:, :seq_len]]
+            y, y_known = values[inside[:, seq_len:], 0], known[inside[:, seq_len:], 0]
+            m = len(start)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(m * seq_len + 1) * n_features, pa.int32()), pa.array(x.reshape(-1), mask=~x_known.reshape(-1)))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * seq_len, pa.int32()), inner)
+            last = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * pred_len, pa.int32()), pa.array(y.reshape(-1), mask=~y_known.reshape(-1)))
+            column = lambda c, at: part.column(c).take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([column(0, start), column(1, start), column(1, start + span - 1), outer, last], names=[ID, "start_ts", "end_ts", "x", "y"])
+
+    return run
+
+
 def sequence_windows(df: DataFrame, seq_len: int, pred_len: int, features: list[str], step: int = 1) -> DataFrame:
-    """(household, end_ts, x, y) for each run of seq_len + pred_len rows of one household; shorter ones give none."""
-    span = Window.partitionBy(ID).orderBy("ts").rowsBetween(0, seq_len + pred_len - 1)
-    place = F.row_number().over(Window.partitionBy(ID).orderBy("ts"))
-    rows = df.withColumn("place", place).withColumn("rows", F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in features])).over(span)).withColumn("end_ts", F.max("ts").over(span))
-    full = rows.where((F.size("rows") == seq_len + pred_len) & ((F.col("place") - 1) % step == 0))
-    x = F.transform(F.slice("rows", 1, seq_len), lambda r: F.array(*[r[f] for f in features]))
-    y = F.transform(F.slice("rows", seq_len + 1, pred_len), lambda r: r[features[0]])
-    return full.select(ID, F.col("ts").alias("start_ts"), "end_ts", x.alias("x"), y.alias("y"))
+    """(household, start_ts, end_ts, x, y) for each run of seq_len + pred_len rows of one household; shorter ones give none."""
+    rows = df.select(ID, "ts", *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).repartition(ID).sortWithinPartitions(ID, "ts")
+    kinds = dict(rows.dtypes)
+    schema = f"{ID} {kinds[ID]}, start_ts {kinds['ts']}, end_ts {kinds['ts']}, x array<array<double>>, y array<double>"
+    return rows.mapInArrow(_windows(seq_len, pred_len, len(features), step), schema)
 
 
 def temporal_split(df: DataFrame, cuts: tuple[float, float] = (0.8, 0.9), context: int = 0) -> DataFrame:

@@ -344,6 +344,24 @@ def test_windows_stay_inside_a_household(spark):
     assert {(r.household_id, r.split): r["count"] for r in split if r.household_id == 1} == {(1, "train"): 160, (1, "val"): 116, (1, "test"): 116}
 
 
+def test_windows_over_batches(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(h, "W", at(15 * i), None if (h, i) == (1, 7) else float(10 * (h or 0) + i)) for h, n in ((1, 23), (2, 3), (3, 9), (None, 8)) for i in range(n)]
+    df = readings(spark, rows).withColumn("b", F.col("kwh") * 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.household_id, r.start_ts): (r.end_ts, r.x, r.y) for r in sequence.sequence_windows(df, 4, 2, ["kwh", "b"], 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for h in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == h]
+        for i in range(0, len(mine) - 5, 3):
+            part = mine[i : i + 6]
+            want[h, part[0][2]] = (part[5][2], [[r[3], None if r[3] is None else 2 * r[3]] for r in part[:4]], [r[3] for r in part[4:]])
+    assert got == want and len(got) == 6 + 2 + 1
+
+
 def test_scaler_round_trip(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     stats = sequence.fit_scaler(df, ["a", "b"])
