@@ -1,6 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A paragraph (a line of the text, cut further after sentence ends) is hashed to a wide vector:
+A paragraph (a line of the text, cut further after sentence ends, and where it is long or the text
+short at places that its letters tell) is hashed to a wide vector:
 ``UNIFORM`` words of 32 bits and ``SIGNED`` lanes of plus or minus one.  A document's fingerprint is
 the sum of its paragraphs' vectors modulo 2**32 and 2**16, so that the order of paragraphs does
 not matter and a paragraph is inserted or deleted by adding or subtracting its vector.  Two
@@ -33,10 +34,14 @@ SALTS = 64
 NULL_ID = -(2**63)
 #: Paragraphs end at a line break, or after a sentence sign and a blank.
 PARAGRAPH = r"\n|(?<=[.!?]) "
+#: Longer ones (characters) end after a vowel and a blank, too; texts of fewer characters than SHORT are cut at all blanks.
+LONG, INSIDE, SHORT = 300, "(?<=[aeiouy]) ", 400
 
 
 def paragraphs(text: str | Column) -> Column:
-    return F.filter(F.split(text, PARAGRAPH), lambda p: p != "")
+    whole = F.col(text) if isinstance(text, str) else text
+    inner = F.flatten(F.transform(F.split(whole, PARAGRAPH), lambda p: F.when(F.length(p) > LONG, F.split(p, INSIDE)).otherwise(F.array(p))))
+    return F.filter(F.when(F.length(whole) < SHORT, F.split(whole, "\n| ")).otherwise(inner), lambda p: p != "")
 
 
 def summed(hashed: DataFrame, keys: list[str]) -> DataFrame:

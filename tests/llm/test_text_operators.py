@@ -714,6 +714,12 @@ def test_frames_hold_a_template_and_no_more():
 # --- fingerprints
 
 
+def pieces(text):
+    if len(text) < 400:
+        return re.split(r"\n| ", text)
+    return [q for p in re.split(r"\n|(?<=[.!?]) ", text) for q in (re.split("(?<=[aeiouy]) ", p) if len(p) > 300 else [p])]
+
+
 def lanes(text):
     def h(*parts):
         seed = 42
@@ -722,7 +728,7 @@ def lanes(text):
         return seed
 
     wide, signed = [0] * 8, [0] * 128
-    for p in re.split(r"\n|(?<=[.!?]) ", text or ""):
+    for p in pieces(text or ""):
         if p:
             for i in range(4):
                 x = h(f"u{i}", p)
@@ -783,6 +789,14 @@ def test_multiset_is_homomorphic(spark):
     assert show(fingerprints.combined(whole, b, sign=-1)) == show(fingerprints.fingerprint(df("two\none")))
 
 
+def test_half_of_an_unsigned_text_is_near(spark):
+    rng = random.Random(3)
+    prose = lambda k, signs=False: "".join(rng.choice(["ole ", "nart ", "tesi ", "vun ", "korb "]) + (". " if signs and rng.random() < 0.1 else "") + str(rng.randrange(300)) + " " for _ in range(k))
+    rows = [(i, prose(rng.choice([8, 30, 200, 400]), i % 3 == 0)) for i in range(60)]
+    got = fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.near_edited > r.near_next for r in got) and sum(r.near_edited > 0.2 for r in got) > 55
+
+
 # --- html
 
 
