@@ -242,5 +242,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts.append(differenced(mine, [o["shell"] for o in others or [] if o["sign"] != sign][:PAIRS]))
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    whole = packed(pages.withColumnRenamed("html", "text"), "page_id", "url")
-    return per_batch(whole.join(near, "page_id", "left"), "page_id long, url string, text string, n_chars long", work)
+    whole = lambda some: packed(pages.where(some).withColumnRenamed("html", "text"), "page_id", "url")
+    known = whole("page_id is not null").join(near, "page_id", "left")
+    # Pages without an id have no neighbours and stay where they are.
+    lone = whole("page_id is null").withColumn("near", F.lit(None).cast(known.schema["near"].dataType))
+    return per_batch(known.unionByName(lone), "page_id long, url string, text string, n_chars long", work)
