@@ -254,7 +254,8 @@ def stream_weather_join(df: DataFrame, weather: DataFrame, lateness: str = "1 ho
         placed = df.withColumn("hour", F.date_trunc("hour", "ts"))
         return placed.join(hourly, (F.col("weather_id") == F.col("w_id")) & (F.col("hour") == F.col("hour_ts")), "left").drop("hour", "hour_ts", "w_id")
     left = complete(df, lateness, HOUSEHOLD).withColumn("hour", F.date_trunc("hour", "ts"))
-    right = hourly.withWatermark("hour_ts", weather_lateness)
+    # Never null, so that the join does not have rows without a station, which move the watermark, dropped below it.
+    right = hourly.withWatermark("hour_ts", weather_lateness).withColumn("w_id", F.coalesce("w_id", F.lit("")))
     same = (F.col("weather_id") == F.col("w_id")) & (F.col("hour") == F.col("hour_ts"))
     near = (F.col("hour_ts") <= F.col("ts")) & (F.col("ts") < F.col("hour_ts") + F.expr("interval 1 hour"))
     return left.join(right, same & near, "left").drop("hour", "hour_ts", "w_id")

@@ -311,7 +311,7 @@ def test_outbox_ignores_what_was_not_committed(spark, tmp_path):
 def test_weather_comes_as_a_stream_too(spark, tmp_path):
     rows = [(*r, f"W{r[0]}") for r in readings(60)]
     random.Random(5).shuffle(rows)
-    hours = [(f"W{w}", T0 + dt.timedelta(hours=h), 10.0 * w + h, None, None) for h in range(8) for w in (0, 1) if h % 3 != 1]
+    hours = [(f"W{w}", T0 + dt.timedelta(hours=h), 10.0 * w + h, None, None) for h in range(6) for w in (0, 1) if h % 3 != 1]
     random.Random(6).shuffle(hours)
     schema, weather = EVENTS + ", weather_id string", "weather_id string, ts timestamp, temperature double, humidity double, sunshine double"
     for k in ("r", "w"):
