@@ -65,11 +65,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEXTS, lim
     every = F.array(*[F.lit(x) for x in sorted({x for _, _, g, _ in known for x in g})])
     met = grams.withColumn("met", F.array_intersect("grams", every)).where(F.size("met") >= least)
     fits = [F.when((F.size("grams") >= needed(len(g), limit)) & (F.size(F.array_intersect("met", F.array(*[F.lit(x) for x in g]))) >= needed(len(g), limit)), F.lit(i)) for i, _, g, _ in known]
-    # The few texts that may hold a licence: they are read again for their best windows.
-    hopeful = settle(met.withColumn("templates", F.array_compact(F.array(*fits))).where(F.size("templates") > 0).select("doc_id", "row", "grams", "templates"))
+    # The few texts that may hold a licence, once for each: they are read again for their best windows.  An explode keeps
+    # the intersections from being worked out again in a filter.
+    hopeful = settle(met.withColumn("template", F.explode(F.array_compact(F.array(*fits)))).select("doc_id", "row", "template", "grams"))
     # A few thousand rows, whatever the documents.
     facts = spark.createDataFrame([(i, name, x, len(g), size) for i, name, g, size in known for x in g], "template int, license string, gram string, g int, size int")
-    placed = hopeful.select("doc_id", "row", F.explode("templates").alias("template"), "grams").select("doc_id", "row", "template", F.size("grams").alias("total"), F.posexplode("grams").alias("word", "gram"))
+    placed = hopeful.select("doc_id", "row", "template", F.size("grams").alias("total"), F.posexplode("grams").alias("word", "gram"))
     hits = placed.join(F.broadcast(facts), ["template", "gram"])
     scale = F.floor(F.lit(FRAME) / (F.col("size") - 2)).cast("long")
     frame = Window.partitionBy("row", "template").orderBy(F.col("word").cast("long") * scale).rangeBetween(0, FRAME)
@@ -79,8 +80,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEXTS, lim
     dice = lambda n: 2.0 * F.col("common") / (n + F.col("g"))
     bounded = counted.withColumns({"low": dice(F.col("common") + foreign), "high": dice(F.col("common") + F.least(foreign, F.lit(1)))})
     able = bounded.withColumn("least", F.max("low").over(Window.partitionBy("row", "license"))).where(F.col("high") >= F.greatest(F.col("least"), F.lit(limit)) - 1e-6)
-    cut = able.select("row", "license", "word", "common", "g", "size").join(hopeful.select("row", "doc_id", "grams"), "row")
-    scored = cut.select("row", "doc_id", "license", "word", dice(F.size(F.array_distinct(F.slice("grams", F.col("word") + 1, F.col("size") - 1)))).alias("dice")).where(F.col("dice") >= limit - 1e-9)
+    # A window with no foreign bigram, or one, is known already.
+    sure = able.where("low = high").select("row", "doc_id", "license", "word", F.col("low").alias("dice"))
+    cut = able.where("low < high").select("row", "template", "license", "word", "common", "g", "size").join(hopeful, ["row", "template"])
+    counted = cut.select("row", "doc_id", "license", "word", dice(F.size(F.array_distinct(F.slice("grams", F.col("word") + 1, F.col("size") - 1)))).alias("dice"))
+    scored = sure.unionByName(counted).where(F.col("dice") >= limit - 1e-9)
     best = scored.groupBy("row", "doc_id", "license").agg(F.min(F.struct((-F.round("dice", 6)).alias("d"), "word")).alias("best"))
     return best.select("doc_id", "license", (-F.col("best.d")).alias("dice"), F.col("best.word").cast("long").alias("word"))
 
