@@ -1,9 +1,10 @@
 """Quality rules: counts per document, and its divergence from language references.
 
 References are the character-class and common-word histograms of all documents of a
-language (``lang``) that pass the base rules, if it has ``LEAST_DOCS`` of them at least; null counts only
-if no language has.  Common words are a language's ``COMMON`` most frequent words with a letter, in lower
-case.  A document that passes the base rules is kept if one language accepts both its histograms: the
+language (``lang``) that pass the base rules, each with ``PRIOR`` words of the average of all such documents
+added, so that a language of few documents is judged much as all are, and one of many by its own; null is a
+language only if there is no other.  Common words are the ``COMMON`` words with a letter, in lower case, that are most
+frequent then.  A document that passes the base rules is kept if one language accepts both its histograms: the
 Jensen-Shannon distance of its character classes is at most ``CLASS_LIMIT``, and that of its words at most
 ``WORD_LIMIT`` and ``WORD_SHARE`` of the distance of a text without any common word, so that texts of
 words that are frequent nowhere do not accept each other.  Texts under ``LEAST_CHARS`` characters or
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.base import fields, per_batch, prepare, without_gc
+from meterflow.llm.base import fields, per_batch, prepare, settle, without_gc
 from meterflow.llm.grams import Words, batches
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 BLANK = "\t\n\x0b\x0c\r "
 RUN, LEAST, MOST_REPEATED = 8, 20, 30
-COMMON, LEAST_DOCS = 64, 10
+COMMON, PRIOR = 64, 2000
 LEAST_CHARS, LEAST_WORDS = 300, 50
 CLASS_LIMIT, WORD_LIMIT, WORD_SHARE = 0.31, 0.48, 0.97
 #: Character classes: blank, symbol, lower case, upper case, digit, sentence sign, other letter, rest.
@@ -101,7 +102,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
     """language -> (class shares, place of each common word, word shares, the last for all others).
 
     The sums run over all documents; what comes to the driver is bounded by the number of
-    languages.
+    languages: ``COMMON`` words and a few sums for each.
     """
     prepare(docs.sparkSession)
 
@@ -124,24 +125,35 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], n
                 tokens = text.lower().split()
                 mine.update(tokens)
                 mine["  all"] += len(tokens)
-                mine["  docs"] += 1
                 for k in range(N_CLASSES):
                     mine[f"  {k}"] += int(counts[i, k])
             if sum(map(len, words.values())) > 200_000:
                 yield flush()
         yield flush()
 
-    totals = docs.select("text", "lang").mapInArrow(without_gc(run), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", F.col("item").startswith("  ")).orderBy(F.desc("n"), "item"))
+    totals = settle(docs.select("text", "lang").mapInArrow(without_gc(run), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    facts: dict[str | None, Counter] = {}
+    for r in totals.where(F.col("item").startswith("  ")).collect():
+        facts.setdefault(r["lang"], Counter())[r["item"].strip()] = r["n"]
+    pooled = sum(facts.values(), Counter())
+    total = pooled["all"]
+    words = totals.where(~F.col("item").startswith("  "))
+    everywhere = {r["item"]: r["n"] for r in words.groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(COMMON).collect()}
+    if not everywhere:
+        return {}
+    weighed = words.withColumn("weight", F.col("n") + F.sum("n").over(Window.partitionBy("item")) * PRIOR / F.lit(total))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "item"))
+    weights: dict[str | None, dict[str, float]] = {k: {w: n * PRIOR / total for w, n in everywhere.items()} for k in facts}
+    for chosen in (weighed.withColumn("place", place).where(F.col("place") <= COMMON), weighed.where(F.col("item").isin(list(everywhere)))):
+        for r in chosen.select("lang", "item", "weight").collect():
+            weights[r["lang"]][r["item"]] = r["weight"]
     out: dict[str | None, tuple] = {}
-    for row in totals.withColumn("place", place).where(F.col("place") <= COMMON).groupBy("lang").agg(F.collect_list(F.struct("item", "n")).alias("rows")).collect():
-        n = {r["item"]: r["n"] for r in row["rows"]}
-        classes = np.array([n.pop(f"  {k}", 0) for k in range(N_CLASSES)], dtype=float)
-        total, enough = n.pop("  all", 0), n.pop("  docs", 0) >= LEAST_DOCS
-        index = {w: i for i, w in enumerate(sorted(n))}
-        if enough and index and classes.sum():
-            shares = np.array([n[w] for w in index] + [max(0, total - sum(n.values()))], dtype=float)
-            out[row["lang"]] = (classes / classes.sum(), index, shares / shares.sum())
+    for lang, sums in facts.items():
+        classes = np.array([sums[str(k)] + PRIOR * pooled[str(k)] / total for k in range(N_CLASSES)], dtype=float)
+        best = dict(sorted(weights[lang].items(), key=lambda x: (-x[1], x[0]))[:COMMON])
+        index = {w: i for i, w in enumerate(sorted(best))}
+        shares = np.array([best[w] for w in index] + [max(0.0, sums["all"] + PRIOR - sum(best.values()))], dtype=float)
+        out[lang] = (classes / classes.sum(), index, shares / shares.sum())
     return {k: v for k, v in out.items() if k is not None} or out
 
 

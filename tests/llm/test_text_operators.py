@@ -448,11 +448,27 @@ def test_quality_rejects_texts_without_common_words(spark):
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(good + tables + bad, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(60)) and not any(got[i] for i in got if i >= 100)
     known = quality.references(spark.createDataFrame(good + tables + bad, "doc_id long, text string, lang string"))
-    assert list(known) == ["en"] and "everywhere" in known["en"][1] and "|" not in known["en"][1]
+    assert sorted(known) == ["en", "xx"] and "|" not in known["en"][1] and all("everywhere" in index for _, index, _ in known.values())
     unnamed = quality.references(spark.createDataFrame([(i, t, None) for i, t, _ in good], "doc_id long, text string, lang string"))
     assert list(unnamed) == [None]
 
 
+def test_quality_references_move_with_their_size_without_a_step(spark):
+    """A language's reference goes from the average of all to its own, and no count of documents changes the rule."""
+    rng = random.Random(33)
+    prose = lambda v: " ".join(rng.choice(v[:8]) if rng.random() < 0.5 else rng.choice(v) for _ in range(100))
+    many, few = ([f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)] for c in "ab")
+    rows = [(i, prose(many), "many") for i in range(80)]
+    shares = []
+    for n in (1, 9, 10, 11, 60):
+        known = quality.references(spark.createDataFrame(rows + [(100 + i, prose(few), "few") for i in range(n)], "doc_id long, text string, lang string"))
+        assert sorted(known) == ["few", "many"]
+        _, index, share = known["few"]
+        assert len(index) == 64 and abs(share.sum() - 1) < 1e-9
+        shares.append(float(sum(share[i] for w, i in index.items() if w.startswith("b"))))
+    assert shares == sorted(shares) and shares[0] < 0.1 and shares[3] - shares[1] < 0.1 and shares[4] > 0.5
+
+
 def expected_verdicts(rows):
     """Kept or not, by plain counting."""
     blank = " \t\n\x0b\x0c\r"
@@ -482,14 +498,20 @@ def expected_verdicts(rows):
             total += (x * np.log2(x / m) if x else 0) + (y * np.log2(y / m) if y else 0)
         return np.sqrt(max(0.0, total / 2))
 
+    def lettered(texts):
+        return Counter(w for t in texts for w in t.lower().split() if any(map(str.isalpha, w)))
+
+    good = [(t, g) for _, t, g in rows if t and not failed(t)]
+    all_classes, all_words, n_all = Counter(kind(c) for t, _ in good for c in t), lettered(t for t, _ in good), sum(len(t.split()) for t, _ in good)
     refs = {}
-    for lang in {g for _, _, g in rows if g is not None}:
-        mine = [t for _, t, g in rows if g == lang and t and not failed(t)]
-        if len(mine) >= 10:
-            tokens = Counter(w for t in mine for w in t.lower().split())
-            common = [w for w, _ in sorted(((w, n) for w, n in tokens.items() if any(map(str.isalpha, w))), key=lambda x: (-x[1], x[0]))[:64]]
-            hist = lambda t, common=frozenset(common): Counter(w if w in common else None for w in t.lower().split())
-            refs[lang] = (Counter(kind(c) for t in mine for c in t), hist, hist(" ".join(mine)))
+    for lang in {g for _, g in good if g is not None} or {None}:
+        mine = [t for t, g in good if g == lang]
+        own, n_own = lettered(mine), sum(len(t.split()) for t in mine)
+        weights = {w: own[w] + n * 2000 / n_all for w, n in all_words.items()}
+        common = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:64])
+        classes = Counter(kind(c) for t in mine for c in t)
+        hist = lambda t, common=frozenset(common): Counter(w if w in common else None for w in t.lower().split())
+        refs[lang] = ({k: classes[k] + 2000 * n / n_all for k, n in all_classes.items()}, hist, {**common, None: n_own + 2000 - sum(common.values())})
     out = {}
     for i, t, _ in rows:
         t = t or ""
