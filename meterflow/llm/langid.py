@@ -6,8 +6,9 @@ landmarks stand for the training texts, and a one-versus-rest kernel ridge regre
 a margin per language.  N-grams are hashed to ``DIMENSIONS`` places, so that a batch is scored
 by two matrix products.
 
-At most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, are used to fit, and
-``LANDMARKS`` of them as landmarks; every document is scored on its whole text.
+About ``TRAIN_ROWS`` labelled rows at most, and besides ``LEAST_ROWS`` of each language (all, if it has no more), are
+used to fit, chosen by a hash of doc_id, and ``LANDMARKS`` of the labelled rows as landmarks; every document is
+scored on its whole text.
 
 Cases: null text or one without a letter gives ``und`` and 0; letters of all planes count; with nothing to
 learn from all are ``und``; rows that repeat a doc_id are judged each on its own (a null id is not held
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from meterflow.llm.base import per_batch, prepare
 from meterflow.llm.toxicity import remainder
 
-TRAIN_ROWS, LANDMARKS = 8000, 192
+TRAIN_ROWS, LEAST_ROWS, LANDMARKS = 8000, 200, 192
 DIMENSIONS = 1 << 13
 RIDGE = 1e-2
 #: Margins are turned into shares of a sum of powers of two of this many times the margin.
@@ -118,7 +119,8 @@ def fit(labelled: DataFrame) -> LanguageModel:
             flat = np.concatenate([gram, target], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int64()), pa.array(list(flat))], names=["i", "v"])
 
-    sample = rows.where(F.xxhash64(F.lit("train"), "doc_id").bitwiseAND(2**30 - 1) / 2**30 < TRAIN_ROWS / total)
+    rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(TRAIN_ROWS / total, LEAST_ROWS / n)))])[F.col("lang")]
+    sample = rows.where(F.xxhash64(F.lit("train"), "doc_id").bitwiseAND(2**30 - 1) / 2**30 < rate)
     parts = sample.select("text", "lang").coalesce(64).mapInArrow(sums, "i long, v array<double>").select("i", F.posexplode("v")).groupBy("i", "pos").agg(F.sum("col").alias("v")).collect()
     both = np.zeros((m, m + len(languages)))
     for r in parts:

@@ -682,6 +682,18 @@ def test_language_of_odd_rows(spark):
 # --- licences
 
 
+def test_rare_language_teaches_beside_a_frequent_one(spark, monkeypatch):
+    """So few rows are drawn that a language of one row in fifty would seldom be among them."""
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 25)
+    rng = random.Random(77)
+    prose = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(30))
+    rows = [(i, prose("etaoinsh"), "often") for i in range(1500)] + [(5000 + i, prose("etaowyqz"), "seldom") for i in range(30)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("seldom" if r.doc_id >= 5000 else "often") for r in got if r.held_out)
+    assert sum(r.doc_id >= 5000 for r in got if r.held_out) >= 3
+
+
 def expected_licenses(text):
     """Best (dice, first word) per licence, over all windows of all templates."""
     w, out = licenses.words(text or ""), {}
