@@ -635,3 +635,28 @@ def test_rollups(spark):
     counts = spark.createDataFrame([(480, 12)], "raw_rows long, raw_null_kwh long")
     text = report.dq_report(counts, counts.select((F.col("raw_null_kwh") / F.col("raw_rows")).alias("null_ratio")), spark.createDataFrame([(2, 350)], "n_files long, n_bytes long"))
     assert "null_ratio" in text["json"] and "| n_bytes | 350 |" in text["markdown"]
+
+
+@pytest.mark.parametrize(("f", "reach"), [(0, 60), (1, 60), (3, 60), (1, 9000)])
+def test_krum_without_pairs_equals_krum_of_the_pairs(spark, monkeypatch, f, reach):
+    monkeypatch.setattr(updates, "SUMMED", 16)
+    rng = random.Random(f)
+    agents = {(d, f"a{i}"): {p: rng.gauss(0, 1) for p in rng.sample(range(reach), 20)} for d in (0, 1) for i in range(150 if d else 9)}
+    agents[1, "copy"] = dict(agents[1, "a0"])
+    agents[0, "far"] = {0: 1e9}
+    u = spark.createDataFrame([(d, a, p, x) for (d, a), v in agents.items() for p, x in v.items()], "district_id long, agent_id string, pos int, value double")
+    got = {(r.district_id, r.agent_id): r.score for r in updates.krum_scores(u, f).collect()}
+    for d in (0, 1):
+        mine = [k for k in agents if k[0] == d]
+        assert [got[k] for k in mine] == pytest.approx(plain_krum([agents[k] for k in mine], f), rel=1e-9)
+
+
+def test_krum_without_pairs_checks_its_cohorts(spark):
+    u = vectors(spark, {i: [i] for i in range(4)})
+    with pytest.raises(Exception, match="2f"):
+        updates.krum_scores(u, 1).collect()
+    with pytest.raises(ValueError, match="negative"):
+        updates.krum_scores(u, -1)
+    agents = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 9)], "district_id long, agent_id long")
+    got = {(r.district_id, r.agent_id): r.score for r in updates.krum_scores(u, 0, agents=agents).collect()}
+    assert got[2, 9] == 0.0 and len(got) == 6
