@@ -97,8 +97,10 @@ def gap_fill(slots: DataFrame, step: str = "15 minutes") -> DataFrame:
     """Every slot between the first and last one of a household and weather id, a null id too.
 
     Each slot fills the gap up to the next one, so that no grid is joined, and rows stay
-    partitioned by household for the windows that follow.
+    partitioned by household for the windows that follow.  Their parts are as many as shuffles have, whatever
+    the slots' own size: it says nothing of that of the gaps, and few parts would spill in each sort.
     """
+    slots = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOUSEHOLD)
     order = Window.partitionBy(HOUSEHOLD).orderBy("weather_id", "ts")
     follows = F.when(F.lead("weather_id").over(order).eqNullSafe(F.col("weather_id")), F.lead("ts").over(order))
     ahead = slots.select(HOUSEHOLD, "weather_id", "ts", "kwh", follows.alias("next_ts"))
@@ -192,8 +194,9 @@ def sketch_bounds(sketches: DataFrame, lo: float = 0.001, hi: float = 0.999) ->
 
 
 def with_winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy: int = 10000) -> DataFrame:
-    """The rows with their own household's bounds; the rows should be settled, as they are read twice."""
-    return quantile_join(df, winsor_bounds(df, lo, hi, accuracy))
+    """The rows with their own household's bounds, from one pass over the household's rows: no join, no second reading."""
+    q = F.percentile_approx("kwh", [lo, hi], accuracy).over(Window.partitionBy(HOUSEHOLD))
+    return df.withColumn("_q", q).withColumns({"lo": F.col("_q")[0], "hi": F.col("_q")[1]}).drop("_q")
 
 
 def winsor_exact(df: DataFrame, lo: float = 0.001, hi: float = 0.999, min_n: int = 10) -> DataFrame:
@@ -213,17 +216,15 @@ def lag_features(df: DataFrame, lags: tuple[int, ...] = (1, 4, 96)) -> DataFrame
 
 
 def running_max(df: DataFrame, n: int, column: str = "kwh", out: str = "roll_max") -> DataFrame:
-    """The largest of the last n values of each row's household, its own included, in about log2(n) steps.
+    """The largest of the last n values of each row's household, its own included, in two passes.
 
-    A step takes the larger of two neighbouring runs, so that no frame is read again for each row.
+    The first takes the largest of about sqrt(n) values, the second that of about sqrt(n) such runs, so that no
+    frame is read again for each row and the rows are buffered twice only.
     """
-    w, size = _past(HOUSEHOLD), 1
-    df = df.withColumn(out, F.col(column))
-    while size < n:
-        step = min(size, n - size)
-        df = df.withColumn(out, F.greatest(F.col(out), F.lag(out, step).over(w)))
-        size += step
-    return df
+    w, short = _past(HOUSEHOLD), max(1, round(n**0.5))
+    largest = lambda c, steps: F.greatest(F.col(c), *[F.lag(c, k).over(w) for k in steps]) if steps else F.col(c)
+    runs = sorted({*range(short, n - short, short), n - short} - {0})
+    return df.withColumn(out, largest(column, range(1, short))).withColumn(out, largest(out, [k for k in runs if k > 0]))
 
 
 def rolling_features(df: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ def filled(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest
 def features(meter: DataFrame, households: DataFrame, weather: DataFrame, manifest: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """One row per household and slot with all features; the windows by household share one sort.
 
-    Winsorising bounds are those of the whole series, or are given (household_id, lo, hi).  For the former the
-    filled rows are settled: bounds are summed up from them and joined, so that no household is held in memory.
+    Winsorising bounds are those of the whole series, or are given (household_id, lo, hi).  The former are one
+    more window by household, so that complete rows are neither written nor shuffled.
     """
     rows = filled(meter, households, weather, manifest)
-    cut = prepare.with_winsor_bounds(settle(rows)) if bounds is None else prepare.quantile_join(rows, bounds)
+    cut = prepare.with_winsor_bounds(rows) if bounds is None else prepare.quantile_join(rows, bounds)
     bounded = prepare.clip_bounds(cut, "kwh", "lo", "hi")
     return prepare.rolling_features(prepare.lag_features(prepare.calendar_features(bounded))).select(prepare.HOUSEHOLD, "weather_id", "ts", *EXTENDED)
 

@@ -660,3 +660,39 @@ def test_krum_without_pairs_checks_its_cohorts(spark):
     agents = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 9)], "district_id long, agent_id long")
     got = {(r.district_id, r.agent_id): r.score for r in updates.krum_scores(u, 0, agents=agents).collect()}
     assert got[2, 9] == 0.0 and len(got) == 6
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 96, 97])
+def test_running_maximum_in_two_passes(spark, n):
+    rng = random.Random(n)
+    x = [(h, i, rng.choice([None, rng.uniform(-9, 9)])) for h in "ab" for i in range(150)]
+    out = prepare.running_max(spark.createDataFrame(x, "household_id string, ts long, kwh double"), n)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
+    for h in "ab":
+        mine = [r[2] for r in x if r[0] == h]
+        want = [max((v for v in mine[max(0, i - n + 1) : i + 1] if v is not None), default=None) for i in range(len(mine))]
+        assert [r.roll_max for r in out.where(F.col("household_id") == h).orderBy("ts").collect()] == want
+
+
+def test_bounds_of_the_whole_series_shuffle_rows_once(spark):
+    rows = spark.range(2000).select((F.col("id") % 3).alias("household_id"), F.col("id").alias("ts"), F.rand(1).alias("kwh"))
+    bounded = prepare.with_winsor_bounds(rows, 0.01, 0.99)
+    assert bounded._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {r.household_id: (r.lo, r.hi) for r in prepare.winsor_bounds(rows, 0.01, 0.99).collect()}
+    assert {(r.household_id, r.lo, r.hi) for r in bounded.collect()} == {(h, *b) for h, b in want.items()} and bounded.count() == 2000
+
+
+def test_gaps_are_filled_in_as_many_parts_as_shuffles_have(spark):
+    slots = spark.sql("select id % 40 as household_id, 'w' as weather_id, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, id div 40) as ts, 1.0D as kwh from range(80)")
+    assert prepare.gap_fill(slots).rdd.getNumPartitions() == 4
+
+
+def test_rounding_without_decimals_equals_spark(spark):
+    from meterflow.plans import queries
+
+    rng = random.Random(5)
+    x = [rng.choice([-1, 1]) * rng.uniform(0, 10.0 ** rng.randint(-8, 13)) for _ in range(20000)] + [k / 800 for k in range(-4000, 4000)] + [None, 0.0, -0.0, float("nan"), float("inf"), -1e-7, 1e-7, 1e300]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    want = df.withColumn("x", F.round(F.col("x") + queries.NUDGE, 6) + 0.0)
+    assert [str(r.x) for r in queries.rounded(df).collect()] == [str(r.x) for r in want.collect()]
+    assert "rint" in str(queries.rounded(df)._jdf.queryExecution().analyzed()).lower()
