@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,18 +104,21 @@ def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int
 
 
 def shed_plan(df: DataFrame, predicted: str = "predicted", capacity: str = "capacity") -> DataFrame:
-    """Shed amounts and ``actions``: the cheapest loads first, all at once only when they do not suffice."""
-    total = sum(share for _, share in SHARES)
-    planned = "_need > 0 and _need <= _all"
+    """Shed amounts and ``actions``: the cheapest loads first, all at once only when they do not suffice.
+
+    Amounts are compared at six places, so that the last bit of a sum decides nothing.
+    """
+    total = round(sum(share for _, share in SHARES), 9)
+    planned = "_need > 0 and round(_need - _all, 6) <= 0"
     out = df.withColumn("_need", F.col(predicted) - F.col(capacity)).withColumn("_all", total * F.col(predicted)).withColumn("_left", F.when(F.expr(planned), F.col("_need")).otherwise(0.0))
     # One projection for each part, so that none is computed again inside the next.
     for name, share in SHARES:
         out = out.withColumn(name.lower(), F.when(F.col("_left") > 0, F.least("_left", share * F.col(predicted))).otherwise(0.0)).withColumn("_left", F.col("_left") - F.col(name.lower()))
-    listed = F.array_compact(F.array(*[F.when(F.col(n.lower()) > 0.01, F.lit(n)) for n, _ in SHARES]))
+    listed = F.array_compact(F.array(*[F.when(F.round(n.lower(), 6) > 0.01, F.lit(n)) for n, _ in SHARES]))
     some = F.lit(False)
     for name, _ in SHARES:
-        some = some | (F.col(name.lower()) > 0.01)
-    actions = F.when(F.col(predicted).isNull(), F.array(F.lit("MONITOR"))).when(F.col("_need") > F.greatest("_all", F.lit(0.0)), F.array(F.lit("CRITICAL_SHED"))).when(some, listed).otherwise(F.array(F.lit("MAINTAIN")))
+        some = some | (F.round(name.lower(), 6) > 0.01)
+    actions = F.when(F.col(predicted).isNull(), F.array(F.lit("MONITOR"))).when(F.round(F.col("_need") - F.greatest("_all", F.lit(0.0)), 6) > 0, F.array(F.lit("CRITICAL_SHED"))).when(some, listed).otherwise(F.array(F.lit("MAINTAIN")))
     return out.withColumn("actions", actions).drop("_need", "_all", "_left")
 
 
@@ -228,19 +233,25 @@ def battery_plan(load: np.ndarray, price: np.ndarray, cap: float, rate: float, e
 
 
 def schedule_job(forecasts: DataFrame, capacity: float = 10.0, rate: float = 2.0, eff: float = 0.95, soc0: float = 0.5, peak_cap: float | None = None) -> DataFrame:
-    """A battery plan per household and day; groups are one day's slots, so bounded."""
+    """A battery plan per household and day; a day's slots are one row of arrays, so bounded, and a task plans a batch of days at a time."""
     if capacity <= 0 or rate <= 0 or not 0 <= soc0 <= 1 or not 0 < eff <= 1:
         raise ValueError("capacity and rate must be positive, the first charge in [0, 1], the efficiency in (0, 1]")
     priced = forecasts.select(ID, "day", "slot", F.col("kwh").cast("double").alias("kwh"), tariff_band("slot").alias("price"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slot")
-        status, charge, discharge = battery_plan(rows["kwh"].to_numpy(), rows["price"].to_numpy(), capacity, rate, eff, soc0, peak_cap)
-        return rows.assign(status=status, charge=charge, discharge=discharge)
-
-    kinds = dict(priced.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in priced.columns) + ", status string, charge double, discharge double"
-    return priced.groupBy(ID, "day").applyInPandas(run, schema)
+    rows = F.array_sort(F.collect_list(F.struct("slot", "kwh", "price")))
+    days = priced.groupBy(ID, "day").agg(rows.alias("rows")).select(ID, "day", *[F.col(f"rows.{c}").alias(c) for c in ("slot", "kwh", "price")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            load, price = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).astype(float) for c in ("kwh", "price"))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("kwh")).to_numpy())]).astype(np.int32)
+            plans = [battery_plan(load[x:y], price[x:y], capacity, rate, eff, soc0, peak_cap) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            moves = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p[k] for p in plans] or [load]))) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p[0] for p in plans], pa.string()), *moves], names=[*batch.schema.names, "status", "charge", "discharge"])
+
+    kinds = dict(days.dtypes)
+    planned = days.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in days.columns) + ", status string, charge array<double>, discharge array<double>")
+    slots = F.explode(F.arrays_zip("slot", "kwh", "price", "charge", "discharge")).alias("s")
+    return planned.select(ID, "day", "status", slots).select(ID, "day", "s.slot", "s.kwh", "s.price", "status", "s.charge", "s.discharge")
 
 
 def advice_text(df: DataFrame) -> DataFrame:

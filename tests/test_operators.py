@@ -696,3 +696,25 @@ def test_rounding_without_decimals_equals_spark(spark):
     want = df.withColumn("x", F.round(F.col("x") + queries.NUDGE, 6) + 0.0)
     assert [str(r.x) for r in queries.rounded(df).collect()] == [str(r.x) for r in want.collect()]
     assert "rint" in str(queries.rounded(df)._jdf.queryExecution().analyzed()).lower()
+
+
+def test_a_shed_plan_uses_all_loads_where_they_just_suffice(spark):
+    df = spark.createDataFrame([(200.0, 20.0), (200.00000000000003, 20.0), (200.1, 20.0), (20.010000000000002, 20.0)], "predicted double, capacity double")
+    got = [r.actions for r in control.shed_plan(df).collect()]
+    assert got == [["SHED_EV", "CURTAIL_HVAC", "DIM_LIGHTING"]] * 2 + [["CRITICAL_SHED"], ["MAINTAIN"]]
+
+
+def test_battery_plans_of_many_days_share_a_task(spark):
+    rng = random.Random(9)
+    rows = [(h, dt.date(2024, 1, 1) + dt.timedelta(d), s, rng.uniform(0, 3)) for h in range(5) for d in range(9) for s in rng.sample(range(96), rng.randint(1, 96))]
+    rows += [(9, dt.date(2024, 1, 1), 0, None), (9, dt.date(2024, 1, 1), 1, 2.0)]
+    plan = control.schedule_job(spark.createDataFrame(rows, "household_id long, day date, slot int, kwh double"))
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r.household_id, r.day, r.slot): (r.status, r.charge, r.discharge) for r in plan.collect()}
+    assert len(got) == len(rows) and got[9, dt.date(2024, 1, 1), 1] == ("invalid", 0.0, 0.0)
+    for key in {r[:2] for r in rows if r[0] < 9}:
+        day = sorted(r[2:] for r in rows if r[:2] == key)
+        price = np.array([0.1 if s // 4 < 6 or s // 4 >= 22 else 0.32 if 17 <= s // 4 < 21 else 0.2 for s, _ in day])
+        status, charge, discharge = control.battery_plan(np.array([x for _, x in day]), price, 10.0, 2.0, 0.95, 0.5, None)
+        for (s, _), c, x in zip(day, charge, discharge, strict=True):
+            assert got[*key, s] == (status, pytest.approx(c), pytest.approx(x))
