@@ -156,7 +156,7 @@ def train_slot_shards(households: DataFrame, n: int) -> DataFrame:
 
 
 def priority_sample(episodes: DataFrame, n: int, alpha: float = 0.6, seed: int = 0, key: str = "event_id") -> DataFrame:
-    """n episodes without replacement, the chance of each following |reward|**alpha + 0.001."""
+    """n episodes without replacement, the chance of each following |reward|**alpha + 0.001; those without a reward come last."""
     weight = F.pow(F.abs("reward"), alpha) + 1e-3
     draw = -F.log(F.greatest(hash_uniform(key, seed=seed), F.lit(2.0**-49))) / weight
-    return episodes.withColumn("draw", draw).orderBy("draw", key).limit(n)
+    return episodes.withColumn("draw", draw).orderBy(F.asc_nulls_last("draw"), key).limit(n)

@@ -30,8 +30,13 @@ def error_metrics(f: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return _with_r2(_known(f).groupBy(*by).agg(*_error_sums()))
 
 
+def _peak(column: str, threshold: float) -> Column:
+    """Whether a value reaches the threshold, at six places: the last bit of a sum decides nothing."""
+    return F.round(column, 6) >= threshold
+
+
 def _peak_counts(threshold: float) -> list[Column]:
-    t, p = F.col("y") >= threshold, F.col("yhat") >= threshold
+    t, p = _peak("y", threshold), _peak("yhat", threshold)
     return [F.count_if(t & p).alias("tp"), F.count_if(~t & ~p).alias("tn"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn")]
 
 
@@ -50,7 +55,7 @@ def smooth_l1(f: DataFrame) -> DataFrame:
 
 
 def _peak_loss(threshold: float, weight: float) -> Column:
-    w = F.when(F.col("y") >= threshold, weight).otherwise(1.0)
+    w = F.when(_peak("y", threshold), weight).otherwise(1.0)
     return F.sum(huber(_error()) * w) / F.greatest(F.sum(w), F.lit(1.0))
 
 

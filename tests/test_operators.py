@@ -718,3 +718,16 @@ def test_battery_plans_of_many_days_share_a_task(spark):
         status, charge, discharge = control.battery_plan(np.array([x for _, x in day]), price, 10.0, 2.0, 0.95, 0.5, None)
         for (s, _), c, x in zip(day, charge, discharge, strict=True):
             assert got[*key, s] == (status, pytest.approx(c), pytest.approx(x))
+
+
+def test_peaks_are_told_at_six_places(spark):
+    f = spark.createDataFrame([(40.0 - 7e-15, 40.0), (40.0, 39.99999999999999), (39.9, 41.0), (41.0, 3.0)], "y double, yhat double")
+    got = evaluate.peak_event_metrics(f, 40.0).first()
+    assert (got.tp, got.tn, got.fp, got.fn) == (2, 0, 1, 1)
+    one = spark.createDataFrame([(40.0 - 7e-15, 40.0)], "y double, yhat double")
+    assert evaluate.peak_weighted_loss(one, 40.0).first() == evaluate.peak_weighted_loss(one, 30.0).first()
+
+
+def test_episodes_without_a_reward_are_drawn_last(spark):
+    e = spark.createDataFrame([(i, None if i < 5 else 0.1 * i) for i in range(12)], "event_id long, reward double")
+    assert {r.event_id for r in cohort.priority_sample(e, 7).collect()} == set(range(5, 12))
