@@ -93,9 +93,11 @@ def time_bounds(df: DataFrame) -> DataFrame:
     return df.groupBy(HOUSEHOLD).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def gap_fill(slots: DataFrame, step: str = "15 minutes") -> DataFrame:
+def gap_fill(slots: DataFrame, step: str = "15 minutes", also: tuple[str, ...] = ()) -> DataFrame:
     """Every slot between the first and last one of a household and weather id, a null id too.
 
+    Columns in ``also`` go along with each slot to those that fill its gap.
+
     Each slot fills the gap up to the next one, so that no grid is joined, and rows stay
     partitioned by household for the windows that follow.  Their parts are as many as shuffles have, whatever
     the slots' own size: it says nothing of that of the gaps, and few parts would spill in each sort.
@@ -103,10 +105,10 @@ def gap_fill(slots: DataFrame, step: str = "15 minutes") -> DataFrame:
     slots = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOUSEHOLD)
     order = Window.partitionBy(HOUSEHOLD).orderBy("weather_id", "ts")
     follows = F.when(F.lead("weather_id").over(order).eqNullSafe(F.col("weather_id")), F.lead("ts").over(order))
-    ahead = slots.select(HOUSEHOLD, "weather_id", "ts", "kwh", follows.alias("next_ts"))
+    ahead = slots.select(HOUSEHOLD, "weather_id", "ts", "kwh", *also, follows.alias("next_ts"))
     run = F.expr(f"sequence(ts, coalesce(next_ts - interval {step}, ts), interval {step})")
-    filled = ahead.select(HOUSEHOLD, "weather_id", "kwh", F.posexplode(run).alias("place", "ts"))
-    return filled.select(HOUSEHOLD, "weather_id", "ts", F.when(F.col("place") == 0, F.col("kwh")).alias("kwh"))
+    filled = ahead.select(HOUSEHOLD, "weather_id", "kwh", *also, F.posexplode(run).alias("place", "ts"))
+    return filled.select(HOUSEHOLD, "weather_id", "ts", F.when(F.col("place") == 0, F.col("kwh")).alias("kwh"), *also)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

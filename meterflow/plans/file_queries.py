@@ -88,8 +88,7 @@ def etl_increments(spark: SparkSession, d: str) -> DataFrame:
     """The readings in three runs, one after the other."""
     root, meter = _folder(spark), v.meter(spark, d)
     low, high = meter.agg(F.min("ts"), F.max("ts")).first()
-    filled = etl.filled(meter, v.households(spark, d), v.weather(spark, d))
-    bounds = settle(prepare.winsor_bounds(filled))
+    bounds = settle(prepare.winsor_bounds(prepare.causal_impute(prepare.null_nonfinite(v.grid(spark, d), ["kwh"]))))
     third = (high - low) / 3
     cuts = [(low + k * third).replace(minute=0, second=0, microsecond=0) for k in (1, 2)]
     for k, (a, b) in enumerate(zip([low, *cuts], [*cuts, high + third], strict=True)):

@@ -32,36 +32,37 @@ def increment(meter: DataFrame, households: DataFrame, weather: DataFrame, bound
     """(rows, state) of the readings after each household's last slot; earlier ones are left out.
 
     Increments are cut at slots: a slot is complete when it comes.  ``weather`` covers the gaps before the
-    first new slots, too.  Both results should be settled or written before they are used twice.
+    first new slots, too.  The rows are computed once and settled; both results start from there.
     """
     h = prepare.HOUSEHOLD
     slots = prepare.resample_15min(prepare.join_metadata(meter, households))
     if state is None:
         state = _no_state(slots)
-    known = state.select(h, "last_ts", "n_seen", "sum_seen")
-    fresh = slots.join(known.select(h, "last_ts"), h, "left").where("last_ts is null or ts > last_ts").drop("last_ts")
-    # The last slot of a household opens the gap to its first new one.
+    before = ["last_ts", "n_seen", "sum_seen"]
+    fresh = slots.join(state.select(h, *before), h, "left").where("last_ts is null or ts > last_ts")
+    # Earlier values, a slot apart, as the grid has no gaps; the last one opens the gap to the first new slot.
     touched = state.join(fresh.select(h).distinct(), h, "left_semi")
-    opened = fresh.unionByName(touched.select(h, "weather_id", F.col("last_ts").alias("ts"), F.lit(None).cast("double").alias("kwh")))
-    grid = prepare.gap_fill(opened).join(known, h, "left").where("last_ts is null or ts > last_ts")
+    tail = touched.select("*", F.posexplode(F.reverse("tail")).alias("back", "kwh")).withColumn("ts", F.expr("last_ts - make_interval(0, 0, 0, 0, 0, 15 * back, 0)"))
+    opened = prepare.quantile_join(fresh.unionByName(tail.select(*fresh.columns)), bounds)
+    # What a household has but once goes along with its slots, so that the complete rows are joined with nothing of
+    # that size and all windows share the one sort of them.
+    grid = prepare.gap_fill(opened, also=(*before, "lo", "hi")).withColumn("new", F.expr("last_ts is null or ts > last_ts"))
     hourly = prepare.dedupe_avg(weather, ["weather_id", "ts"], list(prepare.WEATHER))
-    flagged = prepare.missing_flags(prepare.null_nonfinite(prepare.weather_hour_join(grid, hourly), ["kwh", *prepare.WEATHER]))
-    past = Window.partitionBy(h).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count("kwh").over(past) + F.coalesce("n_seen", F.lit(0))
-    total = F.coalesce(F.sum("kwh").over(past), F.lit(0.0)) + F.coalesce("sum_seen", F.lit(0.0))
-    imputed = flagged.withColumn("seen", F.col("kwh")).withColumn("before", F.when(n > 0, total / n)).withColumn("kwh", F.coalesce("kwh", "before", F.lit(0.0)))
+    flagged = prepare.missing_flags(prepare.null_nonfinite(prepare.weather_hour_join(grid, hourly), ["kwh", *prepare.WEATHER])).withColumn("seen", F.when(F.col("new"), F.col("kwh")))
+    order = Window.partitionBy(h).orderBy("ts")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count("seen").over(past) + F.coalesce("n_seen", F.lit(0))
+    total = F.coalesce(F.sum("seen").over(past), F.lit(0.0)) + F.coalesce("sum_seen", F.lit(0.0))
+    imputed = flagged.withColumn("mean", F.when(n > 0, total / n)).withColumn("kwh", F.coalesce("kwh", "mean", F.lit(0.0))).withColumn("as_is", F.col("kwh"))
     clean = prepare.fill_defaults(imputed, dict.fromkeys(prepare.WEATHER, 0.0))
-    bounded = prepare.clip_bounds(prepare.quantile_join(clean, bounds), "kwh", "lo", "hi").select(h, "weather_id", "ts", "kwh", "seen", *prepare.WEATHER, "weather_missing", "load_missing", F.lit(True).alias("new"))
-    # Earlier values, a slot apart, as the grid has no gaps.
-    tail = touched.select(h, "weather_id", F.posexplode(F.reverse("tail")).alias("back", "kwh"), "last_ts").select(h, "weather_id", F.expr("last_ts - make_interval(0, 0, 0, 0, 0, 15 * back, 0)").alias("ts"), "kwh", F.lit(False).alias("new"))
-    both = settle(bounded.unionByName(tail, allowMissingColumns=True))
-    rows = prepare.rolling_features(prepare.lag_features(prepare.calendar_features(both))).where("new").select(*ROW)
-    place = F.row_number().over(Window.partitionBy(h).orderBy(F.desc("ts")))
-    newest = both.select(h, "weather_id", "ts", "kwh").withColumn("place", place).where(F.col("place") <= TAIL)
-    tails = newest.groupBy(h).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "kwh"))), lambda r: r["kwh"]).alias("tail"), F.max("ts").alias("last_ts"), F.min_by("weather_id", "place").alias("weather_id"))
-    seen = both.groupBy(h).agg(F.count("seen").alias("n_new"), F.coalesce(F.sum("seen"), F.lit(0.0)).alias("sum_new"))
-    moved = tails.join(seen, h).join(known.drop("last_ts"), h, "left").select(h, "weather_id", "last_ts", (F.col("n_new") + F.coalesce("n_seen", F.lit(0))).alias("n_seen"), (F.col("sum_new") + F.coalesce("sum_seen", F.lit(0.0))).alias("sum_seen"), "tail")
-    return rows, moved.unionByName(state.join(moved.select(h), h, "left_anti"))
+    bounded = prepare.clip_bounds(clean, "kwh", "lo", "hi").withColumn("kwh", F.when(F.col("new"), F.col("kwh")).otherwise(F.col("as_is")))
+    place = F.count("*").over(Window.partitionBy(h)) - F.row_number().over(order) + 1
+    both = prepare.rolling_features(prepare.lag_features(prepare.calendar_features(bounded))).withColumn("place", place)
+    made = settle(both.select(*ROW, "seen", "new", "place", "n_seen", "sum_seen"))
+    tails = made.where(F.col("place") <= TAIL).groupBy(h).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "kwh"))), lambda r: r["kwh"]).alias("tail"), F.max("ts").alias("last_ts"), F.min_by("weather_id", "place").alias("weather_id"))
+    seen = made.groupBy(h).agg((F.count("seen") + F.coalesce(F.max("n_seen"), F.lit(0))).alias("n_seen"), (F.coalesce(F.sum("seen"), F.lit(0.0)) + F.coalesce(F.max("sum_seen"), F.lit(0.0))).alias("sum_seen"))
+    moved = tails.join(seen, h).select(h, "weather_id", "last_ts", "n_seen", "sum_seen", "tail")
+    return made.where("new").select(*ROW), moved.unionByName(state.join(moved.select(h), h, "left_anti"))
 
 
 def _no_state(slots: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def add_increment(root: str, run_id: str, meter: DataFrame, households: DataFram
     state = spark.read.parquet(f"{root}/runs/{parent}/state") if parent else None
     rows, after = increment(meter, households, weather, bounds, state)
     target = f"{root}/runs/{writers.checked(run_id)}"
-    writers.write_features(prepare.finite_gate(settle(rows), EXTENDED), f"{target}/rows")
+    writers.write_features(prepare.finite_gate(rows, EXTENDED), f"{target}/rows")
     after.write.mode("errorifexists").parquet(f"{target}/state")
     writers.write_text(spark, f"{target}/parent", parent or "")
     writers.point(spark, root, run_id)

@@ -105,6 +105,22 @@ def test_increments_equal_one_run(spark, tmp_path):
         increments.add_increment(root, "day-4", meter.limit(0), households, weather, bounds)
 
 
+def test_an_increment_is_computed_once_and_leaves_earlier_values_as_they_are(spark):
+    meter = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=15 * i), float(i)) for i in range(8) if i != 5], "household_id long, ts timestamp_ntz, kwh double")
+    households = spark.createDataFrame([(1, "W1")], "household_id long, weather_id string")
+    weather = spark.createDataFrame([("W1", T0, 1.0, 1.0, 1.0)], "weather_id string, ts timestamp_ntz, temperature double, humidity double, sunshine double")
+    limits = lambda hi: spark.createDataFrame([(1, 0.0, hi)], "household_id long, lo double, hi double")
+    early = meter.where(F.col("ts") < F.lit(T0 + dt.timedelta(minutes=60)))
+    first, state = increments.increment(early, households, weather, limits(100.0))
+    rows, after = increments.increment(meter, households, weather, limits(2.0), state)
+    assert [r.kwh for r in first.orderBy("ts").collect()] == [0.0, 1.0, 2.0, 3.0]
+    # Other bounds change what is new only; the slot that is missing has the mean of what was seen.
+    assert [(r.kwh, r.lag_1, r.load_missing) for r in rows.orderBy("ts").collect()] == [(2.0, 3.0, 0), (2.0, 2.0, 1), (2.0, 2.0, 0), (2.0, 2.0, 0)]
+    assert [tuple(r) for r in after.select("n_seen", "sum_seen", "tail").collect()] == [(7, 23.0, [0.0, 1.0, 2.0, 3.0, 2.0, 2.0, 2.0, 2.0])]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_missing_columns_fail_loudly(spark, raw):
     (raw / "meter" / "H1.csv").write_text("Household_ID;Timestamp\nH1;x\n")
     (raw / "meter" / "H2.csv").unlink()
