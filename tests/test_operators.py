@@ -503,6 +503,19 @@ def test_blocked_distances_of_many_agents(spark):
     assert got == pytest.approx(want, abs=1e-9) and got[1, "a0", "copy"] == 0.0
 
 
+def test_attention_join_meets_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=3).tolist() for i in range(1100)} | {7: None, 8: [1.0, None, 2.0], 9: [1.0, 2.0]}
+    rows = spark.createDataFrame([(i % 2, i, x) for i, x in vectors.items()] + [(None, 5000, [1.0, 1.0, 1.0])], "agent_id long, pattern_id long, key array<double>")
+    asked = rows.where("pattern_id % 100 in (0, 9) and pattern_id < 5000").select("agent_id", F.col("pattern_id").alias("query_id"), F.col("key").alias("query"))
+    joined = memory.attention_join(asked, rows)
+    got = {(r.query_id, r.pattern_id): r.logit for r in joined.collect()}
+    fits = lambda x, y: x and y and len(x) == len(y) and None not in x and None not in y
+    want = {(i, j): float(np.dot(vectors[i], vectors[j])) / math.sqrt(len(vectors[j])) if fits(vectors[i], vectors[j]) else None for i in vectors if i % 100 in (0, 9) for j in vectors if i % 2 == j % 2}
+    assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "InArrow" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_of_a_large_pool_give_the_best(spark, monkeypatch):
     monkeypatch.setattr(memory, "BLOCK", 16)
     rng = random.Random(7)
