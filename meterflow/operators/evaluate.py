@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,12 +114,21 @@ def predict_intervals(f: DataFrame, residuals: DataFrame, n: int = 20, seed: int
     known = residuals.agg(F.percentile_approx("residual", grid, 100 * QUANTILES)).first()[0]
     if not known:
         return f.withColumns({"mean": F.col("yhat"), "std": F.lit(0.0)})
-    table = F.array(*[F.lit(float(x)) for x in known])
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("yhat") + F.element_at(table, (F.pmod(F.xxhash64(F.lit(seed), "household_id", "ts", k), F.lit(QUANTILES)) + 1).cast("int")))
-    add = lambda s, x: s + x
-    drawn = f.select("household_id", "ts", "yhat", draws.alias("draws")).withColumn("mean", F.aggregate("draws", F.lit(0.0), add) / n)
-    spread = F.aggregate(F.transform("draws", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), add)
-    return drawn.select("household_id", "ts", "yhat", "mean", F.sqrt(spread / n).alias("std"))
+    table = np.asarray(known, dtype=np.float64)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yhat, places = rows.column("yhat"), rows.column("places").flatten().to_numpy().reshape(-1, n)
+            x = table[places.T] + yhat.to_numpy(zero_copy_only=False)
+            mean = sum(x, np.zeros(len(rows))) / n
+            std = np.sqrt(sum((x - mean) ** 2, np.zeros(len(rows))) / n)
+            none = yhat.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(mean, mask=none), pa.array(std, mask=none)], [*rows.schema.names[:3], "mean", "std"])
+
+    # Places are hashed as compiled code; functions over arrays would be interpreted, for each draw of each row.
+    places = F.array(*[F.pmod(F.xxhash64(F.lit(seed), "household_id", "ts", F.lit(k)), F.lit(QUANTILES)).cast("int") for k in range(n)])
+    chosen = f.select("household_id", "ts", F.col("yhat").cast("double").alias("yhat"), places.alias("places"))
+    return chosen.mapInArrow(draw, chosen.drop("places").schema.add("mean", "double").add("std", "double"))
 
 
 def evaluation_job(f: DataFrame, threshold: float, weight: float = 3.0, lam: float = 0.25) -> DataFrame:

@@ -590,6 +590,22 @@ def test_local_updates_draw_batches_and_take_a_kernel(spark):
     assert {(r.agent_id, r.pos, r.value, r.n_samples, r.status) for r in got} == {(1, 0, 16.0, 500, "ok"), (1, 1, 2.0, 500, "ok"), (2, 0, 2.0, 1, "ok"), (2, 1, 2.0, 1, "ok"), (3, None, None, 0, "no_data")}
 
 
+def test_intervals_draw_in_batches_and_keep_missing_forecasts(spark):
+    f = spark.createDataFrame([(h, at(15 * h), float(h) if h % 3 else None) for h in range(50)], "household_id long, ts timestamp_ntz, yhat double")
+    past = spark.createDataFrame([(float(x),) for x in range(-5, 6)], "residual double")
+    made = evaluate.predict_intervals(f, past, 7, seed=2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "lambdafunction" not in plan
+    known = past.agg(F.percentile_approx("residual", [i / 1000 for i in range(1001)], 100100)).first()[0]
+    places = {(r[0], k): r[1 + k] for r in f.select("household_id", *[F.pmod(F.xxhash64(F.lit(2), "household_id", "ts", F.lit(k)), F.lit(1001)) for k in range(7)]).collect() for k in range(7)}
+    for r in made.collect():
+        if r.household_id % 3 == 0:
+            assert r.mean is None and r.std is None
+            continue
+        draws = [r.yhat + known[places[r.household_id, k]] for k in range(7)]
+        assert abs(r.mean - np.mean(draws)) < 1e-9 and abs(r.std - np.std(draws)) < 1e-9
+
+
 def test_learners_and_intervals(spark):
     rng = random.Random(6)
     profile = [(i, *[float(10 * (i % 2) + rng.random()) for _ in range(5)]) for i in range(20)]
