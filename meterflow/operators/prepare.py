@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,16 +94,29 @@ def time_bounds(df: DataFrame) -> DataFrame:
     return df.groupBy(HOUSEHOLD).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+#: Rows of a part of filled slots, on average.
+FILLED = 1_000_000
+
+
+def filled_parts(slots: DataFrame, step: str = "15 minutes") -> int:
+    """How many parts of FILLED rows the slots make once their gaps are filled; only this count comes to the driver."""
+    first, last, width = (F.unix_micros(F.expr(x).cast("timestamp")) for x in ("min(ts)", "max(ts)", f"timestamp '1970-01-01 00:00:00' + interval {step}"))
+    runs = slots.groupBy(HOUSEHOLD, "weather_id").agg(((last - first) / width + 1).alias("n"))
+    return ceil((runs.agg(F.sum("n").alias("n")).first()["n"] or 0) / FILLED)
+
+
 def gap_fill(slots: DataFrame, step: str = "15 minutes", also: tuple[str, ...] = ()) -> DataFrame:
     """Every slot between the first and last one of a household and weather id, a null id too.
 
     Columns in ``also`` go along with each slot to those that fill its gap.
 
     Each slot fills the gap up to the next one, so that no grid is joined, and rows stay
-    partitioned by household for the windows that follow.  Their parts are as many as shuffles have, whatever
-    the slots' own size: it says nothing of that of the gaps, and few parts would spill in each sort.
+    partitioned by household for the windows that follow.  The slots' own size says nothing of that of the gaps, so
+    that the filled rows are counted first: their parts are as many as shuffles have, and more where those would
+    hold over ``FILLED`` rows on average, as each window sorts a part.
     """
-    slots = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), HOUSEHOLD)
+    parts = max(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), filled_parts(slots, step))
+    slots = slots.repartition(parts, HOUSEHOLD)
     order = Window.partitionBy(HOUSEHOLD).orderBy("weather_id", "ts")
     follows = F.when(F.lead("weather_id").over(order).eqNullSafe(F.col("weather_id")), F.lead("ts").over(order))
     ahead = slots.select(HOUSEHOLD, "weather_id", "ts", "kwh", *also, follows.alias("next_ts"))
@@ -180,14 +194,17 @@ def winsor_bounds(df: DataFrame, lo: float = 0.001, hi: float = 0.999, accuracy:
 SKETCH = 4096
 
 
-def quantile_sketches(df: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(household_id, sketch): a KLL sketch of each household's finite values, of a few kilobytes however many there are."""
-    return df.where(finite("kwh").isNotNull()).groupBy(HOUSEHOLD).agg(F.kll_sketch_agg_double("kwh", k).alias("sketch"))
+def quantile_sketches(df: DataFrame, k: int = SKETCH, by: tuple[str, ...] = ()) -> DataFrame:
+    """(household_id, by, sketch): a KLL sketch of each household's finite values, of a few kilobytes however many there are.
+
+    With ``by`` a household has a sketch for each of their values, all from one reading.
+    """
+    return df.where(finite("kwh").isNotNull()).groupBy(HOUSEHOLD, *by).agg(F.kll_sketch_agg_double("kwh", k).alias("sketch"))
 
 
 def merge_sketches(*tables: DataFrame) -> DataFrame:
-    """The sketches of all values that any of the tables has seen: a day's are added without its history."""
-    return reduce(DataFrame.unionByName, tables).groupBy(HOUSEHOLD).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    """The sketches of all values that any row of the tables has seen: a day's are added without its history."""
+    return reduce(DataFrame.unionByName, [t.select(HOUSEHOLD, "sketch") for t in tables]).groupBy(HOUSEHOLD).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
 
 
 def sketch_bounds(sketches: DataFrame, lo: float = 0.001, hi: float = 0.999) -> DataFrame:

@@ -716,6 +716,15 @@ def test_gaps_are_filled_in_as_many_parts_as_shuffles_have(spark):
     assert prepare.gap_fill(slots).rdd.getNumPartitions() == 4
 
 
+def test_parts_of_filled_slots_grow_with_the_gaps(spark, monkeypatch):
+    # 40 households of two slots, 250 slots apart: 10,040 rows once filled.
+    slots = spark.sql("select id % 40 as household_id, 'w' as weather_id, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 3750 * (id div 40)) as ts, 1.0D as kwh from range(80)")
+    monkeypatch.setattr(prepare, "FILLED", 1000)
+    filled = prepare.gap_fill(slots)
+    assert prepare.filled_parts(slots) == 11 and filled.count() == 10_040 and filled.rdd.getNumPartitions() == 11
+    assert prepare.filled_parts(slots.where("false")) == 0 and prepare.gap_fill(slots.where("false")).count() == 0
+
+
 def test_rounding_without_decimals_equals_spark(spark):
     from meterflow.plans import queries
 
