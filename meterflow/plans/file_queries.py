@@ -104,8 +104,8 @@ _SQL["etl_increments"] = _SQL["etl_job"]
 def winsor_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of two halves, merged: the ranks of their quantiles in the whole series are near the ones asked for."""
     rows = v.imputed(spark, d).where("kwh is not null")
-    halves = [prepare.quantile_sketches(rows.where(F.pmod(F.xxhash64("ts"), F.lit(2)) == k)) for k in (0, 1)]
-    bounds = prepare.sketch_bounds(prepare.merge_sketches(*halves))
+    halves = prepare.quantile_sketches(rows.withColumn("half", F.pmod(F.xxhash64("ts"), F.lit(2))), by=("half",))
+    bounds = prepare.sketch_bounds(prepare.merge_sketches(halves))
     ranked = rows.join(bounds, "household_id").groupBy("household_id").agg(*[x.alias(n) for k in ("lo", "hi") for n, x in ((f"{k}_below", F.avg((F.col("kwh") < F.col(k)).cast("double"))), (f"{k}_to", F.avg((F.col("kwh") <= F.col(k)).cast("double"))))])
     near = lambda k, q: (F.col(f"{k}_below") <= q + 0.002) & (F.col(f"{k}_to") >= q - 0.002)
     return ranked.select("household_id", near("lo", 0.001).alias("lo_near"), near("hi", 0.999).alias("hi_near"))

@@ -725,6 +725,14 @@ def test_parts_of_filled_slots_grow_with_the_gaps(spark, monkeypatch):
     assert prepare.filled_parts(slots.where("false")) == 0 and prepare.gap_fill(slots.where("false")).count() == 0
 
 
+def test_sketches_of_parts_come_from_one_reading(spark):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("household_id"), (F.col("id") % 2).alias("half"), F.rand(1).alias("kwh"))
+    halves = prepare.quantile_sketches(rows, by=("half",))
+    assert halves.count() == 6 and halves._jdf.queryExecution().executedPlan().toString().count("Range") == 1
+    one, two = ({r.household_id: (r.lo, r.hi) for r in prepare.sketch_bounds(x).collect()} for x in (prepare.merge_sketches(halves), prepare.merge_sketches(*[prepare.quantile_sketches(rows.where(F.col("half") == k)) for k in (0, 1)])))
+    assert one == two and len(one) == 3
+
+
 def test_rounding_without_decimals_equals_spark(spark):
     from meterflow.plans import queries
 
