@@ -70,8 +70,42 @@ def local_updates(sequences: DataFrame, w: np.ndarray, steps: int = 3, rate: flo
     return counts.join(made, "agent_id", "left").select("agent_id", "pos", "value", "n_samples", F.when(F.col("n_samples") > 0, "ok").otherwise("no_data").alias("status"))
 
 
+def _moments(rows: DataFrame, names: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of rows, means and covariances (divisor n), from one aggregate of plain sums."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    x = [F.col(c).cast("double") for c in names]
+    found = rows.agg(F.count("*").cast("double"), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+    n = found[0]
+    if not n:
+        raise ValueError("no rows to learn from")
+    mean, square = np.asarray(found[1 : len(x) + 1], dtype=float) / n, np.zeros((len(x), len(x)))
+    for (i, j), s in zip(pairs, found[len(x) + 1 :], strict=True):
+        square[i, j] = square[j, i] = s / n
+    return n, mean, square - np.outer(mean, mean)
+
+
 def fit_teacher(rows: DataFrame, inputs: list[str], target: str) -> tuple[LinearRegressionModel, DataFrame]:
-    """One linear model over all households' feature rows, and their predictions."""
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(rows)
-    model = LinearRegression(featuresCol="features", labelCol=target, predictionCol="yhat", regParam=1e-3).fit(vectors)
-    return model, model.transform(vectors).drop("features")
+    """One linear model over all households' feature rows, and their predictions; rows with a missing input are skipped.
+
+    Least squares hangs on the rows only by their number, means and covariances.  So these are summed up over all rows
+    in one pass, and the regression is fitted to a few weighted rows that have the same ones; predictions are a sum
+    of columns.  No row becomes a vector.
+    """
+    whole = rows
+    for c in inputs:
+        whole = whole.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    label = F.col(target).cast("double")
+    sound = F.assert_true(label.isNotNull() & ~F.isnan(label), F.lit("targets must not be null or NaN"))
+    n, mean, covariance = _moments(whole.where(sound.isNull()), [*inputs, target])
+    if not np.isfinite(covariance).all():
+        raise ValueError("features and targets must be finite")
+    size, axes = np.linalg.eigh(covariance)
+    steps = axes * np.sqrt(np.maximum(size, 0) * len(size))
+    few = [(n / (2 * len(size)), *(mean + side * step).tolist()) for step in steps.T for side in (1, -1)]
+    same = rows.sparkSession.createDataFrame(few, ", ".join(f"`{c}` double" for c in ("_weight", *inputs, target)))
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(same)
+    model = LinearRegression(featuresCol="features", labelCol=target, predictionCol="yhat", weightCol="_weight", regParam=1e-3).fit(vectors)
+    yhat = F.lit(0.0)
+    for c, k in zip(inputs, model.coefficients, strict=True):
+        yhat = yhat + F.col(c) * F.lit(float(k))
+    return model, whole.withColumn("yhat", yhat + F.lit(float(model.intercept)))

@@ -733,6 +733,26 @@ def test_sketches_of_parts_come_from_one_reading(spark):
     assert one == two and len(one) == 3
 
 
+def test_a_teacher_is_that_of_all_rows_without_vectors(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = random.Random(4)
+    x = [(rng.gauss(40, 5), rng.random(), rng.randint(0, 1)) for _ in range(500)]
+    data = [(a, b, c, 0.5 * a - 3 * b + 2 * c + rng.gauss(0, 1)) for a, b, c in x] + [(None, 1.0, 1, 5.0), (float("nan"), 1.0, 1, 5.0)]
+    rows = spark.createDataFrame(data, "a double, b double, c int, y double")
+    model, out = learn.fit_teacher(rows, ["a", "b", "c"], "y")
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="skip").transform(rows)
+    want = LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=1e-3).fit(vectors)
+    assert model.coefficients.toArray() == pytest.approx(want.coefficients.toArray(), rel=1e-8) and model.intercept == pytest.approx(want.intercept, rel=1e-8)
+    assert sorted(r.yhat for r in out.collect()) == pytest.approx(sorted(r.yhat for r in want.transform(vectors).collect()), rel=1e-8)
+    assert out.columns == [*rows.columns, "yhat"] and "UDF" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="targets must not be null"):
+        learn.fit_teacher(spark.createDataFrame([(1.0, None), (2.0, 1.0)], "a double, y double"), ["a"], "y")
+    with pytest.raises(ValueError, match="no rows"):
+        learn.fit_teacher(rows.where("false"), ["a"], "y")
+
+
 def test_rounding_without_decimals_equals_spark(spark):
     from meterflow.plans import queries
 
