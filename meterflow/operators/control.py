@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,18 +55,8 @@ def drift_flags(df: DataFrame, alpha: float = 0.05, k: float = 2.0) -> DataFrame
 
 def sliding_quantile(values: np.ndarray, before: np.ndarray, width: int, q: float) -> np.ndarray:
     """Interpolated quantile of each value with up to width - 1 values before it; ``before`` precedes the values."""
-    kept: list[float] = sorted(before.tolist())
-    whole = np.concatenate([before, values])
-    out = np.empty(len(values))
-    for i, x in enumerate(values.tolist()):
-        insort(kept, x)
-        if len(kept) > width:
-            del kept[bisect_left(kept, whole[i + len(before) - width])]
-        at = q * (len(kept) - 1)
-        low = int(at)
-        high = min(low + 1, len(kept) - 1)
-        out[i] = kept[low] + (at - low) * (kept[high] - kept[low])
-    return out
+    whole = pd.Series(np.concatenate([before, values]), dtype=np.float64)
+    return whole.rolling(width, min_periods=1).quantile(q).to_numpy()[len(before) :]
 
 
 def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int = 96, floor: float = 0.5, cold: float = 1.2, forecast: str | None = None) -> DataFrame:
@@ -81,26 +70,29 @@ def adaptive_capacity(df: DataFrame, days: int = 7, q: float = 0.95, slots: int
     names = [ID, "ts", *[c for c in ("event_id",) if c in df.columns], "kwh", *([forecast] if forecast else [])]
     schema = df.select(*names).schema.add("capacity", "double")
 
-    def run(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, last = None, 0, np.zeros(0)
-        for batch in them:
-            out = []
-            for key, rows in batch.groupby(ID, sort=False):
-                if key != now:
-                    now, n, last = key, 0, np.zeros(0)
-                some = rows[forecast].notna().to_numpy() if forecast else np.ones(len(rows), dtype=bool)
-                x = rows["kwh"].to_numpy(dtype=np.float64)[some]
-                limit = np.full(len(rows), np.nan)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last = 0, np.zeros(0)
+        for batch in batches:
+            place, kwh = batch.column("_place").to_numpy(), batch.column("kwh").to_numpy(zero_copy_only=False).astype(np.float64)
+            some = np.ones(len(place), dtype=bool)
+            if forecast:
+                some = ~np.isnan(batch.column(forecast).cast(pa.float64()).to_numpy(zero_copy_only=False))
+            limit = np.full(len(place), np.nan)
+            starts = np.flatnonzero(place == 1)
+            for a, b in zip(np.unique([0, *starts]), [*starts[starts > 0], len(place)], strict=True):
+                if place[a : a + 1] == 1:
+                    n, last = 0, np.zeros(0)
+                mine = np.flatnonzero(some[a:b]) + a
+                x = kwh[mine]
                 found = np.maximum(floor, sliding_quantile(x, last, width, q))
                 found[: max(0, slots - 1 - n)] = cold
-                limit[some] = found
+                limit[mine] = found
                 n, last = n + len(x), np.concatenate([last, x])[-(width - 1) :] if width > 1 else last
-                out.append(rows.assign(capacity=limit))
-            if out:
-                yield pd.concat(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(limit, from_pandas=True)], names=[*names, "capacity"])
 
-    order = names[: names.index("kwh")]
-    return df.select(*names).where(finite("kwh").isNotNull()).repartition(ID).sortWithinPartitions(*order).mapInPandas(run, schema)
+    # Places mark where a household begins; a window takes rows that already lie by household as they are.
+    place = F.row_number().over(Window.partitionBy(ID).orderBy(*names[1 : names.index("kwh")]))
+    return df.select(*names).where(finite("kwh").isNotNull()).withColumn("_place", place).mapInArrow(run, schema)
 
 
 def shed_plan(df: DataFrame, predicted: str = "predicted", capacity: str = "capacity") -> DataFrame:

@@ -733,6 +733,23 @@ def test_sketches_of_parts_come_from_one_reading(spark):
     assert one == two and len(one) == 3
 
 
+def test_capacities_take_filled_slots_where_they_lie(spark):
+    slots = spark.sql("select id % 7 as household_id, 'w' as weather_id, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 450 * (id div 7)) as ts, id % 13 + 0.5D as kwh from range(210)")
+    filled = prepare.causal_impute(prepare.gap_fill(slots.withColumn("household_id", F.when(F.col("household_id") > 0, F.col("household_id")))))
+    made = control.adaptive_capacity(filled, days=1, slots=24)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == filled._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = {(r.household_id, r.ts): r.capacity for r in made.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = sorted(((r.household_id or 0, r.ts, r.kwh) for r in filled.collect()))
+    assert len(got) == len(rows)
+    for h in range(7):
+        mine = [r for r in rows if r[0] == h]
+        for i, (_, ts, _) in enumerate(mine):
+            want = 1.2 if i < 23 else max(0.5, float(np.quantile([r[2] for r in mine[max(0, i - 23) : i + 1]], 0.95)))
+            assert got[h or None, ts] == pytest.approx(want)
+
+
 def test_a_teacher_is_that_of_all_rows_without_vectors(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
