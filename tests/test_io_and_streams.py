@@ -299,6 +299,81 @@ def test_stream_actions_equal_batch_in_any_order(spark, tmp_path):
     assert len({r.capacity for r in got}) > 2
 
 
+class Kept:
+    """State of one group in memory, for counting calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows, self.map, self.timers = 0, None, [], {}, []
+
+    def _state(self, *_):
+        return self
+
+    getValueState = getListState = getMapState = _state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls, self.timers = self.calls + 1, [*self.timers, at]
+
+    def exists(self):
+        return self.value is not None
+
+    def appendValue(self, row):  # noqa: N802
+        self.calls, self.rows = self.calls + 1, [*self.rows, row]
+
+    def clear(self):
+        self.calls, self.rows, self.map = self.calls + 1, [], {}
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls, self.map = self.calls + 1, self.map | {key: value}
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.map.items())
+
+
+class Cell(Kept):
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+class Waiting(Kept):
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+
+def test_households_of_a_group_share_calls_of_state():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from meterflow.streaming import ordered
+
+    job, waiting, cell, timers = ordered.Recent(), Waiting(), Cell(), Kept()
+    job.key, timers.getListState, timers.getValueState = "household_id", lambda *_: waiting, lambda *_: cell
+    job.init(timers)
+    mark = lambda m: SimpleNamespace(getCurrentWatermarkInMs=lambda: m)
+    got = {}
+    for batch in range(3):
+        df = pd.DataFrame([(h, pd.Timestamp(60 * i, unit="s"), 1000 * h + i, float(h + i)) for i in range(10 * batch, 10 * batch + 10) for h in range(-32, 32)], columns=["household_id", "ts", "event_id", "kwh"])
+        list(job.handleInputRows((0,), iter([df.sample(frac=1, random_state=batch)]), mark(0)))
+        for out in job.handleExpiredTimer((0,), mark(60_000 * (10 * batch + 4)), None):
+            got |= {(r.household_id, r.ts): list(r.recent) for r in out.itertuples()}
+    assert waiting.calls + cell.calls + timers.calls <= 3 * 10  # 64 households, three batches
+    assert len(got) == 3 * 64 and all(recent == [float(h + i) for i in range(len(recent))] and len(recent) == ts.minute + 1 for (h, ts), recent in got.items())
+    capacity = ordered.Capacity()
+    cells = {}
+    import pyarrow as pa
+
+    due = pa.table({"key": [1, 1, 2], "at": [0, 1, 0], "event_id": [1, 2, 3], "kwh": [3.0, 4.0, 5.0], "predicted": pa.array([None, 1.0, 2.0], pa.float64())})
+    out = capacity.release(due, [(1, 0, 2), (2, 2, 3)], cells)
+    assert np.isnan(out.capacity[0]) and out.capacity[1:].tolist() == [1.2, 1.2] and [c[0].tolist() for c in cells.values()] == [[4.0], [5.0]]
+
+
 def test_outbox_delivers_once_over_lost_checkpoints(spark, tmp_path):
     schema = "round_id long, agent_id long, seq long, value double"
     rows = [(i // 4 % 5, i % 4, i, float(i)) for i in range(36)] + [(None, 1, 99, 0.0)]
