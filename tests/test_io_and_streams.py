@@ -374,6 +374,21 @@ def test_households_of_a_group_share_calls_of_state():
     assert np.isnan(out.capacity[0]) and out.capacity[1:].tolist() == [1.2, 1.2] and [c[0].tolist() for c in cells.values()] == [[4.0], [5.0]]
 
 
+def test_a_cohorts_state_is_written_once_a_batch():
+    import numpy as np
+    import pandas as pd
+
+    job, uploads, cell, timers = jobs._Cohort(3_600_000, 0), Kept(), Cell(), Kept()
+    timers.getValueState, timers.getMapState = lambda *_: cell, lambda *_: uploads
+    job.init(timers)
+    rows = [(0, i, pd.Timestamp(60 * i, unit="s"), i % 4, i // 4, 1, np.array([float(i)]), None, np.arange(4)) for i in range(402)]
+    df = pd.DataFrame(rows, columns=["district_id", "seq", "ts", "agent_id", "round_id", "n_samples", "vector", "mask", "expected"])
+    out = next(iter(job.handleInputRows((0,), iter([df]), None)))
+    assert (out.status == "complete").sum() == 100 and (out.status == "upload").sum() == 400
+    assert {k[0]: v for k, v in uploads.map.items()} == {0: (1, [400.0], [True]), 1: (1, [401.0], [True])} and cell.value[0] == 100
+    assert timers.timers == [400 * 60_000 + 3_600_000] and uploads.calls + cell.calls + timers.calls < 10
+
+
 def test_outbox_delivers_once_over_lost_checkpoints(spark, tmp_path):
     schema = "round_id long, agent_id long, seq long, value double"
     rows = [(i // 4 % 5, i % 4, i, float(i)) for i in range(36)] + [(None, 1, 99, 0.0)]
