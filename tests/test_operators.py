@@ -814,3 +814,42 @@ def test_peaks_are_told_at_six_places(spark):
 def test_episodes_without_a_reward_are_drawn_last(spark):
     e = spark.createDataFrame([(i, None if i < 5 else 0.1 * i) for i in range(12)], "event_id long, reward double")
     assert {r.event_id for r in cohort.priority_sample(e, 7).collect()} == set(range(5, 12))
+
+
+def shuffled(spark, df):
+    """Bytes that a frame's run writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+@pytest.mark.parametrize("made", [lambda u: updates.krum_scores(u, 1), updates.pairwise_distance])
+def test_blocks_are_packed_before_they_are_shuffled(spark, made):
+    """Rows would be shuffled as many times the 4 bytes of a value."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 64)).astype(np.float32))], "district_id long, agent_id long, x array<float>").repartition(2, "agent_id").localCheckpoint()
+    u = rows.select("district_id", "agent_id", F.posexplode("x").alias("pos", "value"))
+    assert shuffled(spark, made(u)) < 5 * 600 * 64 * 4
+
+
+def test_packed_blocks_tell_of_each_value(spark, monkeypatch):
+    """Values of 8 bytes, agents that send apart and text as keys, packed a few at a time."""
+    monkeypatch.setattr(updates, "TILE", 100)
+    rng = random.Random(5)
+    states = {(d, f"a{i}"): {p: rng.choice([rng.gauss(0, 1), 0.5, float(p)]) for p in range(12) if rng.random() < 0.8} for d in ("x", None, "y") for i in range(90)}
+    u = spark.createDataFrame([(d, a, p, x) for (d, a), v in states.items() for p, x in v.items()], "`my district` string, agent_id string, pos int, value double").repartition(7)
+    keys = ("my district",)
+    got = {(r[0], r.a, r.b): r.distance for r in updates.pairwise_distance(u, keys).collect()}
+    want = {(d, a, b): sum((x.get(p, 0.0) - y.get(p, 0.0)) ** 2 for p in range(12)) for (d, a), x in states.items() for (e, b), y in states.items() if d == e and d and a != b}
+    assert got == pytest.approx(want, abs=1e-9)
+    scores = {(r[0], r.agent_id): r.score for r in updates.krum_scores(u.where("`my district` is not null"), 2, keys).collect()}
+    for d in "xy":
+        mine = [k for k in states if k[0] == d]
+        assert [scores[k] for k in mine] == pytest.approx(plain_krum([states[k] for k in mine], 2), rel=1e-9)
