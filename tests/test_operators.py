@@ -853,3 +853,25 @@ def test_packed_blocks_tell_of_each_value(spark, monkeypatch):
     for d in "xy":
         mine = [k for k in states if k[0] == d]
         assert [scores[k] for k in mine] == pytest.approx(plain_krum([states[k] for k in mine], 2), rel=1e-9)
+
+
+def test_a_round_shuffles_vectors_as_bytes(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(1 + i % 2, i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 64)).astype(np.float32))], "district_id long, agent_id long, x array<float>").repartition(2, "agent_id").localCheckpoint()
+    u = rows.select("district_id", "agent_id", F.posexplode("x").alias("pos", "value"))
+    deltas, _ = federated.district_deltas(u, rows.select("district_id", "agent_id", F.lit(1).alias("n_samples")), federated.RoundConfig())
+    assert shuffled(spark, deltas) < 2 * 600 * 64 * 4
+
+
+@pytest.mark.parametrize("r", [0.0, 0.1, 0.34, 0.49])
+def test_a_trimmed_mean_of_packed_values(spark, r):
+    rng = random.Random(7)
+    sent = [(d, f"a{i}", p, rng.choice([rng.gauss(0, 1), 0.25])) for d in ("x", "y") for i in range(3 if d == "x" else 40) for p in range(40) if rng.random() < 0.7]
+    u = spark.createDataFrame(sent, "district_id string, agent_id string, pos int, value double").repartition(5)
+    scaled = u.withColumn("scale", F.crc32("agent_id") % 4 / 4)
+    kept = updates.unpacked_agents(updates.packed_agents(u))
+    assert sorted(kept.collect()) == sorted((d, a, p, x) for d, a, p, x in sent)
+    want = {(d, p): x for d, p, x in updates.trimmed_mean(scaled.withColumn("value", F.col("value") * F.col("scale")), r).collect()}
+    assert {(d, p): x for d, p, x in updates.packed_trimmed_mean(scaled, r).collect()} == pytest.approx(want, abs=1e-12)
+    far = {(d, a, b): x for d, a, b, x in updates.pairwise_distance(scaled.withColumn("value", F.col("value") * F.col("scale")).drop("scale")).collect()}
+    assert {(d, a, b): x for d, a, b, x in updates.pairwise_distance(scaled).collect()} == pytest.approx(far, abs=1e-12)
