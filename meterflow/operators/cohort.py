@@ -155,8 +155,21 @@ def train_slot_shards(households: DataFrame, n: int) -> DataFrame:
     return numbered(households.select(ID).distinct(), F.col(ID).cast("string")).select(ID, (F.col("place") % n).alias("shard"))
 
 
+def priority_draws(episodes: DataFrame, alpha: float = 0.6, seed: int = 0, key: str = "event_id") -> DataFrame:
+    """Episodes with the ``draw`` that ranks them, the least first: exponential at the rate |reward|**alpha + 0.001; null without a reward.
+
+    Without an id there is nothing to hash, and an episode gets the largest draw of its rate.
+    """
+    weight = F.pow(F.abs("reward"), alpha) + 1e-3
+    uniform = F.when(F.col(key).isNotNull(), hash_uniform(key, seed=seed))
+    return episodes.withColumn("draw", -F.log(F.greatest(uniform, F.lit(2.0**-49))) / weight)
+
+
+def least_draws(drawn: DataFrame, n: int, key: str = "event_id") -> DataFrame:
+    """The n episodes of the least draws, of equal ones those of the least ids; nulls of either come last."""
+    return drawn.orderBy(F.asc_nulls_last("draw"), F.asc_nulls_last(key)).limit(n)
+
+
 def priority_sample(episodes: DataFrame, n: int, alpha: float = 0.6, seed: int = 0, key: str = "event_id") -> DataFrame:
     """n episodes without replacement, the chance of each following |reward|**alpha + 0.001; those without a reward come last."""
-    weight = F.pow(F.abs("reward"), alpha) + 1e-3
-    draw = -F.log(F.greatest(hash_uniform(key, seed=seed), F.lit(2.0**-49))) / weight
-    return episodes.withColumn("draw", draw).orderBy(F.asc_nulls_last("draw"), key).limit(n)
+    return least_draws(priority_draws(episodes, alpha, seed, key), n, key)

@@ -48,3 +48,14 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_query_runs(spark, name):
     df = queries()[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_draws_that_are_equal_at_six_places_go_by_id(spark, tmp_path):
+    """As SQL ranks them; rows without an id or a value, too."""
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    value = "case when i % 17 = 0 then null when i % 13 = 0 then 'nan'::double else 50 + 1e9 * (1 + i % 7) end"
+    con.execute(f"copy (select case when i % 50 <> 7 then 5000 - i end as event_id, timestamp '2024-01-01' + interval 1 minute * i as ts, i % 5 as user_id, 'view' as event_type, {value} as value, '{{}}' as props from range(900) t(i)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in queries()["priority_sample"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(SQL["priority_sample"]).fetchall() and len(got) == 200
