@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meterflow.functions.columns import safe_float, slot_clock, tariff_band
-from meterflow.operators import cohort, control, evaluate, memory, prepare, report, sequence, updates
+from meterflow.operators import cohort, control, evaluate, memory, prepare, report, sequence, series, updates
 from meterflow.plans import federated, learn
 
 T0 = dt.datetime(2024, 1, 1)
@@ -875,3 +875,53 @@ def test_a_trimmed_mean_of_packed_values(spark, r):
     assert {(d, p): x for d, p, x in updates.packed_trimmed_mean(scaled, r).collect()} == pytest.approx(want, abs=1e-12)
     far = {(d, a, b): x for d, a, b, x in updates.pairwise_distance(scaled.withColumn("value", F.col("value") * F.col("scale")).drop("scale")).collect()}
     assert {(d, a, b): x for d, a, b, x in updates.pairwise_distance(scaled).collect()} == pytest.approx(far, abs=1e-12)
+
+
+def odd_slots(spark, seed=4):
+    """Slots of households with gaps, nulls, numbers that are not finite, no weather id or no id, and one with two weather ids."""
+    rng = random.Random(seed)
+    odd = [None, float("nan"), float("inf")]
+    kwh = lambda: rng.choice(odd) if rng.random() < 0.1 else round(rng.expovariate(0.2), 2)
+    rows = [(h, None if h == 5 else f"W{(h or 0) % 3}", at(15 * i), kwh()) for h in [None, *range(12)] for i in range(rng.choice((1, 40, 700))) if rng.random() < 0.3 or not i]
+    return readings(spark, rows + [(3, "V", at(15 * i + 15 * 10_000), kwh()) for i in range(0, 300, 3)])
+
+
+def test_series_are_those_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(series, "TOGETHER", 500)
+    slots = odd_slots(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        limits = spark.createDataFrame([(h, lo, hi) for h, lo, hi in ((0, 1.0, 9.0), (1, None, 5.0), (2, 3.0, None), (3, -4.0, 6.0), (4, 5.0, 1.0), (5, float("nan"), 4.0), (6, 1.0, float("nan")), (None, 1.0, 2.0), (99, 0.0, 1.0))], "household_id long, lo double, hi double")
+        columns = ["kwh", "load_missing", "lag_1", "lag_4", "lag_96", "roll_mean_4", "roll_std_4", "roll_max_96"]
+        flagged = prepare.missing_flags(prepare.null_nonfinite(prepare.gap_fill(slots), ["kwh"]), weather=("ts", "ts"))
+        want = prepare.rolling_features(prepare.lag_features(prepare.clip_bounds(prepare.quantile_join(prepare.causal_impute(flagged), limits), "kwh", "lo", "hi")))
+        told = lambda df: sorted((str(r[0]), str(r[1]), r[2], *(round(x, 9) for x in r[3:])) for r in df.select("household_id", "weather_id", "ts", *columns).collect())
+        assert told(series.complete(slots, columns, limits)) == told(want)
+        bounds = {r.household_id: (r.lo, r.hi) for r in series.exact_bounds(slots, 0.1, 0.9).collect()}
+        assert bounds == {r.household_id: (r.lo, r.hi) for r in prepare.winsor_bounds(prepare.causal_impute(flagged), 0.1, 0.9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_quantiles_of_many_parts_meet_in_groups(spark, monkeypatch):
+    """Not one task merges a summary of each partition; ranks are near, and exact where there are few values."""
+    x = spark.range(0, 3_000_000, 1, 200).select(F.when(F.col("id") % 10 > 0, F.pow(F.rand(1), 3)).alias("residual"))
+    points = lambda df: evaluate._quantiles(df.mapInArrow(lambda batches: evaluate._read(b.column(0).drop_null().to_numpy() for b in batches), evaluate.POINT))
+    got = points(x)
+    assert len(got) == 1001 and np.abs(np.cbrt(got) - np.arange(1001) / 1000).max() < 0.003
+    few = spark.createDataFrame([(float(k % 7),) for k in range(100)] + [(None,)], "residual double")
+    assert points(few).tolist() == few.agg(F.percentile_approx("residual", [k / 1000 for k in range(1001)], 100100)).first()[0]
+    assert len(points(few.limit(0))) == 0
+
+
+@pytest.mark.parametrize("of", ["long", "string"])
+def test_intervals_from_arrays_are_those_of_windows(spark, of):
+    """Without a window over filled rows, which six copies of the tables took too long for."""
+    slots = odd_slots(spark, 5).withColumn("household_id", F.col("household_id").cast(of)).where("kwh is null or abs(kwh) < 1e9")
+    f = sequence.baseline_forecast(prepare.causal_impute(prepare.gap_fill(slots))).where("yhat is not null")
+    want = evaluate.predict_intervals(f, f.select((F.col("y") - F.col("yhat")).alias("residual")), seed=3)
+    made = evaluate.persistence_intervals(slots, seed=3)
+    told = lambda df: sorted(str((r.household_id, r.ts, round(r.yhat, 9), round(r.mean, 9), round(r.std, 9))) for r in df.collect())
+    assert made.columns == want.columns and told(made) == told(want)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    assert evaluate.persistence_intervals(slots.limit(1)).count() == 0
