@@ -22,15 +22,20 @@ WEATHER_ID = "weather_id"
 
 #: Filled rows of the households that are made together; values that the longest lag and window look back on.
 TOGETHER, TAIL = 2**16, 96
-#: Microseconds of a slot.
-STEP = 900_000_000
+#: Microseconds of a slot and of an hour.
+STEP, HOUR = 900_000_000, 3_600_000_000
 #: What comes first for a household: its state, its bounds, then its slots.
 STATE, BOUNDS, SLOT = 0, 1, 2
-_HEAD = {"n_seen": "bigint", "sum_seen": "double", "tail": "array<double>", "lo": "double", "hi": "double"}
+#: Their columns; values of the state go as text, as a null array would be counted again for each row that is sent.
+_HEAD = {STATE: {"n_seen": "bigint", "sum_seen": "double", "tail": "string"}, BOUNDS: {"lo": "double", "hi": "double"}}
 #: What may be asked for, besides household, weather id and time.
 COLUMNS = {"kwh": T.DoubleType(), "load_missing": T.IntegerType(), "place": T.LongType(), "hash": T.LongType()}
 COLUMNS |= {c: T.DoubleType() for c in ("lag_1", "lag_4", "lag_96", "roll_mean_4", "roll_std_4", "roll_max_96")}
-ENDS = {"n_seen": T.LongType(), "sum_seen": T.DoubleType(), "tail": T.ArrayType(T.DoubleType())}
+COLUMNS |= {c: T.DoubleType() for c in ("hour_sin", "hour_cos", "dow_sin", "dow_cos")} | {"is_weekend": T.IntegerType(), "hour_ts": None}
+#: Slots of a day and of a week, which began on a Thursday in 1970.
+DAY, WEEK, MONDAY = 96, 672, 3 * 96
+#: What the last row of a household holds: the state after it, and the household's first time, rows and rows that are not finite.
+ENDS = {"n_seen": T.LongType(), "sum_seen": T.DoubleType(), "tail": T.ArrayType(T.DoubleType()), "first_ts": None, "n_rows": T.LongType(), "bad_rows": T.LongType()}
 
 
 def complete(slots: DataFrame, columns: list[str], bounds: DataFrame | None = None, state: DataFrame | None = None, ends: bool = False, deal: tuple = (), only_finite: bool = True, seed: int = 0, then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], T.StructType | str] | None = None) -> DataFrame:
@@ -40,14 +45,14 @@ def complete(slots: DataFrame, columns: list[str], bounds: DataFrame | None = No
     not finite count as gaps, too, unless they may stay.  ``bounds`` (household_id, lo, hi) clip as ``clip_bounds`` does; lags, means and maxima
     are those of ``lag_features`` and ``rolling_features``.  With ``state`` (a household's weather_id, last_ts, n_seen,
     sum_seen, tail) slots up to the last one are left out and the series goes on from there.  With ``ends`` the last
-    row of each household has the state after it.  Households are dealt to ranges of the expressions in ``deal`` and
-    of their id as text, and rows leave in that order, by time within a household.  The column ``hash`` is the
+    row of each household has ENDS, which are null in the others.  Households are dealt to ranges of their id, or of the
+    expressions in ``deal`` and their id as text, and rows leave in that order, by time within a household.  Hours and
+    clock features are those of plain time or UTC.  The column ``hash`` is the
     xxhash64 of the seed and the household.  ``then`` (function, schema) takes the rows on in the same task.
     """
-    kinds = dict(slots.dtypes)
     fields = [slots.schema[c] for c in (HOUSEHOLD, WEATHER_ID, "ts")]
-    made = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(c, COLUMNS[c]) for c in columns] + [T.StructField(c, k) for c, k in ENDS.items() if ends])
-    dealt = _dealt(slots, bounds, state, deal, kinds)
+    made = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField(c, COLUMNS[c] or fields[2].dataType) for c in columns] + [T.StructField(c, k or fields[2].dataType) for c, k in ENDS.items() if ends])
+    dealt = _dealt(slots, bounds, state, deal)
     if "hash" in columns:
         dealt = dealt.withColumn("hash", F.xxhash64(F.lit(seed), HOUSEHOLD))
     on, made = then or (lambda rows: rows, made)
@@ -78,21 +83,27 @@ def exact_bounds(slots: DataFrame, lo: float = 0.001, hi: float = 0.999) -> Data
                     lows, highs = np.array(found).reshape(-1, 2).T
                     yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first)), pa.array(lows), pa.array(highs)], names=made.names)
 
-    return _dealt(slots, None, None, (), dict(slots.dtypes)).mapInArrow(run, made)
+    return _dealt(slots, None, None, ()).mapInArrow(run, made)
 
 
-def _dealt(slots: DataFrame, bounds: DataFrame | None, state: DataFrame | None, deal: tuple, kinds: dict[str, str]) -> DataFrame:
+def _dealt(slots: DataFrame, bounds: DataFrame | None, state: DataFrame | None, deal: tuple) -> DataFrame:
     """Slots, and what households have but once as rows before them, dealt by ranges and sorted."""
-    none = lambda names, kind: [F.lit(None).cast(kind[c]).alias(c) for c in names]
-    rows = slots.select(HOUSEHOLD, WEATHER_ID, "ts", F.col("kwh").cast("double").alias("kwh"), F.lit(SLOT).alias("kind"), *none(_HEAD, _HEAD))
-    parts = max(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), filled_parts(slots if state is None else slots.unionByName(state.select(HOUSEHOLD, WEATHER_ID, F.col("last_ts").alias("ts"), F.lit(None).cast("double").alias("kwh")))))
+    parts = max(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), filled_parts(slots if state is None else slots.select(HOUSEHOLD, WEATHER_ID, "ts").unionByName(state.select(HOUSEHOLD, WEATHER_ID, F.col("last_ts").alias("ts")))))
+    rows = slots.select(HOUSEHOLD, WEATHER_ID, "ts", F.col("kwh").cast("double").alias("kwh"), F.lit(SLOT).alias("kind"))
+    if state is not None:
+        text = F.array_join(F.col("tail").cast("array<string>"), ",")
+        head = state.select(HOUSEHOLD, WEATHER_ID, F.col("last_ts").alias("ts"), F.lit(STATE).alias("kind"), "n_seen", "sum_seen", text.alias("tail"))
+        rows = rows.unionByName(head, allowMissingColumns=True)
     if bounds is not None:
         # A null household has no bounds, as it is joined with nothing.
-        rows = rows.unionByName(bounds.where(F.col(HOUSEHOLD).isNotNull()).select(HOUSEHOLD, *none((WEATHER_ID, "ts"), kinds), F.lit(None).cast("double").alias("kwh"), F.lit(BOUNDS).alias("kind"), *none(("n_seen", "sum_seen", "tail"), _HEAD), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")))
-    if state is not None:
-        rows = rows.unionByName(state.select(HOUSEHOLD, WEATHER_ID, F.col("last_ts").alias("ts"), F.lit(None).cast("double").alias("kwh"), F.lit(STATE).alias("kind"), "n_seen", "sum_seen", "tail", *none(("lo", "hi"), _HEAD)))
-    by = [*deal, F.col(HOUSEHOLD).cast("string")]
-    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by, "kind", WEATHER_ID, "ts")
+        head = bounds.where(F.col(HOUSEHOLD).isNotNull()).select(HOUSEHOLD, F.lit(BOUNDS).alias("kind"), *(F.col(c).cast(k).alias(c) for c, k in _HEAD[BOUNDS].items()))
+        rows = rows.unionByName(head, allowMissingColumns=True)
+    if not deal:
+        return rows.repartitionByRange(parts, HOUSEHOLD).sortWithinPartitions(HOUSEHOLD, "kind", WEATHER_ID, "ts")
+    # Computed once for each row, not for each comparison.
+    by = [f"_by_{k}" for k in range(len(deal) + 1)]
+    placed = rows.withColumns(dict(zip(by, [*deal, F.col(HOUSEHOLD).cast("string")], strict=True)))
+    return placed.repartitionByRange(parts, *by).sortWithinPartitions(*by, "kind", WEATHER_ID, "ts").drop(*by)
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
@@ -170,6 +181,16 @@ def _looked_back(z: np.ndarray, place: np.ndarray, columns: list[str]) -> dict[s
     return out
 
 
+def _clock() -> dict[str, np.ndarray]:
+    """The calendar features of all slots of a week from Monday on."""
+    slot = np.arange(WEEK)
+    hour, day = slot % DAY * 24 / DAY * (2 * np.pi / 24), slot // DAY * (2 * np.pi / 7)
+    return {"hour_sin": np.sin(hour), "hour_cos": np.cos(hour), "dow_sin": np.sin(day), "dow_cos": np.cos(day), "is_weekend": (slot >= 5 * DAY).astype(np.int32)}
+
+
+CLOCK = _clock()
+
+
 def _filled(rows: pa.Table, columns: list[str], ends: bool, only_finite: bool) -> Iterator[pa.RecordBatch]:
     """The complete series of whole households."""
     code, names = _codes(rows.column(HOUSEHOLD))
@@ -178,11 +199,13 @@ def _filled(rows: pa.Table, columns: list[str], ends: bool, only_finite: bool) -
     ts, kind = rows.column("ts").cast(pa.int64()).fill_null(0).to_numpy(), rows.column("kind").to_numpy()
     numbers = lambda c: rows.column(c).to_numpy()  # noqa: E731  null as NaN
     heads, n = kind == STATE, len(names)
-    last_ts, n_seen, sum_seen = np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64), np.zeros(n)
+    last_ts, n_seen, sum_seen, tails = np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64), np.zeros(n), {}
     at = np.flatnonzero(heads)
-    last_ts[code[at]], tails = ts[at], rows.column("tail").take(pa.array(at)).combine_chunks()
-    n_seen[code[at]] = rows.column("n_seen").take(pa.array(at)).fill_null(0).to_numpy()
-    sum_seen[code[at]] = rows.column("sum_seen").take(pa.array(at)).fill_null(0.0).to_numpy()
+    if len(at):
+        last_ts[code[at]] = ts[at]
+        n_seen[code[at]], sum_seen[code[at]] = (rows.column(c).take(pa.array(at)).fill_null(0).to_numpy() for c in ("n_seen", "sum_seen"))
+        texts = rows.column("tail").take(pa.array(at)).to_pylist()
+        tails = {k: np.array(text.split(","), np.float64) for k, text in zip(code[at].tolist(), texts, strict=True) if text}
     fresh = (kind == SLOT) & (ts > last_ts[code])
     goes_on = np.zeros(n, bool)
     goes_on[code[fresh]] = True
@@ -227,9 +250,7 @@ def _filled(rows: pa.Table, columns: list[str], ends: bool, only_finite: bool) -
         clips = (given & ((high > low) | (np.isnan(high) & ~np.isnan(low))))[of]
         value = np.where(clips, np.fmin(np.maximum(value, low[of]), high[of]), value)
     # The last values of the state go before those of the household.
-    length = np.zeros(n, np.int64)
-    length[code[at]] = pc.fill_null(pc.list_value_length(tails), 0).to_numpy()
-    lead = length[mine]
+    lead = np.array([len(tails.get(k, ())) for k in mine.tolist()] if tails else np.zeros(len(mine)), np.int64)
     base = np.cumsum(lead + sizes) - lead - sizes
     place = np.arange(len(of)) - np.repeat(first - lead, sizes)
     z, spot, row_at = value, place, None
@@ -237,20 +258,24 @@ def _filled(rows: pa.Table, columns: list[str], ends: bool, only_finite: bool) -
         row_at = place + np.repeat(base, sizes)
         z, spot = np.empty(len(of) + int(lead.sum())), np.empty(len(of) + int(lead.sum()), np.int64)
         z[row_at], spot[row_at] = value, place
-        flat, offset = tails.values.to_numpy(), dict(zip(code[at].tolist(), tails.offsets.to_numpy().tolist(), strict=False))
         for k, b, m in zip(mine.tolist(), base.tolist(), lead.tolist(), strict=True):
             if m:
-                z[b : b + m], spot[b : b + m] = flat[offset[k] : offset[k] + m], np.arange(m)
+                z[b : b + m], spot[b : b + m] = tails[k], np.arange(m)
     with np.errstate(over="ignore", invalid="ignore"):
         made = _looked_back(z, spot, columns)
     if row_at is not None:
         made = {c: v[row_at] for c, v in made.items()}
     made |= {"kwh": value, "load_missing": (~seen).astype(np.int32), "place": place}
+    if "is_weekend" in columns:
+        slot = (when // STEP + MONDAY) % WEEK
+        made |= {c: x[slot] for c, x in CLOCK.items()}
+    if "hour_ts" in columns:
+        made["hour_ts"] = when // HOUR * HOUR
     if "hash" in columns:
         hashed = np.empty(n, np.int64)
         hashed[code] = rows.column("hash").to_numpy()
         made["hash"] = hashed[of]
-    arrays = [names.take(pa.array(of)), stations.take(pa.array(station)), pa.array(when).cast(kind_of_ts), *(pa.array(made[c]) for c in columns)]
+    arrays = [names.take(pa.array(of)), stations.take(pa.array(station)), pa.array(when).cast(kind_of_ts), *(pa.array(made[c]).cast(kind_of_ts) if c == "hour_ts" else pa.array(made[c]) for c in columns)]
     if ends:
         final = first + sizes - 1
         others = np.ones(len(of), bool)
@@ -258,8 +283,14 @@ def _filled(rows: pa.Table, columns: list[str], ends: bool, only_finite: bool) -
         stop, held = base + lead + sizes, np.minimum(lead + sizes, TAIL)
         offsets = np.zeros(len(of) + 1, np.int32)
         offsets[final + 1] = held
-        counts, totals = np.zeros(len(of), np.int64), np.zeros(len(of))
-        counts[final], totals[final] = n_seen[mine] + np.diff(past), [s[-1] for s in sums]
         values = np.concatenate([z[b - m : b] for b, m in zip(stop.tolist(), held.tolist(), strict=True)])
-        arrays += [pa.array(counts, mask=others), pa.array(totals, mask=others), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(values), mask=pa.array(others))]
+        tail = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(values), mask=pa.array(others))
+        bad = ~np.logical_and.reduce([np.isfinite(made[c]) for c in columns])
+
+        def at_end(x: np.ndarray) -> pa.Array:
+            out = np.zeros(len(of), x.dtype)
+            out[final] = x
+            return pa.array(out, mask=others)
+
+        arrays += [at_end(n_seen[mine] + np.diff(past)), at_end(np.array([s[-1] for s in sums])), tail, at_end(when[first]).cast(kind_of_ts), at_end(sizes), at_end(np.add.reduceat(bad.astype(np.int64), first))]
     yield pa.RecordBatch.from_arrays(arrays, names=[HOUSEHOLD, WEATHER_ID, "ts", *columns, *(ENDS if ends else ())])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators import prepare, report, updates
+from meterflow.operators import prepare, report, series, updates
 from meterflow.plans import etl, increments
 from meterflow.plans import views as v
 from meterflow.plans.lineage import settle, shared_folder
@@ -88,12 +88,12 @@ def etl_increments(spark: SparkSession, d: str) -> DataFrame:
     """The readings in three runs, one after the other."""
     root, meter = _folder(spark), v.meter(spark, d)
     low, high = meter.agg(F.min("ts"), F.max("ts")).first()
-    bounds = settle(prepare.winsor_bounds(prepare.causal_impute(prepare.null_nonfinite(v.grid(spark, d), ["kwh"]))))
+    bounds, households, weather = settle(series.exact_bounds(settle(v.slots(spark, d)))), settle(v.households(spark, d)), settle(v.weather(spark, d))
     third = (high - low) / 3
     cuts = [(low + k * third).replace(minute=0, second=0, microsecond=0) for k in (1, 2)]
     for k, (a, b) in enumerate(zip([low, *cuts], [*cuts, high + third], strict=True)):
         part = meter.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
-        increments.add_increment(root, f"run-{k}", part, v.households(spark, d), v.weather(spark, d), bounds)
+        increments.add_increment(root, f"run-{k}", part, households, weather, bounds)
     return increments.read_increments(spark, root)
 
 

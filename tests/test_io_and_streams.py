@@ -121,6 +121,36 @@ def test_an_increment_is_computed_once_and_leaves_earlier_values_as_they_are(spa
     assert "Window" not in plan and "Exchange" not in plan
 
 
+def test_an_increment_is_written_once_as_it_is_made(spark, tmp_path, monkeypatch):
+    """No window over filled rows, no second deal of them; by either way to the weather; odd households go on, too."""
+    rng = random.Random(3)
+    rows = [(h, T0 + dt.timedelta(minutes=5 * i), None if rng.random() < 0.1 else rng.random() * 5) for h in (None, 1, 2, 30, 4) for i in range(12 * 24 * 3) if rng.random() < 0.3 and not (h == 4 and i > 300)]
+    meter = spark.createDataFrame(rows, "household_id long, ts timestamp_ntz, kwh double")
+    households = spark.createDataFrame([(1, "W1"), (2, "W2"), (30, "W1")], "household_id long, weather_id string")
+    weather = spark.createDataFrame([(w, T0 + dt.timedelta(hours=k), float(k), float("nan") if k % 4 else 1.0, 0.5) for w in ("W1", "W2") for k in range(72) if k % 7], "weather_id string, ts timestamp_ntz, temperature double, humidity double, sunshine double")
+    bounds = spark.createDataFrame([(1, 0.3, 4.5), (2, 0.1, 4.9), (None, 2.0, 3.0)], "household_id long, lo double, hi double")
+    told = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select(*increments.ROW).collect())
+    want = told(etl.features(meter, households, weather, bounds=bounds))
+    plan = increments._made(meter, households, weather, bounds, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange rangepartitioning") == 1
+    for most in (increments.HOURS, 10):
+        monkeypatch.setattr(increments, "HOURS", most)
+        root = str(tmp_path / f"store-{most}")
+        for day in range(3):
+            increments.add_increment(root, f"day-{day}", meter.where((F.col("ts") >= F.lit(T0 + dt.timedelta(days=day))) & (F.col("ts") < F.lit(T0 + dt.timedelta(days=day + 1)))), households, weather, bounds)
+        assert told(increments.read_increments(spark, root)) == want
+        zones = spark.read.parquet(f"{root}/runs/day-0/rows/{writers.ZONES}")
+        assert zones.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{root}/runs/day-0/rows").count()
+        assert {r.household_id for r in increments.read_increments(spark, root, ["30", "4"]).collect()} == {30, 4}
+        state = spark.read.parquet(f"{root}/runs/day-2/state")
+        assert sorted(str(r[0]) for r in state.select("household_id").collect()) == ["1", "2", "30", "4", "None"]
+    # What is not finite is refused, and nothing of it stays.
+    huge = spark.createDataFrame([(1, T0 + dt.timedelta(days=4, minutes=15 * i), 1.7e308) for i in range(2)], "household_id long, ts timestamp_ntz, kwh double")
+    with pytest.raises(ValueError, match="2 rows are not finite"):
+        increments.add_increment(root, "huge", huge, households, weather, bounds.limit(0))
+    assert not (tmp_path / f"store-{most}/runs/huge/rows").exists() and increments.runs(spark, root)[-1] == "day-2"
+
+
 def test_missing_columns_fail_loudly(spark, raw):
     (raw / "meter" / "H1.csv").write_text("Household_ID;Timestamp\nH1;x\n")
     (raw / "meter" / "H2.csv").unlink()
