@@ -925,3 +925,25 @@ def test_intervals_from_arrays_are_those_of_windows(spark, of):
     assert made.columns == want.columns and told(made) == told(want)
     assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
     assert evaluate.persistence_intervals(slots.limit(1)).count() == 0
+
+
+def copies(u):
+    """How often the values of updates travel to make their pairs."""
+    names = list(updates.COHORT)
+    met = updates._met(u, updates._cohorts(u, names, 16), names, 16, updates.PAIRED, updates.SHARES)._df
+    return met.agg(F.sum(F.length("value"))).first()[0] / (4 * u.count())
+
+
+def test_values_of_a_large_cohort_travel_four_times(spark):
+    u = spark.range(20_000).select(F.lit(1).alias("district_id"), F.col("id").alias("agent_id"), F.posexplode(F.array(F.lit(0.5), F.col("id") % 8 / 8.0)).alias("pos", "value"))
+    assert copies(u) == 4
+
+
+def test_pairs_leave_some_columns_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(updates, "BESIDE", 7)
+    rng = random.Random(6)
+    states = {(d, i): [rng.gauss(0, 1) for _ in range(3)] for d, n in ((1, 150), (2, 20), (3, 1)) for i in range(n)}
+    u = spark.createDataFrame([(d, i, p, x) for (d, i), v in states.items() for p, x in enumerate(v)], "district_id long, agent_id long, pos int, value double")
+    made = updates.pairwise_distance(u).collect()
+    want = {(d, a, b): sum((m - n) ** 2 for m, n in zip(x, y, strict=True)) for (d, a), x in states.items() for (e, b), y in states.items() if d == e and a != b}
+    assert {(r.district_id, r.a, r.b): r.distance for r in made} == pytest.approx(want, abs=1e-9) and len(made) == len(want)
