@@ -939,6 +939,11 @@ def test_values_of_a_large_cohort_travel_four_times(spark):
     assert copies(u) == 4
 
 
+def test_values_of_a_large_sparse_cohort_travel_four_times(spark):
+    u = spark.range(20_000).select(F.lit(1).alias("district_id"), F.col("id").alias("agent_id"), F.posexplode(F.array(*[F.lit(k / 4) for k in range(5)])).alias("pos", "value"))
+    assert copies(u.where("(agent_id + pos) % 5 <> 0")) == 4
+
+
 def test_pairs_leave_some_columns_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(updates, "BESIDE", 7)
     rng = random.Random(6)
